@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import licenses, linededup, lm, mixing, quality, sharding, simhash
+from . import ann, langid, licenses, linededup, lm, mixing, packing, quality, sharding, simhash
 
-MODULES = (simhash, licenses, sharding, linededup, lm, mixing, quality)
+MODULES = (simhash, langid, licenses, ann, sharding, packing, linededup, lm, mixing, quality)
 
 
 def queries() -> dict:
