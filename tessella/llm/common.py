@@ -64,6 +64,11 @@ def fold(doc_id: Column | str, parts: int) -> Column:
     return F.crc32(id_text(doc_id).cast("binary")) % F.lit(parts)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body, or a lambda within it, refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def word_list(text: Column) -> Column:
     """The words of a text (none for null)."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -14,10 +14,10 @@ documents share costs one row per task, and the join that marks occurrences has
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD_PATTERN, Stored, documents
+from .common import SPACES, WORD_PATTERN, Stored, documents, let
 
 RUN = 3
 LONG_WORDS = 50
@@ -35,11 +35,11 @@ def windows(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
         ).alias("__c"),
     )
     runs = F.expr(
-        f"""flatten(transform(sequence(1, size(__c)), k -> filter(
+        f"""CASE WHEN size(__c) > 0 THEN flatten(transform(sequence(1, size(__c)), k -> filter(
           transform(array(1, 2, {RUN}), m -> slice(__c, k, m)),
-          (s, j) -> size(s) = j + 1 AND (j = {RUN - 1} OR aggregate(s, 0, (a, x) -> a + x.n) >= {long_words}))))"""
+          (s, j) -> size(s) = j + 1 AND (j = {RUN - 1} OR aggregate(s, 0, (a, x) -> a + x.n) >= {long_words})))) END"""
     )
-    out = held.filter(F.size("__c") > 0).select("__id", "__th", F.explode(runs).alias("w"))
+    out = held.select("__id", "__th", F.explode(runs).alias("w"))
     # Two 64-bit hashes over the lines in either order: together as good as one of 128 bits.
     return out.select("__id", "__th", F.expr("transform(w, x -> x.i)").alias("idx"), F.expr("xxhash64(transform(w, x -> x.x))").alias("h1"), F.expr("xxhash64(reverse(transform(w, x -> x.x)), 'r')").alias("h2"))
 
@@ -58,22 +58,27 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{id_column}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
     cov = covered_lines(keyed.select("__id", "__text"), stored, long_words).select(F.col("__id").alias("__cid"), F.col("__th").alias("__cth"), "covered")
     both = keyed.join(cov, F.col("__id").eqNullSafe(F.col("__cid")) & (F.xxhash64("__text") == F.col("__cth")), "left")
-    both = both.select("__row", "__text", "covered", F.split("__text", "\n").alias("__l"))
-    # The stretches between covered lines, joined: linear in the lines.
-    left = F.expr(
-        """array_join(flatten(transform(array_append(covered, size(__l)), (p, k) ->
-        slice(__l, IF(k = 0, 0, covered[k - 1] + 1) + 1, p - IF(k = 0, 0, covered[k - 1] + 1)))), '\n')"""
-    )
+    n_lines = lambda x: F.when(x.isNull(), 0).otherwise(F.size(F.split(x, "\n"))).cast("long")
     return both.select(
         "__row",
-        F.when(F.col("covered").isNull(), F.col("__text")).otherwise(left).alias("kept_text"),
-        F.struct(
-            F.when(F.col("__text").isNull(), 0).otherwise(F.size("__l")).cast("long").alias("n_lines"),
-            F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long").alias("n_removed"),
-        ).alias("line_dedup"),
+        F.when(F.col("covered").isNull(), F.col("__text")).otherwise(without(F.col("__text"), F.col("covered"))).alias("kept_text"),
+        F.struct(n_lines(F.col("__text")).alias("n_lines"), F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long").alias("n_removed")).alias("line_dedup"),
     )
 
 
+def without(text: Column, covered: Column) -> Column:
+    """The text less its covered lines: the stretches between them, joined; linear in the lines."""
+
+    def stretches(lines: Column) -> Column:
+        def stretch(p: Column, k: Column) -> Column:
+            start = F.when(k == 0, 0).otherwise(F.get(covered, k - 1) + 1)
+            return F.slice(lines, start + 1, p - start)
+
+        return F.array_join(F.flatten(F.transform(F.array_append(covered, F.size(lines)), stretch)), "\n")
+
+    return let(F.split(text, "\n"), stretches)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text (what stays), n_lines, n_removed for every document."""
     out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))

@@ -1,6 +1,6 @@
 """Quality rules: a threshold table compiled into one projection.
 
-Every measure and every rule is a built-in Spark expression over the row's own text, so the plan is scan -> project: no shuffle, no
+Every measure and every rule is a built-in Spark expression over the row's own text, so the plan is scan -> project (or filter): no shuffle, no
 user function, and nothing that grows but the row. Null text counts as a text without words. Repeated rows are judged alike; columns
 other than the text are neither read nor touched.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD_PATTERN, documents, word_list
+from .common import SPACE_CLASS, WORD_PATTERN, documents, let, word_list
 
 WINDOW = 8
 
@@ -36,51 +36,56 @@ THRESHOLDS = (
 )
 
 
-def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """keep's columns and one column for each count that the rules use."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    one = docs.select(*keep, body.alias("__t"), word_list(F.col(text)).alias("__w"))
+NO_HASHES = "array<bigint>"
+
+
+def _repeats(h: Column) -> Column:
+    """Words covered by windows whose hash occurs again; only texts with one pay for the sort that finds where."""
+
+    def covered(s: Column) -> Column:
+        twin = lambda x, k: F.coalesce((F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]), F.get(s, k - 1)["h"] == x["h"], F.get(s, k + 1)["h"] == x["h"], F.lit(False))
+        starts = F.array_sort(F.transform(F.filter(s, twin), lambda x: x["i"]))
+        return F.aggregate(
+            starts,
+            F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("total")),
+            lambda acc, p: F.struct(p.alias("last"), (acc["total"] + F.least(F.lit(WINDOW), p - acc["last"])).cast("long").alias("total")),
+            lambda acc: acc["total"],
+        )
+
+    placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    return F.when((F.size(h) < 2) | (F.size(F.array_distinct(h)) == F.size(h)), F.lit(0).cast("long")).otherwise(let(placed, covered))
+
+
+def counts(text: Column) -> Column:
+    """A struct of all counts that the rules use, each part of the text taken apart once."""
     has_word = lambda line: line.rlike(WORD_PATTERN)
-    two = one.select(
-        *keep,
-        "__t",
-        "__w",
-        F.size("__w").cast("long").alias("n_words"),
-        F.filter(F.split("__t", "\n"), has_word).alias("__l"),
-        F.when(F.size("__w") > WINDOW, F.expr(f"transform(sequence(1, size(__w) - {WINDOW - 1}), i -> xxhash64(slice(__w, i, {WINDOW})))"))
-        .otherwise(F.array().cast("array<bigint>"))
-        .alias("__h"),
-    )
-    # Only texts with a repeated window pay for the sort that finds where.
-    repeats = F.expr(
-        f"""CASE WHEN size(__h) < 2 OR size(array_distinct(__h)) = size(__h) THEN 0L ELSE
-        transform(array(array_sort(transform(__h, (h, i) -> struct(h AS h, i AS i)))), s ->
-          aggregate(
-            array_sort(transform(filter(s, (x, k) -> (k > 0 AND s[k - 1].h = x.h) OR (k < size(s) - 1 AND s[k + 1].h = x.h)), x -> x.i)),
-            struct(-{WINDOW} AS last, 0L AS total),
-            (acc, p) -> struct(p AS last, acc.total + least({WINDOW}, p - acc.last) AS total),
-            acc -> acc.total))[0] END"""
-    )
-    stops = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
-    return two.select(
-        *keep,
-        "n_words",
-        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("__t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        repeats.cast("long").alias("n_repeat_words"),
-        F.size("__l").cast("long").alias("n_lines"),
-        F.regexp_count("__t", F.lit("!!")).cast("long").alias("n_shouts"),
-        F.size(F.expr(f"filter(__w, w -> lower(w) IN ({stops}))")).cast("long").alias("n_stop_words"),
-        F.size(F.filter("__l", lambda x: x.rlike("^" + SPACE_CLASS + "*[-*•]"))).cast("long").alias("n_bullet_lines"),
-        F.size(F.filter("__l", lambda x: x.rlike("(\\.\\.\\.|…)" + SPACE_CLASS + "*$"))).cast("long").alias("n_ellipsis_lines"),
-    )
-
-
-def _ratios() -> dict[str, Column]:
-    by = lambda top, of: F.col(top) / F.greatest(F.col(of), F.lit(1))
+    n = lambda x: F.size(x).cast("long")
+
+    def of(t: Column, w: Column, lines: Column, h: Column) -> Column:
+        return F.struct(
+            n(w).alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            (n(lines) - n(F.array_distinct(lines))).alias("n_dup_lines"),
+            _repeats(h).alias("n_repeat_words"),
+            n(lines).alias("n_lines"),
+            F.regexp_count(t, F.lit("!!")).cast("long").alias("n_shouts"),
+            n(F.filter(w, lambda x: F.lower(x).isin(list(dict.fromkeys(STOP_WORDS))))).alias("n_stop_words"),
+            n(F.filter(lines, lambda x: x.rlike("^" + SPACE_CLASS + "*[-*•]"))).alias("n_bullet_lines"),
+            n(F.filter(lines, lambda x: x.rlike("(\\.\\.\\.|…)" + SPACE_CLASS + "*$"))).alias("n_ellipsis_lines"),
+        )
+
+    def hashes(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(WINDOW))))
+        return F.when(F.size(w) > WINDOW, each).otherwise(F.array().cast(NO_HASHES))
+
+    return let(F.coalesce(text, F.lit("")), lambda t: let(word_list(t), lambda w: let(F.filter(F.split(t, "\n"), has_word), lambda lines: let(hashes(w), lambda h: of(t, w, lines, h)))))
+
+
+def _ratios(m: Column) -> dict[str, Column]:
+    by = lambda top, of: m[top] / F.greatest(m[of], F.lit(1))
     return {
-        "n_words": F.col("n_words"),
+        "n_words": m["n_words"],
         "repeat_ratio": by("n_repeat_words", "n_words"),
         "mean_word_chars": by("word_chars", "n_words"),
         "symbol_ratio": by("n_symbols", "n_words"),
@@ -92,9 +97,9 @@ def _ratios() -> dict[str, Column]:
     }
 
 
-def verdict(thresholds=THRESHOLDS) -> Column:
-    """The table as one boolean expression over measured()'s columns."""
-    ratios, out = _ratios(), F.lit(True)
+def verdict(m: Column, thresholds=THRESHOLDS) -> Column:
+    """The table as one boolean expression over counts()."""
+    ratios, out = _ratios(m), F.lit(True)
     for name, low, high in thresholds:
         if low is not None:
             out = out & (ratios[name] >= F.lit(low))
@@ -103,22 +108,20 @@ def verdict(thresholds=THRESHOLDS) -> Column:
     return out
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 20) | (F.lit(100) * F.col("n_repeat_words") > F.lit(30) * F.col("n_words"))
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < 20) | (F.lit(100) * m["n_repeat_words"] > F.lit(30) * m["n_words"])
 
 
 def quality_rules(docs: DataFrame, text: str = "text", id_column: str = "doc_id", thresholds=THRESHOLDS) -> DataFrame:
     """One row per document: its counts, base_failed, and kept (false where base_failed, else the table's verdict)."""
-    m = measured(docs, text, (id_column,))
-    return m.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(thresholds))
+    m = docs.select(id_column, counts(F.col(f"`{text}`")).alias("__m"))
+    failed = base_failed(F.col("__m"))
+    return m.select(id_column, "__m.*", failed.alias("base_failed"), (~failed & verdict(F.col("__m"), thresholds)).alias("kept"))
 
 
 def passing(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    names = docs.columns
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(f"`{text}`").alias("__text"))
-    m = measured(boxed, "__text", ("__row",))
-    return m.filter(~base_failed() & verdict(thresholds)).select("__row.*")
+    """The documents that pass, with all their columns: one filter, in which the counts are bound once."""
+    return docs.filter(let(counts(F.col(f"`{text}`")), lambda m: ~base_failed(m) & verdict(m, thresholds)))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
