@@ -96,20 +96,24 @@ def _(V):
     return p.groupBy("node_id").agg(F.count(F.lit(1)).alias("chunks"))
 
 
-@query("agg_fp_rate", f"WITH {PROBE}, h AS (SELECT DISTINCT node_id, blob, off FROM inv) SELECT count(*) AS probes_positive, count(*) FILTER (WHERE h.blob IS NULL) AS false_positive FROM pos LEFT JOIN h USING (node_id, blob, off)")
+SMALL_BITS = 1 << 13
+FULLER = PROBE.replace(f"% {M_BITS}", f"% {SMALL_BITS}")
+
+
+@query("agg_fp_rate", f"WITH {FULLER}, h AS (SELECT DISTINCT node_id, blob, off FROM inv) SELECT count(*) AS probes_positive, count(*) FILTER (WHERE h.blob IS NULL) AS false_positive FROM pos LEFT JOIN h USING (node_id, blob, off)")
 def _(V):
     inv = inventory(V)
-    p = H.probe_blooms(chunks(V), H.build_blooms(inv, M_BITS), M_BITS)
+    p = H.probe_blooms(chunks(V), H.build_blooms(inv, SMALL_BITS), SMALL_BITS)
     held = inv.select("node_id", "mount", "blob", "offset", F.lit(True).alias("held"))
     j = p.join(held, ["node_id", "mount", "blob", "offset"], "left")
     return j.agg(F.count(F.lit(1)).alias("probes_positive"), F.count_if(F.col("held").isNull()).alias("false_positive"))
 
 
-@query("state_bloom_stale_drop", f"WITH {PROBE}, h AS (SELECT DISTINCT node_id, blob, off FROM inv) SELECT DISTINCT pos.node_id FROM pos LEFT JOIN h USING (node_id, blob, off) WHERE h.blob IS NULL")
+@query("state_bloom_stale_drop", f"WITH {FULLER}, h AS (SELECT DISTINCT node_id, blob, off FROM inv) SELECT DISTINCT pos.node_id FROM pos LEFT JOIN h USING (node_id, blob, off) WHERE h.blob IS NULL")
 def _(V):
     """Nodes whose filter promised a chunk that they don't hold: their filter is dropped."""
     inv = inventory(V)
-    p = H.probe_blooms(chunks(V), H.build_blooms(inv, M_BITS), M_BITS)
+    p = H.probe_blooms(chunks(V), H.build_blooms(inv, SMALL_BITS), SMALL_BITS)
     return p.join(inv, ["node_id", "mount", "blob", "offset"], "left_anti").select("node_id").distinct()
 
 

@@ -39,7 +39,7 @@ VIEWS = {
     # ranged reads
     "v_requests": "SELECT l_orderkey * 10 + l_linenumber AS req_id, 'docs' AS mount, l_suppkey AS blob, (l_partkey * 37) % 5000 AS off, CAST(l_quantity AS BIGINT) * 16 - 16 AS len, CAST(4000 + l_suppkey % 50 AS BIGINT) AS file_size FROM lineitem",
     # sequential reads in order by blob
-    "v_reads": "SELECT l_suppkey AS blob, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS seq, CAST(floor((l_orderkey % 60) + l_linenumber) AS BIGINT) * 256 AS off, CAST(256 AS BIGINT) AS len, l_returnflag AS flag FROM lineitem",
+    "v_reads": "SELECT l_suppkey AS blob, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag) AS BIGINT) AS seq, CAST(floor((l_orderkey % 60) + l_linenumber) AS BIGINT) * 256 AS off, CAST(256 AS BIGINT) AS len, l_returnflag AS flag FROM lineitem",
     # fetches with start and end
     "v_fetches": "SELECT event_id AS id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS key, EPOCH(ts) AS t0, EPOCH(ts) + 30 + CAST(floor(value) AS BIGINT) AS t1, event_type <> 'error' AS ok FROM events",
     # hydrate results by task and peer
@@ -49,7 +49,7 @@ VIEWS = {
     # exposition text
     "v_prom": """SELECT snap, line_no, line FROM (
         SELECT user_id % 5 AS snap, event_id AS line_no, CASE WHEN event_id % 29 = 0 THEN '# HELP ' || event_type WHEN event_id % 31 = 0 THEN '' WHEN event_id % 37 = 0 THEN event_type || '_total bad'
-          ELSE event_type || '_total{node="n' || CAST(event_id % 4 AS STRING) || '"} ' || CAST(CAST(round(value * 100) AS BIGINT) AS STRING) END AS line FROM events) AS t""",
+          ELSE event_type || '_total' || chr(123) || 'node="n' || CAST(event_id % 4 AS STRING) || '"' || chr(125) || ' ' || CAST(CAST(round(value * 100) AS BIGINT) AS STRING) END AS line FROM events) AS t""",
 }
 
 
