@@ -170,7 +170,7 @@ def predict(docs: DataFrame, names: list[str], logp: np.ndarray) -> DataFrame:
 def identify(docs: DataFrame, folds: int = FOLDS, per_language: int = PER_LANGUAGE) -> DataFrame:
     """docs: doc_id, lang, text. Learns outside the held-out fold, predicts every document."""
     arrow_batches(docs.sparkSession)
-    marked = docs.withColumn("held_out", fold("doc_id", folds) == 0)
+    marked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text", (fold("doc_id", folds) == 0).alias("held_out"))
     return predict(marked, *learn(marked.filter(~F.col("held_out")), per_language))
 
 

@@ -122,7 +122,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int
             kinds = [pa.int64()] * 5 + [pa.binary()] * keep_ids
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in fields.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, fields)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, fields)
 
 
 def combinations(bins: int = BINS, depth: int = DEPTH) -> list[tuple[int, ...]]:

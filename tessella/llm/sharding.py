@@ -54,7 +54,8 @@ def table_frame(spark: SparkSession, shards=SHARDS, size: int = TABLE_SIZE) -> D
 
 
 def place(docs: DataFrame, key: Column, shards=SHARDS, size: int = TABLE_SIZE) -> DataFrame:
-    """docs with __slot and __shard."""
+    """docs with __slot and __shard, which replace columns of these names."""
+    docs = docs.drop("__slot", "__shard")
     table = F.broadcast(table_frame(docs.sparkSession, shards, size).withColumnsRenamed({"slot": "__slot", "shard": "__shard"}))
     return docs.withColumn("__slot", slot_of(key, size)).join(table, "__slot").select(*[f"`{c}`" for c in docs.columns], "__slot", "__shard")
 
