@@ -1,6 +1,9 @@
 """Order-insensitive comparison of a DataFrame with a DuckDB query."""
 
 import math
+import os
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def plain(x):
