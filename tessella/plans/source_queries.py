@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from ..sources import docs as S
 from ..sources import text as X
 from .common import query
@@ -212,11 +215,7 @@ def _(V):
 @query("sink_cache_insert", "SELECT count(*) AS rows, CAST(sum(content_length) AS BIGINT) AS bytes FROM v_listing")
 def _(V):
     """A committed write: rows go to a new folder, then are read back."""
-    import uuid
-
-    l = V("v_listing")
-    spark = l.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/insert-{uuid.uuid4().hex}"
-    l.write.parquet(path)
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), F.sum("content_length").cast("bigint").alias("bytes"))
+    listing = V("v_listing")
+    path = f"{shared_dir(listing.sparkSession)}/insert-{uuid.uuid4().hex}"
+    listing.write.parquet(path)
+    return listing.sparkSession.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), F.sum("content_length").cast("bigint").alias("bytes"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -24,3 +26,12 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (local runs), a new temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
