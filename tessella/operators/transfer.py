@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.policy import mib_per_s
+from ..session import shared_dir
 
 MOST_ERRORS = 32
 
 
 def numbered(df: DataFrame, order: list, name: str = "i", buckets: int = 64) -> DataFrame:
-    """Row numbers from 0 in the given order without one task for all: range partitions, their counts, then numbers within each."""
-    ranged = df.repartitionByRange(buckets, *order).withColumn("__p", F.spark_partition_id())
+    """Row numbers from 0 in the given order without one task for all: range partitions, their counts, then numbers within each.
+
+    Ranges come from a sample, which differs from one evaluation to the next, so the partitioned rows are written to the shared folder once."""
+    path = f"{shared_dir(df.sparkSession)}/numbered-{uuid.uuid4().hex}"
+    df.repartitionByRange(buckets, *order).withColumn("__p", F.spark_partition_id()).write.parquet(path)
+    ranged = df.sparkSession.read.parquet(path)
     counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__p", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__s"))
