@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.policy import mib_per_s
 from ..session import shared_dir
+from .placement import small
 
 MOST_ERRORS = 32
 
@@ -32,7 +33,7 @@ def shard_plan(chunks: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.withColumn("t", F.row_number().over(Window.orderBy("grp", "node_id")) - 1)
     n = targets.count()
     c = numbered(chunks, ["mount", "blob", "offset"]).withColumn("t", (F.col("i") % n).cast("int"))
-    return c.join(F.broadcast(t.select("t", "node_id")), "t").select("node_id", "i", "mount", "blob", "offset", "len")
+    return c.join(small(t.select("t", "node_id")), "t").select("node_id", "i", "mount", "blob", "offset", "len")
 
 
 def broadcast_plan(targets: DataFrame) -> DataFrame:
