@@ -41,22 +41,37 @@ LETTERS, NUMBERS = "a-zA-Zªµºß-öø-ɏÀ-ÖØ-Þ", "0-9²³¹¼-¾"
 PIECE = re.compile(f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
 #: Beyond these characters normalisation isn't plain lower case, and the library does it all.
 ODD = re.compile("[^\t\n\r\\x20-\\x7e\\xa1-\u012f\u0131-\u024f]|<[|]")
+PLAIN = bytes(i for i in range(256) if i in (9, 10, 13) or 32 <= i < 127 or i > 160)
 END_OF_WORD = "</w>"
 
 
+def strange(text: str) -> bool:
+    """Whether the library must see the whole text."""
+    if "<|" in text:
+        return True
+    try:
+        return bool(text.encode("latin-1").translate(None, PLAIN))
+    except UnicodeEncodeError:
+        return ODD.search(text) is not None
+
+
 class WordTokenizer:
     """The library's ids, a remembered word at a time: its pre-tokens depend on nothing around them."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
+        # For words that are normal and cut already: the same model behind a split at spaces.
+        self.lean = Tokenizer.from_file(path)
+        self.lean.normalizer = normalizers.Sequence([])
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {}
         size = self.lib.get_vocab_size()
         self.last = np.array([(self.lib.id_to_token(i) or "").endswith(END_OF_WORD) for i in range(size)], bool)
 
     def _learn(self, words: list[str]) -> None:
-        ids = np.array(self.lib.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.lean.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.last[ids]) + 1
         if len(stops) != len(words):
             for w in words:
@@ -71,16 +86,16 @@ class WordTokenizer:
         """Each text's ids as little-endian 32-bit words, and the tail."""
         if len(self.known) > WORDS_HELD:
             self.known.clear()
-        known, odd, split, encode = self.known, ODD.search, PIECE.findall, self.lib.encode
-        strange = [bool(t) and odd(t) is not None for t in texts]
-        pieces = [split(t.lower()) if t and not x else [] for t, x in zip(texts, strange, strict=True)]
+        known, split, encode = self.known, PIECE.findall, self.lib.encode
+        whole = [bool(t) and strange(t) for t in texts]
+        pieces = [split(t.lower()) if t and not x else [] for t, x in zip(texts, whole, strict=True)]
         missing = list(set(chain.from_iterable(pieces)).difference(known))
         for at in range(0, len(missing), 5000):
             self._learn(missing[at : at + 5000])
         get = known.__getitem__
         out = [b"".join(map(get, p)) + tail for p in pieces]
         for i, t in enumerate(texts):
-            if strange[i]:
+            if whole[i]:
                 out[i] = np.array(encode(t, add_special_tokens=False).ids, "<u4").tobytes() + tail
         return out
 
