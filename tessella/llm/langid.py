@@ -30,6 +30,8 @@ HALF = 0.5
 ROUNDS = 12
 #: Of more languages than this, those with the largest single likelihoods enter a text's mixture.
 MOST_MIXED = 24
+#: The table of languages is broadcast up to so many rows.
+MOST_BROADCAST = 10_000
 
 _LETTER: np.ndarray | None = None
 
@@ -78,7 +80,9 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
     rates = named.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count(F.lit(1))).alias("rate")).withColumnRenamed("lang", "__lang")
     # A hash of the id, evenly spread over [0, 1); a language takes the ids below its rate.
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = named.join(F.broadcast(rates), F.col("lang") == F.col("__lang")).filter(draw < F.col("rate")).select("lang", "text")
+    if rates.count() <= MOST_BROADCAST:
+        rates = F.broadcast(rates)
+    sample = named.join(rates, F.col("lang") == F.col("__lang")).filter(draw < F.col("rate")).select("lang", "text")
     got = sample.mapInArrow(_count, "lang string, bucket int, c bigint").groupBy("lang", "bucket").agg(F.sum("c").alias("c")).toArrow()
     names = sorted(set(got.column("lang").to_pylist()))
     counts = np.zeros((BUCKETS, len(names)))
