@@ -5,7 +5,9 @@ histogram (at most WINDOW - 1 classes, whatever the input) is all that reaches t
  1. lengths are put in BINS bins, rounded up, and every combination of at most DEPTH bins that fills a window is enumerated;
  2. non-negative least squares finds how often to repeat each, to meet the histogram;
  3. repeats are rounded down to what is there, and what is left is packed greedily: longest class first, into the open sequences with
-    the least room, as many alike at once as there are.
+    the least room, as many alike at once as there are;
+ 4. sequences that would still be padded by LEAST_ROOM ids or more are evened out: the emptiest are taken apart, just enough of them, and their
+    pieces cut to fill the others; what remains is cut to powers of two, which need no padding. Only these documents are tokenised again.
 The plan says for every class which ranks go to which sequences; pieces get their rank within their class by two-level prefix counts,
 so a class with a third of all pieces is no one task's, and find their sequence in the broadcast plan, whose size depends on WINDOW alone.
 
@@ -35,6 +37,8 @@ DEPTH = 3
 END_ID = 2
 WORDS_HELD = 1_000_000
 SLICES = 512
+#: Less room than this stays padding rather than cutting a document for it.
+LEAST_ROOM = 64
 
 #: Letters and numbers up to U+024F, and what the tokenizer's file splits text by, for texts of such characters (fixed values).
 LETTERS, NUMBERS = "a-zA-Zªµºß-öø-ɏÀ-ÖØ-Þ", "0-9²³¹¼-¾"
@@ -117,27 +121,59 @@ def default_tokenizer() -> str:
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """docs: doc_id, text -> doc_id, start, length, ids_crc32, doc_tokens (and ids)."""
+    """docs: doc_id, text -> doc_id, th (the text's hash), start, length, ids_crc32, doc_tokens (and ids)."""
     arrow_batches(docs.sparkSession)
     tail = int(end_id).to_bytes(4, "little")
-    fields = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * keep_ids
+    fields = "doc_id bigint, th bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(tokenizer)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, hashes, texts = (batch.column(i).to_pylist() for i in range(3))
             out: list[tuple] = []
             for at in range(0, len(texts), 200):
-                for doc_id, raw in zip(ids[at : at + 200], tok.encode(texts[at : at + 200], tail), strict=True):
+                for doc_id, th, raw in zip(ids[at : at + 200], hashes[at : at + 200], tok.encode(texts[at : at + 200], tail), strict=True):
                     n = len(raw) // 4
                     for start in range(0, n, window):
                         cut = raw[4 * start : 4 * (start + window)]
-                        out.append((doc_id, start, len(cut) // 4, zlib.crc32(cut), n, *([cut] if keep_ids else [])))
-            columns = list(zip(*out, strict=True)) if out else [[] for _ in range(5 + keep_ids)]
-            kinds = [pa.int64()] * 5 + [pa.binary()] * keep_ids
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in fields.split(", ")])
+                        out.append((doc_id, th, start, len(cut) // 4, zlib.crc32(cut), n, *([cut] if keep_ids else [])))
+            yield _batch(out, fields)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, fields)
+    return keyed(docs).mapInArrow(run, fields)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+
+
+def _batch(rows: list[tuple], fields: str) -> pa.RecordBatch:
+    names, kinds = zip(*[f.split() for f in fields.split(", ")], strict=True)
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64() if k == "bigint" else pa.binary()) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+
+
+def recut(donated: DataFrame, docs: DataFrame, plan, tokenizer: str, end_id: int, keep_ids: bool) -> DataFrame:
+    """The donors' pieces (with sequence_id, offset) cut to where their ids go; their texts are read and tokenised once more."""
+    tail = int(end_id).to_bytes(4, "little")
+    fields = "doc_id bigint, th bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * keep_ids + ", sequence_id bigint, offset bigint"
+    key = F.struct("doc_id", "th").alias("k")  # equal structs may hold nulls
+    per_doc = donated.groupBy(key).agg(F.collect_list(F.struct("start", "length", "doc_tokens", "sequence_id", "offset")).alias("pieces"))
+    texts = keyed(docs).select(key, "text").join(per_doc.select("k"), "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
+    both = per_doc.join(texts, "k").select("k.doc_id", "k.th", "text", *[F.col(f"pieces.{f}").alias(f) for f in ("start", "length", "doc_tokens", "sequence_id", "offset")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok, at = _tokenizer(tokenizer), plan.value
+        for batch in batches:
+            ids, hashes, texts, starts, lengths, tokens, sequences, offsets = (c.to_pylist() for c in batch.columns)
+            out = []
+            for j, raw in enumerate(tok.encode(texts, tail)):
+                for s, n, t, q, o, d in zip(starts[j], lengths[j], tokens[j], sequences[j], offsets[j], at.donor_of(np.array(sequences[j])).tolist(), strict=True):
+                    for before, count, seq, off in at.cuts(d, q, o, n):
+                        cut = raw[4 * (s + before) : 4 * (s + before + count)]
+                        out.append((ids[j], hashes[j], s + before, count, zlib.crc32(cut), t, *([cut] if keep_ids else []), seq, off))
+            yield _batch(out, fields)
+
+    return both.mapInArrow(run, fields)
 
 
 def combinations(bins: int = BINS, depth: int = DEPTH) -> list[tuple[int, ...]]:
@@ -160,7 +196,9 @@ def nnls(a: np.ndarray, b: np.ndarray, most: int = 400) -> np.ndarray:
     """Non-negative least squares by the active-set method of Lawson and Hanson."""
     n = a.shape[1]
     x, passive = np.zeros(n), np.zeros(n, bool)
-    w = a.T @ b
+    gram, ab = a.T @ a, a.T @ b
+    ridge = 1e-10 * max(1.0, gram.diagonal().max(initial=0.0))
+    w = ab.copy()
     tol = 1e-9 * max(1.0, np.abs(w).max(initial=0.0))
     for _ in range(most):
         free = np.where(passive, -np.inf, w)
@@ -170,8 +208,8 @@ def nnls(a: np.ndarray, b: np.ndarray, most: int = 400) -> np.ndarray:
         passive[j] = True
         while True:
             s = np.zeros(n)
-            ap = a[:, passive]
-            s[passive] = np.linalg.lstsq(ap.T @ ap, ap.T @ b, rcond=None)[0]
+            normal = gram[np.ix_(passive, passive)]
+            s[passive] = np.linalg.solve(normal + ridge * np.eye(len(normal)), ab[passive])
             if s[passive].min(initial=1.0) > 0:
                 break
             bad = passive & (s <= 0)
@@ -180,7 +218,7 @@ def nnls(a: np.ndarray, b: np.ndarray, most: int = 400) -> np.ndarray:
             passive &= x > 1e-12
             x[~passive] = 0.0
         x = s
-        w = a.T @ (b - a @ x)
+        w = ab - gram @ x
     return x
 
 
@@ -190,13 +228,86 @@ class Plan:
     def __init__(self) -> None:
         self.rows: list[tuple[int, int, int, int, int]] = []  # length, since, base, phase, per
         self.sequences = 0
+        #: Sequences taken apart, and the rooms that their ids fill: base, count, ids each, place on the tape; rooms also where they begin.
+        self.donors = np.zeros((0, 4), np.int64)
+        self.rooms = np.zeros((0, 5), np.int64)
 
     def arrays(self) -> tuple[np.ndarray, ...]:
         rows = np.array(sorted(self.rows), np.int64).reshape(-1, 5)
         return tuple(rows[:, i] for i in range(5))
 
+    def fills(self, hist: np.ndarray) -> list[tuple[int, int, int]]:
+        """(base, count, ids in each) for stretches of sequences that are filled alike: as many as the plan has rows, times a constant."""
+        change: dict[int, int] = {}
+
+        def put(a: int, b: int, ids: int) -> None:
+            if b > a:
+                change[a] = change.get(a, 0) + ids
+                change[b] = change.get(b, 0) - ids
+
+        rows = sorted(self.rows)
+        if not rows:
+            return []
+        for (length, since, base, phase, per), after in zip(rows, [*rows[1:], (0, 0)], strict=True):
+            n = (after[1] if after[0] == length else int(hist[length])) - since
+            head = min(n, (per - phase) % per)
+            if head:
+                put(base, base + 1, head * length)
+                base += 1
+            whole, tail = divmod(n - head, per)
+            put(base, base + whole, per * length)
+            put(base + whole, base + whole + 1, tail * length)
+        out, ids, at = [], 0, 0
+        for edge in sorted(change):
+            if ids and edge > at:
+                out.append((at, edge - at, ids))
+            ids, at = ids + change[edge], edge
+        return out
+
+    def even_out(self, hist: np.ndarray, window: int, least_room: int) -> None:
+        """Chooses the donors: a donor gives its ids and takes its room off, together a window, so the rooms' sum says how many there are."""
+        loose = sorted((ids, base, count) for base, count, ids in self.fills(hist) if window - ids >= least_room)
+        need = -(-sum((window - ids) * count for ids, _, count in loose) // window)
+        donors, rooms, tape, space = [], [], 0, 0
+        for ids, base, count in loose:
+            k = min(need, count)
+            need -= k
+            if k:
+                donors.append((base, k, ids, tape))
+                tape += k * ids
+            if count > k:
+                rooms.append((base + k, count - k, window - ids, space, ids))
+                space += (count - k) * (window - ids)
+        for size in (1 << i for i in range(window.bit_length() - 1, -1, -1)):
+            if tape - space >= size:
+                rooms.append((self.sequences, 1, size, space, 0))
+                self.sequences += 1
+                space += size
+        self.donors = np.array(sorted(donors), np.int64).reshape(-1, 4)
+        self.rooms = np.array(rooms, np.int64).reshape(-1, 5)
+
+    def donor_of(self, sequence: np.ndarray) -> np.ndarray:
+        """The donors' row that holds each sequence, or -1."""
+        if not len(self.donors):
+            return np.full(len(sequence), -1)
+        at = np.searchsorted(self.donors[:, 0], sequence, side="right") - 1
+        return np.where((at >= 0) & (sequence < self.donors[at, 0] + self.donors[at, 1]), at, -1)
+
+    def cuts(self, donor: int, sequence: int, offset: int, length: int) -> list[tuple[int, int, int, int]]:
+        """Where a piece of a donor goes: (ids before, ids, sequence, offset)."""
+        base, _, ids, tape = self.donors[donor].tolist()
+        at, done, out = tape + (sequence - base) * ids + offset, 0, []
+        while done < length:
+            g = int(np.searchsorted(self.rooms[:, 3], at, side="right")) - 1
+            rbase, _, room, start, begin = self.rooms[g].tolist()
+            i, within = divmod(at - start, room)
+            n = min(length - done, room - within)
+            out.append((done, n, rbase + i, begin + within))
+            at, done = at + n, done + n
+        return out
+
 
-def plan_packing(hist: np.ndarray, window: int = WINDOW, bins: int = BINS, depth: int = DEPTH) -> Plan:
+def plan_packing(hist: np.ndarray, window: int = WINDOW, bins: int = BINS, depth: int = DEPTH, least_room: int = LEAST_ROOM) -> Plan:
     """hist[l]: pieces of l ids, l < window."""
     plan = Plan()
     grain = window // bins
@@ -262,6 +373,7 @@ def plan_packing(hist: np.ndarray, window: int = WINDOW, bins: int = BINS, depth
                 _open(rooms, order, room, base + count, there - count)
             if room > take * length:
                 _open(rooms, order, room - take * length, base, count)
+    plan.even_out(hist, window, least_room)
     return plan
 
 
@@ -281,12 +393,12 @@ def assign(plan: Plan, lengths: np.ndarray, ranks: np.ndarray, window: int = WIN
 
 def ranked(pieces: DataFrame) -> DataFrame:
     """pieces with `rank` (from 0) within their length; by (length, slice) counts and offsets, then within each slice."""
-    cell = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SLICES)).cast("int")
+    cell = F.pmod(F.xxhash64("doc_id", "th", "start"), F.lit(SLICES)).cast("int")
     p = pieces.withColumn("slice", cell)
     counts = p.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("length", "slice").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
+    within = Window.partitionBy("length", "slice").orderBy("doc_id", "th", "start")
     return p.withColumn("nth", F.row_number().over(within)).join(offsets, ["length", "slice"]).withColumn("rank", F.col("ahead") + F.col("nth") - 1).drop("slice", "nth", "ahead")
 
 
@@ -294,7 +406,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     """docs: doc_id, text -> one row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
     spark = docs.sparkSession
     stored = Stored(spark, "pack")
-    pieces = stored.put(pieces_of(docs, tokenizer or default_tokenizer(), window, end_id, keep_ids))
+    tokenizer = tokenizer or default_tokenizer()
+    pieces = stored.put(pieces_of(docs, tokenizer, window, end_id, keep_ids))
     hist = np.zeros(window, np.int64)
     for length, n in pieces.groupBy("length").count().filter(F.col("length") < window).collect():
         hist[length] = n
@@ -307,12 +420,18 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lengths, ranks = (b.column(i).to_numpy(zero_copy_only=False) for i in (at_length, at_rank))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(assign(shared.value, lengths, ranks, window))], names=[*b.schema.names, "sequence_id"])
+            seq = assign(shared.value, lengths, ranks, window)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seq), pa.array(shared.value.donor_of(seq) >= 0)], names=[*b.schema.names, "sequence_id", "given"])
 
-    placed = r.mapInArrow(run, r.withColumn("sequence_id", F.lit(0).cast("bigint")).schema)
+    placed = r.mapInArrow(run, r.withColumn("sequence_id", F.lit(0).cast("bigint")).withColumn("given", F.lit(True)).schema)
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "rank")
     offset = F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
-    return placed.withColumn("offset", offset).drop("rank")
+    placed = placed.withColumn("offset", offset).drop("rank")
+    if not len(plan.donors):
+        return placed.drop("th", "given")
+    placed = stored.put(placed)
+    cut = recut(placed.filter("given").drop("given"), docs, shared, tokenizer, end_id, keep_ids)
+    return placed.filter("NOT given").drop("given").unionByName(cut).drop("th")
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
