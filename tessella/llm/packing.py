@@ -39,6 +39,7 @@ WORDS_HELD = 1_000_000
 SLICES = 512
 #: Less room than this stays padding rather than cutting a document for it.
 LEAST_ROOM = 64
+MOST_BROADCAST = 50_000
 
 #: Letters and numbers up to U+024F, and what the tokenizer's file splits text by, for texts of such characters (fixed values).
 LETTERS, NUMBERS = "a-zA-Zªµºß-öø-ɏÀ-ÖØ-Þ", "0-9²³¹¼-¾"
@@ -158,7 +159,11 @@ def recut(donated: DataFrame, docs: DataFrame, plan, tokenizer: str, end_id: int
     fields = "doc_id bigint, th bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * keep_ids + ", sequence_id bigint, offset bigint"
     key = F.struct("doc_id", "th").alias("k")  # equal structs may hold nulls
     per_doc = donated.groupBy(key).agg(F.collect_list(F.struct("start", "length", "doc_tokens", "sequence_id", "offset")).alias("pieces"))
-    texts = keyed(docs).select(key, "text").join(per_doc.select("k"), "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
+    # Few documents are cut: their keys are broadcast after a count, beyond MOST_BROADCAST the join shuffles.
+    wanted = per_doc.select("k")
+    if donated.count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
+    texts = keyed(docs).select(key, "text").join(wanted, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
     both = per_doc.join(texts, "k").select("k.doc_id", "k.th", "text", *[F.col(f"pieces.{f}").alias(f) for f in ("start", "length", "doc_tokens", "sequence_id", "offset")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
