@@ -192,3 +192,9 @@ def test_tree_is_exact(spark):
 def test_first_words(spark):
     df = spark.createDataFrame([(" a  b\nc d", 2), ("x", 1)], "t string, n int")
     assert [r[0] for r in df.select(mixing.first_words(F.col("t"), F.col("n"))).collect()] == [" a  b\n", "x"]
+
+
+@pytest.mark.parametrize("name", ["op3_license_scan", "op5_shard_lookup", "op7_line_dedup", "op9_mix_sources", "op10_quality_rules"])
+def test_native_plans_hold_no_python(name, spark, sf_dir):
+    text = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().toString()
+    assert not re.search("ArrowEval|BatchEval|InPandas|InArrow|CartesianProduct|ExistingRDD", text)
