@@ -23,17 +23,22 @@ from itertools import combinations, pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bktree import BKTree, Groups
-from .common import Stored, arrow_batches, documents
+from .common import LOWER, UPPER, Stored, arrow_batches, documents, let, word_list
 from .components import connected_components
 
 RADIUS = 3
 WORDS = 3
 SEED = 42
 TREE_SIZE = 4096
+#: For links by similarity: bits within which candidates lie, draws of bits, candidates of a fingerprint in a tree, keys broadcast at most.
+WIDE_RADIUS = 12
+TABLES = 64
+NEAREST = 4
+MOST_BROADCAST = 50_000
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -96,8 +101,10 @@ def shard_masks(parts: int, radius: int = RADIUS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def tree_links(radius: int):
-    """A mapInArrow function over rows (mask, bits, tree, role, fp) sorted so: nodes of a tree (role 0), then its queries (1) -> a, b."""
+def tree_links(radius: int, nearest: bool = False):
+    """A mapInArrow function over rows (mask, bits, tree, role, fp) sorted so: nodes of a tree (role 0), then its queries (1) -> a, b.
+
+    With nearest, every fingerprint is paired with the NEAREST ones found and nothing is joined: candidates for a check of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a: list[int] = []
@@ -128,7 +135,14 @@ def tree_links(radius: int):
                 for value, role in zip(fps[s:e].tolist(), roles[s:e].tolist(), strict=True):
                     value &= unsigned
                     found = tree.within(value, radius) if tree.values else []
-                    if role == 0:
+                    if nearest:
+                        for v in sorted((tree.values[x] for x in found), key=lambda v: ((v ^ value).bit_count(), v))[:NEAREST]:
+                            out_a.append(value)
+                            out_b.append(v)
+                        if role == 0:
+                            tree.add(value)
+                            groups.add()
+                    elif role == 0:
                         me = tree.add(value)
                         groups.add()
                         for x in found:
@@ -151,9 +165,8 @@ def tree_links(radius: int):
     return run
 
 
-def links(distinct: DataFrame, count: int, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
-    """distinct: __fp, each once -> a, b: links enough that their components are those of all links."""
-    masks = shard_masks(parts_for(count, radius), radius)
+def links(distinct: DataFrame, masks: list[int], radius: int = RADIUS, tree_size: int = TREE_SIZE, nearest: bool = False) -> DataFrame:
+    """distinct: __fp, each once -> a, b: links enough that their components are those of all links within a shard."""
     cells = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("__fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])
     keyed = distinct.select("__fp", F.explode(cells).alias("c")).select("c.mask", "c.bits", "__fp")
     sizes = keyed.groupBy("mask", "bits").count().filter("count > 1").withColumn("trees", F.ceil(F.col("count") / tree_size).cast("int")).drop("count")
@@ -162,14 +175,54 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS, tree_size: int
     each = F.transform(F.sequence(F.lit(0), F.col("trees") - 1), lambda t: F.struct(t.alias("tree"), F.when(t == own, 0).otherwise(1).alias("role")))
     rows = rows.select("mask", "bits", F.explode(each).alias("t"), "__fp").select("mask", "bits", "t.tree", "t.role", "__fp")
     rows = rows.repartition("mask", "bits", "tree").sortWithinPartitions("mask", "bits", "tree", "role", "__fp")
-    arrow = rows.mapInArrow(tree_links(radius), "a bigint, b bigint")
+    arrow = rows.mapInArrow(tree_links(radius, nearest), "a bigint, b bigint")
     return arrow
 
 
-def near_components(fps: DataFrame, stored: Stored, id_column: str = "doc_id", radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
-    """fps: id and __fp -> __fp, component_id (the smallest id reachable) for every distinct fingerprint."""
+def sampled_masks(count: int, tables: int = TABLES, seed: int = 17) -> list[int]:
+    """Masks of drawn bits, as many as keep a shard of strangers in the dozens: the more fingerprints, the more bits must agree."""
+    bits = min(24, max(4, count.bit_length() - 5))
+    rng = np.random.default_rng(seed)
+    masks = [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def shingle_set(text, words: int) -> Column:
+    """Distinct hashes of a text's word shingles, A-Z in lower case; of fewer words, of the whole sequence."""
+
+    def of(w):
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - (words - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(words))))
+        return F.when(F.size(w) >= words, F.array_distinct(each)).otherwise(F.array(F.xxhash64(w)))
+
+    return let(word_list(F.translate(text, UPPER, LOWER)), of)
+
+
+def similar_pairs(classes: DataFrame, count: int, rows: DataFrame, stored: Stored, words: int, similarity: float, radius: int = WIDE_RADIUS) -> DataFrame:
+    """a, b: fingerprints within the wide radius whose texts' shingle sets have at least the similarity (Jaccard).
+
+    classes: __fp, each once, and the key of a row that has it; rows: __key, __text."""
+    pairs = links(classes.select("__fp"), sampled_masks(count), radius, nearest=True)
+    pairs = stored.put(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("__fp")).distinct()
+    wanted = stored.put(classes.join(nodes, "__fp").select("__fp", "__key"))
+    keys = wanted.withColumnRenamed("__fp", "fp")
+    if wanted.count() <= MOST_BROADCAST:
+        keys = F.broadcast(keys)
+    sets = stored.put(rows.join(keys, "__key").groupBy("fp").agg(F.first(shingle_set(F.col("__text"), words)).alias("s")))
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+
+def near_components(fps: DataFrame, stored: Stored, id_column: str = "doc_id", radius: int = RADIUS, tree_size: int = TREE_SIZE, more=None) -> DataFrame:
+    """fps: id and __fp -> __fp, component_id (the smallest id reachable) for every distinct fingerprint.
+
+    more(distinct fingerprints, their count) may add links."""
     classes = stored.put(fps.groupBy("__fp").agg(F.min(F.col(f"`{id_column}`")).alias("least")))
-    found = links(classes.select("__fp"), classes.count(), radius, tree_size)
+    count = classes.count()
+    found = links(classes.select("__fp"), shard_masks(parts_for(count, radius), radius), radius, tree_size)
+    if more:
+        found = found.unionByName(more(classes.select("__fp"), count))
     roots = connected_components(found, stored)
     placed = classes.join(roots, classes["__fp"] == roots["node"], "left").select("__fp", "least", F.coalesce("root", "__fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -184,13 +237,21 @@ def simhash_components(docs: DataFrame, text: str = "text", id_column: str = "do
     return fps.join(comp, "__fp").select(id_column, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The row of each component with the smallest id (of rows that repeat it, the one whose text hashes lowest), all columns kept."""
+def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = WORDS, radius: int = RADIUS, similar_words: int = 5, similarity: float | None = 0.8) -> DataFrame:
+    """The row of each component with the smallest id (of rows that repeat it, the one whose text hashes lowest), all columns kept.
+
+    Beside the links of fingerprints, texts are linked whose sets of similar_words-word shingles have the similarity or more. Candidates for
+    these are the nearest fingerprints within WIDE_RADIUS bits in shards by TABLES draws of bits: most such pairs, not provably all."""
     stored = Stored(docs.sparkSession, "simhash")
+    key = lambda i, t: F.struct(F.col(i).alias("i"), F.col(t).alias("t"))  # noqa: E731  equal structs may hold nulls
     boxed = docs.select(F.col(f"`{id_column}`").alias("__id"), F.xxhash64(f"`{text}`").alias("__th"), F.col(f"`{text}`").alias("__text"))
     fps = stored.put(fingerprints(boxed, "__text", words))
-    comp = near_components(fps, stored, "__id", radius)
-    key = lambda i, t: F.struct(F.col(i).alias("i"), F.col(t).alias("t"))  # noqa: E731  equal structs may hold nulls
+
+    def more(distinct: DataFrame, count: int) -> DataFrame:
+        one = fps.groupBy("__fp").agg(F.min(key("__id", "__th")).alias("__key"))
+        return similar_pairs(distinct.join(one, "__fp"), count, boxed.select(key("__id", "__th").alias("__key"), "__text"), stored, similar_words, similarity)
+
+    comp = near_components(fps, stored, "__id", radius, more=more if similarity else None)
     firsts = fps.join(comp, "__fp").filter(F.col("__id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("__th").alias("__pth"))
     picks = firsts.select(key("component_id", "__pth").alias("__key"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.struct(F.col(f"`{id_column}`").alias("i"), F.xxhash64(f"`{text}`").alias("t")).alias("__key"))

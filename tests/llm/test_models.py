@@ -380,3 +380,21 @@ def test_lm_odd_rows(make_docs, odd_rows):
     assert lm.score_documents(make_docs([])).count() == 0
     alone = lm.score_documents(make_docs([(21, "abc def")])).first()
     assert math.isfinite(alone.score)
+
+
+def test_similar_texts_link(make_docs):
+    """Of texts that share four fifths of their five-word shingles one stays; strangers all stay."""
+    from conftest import prose
+
+    base = prose(300, 50).split()
+    rows = [(1, " ".join(base))]
+    for k in range(2, 12):
+        edited = list(base)
+        for j in range(3):
+            edited[(k * 29 + j * 97) % 300] = f"edit{k}x{j}"
+        rows.append((k, " ".join(edited)))
+    rows += [(100 + i, prose(200, 60 + i)) for i in range(15)]
+    kept = {r.doc_id for r in simhash.keep_one(make_docs(rows)).collect()}
+    assert kept == {1} | {100 + i for i in range(15)}
+    loose = simhash.keep_one(make_docs(rows), similarity=None).count()
+    assert loose >= len(kept)
