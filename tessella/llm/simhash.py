@@ -34,10 +34,9 @@ RADIUS = 3
 WORDS = 3
 SEED = 42
 TREE_SIZE = 4096
-#: For links by similarity: bits within which candidates lie, draws of bits, candidates of a fingerprint in a tree, keys broadcast at most.
+#: For links by similarity: bits within which candidates lie, draws of bits, keys broadcast at most.
 WIDE_RADIUS = 12
 TABLES = 64
-NEAREST = 4
 MOST_BROADCAST = 50_000
 
 
@@ -104,7 +103,7 @@ def shard_masks(parts: int, radius: int = RADIUS) -> list[int]:
 def tree_links(radius: int, nearest: bool = False):
     """A mapInArrow function over rows (mask, bits, tree, role, fp) sorted so: nodes of a tree (role 0), then its queries (1) -> a, b.
 
-    With nearest, every fingerprint is paired with the NEAREST ones found and nothing is joined: candidates for a check of the texts."""
+    With nearest, a and b are candidates for a check of the texts: a spanning forest of each tree's pairs within the radius, nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a: list[int] = []
@@ -129,19 +128,25 @@ def tree_links(radius: int, nearest: bool = False):
             for s, e in pairwise(starts):
                 here = (masks[s], bits[s], trees[s])
                 if here != key:
-                    if len(tree.values) > 1:
+                    if len(tree.values) > 1 and not nearest:
                         close()
                     tree, groups, key = BKTree(), Groups(), here
                 for value, role in zip(fps[s:e].tolist(), roles[s:e].tolist(), strict=True):
                     value &= unsigned
                     found = tree.within(value, radius) if tree.values else []
                     if nearest:
-                        for v in sorted((tree.values[x] for x in found), key=lambda v: ((v ^ value).bit_count(), v))[:NEAREST]:
-                            out_a.append(value)
-                            out_b.append(v)
+                        # One pair for each group of earlier pairs among those found, with its nearest member: a forest, at most one edge a node.
+                        found.sort(key=lambda x: ((tree.values[x] ^ value).bit_count(), tree.values[x]))
+                        met = {}
+                        for x in found:
+                            if met.setdefault(groups.root(x), x) == x:
+                                out_a.append(value)
+                                out_b.append(tree.values[x])
                         if role == 0:
-                            tree.add(value)
+                            met[len(tree.values)] = tree.add(value)
                             groups.add()
+                        for x in list(met.values())[1:]:
+                            groups.join(found[0], x)
                     elif role == 0:
                         me = tree.add(value)
                         groups.add()
@@ -155,7 +160,7 @@ def tree_links(radius: int, nearest: bool = False):
             if len(out_a) > 50_000:
                 yield made(out_a, out_b)
                 out_a, out_b = [], []
-        if len(tree.values) > 1:
+        if len(tree.values) > 1 and not nearest:
             close()
         yield made(out_a, out_b)
 
@@ -241,7 +246,7 @@ def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", wor
     """The row of each component with the smallest id (of rows that repeat it, the one whose text hashes lowest), all columns kept.
 
     Beside the links of fingerprints, texts are linked whose sets of similar_words-word shingles have the similarity or more. Candidates for
-    these are the nearest fingerprints within WIDE_RADIUS bits in shards by TABLES draws of bits: most such pairs, not provably all."""
+    these are forests of fingerprints within WIDE_RADIUS bits in shards by TABLES draws of bits: most such pairs, not provably all."""
     stored = Stored(docs.sparkSession, "simhash")
     key = lambda i, t: F.struct(F.col(i).alias("i"), F.col(t).alias("t"))  # noqa: E731  equal structs may hold nulls
     boxed = docs.select(F.col(f"`{id_column}`").alias("__id"), F.xxhash64(f"`{text}`").alias("__th"), F.col(f"`{text}`").alias("__text"))
