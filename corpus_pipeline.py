@@ -5,7 +5,8 @@ again as the next one's docs. All but the last return the columns of documents:
 
     quality   documents that the quality rules reject go
     lines     later occurrences of repeated passages go; documents that lose their last word with them go too
-    simhash   one document of each component of near copies stays, the one with the smallest id
+    simhash   one document of each component of near copies stays, the one with the smallest id; linked are fingerprints within 3 bits, and
+              texts that share four fifths of their five-word shingles
     mix       sources are mixed to their target weights: documents are dropped or repeated, always whole
     pack      texts are tokenised and packed into sequences: one row a piece
 
