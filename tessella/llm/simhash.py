@@ -34,10 +34,9 @@ RADIUS = 3
 WORDS = 3
 SEED = 42
 TREE_SIZE = 4096
-#: For links by similarity: bits within which candidates lie, draws of bits, keys broadcast at most.
-WIDE_RADIUS = 12
-TABLES = 64
+#: For links by similarity: keys broadcast at most, rounds of one comparison a bucket before all pairs are compared.
 MOST_BROADCAST = 50_000
+ROUNDS = 2
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -100,10 +99,8 @@ def shard_masks(parts: int, radius: int = RADIUS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def tree_links(radius: int, nearest: bool = False):
-    """A mapInArrow function over rows (mask, bits, tree, role, fp) sorted so: nodes of a tree (role 0), then its queries (1) -> a, b.
-
-    With nearest, a and b are candidates for a check of the texts: a spanning forest of each tree's pairs within the radius, nearest first."""
+def tree_links(radius: int):
+    """A mapInArrow function over rows (mask, bits, tree, role, fp) sorted so: nodes of a tree (role 0), then its queries (1) -> a, b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a: list[int] = []
@@ -128,26 +125,13 @@ def tree_links(radius: int, nearest: bool = False):
             for s, e in pairwise(starts):
                 here = (masks[s], bits[s], trees[s])
                 if here != key:
-                    if len(tree.values) > 1 and not nearest:
+                    if len(tree.values) > 1:
                         close()
                     tree, groups, key = BKTree(), Groups(), here
                 for value, role in zip(fps[s:e].tolist(), roles[s:e].tolist(), strict=True):
                     value &= unsigned
                     found = tree.within(value, radius) if tree.values else []
-                    if nearest:
-                        # One pair for each group of earlier pairs among those found, with its nearest member: a forest, at most one edge a node.
-                        found.sort(key=lambda x: ((tree.values[x] ^ value).bit_count(), tree.values[x]))
-                        met = {}
-                        for x in found:
-                            if met.setdefault(groups.root(x), x) == x:
-                                out_a.append(value)
-                                out_b.append(tree.values[x])
-                        if role == 0:
-                            met[len(tree.values)] = tree.add(value)
-                            groups.add()
-                        for x in list(met.values())[1:]:
-                            groups.join(found[0], x)
-                    elif role == 0:
+                    if role == 0:
                         me = tree.add(value)
                         groups.add()
                         for x in found:
@@ -160,7 +144,7 @@ def tree_links(radius: int, nearest: bool = False):
             if len(out_a) > 50_000:
                 yield made(out_a, out_b)
                 out_a, out_b = [], []
-        if len(tree.values) > 1 and not nearest:
+        if len(tree.values) > 1:
             close()
         yield made(out_a, out_b)
 
@@ -170,7 +154,7 @@ def tree_links(radius: int, nearest: bool = False):
     return run
 
 
-def links(distinct: DataFrame, masks: list[int], radius: int = RADIUS, tree_size: int = TREE_SIZE, nearest: bool = False) -> DataFrame:
+def links(distinct: DataFrame, masks: list[int], radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
     """distinct: __fp, each once -> a, b: links enough that their components are those of all links within a shard."""
     cells = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("__fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])
     keyed = distinct.select("__fp", F.explode(cells).alias("c")).select("c.mask", "c.bits", "__fp")
@@ -180,18 +164,10 @@ def links(distinct: DataFrame, masks: list[int], radius: int = RADIUS, tree_size
     each = F.transform(F.sequence(F.lit(0), F.col("trees") - 1), lambda t: F.struct(t.alias("tree"), F.when(t == own, 0).otherwise(1).alias("role")))
     rows = rows.select("mask", "bits", F.explode(each).alias("t"), "__fp").select("mask", "bits", "t.tree", "t.role", "__fp")
     rows = rows.repartition("mask", "bits", "tree").sortWithinPartitions("mask", "bits", "tree", "role", "__fp")
-    arrow = rows.mapInArrow(tree_links(radius, nearest), "a bigint, b bigint")
+    arrow = rows.mapInArrow(tree_links(radius), "a bigint, b bigint")
     return arrow
 
 
-def sampled_masks(count: int, tables: int = TABLES, seed: int = 17) -> list[int]:
-    """Masks of drawn bits, as many as keep a shard of strangers in the dozens: the more fingerprints, the more bits must agree."""
-    bits = min(24, max(4, count.bit_length() - 5))
-    rng = np.random.default_rng(seed)
-    masks = [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
-
-
 def shingle_set(text, words: int) -> Column:
     """Distinct hashes of a text's word shingles, A-Z in lower case; of fewer words, of the whole sequence."""
 
@@ -202,33 +178,137 @@ def shingle_set(text, words: int) -> Column:
     return let(word_list(F.translate(text, UPPER, LOWER)), of)
 
 
-def similar_pairs(classes: DataFrame, count: int, rows: DataFrame, stored: Stored, words: int, similarity: float, radius: int = WIDE_RADIUS) -> DataFrame:
-    """a, b: fingerprints within the wide radius whose texts' shingle sets have at least the similarity (Jaccard).
+def usual_shingles(texts: Column, docs: DataFrame, words: int) -> np.ndarray:
+    """Hashes of the shingles met most often in a sixteenth of the texts, sorted. They set the order that heads() cuts by, never what is found."""
+    some = docs.select(texts.alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(16)) == 0).select(F.explode(shingle_set(F.col("t"), words)).alias("shingle"))
+    often = some.groupBy("shingle").count().filter("count > 3").orderBy(F.desc("count"), "shingle").limit(MOST_BROADCAST).toArrow()
+    return np.sort(often.column(0).to_numpy().astype(np.int64))
 
-    classes: __fp, each once, and the key of a row that has it; rows: __key, __text."""
-    pairs = links(classes.select("__fp"), sampled_masks(count), radius, nearest=True)
-    pairs = stored.put(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("__fp")).distinct()
-    wanted = stored.put(classes.join(nodes, "__fp").select("__fp", "__key"))
-    keys = wanted.withColumnRenamed("__fp", "fp")
-    if wanted.count() <= MOST_BROADCAST:
-        keys = F.broadcast(keys)
-    sets = stored.put(rows.join(keys, "__key").groupBy("fp").agg(F.first(shingle_set(F.col("__text"), words)).alias("s")))
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
+def heads(docs: DataFrame, similarity: float, usual: np.ndarray) -> DataFrame:
+    """docs: sk and s (a set of shingle hashes) and others -> s replaced by n, its size, and head, the first of its hashes in the order of all
+    hashes (unusual ones first). Sets that have the similarity share a hash of their heads, whatever the order: a set shares all but
+    n - ceil(similarity * n) hashes at least, so the first one shared stands no later than after so many."""
+    others = [c for c in docs.columns if c != "s"]
+    schema = docs.select(*others).withColumn("n", F.lit(0)).withColumn("head", F.array(F.lit(0).cast("bigint"))).schema
+    at = docs.columns.index("s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = batch.column(at)
+            flat, sizes = s.flatten().to_numpy(), np.diff(s.offsets.to_numpy())
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.searchsorted(usual, flat)
+            common = np.append(usual, 0)[place] == flat if len(usual) else np.zeros(len(flat), bool)
+            common &= place < len(usual)
+            flat = flat[np.lexsort((flat, common, row))]
+            size = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+            starts = np.cumsum(sizes) - sizes
+            keep = np.arange(len(flat)) - np.repeat(starts, sizes) < np.repeat(size, sizes)
+            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            head = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[keep]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns) if i != at], pa.array(sizes.astype(np.int32)), head], names=[*others, "n", "head"])
+
+    return docs.mapInArrow(run, schema)
 
-def near_components(fps: DataFrame, stored: Stored, id_column: str = "doc_id", radius: int = RADIUS, tree_size: int = TREE_SIZE, more=None) -> DataFrame:
-    """fps: id and __fp -> __fp, component_id (the smallest id reachable) for every distinct fingerprint.
 
-    more(distinct fingerprints, their count) may add links."""
+class Similar:
+    """Links between fingerprints whose texts' shingle sets have at least the similarity (Jaccard), by an exact join on heads.
+
+    rows: __key, __text; texts: each distinct set's sk, its fp (of several, the least), one row's __key, n and head. Nothing joins a group
+    before its sets are compared. Sets that share a hash of their heads meet in the hash's bucket; each is first compared with one
+    set of every bucket, and where those links leave a bucket in several components, again by components, as long as that finds
+    links. Then all pairs of a bucket that lie in different components are compared, so components are those of all pairs."""
+
+    def __init__(self, rows: DataFrame, texts: DataFrame, stored: Stored, words: int, similarity: float):
+        self.rows, self.texts, self.stored, self.words, self.similarity = rows, texts, stored, words, similarity
+        met = texts.select("sk", "fp", "n", F.posexplode("head").alias("pos", "h"))
+        buckets = met.groupBy("h").agg(F.min("sk").alias("x"), F.max("sk").alias("y")).filter("x < y").select("h")
+        self.met = stored.put(met.join(buckets, "h"))
+        self.done = None
+
+    def passes(self) -> Column:
+        """What sizes and places in the head allow; a pair passes at the first hash that it shares if it can have the similarity."""
+        n, m = F.least("na", "nb"), F.greatest("na", "nb")
+        shared = F.lit(self.similarity / (1 + self.similarity)) * (n + m) - F.lit(1e-6)
+        return (n >= F.lit(self.similarity) * m - F.lit(1e-6)) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= shared)
+
+    def side(self, df: DataFrame, x: str) -> DataFrame:
+        return df.select("h", *[F.col(c).alias(f"{d}{x}") for c, d in (("sk", "s"), ("fp", "f"), ("n", "n"), ("pos", "p"), *([("root", "r")] if "root" in df.columns else []))])
+
+    def first(self) -> DataFrame:
+        """Links of each set with its buckets' least."""
+        met = self.met
+        least = met.groupBy("h").agg(F.min(F.struct("sk", "fp", "n", "pos")).alias("m")).select("h", "m.*")
+        return self.checked(self.side(met, "a").join(self.side(least, "b"), "h").filter("sa <> sb"))
+
+    def placed(self, roots: DataFrame) -> DataFrame:
+        """met with each set's component, of the buckets that have several."""
+        met = self.met.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        several = met.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("h")
+        self.met = self.stored.put(met.join(several, "h").select(*self.met.columns, "root"))
+        out, self.met = self.met, self.met.drop("root")
+        return out
+
+    def again(self, met: DataFrame) -> DataFrame:
+        """Links of each set with one of another component in each bucket."""
+        one = F.struct("root", F.xxhash64("sk", F.lit(self.rounds)).alias("o"), "sk", "fp", "n", "pos")
+        ends = met.groupBy("h").agg(F.min(one).alias("x"), F.max(one).alias("y"))
+        ends = ends.select("h", F.explode(F.array("x", "y")).alias("m")).select("h", "m.*")
+        return self.checked(self.side(met, "a").join(self.side(ends, "b"), "h").filter("ra <> rb"))
+
+    def every(self, met: DataFrame) -> DataFrame:
+        """Links of all sets of different components."""
+        return self.checked(self.side(met, "a").join(self.side(met, "b"), "h").filter("sa < sb and ra <> rb"))
+
+    def checked(self, pairs: DataFrame) -> DataFrame:
+        """a, b: the fingerprints of the pairs whose sets have the similarity."""
+        x = F.col("sa") < F.col("sb")
+        pick = lambda c: [F.when(x, F.col(f"{c}a")).otherwise(F.col(f"{c}b")).alias(f"{c}a"), F.when(x, F.col(f"{c}b")).otherwise(F.col(f"{c}a")).alias(f"{c}b")]
+        pairs = self.stored.put(pairs.filter(self.passes()).select(*pick("s"), *pick("f")).distinct())
+        head = lambda x: self.texts.select(F.col("sk").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("head").alias(f"h{x}"))
+        # The head that ends first in the order shares with the other set what it shares with its head, so what it lacks there is known.
+        most = F.size(F.array_intersect("ha", "hb")) + F.greatest(F.col("na") - F.size("ha"), F.col("nb") - F.size("hb"))
+        close = pairs.join(head("a"), "sa").join(head("b"), "sb").filter(most >= F.lit(self.similarity / (1 + self.similarity)) * (F.col("na") + F.col("nb")) - F.lit(1e-6))
+        pairs = self.stored.put(close.select("sa", "sb", "fa", "fb"))
+        nodes = pairs.select(F.explode(F.array("sa", "sb")).alias("sk")).distinct()
+        keys = self.stored.put(self.texts.join(nodes, "sk").select("sk", "__key"))
+        if keys.count() <= MOST_BROADCAST:
+            keys = F.broadcast(keys)
+        sets = self.stored.put(self.rows.join(keys, "__key").groupBy("sk").agg(F.first(shingle_set(F.col("__text"), self.words)).alias("s")))
+        both = pairs.join(sets.select(F.col("sk").alias("sa"), F.col("s").alias("ta")), "sa").join(sets.select(F.col("sk").alias("sb"), F.col("s").alias("tb")), "sb")
+        shared = F.size(F.array_intersect("ta", "tb"))
+        alike = shared >= F.lit(self.similarity) * (F.size("ta") + F.size("tb") - shared) - F.lit(1e-9)
+        out = self.stored.put(both.filter(alike).select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+        self.stored.drop(sets)
+        return out
+
+    def components(self, found: DataFrame) -> DataFrame:
+        """node, root of the components of `found` (a, b) and of all similar pairs."""
+        found = self.stored.put(found.unionByName(self.first()))
+        self.rounds = 0
+        while True:
+            roots = connected_components(found, self.stored)
+            met = self.placed(roots)
+            self.rounds += 1
+            more = self.again(met) if self.rounds <= ROUNDS else self.every(met)
+            linked = more.count()
+            if not linked and self.rounds <= ROUNDS:
+                more = self.every(met)
+                linked, self.rounds = more.count(), ROUNDS + 1
+            if not linked:
+                return roots
+            found = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+            if self.rounds > ROUNDS:
+                return connected_components(found, self.stored)
+
+
+def near_components(fps: DataFrame, stored: Stored, id_column: str = "doc_id", radius: int = RADIUS, tree_size: int = TREE_SIZE, components=connected_components) -> DataFrame:
+    """fps: id and __fp -> __fp, component_id (the smallest id reachable) for every distinct fingerprint."""
     classes = stored.put(fps.groupBy("__fp").agg(F.min(F.col(f"`{id_column}`")).alias("least")))
     count = classes.count()
     found = links(classes.select("__fp"), shard_masks(parts_for(count, radius), radius), radius, tree_size)
-    if more:
-        found = found.unionByName(more(classes.select("__fp"), count))
-    roots = connected_components(found, stored)
+    roots = components(found, stored)
     placed = classes.join(roots, classes["__fp"] == roots["node"], "left").select("__fp", "least", F.coalesce("root", "__fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return placed.join(least, "root").select("__fp", "component_id")
@@ -245,18 +325,29 @@ def simhash_components(docs: DataFrame, text: str = "text", id_column: str = "do
 def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = WORDS, radius: int = RADIUS, similar_words: int = 5, similarity: float | None = 0.8) -> DataFrame:
     """The row of each component with the smallest id (of rows that repeat it, the one whose text hashes lowest), all columns kept.
 
-    Beside the links of fingerprints, texts are linked whose sets of similar_words-word shingles have the similarity or more. Candidates for
-    these are forests of fingerprints within WIDE_RADIUS bits in shards by TABLES draws of bits: most such pairs, not provably all."""
+    Beside the links of fingerprints, texts are linked whose sets of similar_words-word shingles have the similarity or more: all such pairs,
+    of all texts (see Similar)."""
     stored = Stored(docs.sparkSession, "simhash")
     key = lambda i, t: F.struct(F.col(i).alias("i"), F.col(t).alias("t"))  # noqa: E731  equal structs may hold nulls
     boxed = docs.select(F.col(f"`{id_column}`").alias("__id"), F.xxhash64(f"`{text}`").alias("__th"), F.col(f"`{text}`").alias("__text"))
     fps = stored.put(fingerprints(boxed, "__text", words))
 
-    def more(distinct: DataFrame, count: int) -> DataFrame:
-        one = fps.groupBy("__fp").agg(F.min(key("__id", "__th")).alias("__key"))
-        return similar_pairs(distinct.join(one, "__fp"), count, boxed.select(key("__id", "__th").alias("__key"), "__text"), stored, similar_words, similarity)
-
-    comp = near_components(fps, stored, "__id", radius, more=more if similarity else None)
+    def similar(found: DataFrame, stored: Stored) -> DataFrame:
+        usual = usual_shingles(F.col("__text"), boxed, similar_words)
+        shingled = boxed.select("__id", "__th", shingle_set(F.col("__text"), similar_words).alias("s"))
+        sets = stored.put(heads(shingled.select("__id", "__th", F.xxhash64(F.sort_array("s")).alias("sk"), "s"), similarity, usual))
+        # Rows by their key: equal texts have one fingerprint, so which row of a key is taken doesn't matter.
+        keyed = fps.groupBy(key("__id", "__th").alias("__key")).agg(F.first("__fp").alias("__fp"))
+        of = sets.groupBy("sk").agg(F.min(F.struct(key("__id", "__th").alias("__key"), "n", "head")).alias("m")).select("sk", "m.*")
+        same = sets.select("sk", key("__id", "__th").alias("__key")).distinct().join(keyed, "__key").groupBy("sk", "__fp").agg(F.lit(1)).select("sk", "__fp")
+        least = same.groupBy("sk").agg(F.min("__fp").alias("fp"), F.max("__fp").alias("most"))
+        texts = stored.put(of.join(least.select("sk", "fp"), "sk"))
+        equal = stored.put(same.join(least.filter("fp < most"), "sk").select(F.col("__fp").alias("a"), F.col("fp").alias("b")))
+        stored.drop(sets)
+        rows = boxed.select(key("__id", "__th").alias("__key"), "__text")
+        return Similar(rows, texts, stored, similar_words, similarity).components(found.unionByName(equal))
+
+    comp = near_components(fps, stored, "__id", radius, components=similar if similarity else connected_components)
     firsts = fps.join(comp, "__fp").filter(F.col("__id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("__th").alias("__pth"))
     picks = firsts.select(key("component_id", "__pth").alias("__key"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.struct(F.col(f"`{id_column}`").alias("i"), F.xxhash64(f"`{text}`").alias("t")).alias("__key"))

@@ -1,13 +1,16 @@
 """The pipeline's stages against brute force, and its decisions as a whole."""
 
+import random
+
 import corpus_pipeline as cp
 import pytest
 from compare import SF
+from conftest import prose
 from pyspark.sql import functions as F
 from test_models import brute_components, brute_fingerprint
 from test_native import brute_lines
 
-from tessella.llm import packing
+from tessella.llm import packing, simhash
 from tessella.llm.common import Stored, documents
 
 
@@ -53,6 +56,32 @@ def test_simhash_stage(steps):
     assert all(d in near or any((f[d] ^ f[x]).bit_count() <= 3 for x in ids if x != d) for d in gone)
 
 
+def test_similar_texts_of_graded_copies(spark, make_docs):
+    """Components are those of all pairs at 3 bits or at the similarity, also where a text's nearest fingerprint isn't similar."""
+    rng, rows = random.Random(5), []
+    for g in range(2):
+        base = prose(200, 40 + g).split()
+        for _ in range(80):
+            words = list(base)
+            for at in rng.sample(range(200), rng.randint(1, 14)):
+                words[at] = f"new{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    sets, fps = [shingles(t) for _, t in rows], [brute_fingerprint(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3 or len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4:
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    assert {r.doc_id for r in simhash.keep_one(make_docs(rows)).collect()} == {root(i) for i in range(len(rows))}
+
+
 def test_mix_stage(steps):
     texts = {r.doc_id: r.text for r in steps[2].collect()}
     drawn = steps[3].collect()
