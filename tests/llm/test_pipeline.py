@@ -82,6 +82,14 @@ def test_similar_texts_of_graded_copies(spark, make_docs):
     assert {r.doc_id for r in simhash.keep_one(make_docs(rows)).collect()} == {root(i) for i in range(len(rows))}
 
 
+def test_similar_texts_far_apart_in_bits(make_docs):
+    """Texts are linked by their sets of shingles however many bits of their fingerprints differ."""
+    rows = [(i, prose(120, 70) + f" one {w} two" * 150) for i, w in enumerate(("x", "y"))] + [(9, prose(120, 71))]
+    (a, b), (f, g) = [shingles(t) for _, t in rows[:2]], [brute_fingerprint(t) for _, t in rows[:2]]
+    assert len(a & b) >= 0.8 * len(a | b) and (f ^ g).bit_count() > 12
+    assert {r.doc_id for r in simhash.keep_one(make_docs(rows)).collect()} == {0, 9}
+
+
 def test_mix_stage(steps):
     texts = {r.doc_id: r.text for r in steps[2].collect()}
     drawn = steps[3].collect()
