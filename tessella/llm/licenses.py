@@ -1,12 +1,14 @@
 """License scans by sentence rules.
 
-A text is cut into sentences at line ends and at '.', '!' or '?' before white space. Each sentence is normalised (lower case, runs of
-what is no letter or digit to one space, trimmed) and, if known, becomes an identifier. The identifiers in the text's order, written
-";A;B;", are held against ordered rules: a rule is a sequence of identifiers, found where they stand one after the other among the
-known sentences; longer rules come first and use up what they match, so a three-clause licence isn't also reported as a two-clause one.
-
-One projection, no shuffle: known sentences and rules are constants. A text without any of the key words that every known sentence
-holds skips the work. Null or empty text has no licence. Repeated rows are judged alike; extra columns aren't read.
+A text is cut into sentences at '.', '!', '?', ';' or ':' before white space, at web addresses and at blank lines. Each is normalised (A-Z
+in lower case, runs of what is no letter or digit to one space) and, if known, becomes an identifier. Lines that wrap belong to one
+sentence, whatever comment marks precede them; a line end may also bound a known sentence, so that a notice or a heading on a line of its
+own needs no full stop. The identifiers in the text's order, written ";A;B;", are held against ordered rules: a rule is a sequence of
+identifiers, found where they stand one after the other among the known sentences; longer rules come first and use up what they match, so
+a three-clause licence isn't also reported as a two-clause one.
+
+One projection, no shuffle: known sentences and rules are constants. A text without any of the key words, one of which every known
+sentence holds, skips the work. Null or empty text has no licence. Repeated rows are judged alike; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -16,94 +18,168 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import LOWER, UPPER, documents
+
+#: How short notices begin, and the licences as they name them (fixed values).
+OPENINGS = (
+    "Licensed under",
+    "Released under",
+    "Distributed under",
+    "Dedicated to the public domain under",
+    "Released into the public domain under",
+    "This work is licensed under",
+    "This project is licensed under",
+    "This software is licensed under",
+    "This program is licensed under",
+    "This file is licensed under",
+    "SPDX-License-Identifier:",
+)
+NAMES = (
+    ("MIT", "the MIT License", "MIT"),
+    ("Apache-2.0", "the Apache License, Version 2.0", 'the Apache License, Version 2.0 (the "License")', "the Apache License 2.0", "Apache License 2.0", "Apache-2.0"),
+    ("GPL-2.0", "the GNU General Public License, version 2", "the GNU General Public License v2.0", "the GNU GPL v2", "GPL-2.0", "GPL-2.0-only"),
+    ("GPL-3.0", "the GNU General Public License, version 3", "the GNU General Public License v3.0", "the GNU GPL v3", "GPL-3.0", "GPL-3.0-only"),
+    ("GPL-2.0-or-later", "GPL-2.0-or-later"),
+    ("GPL-3.0-or-later", "GPL-3.0-or-later"),
+    ("LGPL-2.1", "the GNU Lesser General Public License, version 2.1", "the GNU Lesser General Public License v2.1", "LGPL-2.1", "LGPL-2.1-only"),
+    ("LGPL-3.0", "the GNU Lesser General Public License, version 3", "the GNU Lesser General Public License v3.0", "LGPL-3.0", "LGPL-3.0-only"),
+    ("AGPL-3.0", "the GNU Affero General Public License, version 3", "the GNU Affero General Public License v3.0", "AGPL-3.0", "AGPL-3.0-only"),
+    ("MPL-2.0", "the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "the Mozilla Public License, v. 2.0", "MPL-2.0"),
+    ("BSD-2-Clause", "the BSD 2-Clause License", "the 2-Clause BSD License", "BSD-2-Clause"),
+    ("BSD-3-Clause", "the BSD 3-Clause License", "the 3-Clause BSD License", "BSD-3-Clause"),
+    ("ISC", "the ISC License", "ISC"),
+    ("EPL-2.0", "the Eclipse Public License, version 2.0", "the Eclipse Public License 2.0", "EPL-2.0"),
+    ("BSL-1.0", "the Boost Software License, Version 1.0", "BSL-1.0"),
+    ("Unlicense", "the Unlicense", "Unlicense"),
+    ("CC-BY-4.0", "CC BY 4.0", "a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-ND-4.0", "CC BY-ND 4.0", "a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0", "a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-ND-4.0", "CC BY-NC-ND 4.0", "a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("CC0-1.0", "CC0 1.0", "the CC0 license", "CC0-1.0"),
+)
 
-#: Identifier and sentence, as licence texts and notices word it (fixed values).
+#: Identifier and sentence, as licence texts word it (fixed values).
 SENTENCES = (
-    ("APACHE2", "Licensed under the Apache License, Version 2.0"),
-    ("APACHE2", 'Licensed under the Apache License, Version 2.0 (the "License")'),
-    ("APACHE2", "This project is licensed under the Apache License 2.0"),
-    ("APACHE2", "Released under the Apache License, Version 2.0"),
     ("APACHE_USE", "you may not use this file except in compliance with the License"),
     ("APACHE_COPY", "You may obtain a copy of the License at"),
-    ("ASIS_LIC", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Licensed under the MIT License"),
-    ("MIT", "This project is licensed under the MIT License"),
-    ("MIT", "Distributed under the MIT License"),
-    ("MIT_GRANT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("APACHE_ASIS", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'),
+    ("APACHE_SEE", "See the License for the specific language governing permissions and limitations under the License"),
+    ("MIT_GRANT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'),
     ("MIT_KEEP", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
-    ("ASIS_MIT", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND'),
-    ("GPL3", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL3", "Licensed under the GNU General Public License v3.0"),
-    ("GPL3", "Released under the GNU General Public License, version 3"),
-    ("GPL2", "This work is licensed under the GNU General Public License, version 2"),
-    ("GPL2", "Licensed under the GNU General Public License v2.0"),
-    ("GPL_FREE", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
-    ("GPL_WARRANTY", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"),
-    ("LGPL3", "This work is licensed under the GNU Lesser General Public License, version 3"),
-    ("AGPL3", "This work is licensed under the GNU Affero General Public License, version 3"),
-    ("MPL2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("MPL2", "Licensed under the Mozilla Public License, version 2.0"),
+    ("MIT_ASIS", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT'),
+    ("MIT_LIABLE", "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"),
+    ("GPL2_TERMS", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("GPL2_LATER", "either version 2 of the License, or (at your option) any later version"),
+    ("GPL2_ONLY", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("GPL3_LATER", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("GPL3_ONLY", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3"),
+    ("AGPL3_LATER", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("LGPL3_LATER", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("LGPL2_TERMS", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("LGPL2_LATER", "either version 2.1 of the License, or (at your option) any later version"),
+    ("GPL_HOPE", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"),
+    ("LGPL_HOPE", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"),
+    ("GPL_IMPLIED", "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
+    ("GPL_SEE", "See the GNU General Public License for more details"),
+    ("LGPL_SEE", "See the GNU Lesser General Public License for more details"),
+    ("AGPL_SEE", "See the GNU Affero General Public License for more details"),
+    ("MPL2_FORM", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("BSD_GRANT", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD_SOURCE", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
     ("BSD_BINARY", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
     ("BSD_NAME", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("BSD2", "Released under the BSD 2-Clause License"),
-    ("BSD3", "Released under the BSD 3-Clause License"),
+    ("BSD_ASIS", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED'),
     ("ISC_GRANT", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("UNLICENSE", "This is free and unencumbered software released into the public domain without licence"),
-    ("CC_BY", "Licensed under CC BY 4.0"),
-    ("CC_BY", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC_BY_SA", "Licensed under CC BY-SA 4.0"),
-    ("CC_BY_NC", "Licensed under CC BY-NC 4.0"),
-    ("CC_BY_NC", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("CC_BY_ND", "Licensed under CC BY-ND 4.0"),
-    ("CC0", "Released into the public domain under the CC0 license"),
+    ("ISC_ASIS", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS'),
+    ("UNLICENSE_FREE", "This is free and unencumbered software released into the public domain"),
     ("ALL_RIGHTS", "All rights reserved"),
 )
 
-#: Licence and the identifiers that make it, one after the other; earlier rules come first.
-RULES = (
-    ("Apache-2.0", ("APACHE2", "APACHE_USE", "APACHE_COPY", "ASIS_LIC")),
-    ("GPL-3.0-or-later", ("GPL_FREE", "GPL_WARRANTY")),
+#: Licence and the identifiers that make it, one after the other; earlier rules come first, then a notice by itself.
+TEXT_RULES = (
+    ("Apache-2.0", ("NOTICE_APACHE_2_0", "APACHE_USE", "APACHE_COPY", "APACHE_ASIS", "APACHE_SEE")),
+    ("Apache-2.0", ("NOTICE_APACHE_2_0", "APACHE_USE", "APACHE_COPY", "APACHE_ASIS")),
+    ("AGPL-3.0-or-later", ("AGPL3_LATER", "GPL_HOPE", "GPL_IMPLIED", "AGPL_SEE")),
+    ("LGPL-2.1-or-later", ("LGPL2_TERMS", "LGPL2_LATER", "LGPL_HOPE", "GPL_IMPLIED", "LGPL_SEE")),
+    ("LGPL-3.0-or-later", ("LGPL3_LATER", "LGPL_HOPE", "GPL_IMPLIED", "LGPL_SEE")),
+    ("LGPL-3.0-or-later", ("LGPL3_LATER", "GPL_HOPE", "GPL_IMPLIED", "LGPL_SEE")),
+    ("GPL-3.0-or-later", ("GPL3_LATER", "GPL_HOPE", "GPL_IMPLIED", "GPL_SEE")),
+    ("GPL-3.0", ("GPL3_ONLY", "GPL_HOPE", "GPL_IMPLIED", "GPL_SEE")),
+    ("GPL-2.0-or-later", ("GPL2_TERMS", "GPL2_LATER", "GPL_HOPE", "GPL_IMPLIED", "GPL_SEE")),
+    ("GPL-2.0", ("GPL2_ONLY", "GPL_HOPE", "GPL_IMPLIED", "GPL_SEE")),
+    ("BSD-3-Clause", ("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_NAME", "BSD_ASIS")),
     ("BSD-3-Clause", ("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_NAME")),
+    ("BSD-2-Clause", ("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_ASIS")),
     ("BSD-2-Clause", ("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY")),
-    ("MIT", ("MIT_GRANT", "MIT_KEEP", "ASIS_MIT")),
+    ("MIT", ("MIT_GRANT", "MIT_KEEP", "MIT_ASIS", "MIT_LIABLE")),
+    ("MIT", ("MIT_GRANT", "MIT_KEEP", "MIT_ASIS")),
     ("MIT", ("MIT_GRANT", "MIT_KEEP")),
+    ("ISC", ("ISC_GRANT", "ISC_ASIS")),
     ("ISC", ("ISC_GRANT",)),
-    ("GPL-3.0-or-later", ("GPL_FREE",)),
-    ("Apache-2.0", ("APACHE2",)),
-    ("MIT", ("MIT",)),
-    ("GPL-3.0", ("GPL3",)),
-    ("GPL-2.0", ("GPL2",)),
-    ("LGPL-3.0", ("LGPL3",)),
-    ("AGPL-3.0", ("AGPL3",)),
-    ("MPL-2.0", ("MPL2",)),
-    ("BSD-2-Clause", ("BSD2",)),
-    ("BSD-3-Clause", ("BSD3",)),
-    ("CC-BY-4.0", ("CC_BY",)),
-    ("CC-BY-SA-4.0", ("CC_BY_SA",)),
-    ("CC-BY-NC-4.0", ("CC_BY_NC",)),
-    ("CC-BY-ND-4.0", ("CC_BY_ND",)),
-    ("CC0-1.0", ("CC0",)),
-    ("Unlicense", ("UNLICENSE",)),
-    ("All-Rights-Reserved", ("ALL_RIGHTS",)),
+    ("GPL-2.0-or-later", ("GPL2_TERMS", "GPL2_LATER")),
+    ("LGPL-2.1-or-later", ("LGPL2_TERMS", "LGPL2_LATER")),
+    ("GPL-3.0-or-later", ("GPL3_LATER",)),
+    ("AGPL-3.0-or-later", ("AGPL3_LATER",)),
+    ("LGPL-3.0-or-later", ("LGPL3_LATER",)),
+    ("GPL-3.0", ("GPL3_ONLY",)),
+    ("GPL-2.0", ("GPL2_ONLY",)),
+    ("MPL-2.0", ("MPL2_FORM",)),
+    ("Unlicense", ("UNLICENSE_FREE",)),
 )
 
-#: Every known sentence, normalised, holds one of these.
-KEYS = ("licen", "permi", "warrant", "copyright", "rights reserved", "redistribut")
-END_PATTERN = "[.!?]+[ \\t\\r\\n]+|\\n"
-OTHER_PATTERN = "[^a-z0-9]+"
+#: Every known sentence, normalised, holds one of these; none can be cut by a line end.
+KEYS = ("licen", "permi", "warrant", "copyright", "reserved", "redistribut", "unencumbered", "domain", "released", "distributed")
+
+#: What stands for the end of a sentence and for a line end within one.
+END, WRAP = "\ue100", "\ue101"
+#: Applied in this order to the text in lower case.
+CUTS = (
+    ("[\ue000-\ue2ff]", " "),
+    ("[ \\t\\r\\n]v\\.[ \\t\\r\\n]+", " v "),
+    ("spdx-license-identifier:", "spdx-license-identifier "),
+    ("https?://[^ \\t\\r\\n]*", f" {END} "),
+    ("[.!?;:]+[\"')\\]]*[ \\t\\r\\n]+", END),
+    ("\\n[^a-z0-9]*\\n[^a-z0-9]*", END),
+    ("\\n", WRAP),
+    (f"[^a-z0-9{END}{WRAP}]+", " "),
+    (f"[ {END}{WRAP}]*{END}[ {END}{WRAP}]*", f" {END} {END} "),
+    (f"[ {WRAP}]*{WRAP}[ {WRAP}]*", f" {WRAP} {WRAP} "),
+)
+
+
+def marked(text: str) -> str:
+    """The same as the column expression, for the constants: words by single spaces, marks twice where sentences and lines end."""
+    out = f"\n\n{text}\n\n".translate(str.maketrans(UPPER, LOWER))
+    for pattern, put in CUTS:
+        out = re.sub(pattern, put, out)
+    return out
 
 
 def normal(sentence: str) -> str:
-    """The same as the column expression, for the constants."""
-    return re.sub(OTHER_PATTERN, " ", sentence.lower()).strip()
+    """A known sentence as it is found: one stretch without marks."""
+    return marked(sentence).strip(f" {END}{WRAP}")
+
+
+def notice(licence: str) -> str:
+    return "NOTICE_" + re.sub("[^A-Z0-9]", "_", licence.upper())
 
 
 def known() -> dict[str, str]:
-    return {normal(s): k for k, s in SENTENCES}
+    notices = {normal(f"{o} {n}"): notice(licence) for licence, *names in NAMES for n in names for o in OPENINGS}
+    return notices | {normal(s): k for k, s in SENTENCES}
+
+
+RULES = TEXT_RULES + tuple((licence, (notice(licence),)) for licence, *_ in NAMES) + (("All-Rights-Reserved", ("ALL_RIGHTS",)),)
+
+
+def pattern() -> str:
+    """A known sentence between marks, its lines wrapped anywhere; of several that begin alike the longest."""
+    words = lambda s: f"(?: {WRAP} {WRAP})? ".join(s.split())
+    either = lambda xs: "(?:" + "|".join(words(x) for x in sorted(set(xs), key=lambda x: (-len(x), x))) + ")"
+    notices = either(normal(o) for o in OPENINGS) + f"(?: {WRAP} {WRAP})? " + either(normal(n) for _, *names in NAMES for n in names)
+    return f"[{END}{WRAP}] (?:{notices}|{either(normal(s) for _, s in SENTENCES)}) [{END}{WRAP}]"
 
 
 def _mark(level: int) -> str:
@@ -112,12 +188,12 @@ def _mark(level: int) -> str:
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences, in order (array<string>)."""
-    low = F.lower(F.concat(F.coalesce(text, F.lit("")), F.lit(" ")))
+    out = low = F.concat(F.lit("\n\n"), F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit("\n\n"))
+    for cut, put in CUTS:
+        out = F.regexp_replace(out, cut, put)
     table = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
-    lengths = sorted({len(k) for k in known()})
-    norms = F.transform(F.split(low, END_PATTERN), lambda s: F.btrim(F.regexp_replace(s, OTHER_PATTERN, " ")))
-    norms = F.filter(norms, lambda s: F.length(s).isin(lengths))
-    ids = F.filter(F.transform(norms, lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull())
+    found = F.regexp_extract_all(out, F.lit(pattern()), F.lit(0))
+    ids = F.transform(found, lambda s: F.element_at(table, F.btrim(F.regexp_replace(s, "[^a-z0-9]+", " "))))
     return F.when(low.rlike("|".join(KEYS)), ids).otherwise(F.array().cast("array<string>"))
 
 
@@ -132,12 +208,12 @@ def matched(sequence: Column) -> Column:
 def scan_licenses(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """One row per document: sentence_ids (';'-joined, in order), licenses (';'-joined, in the rules' order, each once), n_known, n_unused
     (known sentences that no rule used), has_license."""
-    one = docs.select(id_column, sentence_ids(F.col(text)).alias("__s"))
-    two = one.select(id_column, F.array_join("__s", ";").alias("sentence_ids"), F.size("__s").cast("long").alias("n_known"))
+    one = docs.select(F.col(f"`{id_column}`"), sentence_ids(F.col(f"`{text}`")).alias("__s"))
+    two = one.select(f"`{id_column}`", F.array_join("__s", ";").alias("sentence_ids"), F.size("__s").cast("long").alias("n_known"))
     three = two.withColumn("__m", F.when(F.col("n_known") > 0, matched(F.concat(F.lit(";"), F.col("sentence_ids"), F.lit(";")))).otherwise(F.lit("")))
     found = F.array_distinct(F.filter(F.array(*[F.when(F.instr("__m", _mark(n)) > 0, F.lit(name)) for n, (name, _) in enumerate(RULES)]), lambda x: x.isNotNull()))
     unused = F.regexp_count("__m", F.lit(";[A-Z0-9_]+;")).cast("long")
-    return three.select(id_column, "sentence_ids", F.array_join(found, ";").alias("licenses"), "n_known", unused.alias("n_unused"), (F.size(found) > 0).alias("has_license"))
+    return three.select(f"`{id_column}`", "sentence_ids", F.array_join(found, ";").alias("licenses"), "n_known", unused.alias("n_unused"), (F.size(found) > 0).alias("has_license"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,16 +221,21 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    text = lambda s: "'" + s.replace("'", "''") + "'"
     pairs = ", ".join(f"('{k}', '{v}')" for k, v in known().items())
+    t = f"chr(10) || chr(10) || translate(coalesce(text, ''), '{UPPER}', '{LOWER}') || chr(10) || chr(10)"
+    s = "t"
+    for cut, put in CUTS:
+        s = f"regexp_replace({s}, {text(cut)}, {text(put)}, 'g')"
     m = "CASE WHEN n_known > 0 THEN ';;' || replace(sentence_ids, ';', ';;') || ';;' ELSE '' END"
     for n, (_, ids) in enumerate(RULES):
         m = f"replace({m}, '{''.join(f';{i};' for i in ids)}', chr({0xE000 + n}))"
     found = ", ".join(f"CASE WHEN contains(m, chr({0xE000 + n})) THEN '{name}' END" for n, (name, _) in enumerate(RULES))
     return f"""
 WITH k(sentence, id) AS (VALUES {pairs}),
-d AS (SELECT row_number() OVER () AS rid, doc_id, lower(coalesce(text, '') || ' ') AS t FROM documents),
-s AS (SELECT rid, i, trim(regexp_replace(p[i], '{OTHER_PATTERN}', ' ', 'g')) AS sentence
-      FROM (SELECT rid, string_split(regexp_replace(t, '{END_PATTERN}', chr(1), 'g'), chr(1)) AS p FROM d WHERE regexp_matches(t, '{'|'.join(KEYS)}')), unnest(range(1, len(p) + 1)) AS u(i)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {t} AS t FROM documents),
+s AS (SELECT rid, i, trim(regexp_replace(p[i], '[^a-z0-9]+', ' ', 'g')) AS sentence
+      FROM (SELECT rid, regexp_extract_all({s}, {text(pattern())}) AS p FROM d WHERE regexp_matches(t, '{'|'.join(KEYS)}')), unnest(range(1, len(p) + 1)) AS u(i)),
 h AS (SELECT rid, string_agg(k.id, ';' ORDER BY i) AS ids, count(*) AS n FROM s JOIN k USING (sentence) GROUP BY rid),
 a AS (SELECT d.doc_id, coalesce(ids, '') AS sentence_ids, CAST(coalesce(n, 0) AS BIGINT) AS n_known FROM d LEFT JOIN h USING (rid)),
 b AS (SELECT *, {m} AS m FROM a),

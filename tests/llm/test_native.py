@@ -1,6 +1,7 @@
 """Quality rules, line dedup, licences, sharding and mixing: SQL on the small tables, then odd cases."""
 
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -82,26 +83,92 @@ def test_line_dedup(make_docs, odd_rows):
     assert {r.kept_text for r in odd.collect() if r["__row"].doc_id == 2 and r["__row"].text == odd_rows[1][1]} == {""}
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+GPL2 = GPL.replace("free software:", "free software;").replace("Foundation, either version 3", "Foundation; either version 2")
+LGPL = GPL2.replace("program", "library").replace("General Public", "Lesser General Public").replace("version 2", "version 2.1")
+BSD3 = """Copyright (c) 2020, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED."""
+BSD2 = "\n\n".join(p for p in BSD3.split("\n\n") if not p.startswith("3."))
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+NOTICES = {"MIT": MIT, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL, "GPL-2.0-or-later": GPL2, "LGPL-2.1-or-later": LGPL, "BSD-3-Clause": BSD3, "BSD-2-Clause": BSD2, "ISC": ISC, "MPL-2.0": MPL}
+
+
+def layouts(text):
+    """A notice as it stands in files: a line a paragraph, wrapped narrow and wide, in comments, after a heading without a full stop, on one line."""
+    wrapped = ["\n\n".join(textwrap.fill(p, n) for p in text.split("\n\n")) for n in (200_000, 79, 30)]
+    comments = ["\n".join(m + x for x in wrapped[1].split("\n")) for m in (" * ", "# ", "// ")]
+    return [*wrapped, *comments, "/*\n" + comments[0] + "\n */\nint x;", "The License\n\nCopyright (c) 2020 A. Person\n" + wrapped[1] + "\nsome code", " ".join(text.split()), wrapped[1].replace("\n", "\r\n")]
+
+
 def test_licenses(make_docs, odd_rows):
     assert all(any(k in s for k in licenses.KEYS) for s in licenses.known())
-    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
-    rows = [*odd_rows, (20, "Text.\nLicensed under the Apache License, Version 2.0.\nMore. All rights reserved."), (21, mit), (22, mit.split(". ")[1]), (23, "I got a license to drive.")]
+    rows = [*odd_rows, (20, "Text.\nLicensed under the Apache License, Version 2.0.\nMore. All rights reserved."), (22, MIT.split("\n\n")[1]), (23, "I got a license to drive."), (24, "It is not released under the MIT License")]
     got = licenses.scan_licenses(make_docs(rows)).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
-    assert by[20].licenses == "Apache-2.0;All-Rights-Reserved" and by[20].sentence_ids == "APACHE2;ALL_RIGHTS"
-    assert by[21].licenses == "MIT" and by[21].n_unused == 0
+    assert by[20].licenses == "Apache-2.0;All-Rights-Reserved" and by[20].sentence_ids == "NOTICE_APACHE_2_0;ALL_RIGHTS"
     assert by[22].licenses == "" and by[22].n_known == by[22].n_unused == 1
-    assert not by[23].has_license and by[3].sentence_ids == ""
+    assert not by[23].has_license and not by[24].has_license and by[3].sentence_ids == ""
     assert licenses.scan_licenses(make_docs([])).count() == 0
 
 
+def test_every_known_sentence_is_found(make_docs):
+    """Alone, wrapped at every word, and amid other sentences."""
+    rows, want = [], {}
+    sentences = [(k, s) for k, s in licenses.SENTENCES] + [(licenses.notice(n), f"{o} {x}") for n, *names in licenses.NAMES for x in names for o in licenses.OPENINGS]
+    for k, s in sentences:
+        for t in (s, s + ".", s.replace(" ", "\n"), f"It begins here. {s}. It ends.", f"first line\n{s}\nlast line"):
+            want[len(rows)] = k
+            rows.append((len(rows), t))
+    got = {r.doc_id: r.sentence_ids for r in licenses.scan_licenses(make_docs(rows)).collect()}
+    assert got == want
+    used = {i for _, ids in licenses.RULES for i in ids}
+    assert used <= set(licenses.known().values())
+
+
+def test_standard_notices(make_docs):
+    rows, want = [], {}
+    for name, text in NOTICES.items():
+        for t in layouts(text):
+            want[len(rows)] = name
+            rows.append((len(rows), t))
+    got = {r.doc_id: r.licenses.removesuffix(";All-Rights-Reserved") for r in licenses.scan_licenses(make_docs(rows)).collect()}
+    assert {i: (x, rows[i][1][:300]) for i, x in got.items() if x != want[i]} == {}
+
+
 def test_longer_rules_come_first(spark):
     seq = lambda *ids: ";" + ";".join(ids) + ";"
     m = lambda s: spark.range(1).select(licenses.matched(F.lit(s))).first()[0].strip(";")
     three = m(seq("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_NAME"))
     assert len(three) == 1 and licenses.RULES[ord(three) - 0xE000][0] == "BSD-3-Clause"
-    assert m(seq("MIT", "MIT")) == m(seq("MIT")) * 2
+    assert m(seq("NOTICE_MIT", "NOTICE_MIT")) == m(seq("NOTICE_MIT")) * 2
 
 
 def test_lookup_table():
