@@ -6,8 +6,9 @@ RADIUS or fewer differing bits; components of links are groups of near copies.
 Linking works on distinct fingerprints. The 64 bits are cut into `blocks` parts; two fingerprints within RADIUS agree on at least
 blocks - RADIUS of them, so every choice of that many parts and the bits they hold names a shard, and each link lies within one shard
 at least. Each shard's fingerprints make a BK-tree, searched along edges within the radius only. A shard of more than TREE_SIZE
-fingerprints is split into trees of about that size, and its fingerprints are sent to all of them as queries, so no tree outgrows
-a task. Trees are sent to their shard's queries by a shuffle rather than from the driver, for together they hold every fingerprint.
+fingerprints is cut by more of its bits in the same way; what still holds more is split into trees of about that size, and its fingerprints are
+sent to all of them as queries, so no tree outgrows a task. Trees are sent to their shard's queries by a shuffle rather than from the
+driver, for together they hold every fingerprint.
 A tree returns each of its nodes with a representative, never all pairs, and components are then found on tables.
 
 Null, empty or blank text has fingerprint zero and links like any other. Fewer words than a shingle: the whole sequence is the one
@@ -23,25 +24,28 @@ from itertools import combinations, pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bktree import BKTree, Groups
-from .common import LOWER, UPPER, Stored, arrow_batches, documents, let, word_list
+from .common import Stored, arrow_batches, documents
 from .components import connected_components
+from .similar import BANDS, Similar, bands, set_key, shingles, tokens_of
 
 RADIUS = 3
 WORDS = 3
 SEED = 42
 TREE_SIZE = 4096
-#: For links by similarity: keys broadcast at most, rounds of one comparison a bucket before all pairs are compared.
-MOST_BROADCAST = 50_000
-ROUNDS = 2
+#: Keys of rows that go or repeat, broadcast at most.
+MOST_ODD = 200_000
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """The unsigned fingerprint of one text."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return fingerprint_of(tokens_of(text), words)
+
+
+def fingerprint_of(tokens: list[bytes], words: int = WORDS) -> int:
     if not tokens:
         return 0
     joined = b" ".join(tokens)
@@ -154,161 +158,54 @@ def tree_links(radius: int):
     return run
 
 
-def links(distinct: DataFrame, masks: list[int], radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
+def finer_masks(mask: int, radius: int = RADIUS) -> list[int]:
+    """Masks that hold more bits than `mask`, such that fingerprints within the radius that agree on it agree on one of them too."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    parts = radius + 3
+    blocks = [sum(1 << b for b in free[round(len(free) * i / parts) : round(len(free) * (i + 1) / parts)]) for i in range(parts)]
+    masks = [(mask & (1 << 64) - 1) | sum(c) for c in combinations(blocks, parts - radius)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def sharded(keyed: DataFrame, stored: Stored) -> tuple[DataFrame, DataFrame]:
+    """keyed: mask, bits, __fp -> the rows of shards with two at least, and those shards' counts."""
+    keyed = stored.put(keyed)
+    return keyed, stored.put(keyed.groupBy("mask", "bits").count().filter("count > 1"))
+
+
+def links(distinct: DataFrame, masks: list[int], stored: Stored, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
     """distinct: __fp, each once -> a, b: links enough that their components are those of all links within a shard."""
-    cells = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("__fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])
-    keyed = distinct.select("__fp", F.explode(cells).alias("c")).select("c.mask", "c.bits", "__fp")
-    sizes = keyed.groupBy("mask", "bits").count().filter("count > 1").withColumn("trees", F.ceil(F.col("count") / tree_size).cast("int")).drop("count")
-    rows = keyed.join(sizes, ["mask", "bits"])
+    cells = lambda ms: F.explode(F.array(*[F.struct(F.lit(m).alias("mask"), F.col("__fp").bitwiseAND(F.lit(m)).alias("bits")) for m in ms]))
+    keyed, counts = sharded(distinct.select("__fp", cells(masks).alias("c")).select("c.mask", "c.bits", "__fp"), stored)
+    parts = [(keyed, counts)]
+    if not counts.filter(F.col("count") > tree_size).isEmpty():
+        # Shards that outgrow a tree are cut by more bits first; only what is still too large is split into several trees.
+        large = keyed.join(counts.filter(F.col("count") > tree_size).select("mask", "bits"), ["mask", "bits"])
+        more = large.filter(F.lit(False)).select("mask", "bits", "__fp")
+        for m in masks:
+            more = more.unionByName(large.filter(F.col("mask") == m).select("__fp", cells(finer_masks(m, radius)).alias("c")).select("c.mask", "c.bits", "__fp"))
+        parts = [(keyed, counts.filter(F.col("count") <= tree_size)), sharded(more.distinct(), stored)]
+    rows = None
+    for keyed, counts in parts:
+        some = keyed.join(counts.withColumn("trees", F.ceil(F.col("count") / tree_size).cast("int")).drop("count"), ["mask", "bits"])
+        rows = some if rows is None else rows.unionByName(some)
     own = F.pmod(F.xxhash64("__fp"), F.col("trees")).cast("int")
     each = F.transform(F.sequence(F.lit(0), F.col("trees") - 1), lambda t: F.struct(t.alias("tree"), F.when(t == own, 0).otherwise(1).alias("role")))
     rows = rows.select("mask", "bits", F.explode(each).alias("t"), "__fp").select("mask", "bits", "t.tree", "t.role", "__fp")
     rows = rows.repartition("mask", "bits", "tree").sortWithinPartitions("mask", "bits", "tree", "role", "__fp")
-    arrow = rows.mapInArrow(tree_links(radius), "a bigint, b bigint")
-    return arrow
-
-
-def shingle_set(text, words: int) -> Column:
-    """Distinct hashes of a text's word shingles, A-Z in lower case; of fewer words, of the whole sequence."""
-
-    def of(w):
-        each = F.transform(F.sequence(F.lit(1), F.size(w) - (words - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(words))))
-        return F.when(F.size(w) >= words, F.array_distinct(each)).otherwise(F.array(F.xxhash64(w)))
-
-    return let(word_list(F.translate(text, UPPER, LOWER)), of)
-
+    return rows.mapInArrow(tree_links(radius), "a bigint, b bigint")
 
-def usual_shingles(texts: Column, docs: DataFrame, words: int) -> np.ndarray:
-    """Hashes of the shingles met most often in a sixteenth of the texts, sorted. They set the order that heads() cuts by, never what is found."""
-    some = docs.select(texts.alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(16)) == 0).select(F.explode(shingle_set(F.col("t"), words)).alias("shingle"))
-    often = some.groupBy("shingle").count().filter("count > 3").orderBy(F.desc("count"), "shingle").limit(MOST_BROADCAST).toArrow()
-    return np.sort(often.column(0).to_numpy().astype(np.int64))
 
+def near_roots(distinct: DataFrame, stored: Stored, radius: int = RADIUS, tree_size: int = TREE_SIZE, components=connected_components) -> DataFrame:
+    """distinct: __fp, each once -> node, root of the components, for every fingerprint that is linked to another."""
+    found = links(distinct, shard_masks(parts_for(distinct.count(), radius), radius), stored, radius, tree_size)
+    return components(found, stored)
 
-def heads(docs: DataFrame, similarity: float, usual: np.ndarray) -> DataFrame:
-    """docs: sk and s (a set of shingle hashes) and others -> s replaced by n, its size, and head, the first of its hashes in the order of all
-    hashes (unusual ones first). Sets that have the similarity share a hash of their heads, whatever the order: a set shares all but
-    n - ceil(similarity * n) hashes at least, so the first one shared stands no later than after so many."""
-    others = [c for c in docs.columns if c != "s"]
-    schema = docs.select(*others).withColumn("n", F.lit(0)).withColumn("head", F.array(F.lit(0).cast("bigint"))).schema
-    at = docs.columns.index("s")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = batch.column(at)
-            flat, sizes = s.flatten().to_numpy(), np.diff(s.offsets.to_numpy())
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            place = np.searchsorted(usual, flat)
-            common = np.append(usual, 0)[place] == flat if len(usual) else np.zeros(len(flat), bool)
-            common &= place < len(usual)
-            flat = flat[np.lexsort((flat, common, row))]
-            size = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
-            starts = np.cumsum(sizes) - sizes
-            keep = np.arange(len(flat)) - np.repeat(starts, sizes) < np.repeat(size, sizes)
-            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            head = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[keep]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns) if i != at], pa.array(sizes.astype(np.int32)), head], names=[*others, "n", "head"])
-
-    return docs.mapInArrow(run, schema)
-
-
-class Similar:
-    """Links between fingerprints whose texts' shingle sets have at least the similarity (Jaccard), by an exact join on heads.
-
-    rows: __key, __text; texts: each distinct set's sk, its fp (of several, the least), one row's __key, n and head. Nothing joins a group
-    before its sets are compared. Sets that share a hash of their heads meet in the hash's bucket; each is first compared with one
-    set of every bucket, and where those links leave a bucket in several components, again by components, as long as that finds
-    links. Then all pairs of a bucket that lie in different components are compared, so components are those of all pairs."""
-
-    def __init__(self, rows: DataFrame, texts: DataFrame, stored: Stored, words: int, similarity: float):
-        self.rows, self.texts, self.stored, self.words, self.similarity = rows, texts, stored, words, similarity
-        met = texts.select("sk", "fp", "n", F.posexplode("head").alias("pos", "h"))
-        buckets = met.groupBy("h").agg(F.min("sk").alias("x"), F.max("sk").alias("y")).filter("x < y").select("h")
-        self.met = stored.put(met.join(buckets, "h"))
-        self.done = None
-
-    def passes(self) -> Column:
-        """What sizes and places in the head allow; a pair passes at the first hash that it shares if it can have the similarity."""
-        n, m = F.least("na", "nb"), F.greatest("na", "nb")
-        shared = F.lit(self.similarity / (1 + self.similarity)) * (n + m) - F.lit(1e-6)
-        return (n >= F.lit(self.similarity) * m - F.lit(1e-6)) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= shared)
-
-    def side(self, df: DataFrame, x: str) -> DataFrame:
-        return df.select("h", *[F.col(c).alias(f"{d}{x}") for c, d in (("sk", "s"), ("fp", "f"), ("n", "n"), ("pos", "p"), *([("root", "r")] if "root" in df.columns else []))])
-
-    def first(self) -> DataFrame:
-        """Links of each set with its buckets' least."""
-        met = self.met
-        least = met.groupBy("h").agg(F.min(F.struct("sk", "fp", "n", "pos")).alias("m")).select("h", "m.*")
-        return self.checked(self.side(met, "a").join(self.side(least, "b"), "h").filter("sa <> sb"))
-
-    def placed(self, roots: DataFrame) -> DataFrame:
-        """met with each set's component, of the buckets that have several."""
-        met = self.met.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        several = met.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("h")
-        self.met = self.stored.put(met.join(several, "h").select(*self.met.columns, "root"))
-        out, self.met = self.met, self.met.drop("root")
-        return out
-
-    def again(self, met: DataFrame) -> DataFrame:
-        """Links of each set with one of another component in each bucket."""
-        one = F.struct("root", F.xxhash64("sk", F.lit(self.rounds)).alias("o"), "sk", "fp", "n", "pos")
-        ends = met.groupBy("h").agg(F.min(one).alias("x"), F.max(one).alias("y"))
-        ends = ends.select("h", F.explode(F.array("x", "y")).alias("m")).select("h", "m.*")
-        return self.checked(self.side(met, "a").join(self.side(ends, "b"), "h").filter("ra <> rb"))
-
-    def every(self, met: DataFrame) -> DataFrame:
-        """Links of all sets of different components."""
-        return self.checked(self.side(met, "a").join(self.side(met, "b"), "h").filter("sa < sb and ra <> rb"))
-
-    def checked(self, pairs: DataFrame) -> DataFrame:
-        """a, b: the fingerprints of the pairs whose sets have the similarity."""
-        x = F.col("sa") < F.col("sb")
-        pick = lambda c: [F.when(x, F.col(f"{c}a")).otherwise(F.col(f"{c}b")).alias(f"{c}a"), F.when(x, F.col(f"{c}b")).otherwise(F.col(f"{c}a")).alias(f"{c}b")]
-        pairs = self.stored.put(pairs.filter(self.passes()).select(*pick("s"), *pick("f")).distinct())
-        head = lambda x: self.texts.select(F.col("sk").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("head").alias(f"h{x}"))
-        # The head that ends first in the order shares with the other set what it shares with its head, so what it lacks there is known.
-        most = F.size(F.array_intersect("ha", "hb")) + F.greatest(F.col("na") - F.size("ha"), F.col("nb") - F.size("hb"))
-        close = pairs.join(head("a"), "sa").join(head("b"), "sb").filter(most >= F.lit(self.similarity / (1 + self.similarity)) * (F.col("na") + F.col("nb")) - F.lit(1e-6))
-        pairs = self.stored.put(close.select("sa", "sb", "fa", "fb"))
-        nodes = pairs.select(F.explode(F.array("sa", "sb")).alias("sk")).distinct()
-        keys = self.stored.put(self.texts.join(nodes, "sk").select("sk", "__key"))
-        if keys.count() <= MOST_BROADCAST:
-            keys = F.broadcast(keys)
-        sets = self.stored.put(self.rows.join(keys, "__key").groupBy("sk").agg(F.first(shingle_set(F.col("__text"), self.words)).alias("s")))
-        both = pairs.join(sets.select(F.col("sk").alias("sa"), F.col("s").alias("ta")), "sa").join(sets.select(F.col("sk").alias("sb"), F.col("s").alias("tb")), "sb")
-        shared = F.size(F.array_intersect("ta", "tb"))
-        alike = shared >= F.lit(self.similarity) * (F.size("ta") + F.size("tb") - shared) - F.lit(1e-9)
-        out = self.stored.put(both.filter(alike).select(F.col("fa").alias("a"), F.col("fb").alias("b")))
-        self.stored.drop(sets)
-        return out
-
-    def components(self, found: DataFrame) -> DataFrame:
-        """node, root of the components of `found` (a, b) and of all similar pairs."""
-        found = self.stored.put(found.unionByName(self.first()))
-        self.rounds = 0
-        while True:
-            roots = connected_components(found, self.stored)
-            met = self.placed(roots)
-            self.rounds += 1
-            more = self.again(met) if self.rounds <= ROUNDS else self.every(met)
-            linked = more.count()
-            if not linked and self.rounds <= ROUNDS:
-                more = self.every(met)
-                linked, self.rounds = more.count(), ROUNDS + 1
-            if not linked:
-                return roots
-            found = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-            if self.rounds > ROUNDS:
-                return connected_components(found, self.stored)
-
-
-def near_components(fps: DataFrame, stored: Stored, id_column: str = "doc_id", radius: int = RADIUS, tree_size: int = TREE_SIZE, components=connected_components) -> DataFrame:
+def near_components(fps: DataFrame, stored: Stored, id_column: str = "doc_id", radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
     """fps: id and __fp -> __fp, component_id (the smallest id reachable) for every distinct fingerprint."""
     classes = stored.put(fps.groupBy("__fp").agg(F.min(F.col(f"`{id_column}`")).alias("least")))
-    count = classes.count()
-    found = links(classes.select("__fp"), shard_masks(parts_for(count, radius), radius), radius, tree_size)
-    roots = components(found, stored)
+    roots = near_roots(classes.select("__fp"), stored, radius, tree_size)
     placed = classes.join(roots, classes["__fp"] == roots["node"], "left").select("__fp", "least", F.coalesce("root", "__fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return placed.join(least, "root").select("__fp", "component_id")
@@ -322,37 +219,53 @@ def simhash_components(docs: DataFrame, text: str = "text", id_column: str = "do
     return fps.join(comp, "__fp").select(id_column, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def described(boxed: DataFrame, words: int, similar_words: int) -> DataFrame:
+    """boxed: __id, __th, __text -> __id, __th, __fp, sk, n and bands (of the set of shingles), in one pass over the texts."""
+    arrow_batches(boxed.sparkSession)
+    schema = boxed.select("__id", "__th", *[F.lit(0).cast(t).alias(c) for c, t in (("__fp", "bigint"), ("sk", "bigint"), ("n", "int"))], F.array(F.lit(0).cast("bigint")).alias("bands")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, keys, sizes, each = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                tokens = tokens_of(text)
+                s = shingles(tokens, similar_words)
+                fps.append(fingerprint_of(tokens, words))
+                keys.append(set_key(s))
+                sizes.append(len(s))
+                each.append(bands(s))
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(each) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(np.concatenate(each) if each else np.zeros(0, np.int64), pa.int64()))
+            made = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), listed]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["__id", "__th", "__fp", "sk", "n", "bands"])
+
+    return boxed.mapInArrow(run, schema)
+
+
 def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = WORDS, radius: int = RADIUS, similar_words: int = 5, similarity: float | None = 0.8) -> DataFrame:
-    """The row of each component with the smallest id (of rows that repeat it, the one whose text hashes lowest), all columns kept.
+    """The row of each component with the smallest id (null last; of rows that repeat it, the one whose text hashes lowest), all columns kept.
 
-    Beside the links of fingerprints, texts are linked whose sets of similar_words-word shingles have the similarity or more: all such pairs,
-    of all texts (see Similar)."""
+    Beside the links of fingerprints, texts are linked whose sets of similar_words-word shingles have the similarity or more (see similar.py).
+    Rows that repeat an id but aren't linked stay both; of rows that repeat id and text one stays."""
     stored = Stored(docs.sparkSession, "simhash")
-    key = lambda i, t: F.struct(F.col(i).alias("i"), F.col(t).alias("t"))  # noqa: E731  equal structs may hold nulls
-    boxed = docs.select(F.col(f"`{id_column}`").alias("__id"), F.xxhash64(f"`{text}`").alias("__th"), F.col(f"`{text}`").alias("__text"))
-    fps = stored.put(fingerprints(boxed, "__text", words))
-
-    def similar(found: DataFrame, stored: Stored) -> DataFrame:
-        usual = usual_shingles(F.col("__text"), boxed, similar_words)
-        shingled = boxed.select("__id", "__th", shingle_set(F.col("__text"), similar_words).alias("s"))
-        sets = stored.put(heads(shingled.select("__id", "__th", F.xxhash64(F.sort_array("s")).alias("sk"), "s"), similarity, usual))
-        # Rows by their key: equal texts have one fingerprint, so which row of a key is taken doesn't matter.
-        keyed = fps.groupBy(key("__id", "__th").alias("__key")).agg(F.first("__fp").alias("__fp"))
-        of = sets.groupBy("sk").agg(F.min(F.struct(key("__id", "__th").alias("__key"), "n", "head")).alias("m")).select("sk", "m.*")
-        same = sets.select("sk", key("__id", "__th").alias("__key")).distinct().join(keyed, "__key").groupBy("sk", "__fp").agg(F.lit(1)).select("sk", "__fp")
-        least = same.groupBy("sk").agg(F.min("__fp").alias("fp"), F.max("__fp").alias("most"))
-        texts = stored.put(of.join(least.select("sk", "fp"), "sk"))
-        equal = stored.put(same.join(least.filter("fp < most"), "sk").select(F.col("__fp").alias("a"), F.col("fp").alias("b")))
-        stored.drop(sets)
-        rows = boxed.select(key("__id", "__th").alias("__key"), "__text")
-        return Similar(rows, texts, stored, similar_words, similarity).components(found.unionByName(equal))
-
-    comp = near_components(fps, stored, "__id", radius, components=similar if similarity else connected_components)
-    firsts = fps.join(comp, "__fp").filter(F.col("__id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("__th").alias("__pth"))
-    picks = firsts.select(key("component_id", "__pth").alias("__key"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.struct(F.col(f"`{id_column}`").alias("i"), F.xxhash64(f"`{text}`").alias("t")).alias("__key"))
-    # Equal rows that repeat the id: one of them. Join and aggregate share one exchange by the key.
-    return rows.join(picks, "__key").groupBy("__key").agg(F.first("__row").alias("__row")).select("__row.*")
+    keyed = [F.col(f"`{id_column}`").alias("__id"), F.xxhash64(f"`{text}`").alias("__th")]
+    boxed = docs.select(*keyed, F.col(f"`{text}`").alias("__text"))
+    rows = stored.put(described(boxed, words, similar_words))
+    of = lambda found, stored: Similar(boxed, rows, stored, similar_words, similarity).components(found)
+    distinct = stored.put(rows.select("__fp").distinct())
+    roots = near_roots(distinct, stored, radius, components=of if similarity else connected_components)
+    placed = rows.join(roots, rows["__fp"] == roots["node"], "left").select("__id", "__th", F.coalesce("root", "__fp").alias("root"))
+    key = F.struct(F.isnull("__id").alias("z"), F.col("__id").alias("i"), F.col("__th").alias("t"))
+    placed = stored.put(placed.select("root", key.alias("__key")))
+    picks = placed.groupBy("root").agg(F.min("__key").alias("pick"))
+    # Keys whose rows go, and keys that several rows repeat: if they are few, the rows of all others stay where they are.
+    marked = placed.join(picks, "root").groupBy("__key").agg(F.first(F.col("__key") == F.col("pick")).alias("stays"), F.count(F.lit(1)).alias("rows"))
+    odd = stored.put(marked.filter("NOT stays OR rows > 1").select("__key", "stays"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.struct(F.isnull(f"`{id_column}`").alias("z"), F.col(f"`{id_column}`").alias("i"), F.xxhash64(f"`{text}`").alias("t")).alias("__key"))
+    if odd.count() <= MOST_ODD:
+        plain = whole.join(F.broadcast(odd), "__key", "left_anti").select("__row.*")
+        twins = whole.join(F.broadcast(odd.filter("stays").select("__key")), "__key").groupBy("__key").agg(F.first("__row").alias("__row")).select("__row.*")
+        return plain.unionByName(twins)
+    return whole.join(picks.select(F.col("pick").alias("__key")), "__key").groupBy("__key").agg(F.first("__row").alias("__row")).select("__row.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
