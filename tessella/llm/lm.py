@@ -4,15 +4,16 @@ Training reads all documents outside the held-out fold, whole: words and byte se
 summed by a shuffle. The text that the byte model sees is the base's: A-Z in lower case, words joined by single spaces, a line feed as
 end symbol and as the context before the first byte.
 
-The trie holds, of each order, the sequences seen at least max(2, N / NODES) times among N bytes: at most NODES by construction, so it
-is broadcast. With them their prefixes and suffixes qualify. A symbol is coded at the longest context that holds it. For a context
-with T occurrences and q kept symbols of S occurrences, a kept symbol seen c times has (2c - 1) / 2T and the escape takes the rest (method D;
-what was pruned belongs to the escape). After an escape, the shorter context excludes the symbols of the longer. Last comes a uniform choice among the
-remaining bytes. Escapes with exclusion depend on the longer context only, so the trie stores their code lengths and scoring is table
-lookups over whole batches: pretrained code lengths, not adapted within a text, so scores do not depend on the order of rows.
+The trie is kept as tables, one for each order: a node is a byte sequence as a number, its parent the number without its last byte, its
+suffix link the number without its first. Nothing is pruned, so what is learned grows with the corpus. A symbol is coded at the longest context
+that holds it. For a context with T occurrences and q symbols, a symbol seen c times has (2c - 1) / 2T and the escape q / 2T (method D). After an
+escape, the shorter context excludes the symbols of the longer. Last comes a uniform choice among the bytes never seen. The code length of a
+symbol depends on nothing but itself and the ORDER bytes before it, so each distinct sequence, of the training documents or the others, is coded
+once, by joins down the orders, and a text's score is the sum over its sequences: pretrained code lengths, not adapted within a text, so scores
+do not depend on the order of rows.
 
-The base needs every word's count. Words with at least N / HEAVY occurrences, at most HEAVY by construction, are broadcast; the others
-are joined by a shuffle, and no word among them can be hot.
+The most frequent sequences, at most HEAVY_GRAMS by a count of counts, and so the words, are broadcast with their code lengths; the others, counted
+by document, are joined by a shuffle, and none of them is hot. All are scored, by one way or the other.
 
 Null and empty texts have one token, the end. Rows that repeat an id are scored each. A null id's fold is that of the empty text.
 """
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import Stored, arrow_batches, documents, fold
 
 ORDER = 5
-NODES = 1 << 20
-HEAVY = 400_000
+#: Byte sequences and words broadcast at most.
+HEAVY_GRAMS = 1 << 20
+HEAVY = 200_000
 FOLDS = 10
 ALPHA = 0.1
 END = b"\n"
@@ -57,225 +59,208 @@ def stream(texts: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray
     return data, starts, starts + sizes + 1
 
 
-def spans(n: int, order: int) -> Iterator[tuple[int, int]]:
-    """Stretches of a stream's symbols; each is worked on with the `order` bytes before it, so no array outgrows STRETCH."""
-    for a in range(order, n, STRETCH):
-        yield a, min(n, a + STRETCH)
-
-
-def gram_codes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, order: int) -> Iterator[np.ndarray]:
-    """For each symbol its context and itself, big end first, a stretch at a time."""
-    for a, b in spans(len(data), order):
-        code = np.zeros(b - a, np.uint64)
+def gram_codes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts' numbers and, for each of their symbols, its context and itself, big end first; a stretch at a time, so no array outgrows STRETCH."""
+    for a in range(order, len(data), STRETCH):
+        b = min(len(data), a + STRETCH)
+        code = np.zeros(b - a, np.int64)
         for k in range(order + 1):
-            code = (code << np.uint64(8)) | data[a - order + k : b - order + k]
+            code = (code << 8) | data[a - order + k : b - order + k]
+        i, j = int(np.searchsorted(stops, a, "right")), int(np.searchsorted(starts, b))
+        x, y = np.maximum(starts[i:j], a) - a, np.minimum(stops[i:j], b) - a
         mark = np.zeros(b - a + 1, np.int8)
-        i, j = np.searchsorted(stops, a, "right"), np.searchsorted(starts, b)
-        np.add.at(mark, np.maximum(starts[i:j], a) - a, 1)
-        np.add.at(mark, np.minimum(stops[i:j], b) - a, -1)
-        yield code[np.cumsum(mark[:-1]) > 0]
+        np.add.at(mark, x, 1)
+        np.add.at(mark, y, -1)
+        yield np.repeat(np.arange(i, j), y - x), code[np.cumsum(mark[:-1]) > 0]
+
+
+class Counted:
+    """Numbers with their counts, kept sorted."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts, self.waiting, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def add(self, codes: np.ndarray) -> None:
+        self.waiting.append(codes)
+        self.held += len(codes)
+        if self.held > CHUNK:
+            self.merge()
+
+    def merge(self) -> None:
+        if self.waiting:
+            k, c = np.unique(np.concatenate(self.waiting), return_counts=True)
+            self.keys, at = np.unique(np.concatenate([self.keys, k]), return_inverse=True)
+            self.counts = np.bincount(at, np.concatenate([self.counts, c])).astype(np.int64)
+            self.waiting, self.held = [], 0
+
+
+COUNTS = "word binary, gram bigint, c bigint, uses bigint"
 
 
 def counted(order: int):
-    """mapInArrow: text -> (kind 0: word, 1: byte sequence), key, c."""
+    """mapInArrow: held_out, text -> COUNTS: a word, or a byte sequence, its count in training documents and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        waiting: list[np.ndarray] = []
-        n_waiting = 0
-
-        def merge() -> None:
-            nonlocal keys, counts, waiting, n_waiting
-            if waiting:
-                k, c = np.unique(np.concatenate(waiting), return_counts=True)
-                both = np.concatenate([keys, k])
-                keys, at = np.unique(both, return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, c])).astype(np.int64)
-                waiting, n_waiting = [], 0
-
-        def grams() -> pa.RecordBatch:
-            raw = keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - order :]
-            size = order + 1
-            flat = pa.py_buffer(np.ascontiguousarray(raw).tobytes())
-            offsets = pa.py_buffer((np.arange(len(keys) + 1, dtype=np.int32) * size).tobytes())
-            return made(1, pa.Array.from_buffers(pa.binary(), len(keys), [None, offsets, flat]), counts)
-
-        def made(kind: int, key: pa.Array, c) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), key, pa.array(c, pa.int64())], names=["kind", "key", "c"])
+        grams = {False: Counted(), True: Counted()}
+
+        def some_words() -> pa.RecordBatch:
+            c = pa.array(list(words.values()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), c, c], names=["word", "gram", "c", "uses"])
+
+        def some_grams(held: bool) -> pa.RecordBatch:
+            g = grams[held]
+            uses = pa.array(g.counts)
+            c = pa.array(np.zeros_like(g.counts)) if held else uses
+            out = pa.RecordBatch.from_arrays([pa.nulls(len(g.keys), pa.binary()), pa.array(g.keys), c, uses], names=["word", "gram", "c", "uses"])
+            grams[held] = Counted()
+            return out
 
         for batch in batches:
-            texts = [tokens_of(t) for t in batch.column(0).to_pylist()]
-            for t in texts:
+            both: dict[bool, list] = {False: [], True: []}
+            for held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                both[held].append(tokens_of(text))
+            for t in both[False]:
                 words.update(t)
-            words[END] += len(texts)
+            if both[False]:
+                words[END] += len(both[False])
             if len(words) > HELD:
-                yield made(0, pa.array(list(words), pa.binary()), list(words.values()))
+                yield some_words()
                 words = Counter()
-            for codes in gram_codes(*stream(texts, order), order):
-                waiting.append(codes)
-                n_waiting += len(codes)
-                if n_waiting > CHUNK:
-                    merge()
-                    if len(keys) > HELD:
-                        yield grams()
-                        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        merge()
-        if len(keys):
-            yield grams()
+            for held, texts in both.items():
+                for _, codes in gram_codes(*stream(texts, order), order):
+                    grams[held].add(codes)
+                    if len(grams[held].keys) > HELD:
+                        yield some_grams(held)
+        for held, g in grams.items():
+            g.merge()
+            if len(g.keys):
+                yield some_grams(held)
         if words:
-            yield made(0, pa.array(list(words), pa.binary()), list(words.values()))
+            yield some_words()
 
     return run
 
 
-class Trie:
-    """Context trie with code lengths (log10). levels[k]: byte sequences of k bytes (k = 1..order+1), as nodes numbered from 1."""
-
-    def __init__(self, grams: list[dict[bytes, int]], total: int, order: int):
-        """grams[k - 1]: sequence of k bytes -> count."""
-        self.order = order
-        # Before a text stand line feeds only: contexts of every order, met once a text, but no symbols that were coded.
-        texts = grams[0].get(END, 0)
-        real = grams
-        grams = [dict(level) for level in grams]
-        if texts:
-            for k in range(2, order + 1):
-                grams[k - 1].setdefault(END * k, 0)
-        kept = sorted({g[0] for g in grams[0]})
-        self.alphabet = np.zeros(256, np.int32)
-        for i, b in enumerate(kept):
-            self.alphabet[b] = i + 1
-        width = len(kept) + 1
-        ids = [{g: i + 1 for i, g in enumerate(sorted(level))} for level in grams]
-        #: step[k][node of the k-1 bytes before, symbol] -> node of k bytes
-        self.step = []
-        for k, level in enumerate(ids, 1):
-            t = np.zeros((1 if k == 1 else len(ids[k - 2]) + 1, width), np.int32)
-            for g, i in level.items():
-                t[0 if k == 1 else ids[k - 2][g[:-1]], self.alphabet[g[-1]]] = i
-            self.step.append(t)
-        # Contexts by order 0..order: occurrences, kept symbols, their occurrences.
-        sizes = [1] + [len(x) + 1 for x in ids[:order]]
-        occurs = [np.zeros(n) for n in sizes]
-        q = [np.zeros(n) for n in sizes]
-        s = [np.zeros(n) for n in sizes]
-        # What a context's symbols amount to in the next shorter context.
-        seen_below = [np.zeros(n) for n in sizes]
-        occurs[0][0] = total
-        for k in range(1, order + 1):
-            for g, i in ids[k - 1].items():
-                occurs[k][i] = texts if g == END * k else grams[k - 1][g]
-        for k in range(order + 1):
-            for g, c in real[k].items():
-                ctx = ids[k - 1][g[:-1]] if k else 0
-                q[k][ctx] += 1
-                s[k][ctx] += c
-                if k:
-                    seen_below[k][ctx] += real[k - 1][g[1:]]
-        log = lambda x: np.log10(np.maximum(x, 1e-300))
-        #: Log probability of a symbol at its own context, without exclusion.
-        self.direct = []
-        self.logc = []
-        self.coded = []
-        self.den = [log(2 * occurs[k]) for k in range(order + 1)]
-        for k in range(order + 1):
-            lc = np.zeros(len(ids[k]) + 1)
-            d = np.zeros_like(lc)
-            coded = np.zeros(len(lc), bool)
-            for g, c in real[k].items():
-                i = ids[k][g]
-                coded[i] = True
-                lc[i] = math.log10(2 * c - 1)
-                d[i] = lc[i] - self.den[k][ids[k - 1][g[:-1]] if k else 0]
-            self.coded.append(coded)
-            self.logc.append(lc)
-            self.direct.append(d)
-        self.escape = [log(2 * (occurs[k] - s[k]) + q[k]) - self.den[k] for k in range(order + 1)]
-        # For a context of order k, arriving at its suffix of order k - 1 with its symbols excluded: denominator, and escape from there.
-        self.den_after, self.escape_after = [np.zeros(1)], [np.zeros(1)]
-        for k in range(1, order + 1):
-            shorter = np.zeros(sizes[k], np.int64)
-            for g, i in ids[k - 1].items():
-                shorter[i] = ids[k - 2][g[1:]] if k > 1 else 0
-            t = occurs[k - 1][shorter] - seen_below[k]
-            qq = q[k - 1][shorter] - q[k]
-            ss = s[k - 1][shorter] - seen_below[k]
-            den = np.where(t > 0, log(2 * t), 0.0)
-            esc = np.where(t > 0, log(2 * (t - ss) + qq) - den, 0.0)
-            self.den_after.append(den)
-            self.escape_after.append(esc)
-        left = 256 - len(kept)
-        self.last = -math.log10(left) if left else -300.0
-
-    def scores(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """log10 probability of each text of a stream()."""
-        out = np.zeros(len(starts))
-        for a, b in spans(len(data), self.order):
-            i, j = int(np.searchsorted(stops, a, "right")), int(np.searchsorted(starts, b))
-            if i == j:
-                continue
-            cost = np.append(self._costs(data[a - self.order : b]), 0.0)
-            edges = np.stack([np.maximum(starts[i:j], a) - a, np.minimum(stops[i:j], b) - a], axis=1).ravel()
-            out[i:j] += np.add.reduceat(cost, edges)[::2]
-        return out
-
-    def _costs(self, data: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte after the first `order`."""
-        n, order = len(data), self.order
-        sym = self.alphabet[data].astype(np.intp)
-        # nodes[k][i]: the k bytes that end at i, if kept. A byte outside the alphabet has no node.
-        nodes = [np.zeros(n, np.intp)]
-        for k, step in enumerate(self.step, 1):
-            here = np.zeros(n, np.intp)
-            if k == 1:
-                here[:] = step.ravel().take(sym)
-            else:
-                here[1:] = step.ravel().take(nodes[k - 1][:-1] * step.shape[1] + sym[1:])
-            nodes.append(here)
-        # Most symbols are held by a context of full order; the others go on, `arrived` telling whether a longer context was escaped from.
-        top = nodes[order + 1][order:]
-        cost = np.zeros(n)
-        cost[order:] = self.direct[order].take(top)
-        todo = np.flatnonzero(~self.coded[order].take(top)) + order
-        before = nodes[order][todo - 1]
-        arrived = before > 0
-        cost[todo[arrived]] += self.escape[order][before[arrived]]
-        for k in range(order - 1, -1, -1):
-            before = nodes[k][todo - 1] if k else np.zeros(len(todo), np.intp)
-            there = (before > 0) if k else np.ones(len(todo), bool)
-            hit_node = nodes[k + 1][todo]
-            hit = there & self.coded[k][hit_node]
-            fresh = hit & ~arrived
-            cost[todo[fresh]] += self.direct[k][hit_node[fresh]]
-            late = hit & arrived
-            cost[todo[late]] += self.logc[k][hit_node[late]] - self.den_after[k + 1][nodes[k + 1][todo[late] - 1]]
-            miss = ~hit
-            todo, before, there, was = todo[miss], before[miss], there[miss], arrived[miss]
-            first = there & ~was
-            cost[todo[first]] += self.escape[k][before[first]]
-            again = there & was
-            cost[todo[again]] += self.escape_after[k + 1][nodes[k + 1][todo[again] - 1]]
-            arrived = there | was
-        cost[todo] += self.last
-        return cost[order:]
-
-
-def build_trie(rows, total: int, order: int) -> Trie:
-    grams: list[dict[bytes, int]] = [{} for _ in range(order + 1)]
-    for key, c in rows:
-        grams[len(key) - 1][bytes(key)] = c
-    return Trie(grams, total, order)
-
-
-def scored(trie: Trie, heavy: dict[bytes, float]):
-    """mapInArrow: rid, doc_id, held_out, text -> rid, doc_id, held_out, n_tokens, heavy_known, heavy_score, score, tail (words), times."""
+def _log(x):
+    return F.log10(x.cast("double"))
+
+
+def gram_costs(grams: DataFrame, order: int, stored: Stored) -> DataFrame:
+    """grams: gram (order + 1 bytes as a number), c (count in training, 0 for none), uses -> gram, uses, cost (log10 of the probability of its last byte)."""
+    grams = stored.put(grams)
+    low = lambda key, k: key.bitwiseAND(F.lit((1 << 8 * k) - 1))  # noqa: E731  the last k bytes
+    up = lambda key: F.shiftright(key, 8)  # noqa: E731  without the last byte
+    #: nodes[k]: key (k + 1 bytes), c.
+    nodes = [grams.filter("c > 0").select(F.col("gram").alias("key"), "c")]
+    for k in range(order, 0, -1):
+        nodes.insert(0, stored.put(nodes[0].groupBy(low(F.col("key"), k).alias("key")).agg(F.sum("c").alias("c"))))
+    seen = F.col("c") > 0
+    # What the training documents hold is coded at its own context of full order.
+    total = nodes[order].groupBy(up(F.col("key")).alias("ctx")).agg(F.sum("c").alias("t"))
+    direct = grams.filter(seen).withColumn("ctx", up(F.col("gram"))).join(total, "ctx").select("gram", "uses", (_log(2 * F.col("c") - 1) - _log(2 * F.col("t"))).alias("cost"))
+    # The others go down the orders; `over` and `kinds`: occurrences and number of the symbols that the longer context excludes.
+    todo = stored.put(grams.filter(~seen).select("gram", "uses", F.lit(0).cast("bigint").alias("over"), F.lit(0).cast("bigint").alias("kinds"), F.lit(0.0).alias("cost")))
+    done = []
+    for k in range(order, -1, -1):
+        here = todo.withColumn("key", low(F.col("gram"), k + 1)).withColumn("ctx", up(F.col("key")))
+        below = nodes[k].withColumn("ctx", up(F.col("key"))).join(here.select("ctx").distinct(), "ctx", "left_semi")
+        if k:
+            shorter = nodes[k - 1].select(F.col("key").alias("short"), F.col("c").alias("less"))
+            below = below.join(shorter, low(F.col("key"), k) == F.col("short"))
+        else:
+            below = below.withColumn("less", F.lit(0).cast("bigint"))
+        contexts = below.groupBy("ctx").agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("q"), F.sum("less").alias("less"))
+        met = here.join(contexts, "ctx", "left").join(nodes[k].select("key", F.col("c").alias("hit")), "key", "left")
+        left = F.coalesce("t", F.lit(0)) - F.col("over")
+        hit = _log(2 * F.col("hit") - 1) - _log(2 * left)
+        miss = F.when(left > 0, _log(F.col("q") - F.col("kinds")) - _log(2 * left)).otherwise(0.0)
+        met = stored.put(met.select("gram", "uses", F.col("hit").isNotNull().alias("found"), F.coalesce("less", F.lit(0)).alias("over"), F.coalesce("q", F.lit(0)).alias("kinds"), (F.col("cost") + F.when(F.col("hit").isNotNull(), hit).otherwise(miss)).alias("cost")))
+        done.append(met.filter("found").select("gram", "uses", "cost"))
+        todo = met.filter("NOT found").drop("found")
+    # At the end the bytes that no training document holds are equally likely; `kinds` counts the others.
+    done.append(todo.select("gram", "uses", (F.col("cost") - _log(256 - F.col("kinds"))).alias("cost")))
+    out = direct
+    for part in done:
+        out = out.unionByName(part)
+    return stored.put(out)
+
+
+def heaviest(counts: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows with the largest counts, `most` at most: those from the eighth of an octave on that the count of counts allows."""
+    level = F.floor(F.log2(column) * 8)
+    sizes = sorted(((r["l"], r["count"]) for r in counts.groupBy(level.alias("l")).count().collect()), reverse=True)
+    total, least = 0, None
+    for at, size in sizes:
+        total += size
+        if total > most:
+            break
+        least = at
+    return counts.filter(F.lit(False) if least is None else level >= least)
+
+
+class Codes:
+    """Numbers with values, looked up many at a time: open addressing in a table of twice as many slots at least."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        size = 1 << self.bits
+        self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size)
+        slot = self.slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
+            rest = np.ones(len(keys), bool)
+            rest[put] = False
+            keys, values, slot = keys[rest], values[rest], (slot[rest] + 1) & (size - 1)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (0 for what isn't there), and the places of what isn't there."""
+        slot = self.slots(keys)
+        at = self.keys[slot]
+        out = np.where(at == keys, self.values[slot], 0.0)
+        lost = [np.flatnonzero(at < 0)]
+        todo = np.flatnonzero((at != keys) & (at >= 0))
+        slot = slot[todo]
+        while len(todo):
+            slot = (slot + 1) & (len(self.keys) - 1)
+            at = self.keys[slot]
+            hit, gone = at == keys[todo], at < 0
+            out[todo[hit]] = self.values[slot[hit]]
+            lost.append(todo[gone])
+            stay = ~(hit | gone)
+            todo, slot = todo[stay], slot[stay]
+        return out, np.sort(np.concatenate(lost))
+
+
+def tails(texts: np.ndarray, codes: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """For each of n texts the codes, and how often each occurs there."""
+    order = np.lexsort((codes, texts))
+    texts, codes = texts[order], codes[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = (codes[1:] != codes[:-1]) | (texts[1:] != texts[:-1])
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(codes))).astype(np.int32)
+    offsets = pa.array(np.searchsorted(texts[at], np.arange(n + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(codes[at], pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(times))
+
+
+SCORED = "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, model double, words array<binary>, word_times array<int>, grams array<bigint>, gram_times array<int>"
+
+
+def scored(codes: Codes, heavy: dict[bytes, float], order: int):
+    """mapInArrow: rid, doc_id, held_out, text -> SCORED: what the broadcast tables hold is summed, the rest is listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = heavy.get
         for batch in batches:
             texts = [tokens_of(t) for t in batch.column(3).to_pylist()]
-            known, score, tails, times = [], [], [], []
+            known, base, rest, times = [], [], [], []
             for t in texts:
                 tf = Counter(t)
                 tf[END] += 1
@@ -289,72 +274,69 @@ def scored(trie: Trie, heavy: dict[bytes, float]):
                         total += n * v
                         hits += n
                 known.append(hits)
-                score.append(total)
-                tails.append(tail)
+                base.append(total)
+                rest.append(tail)
                 times.append(some)
-            model = trie.scores(*stream(texts, trie.order))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(i) for i in range(3)],
-                    pa.array([len(t) + 1 for t in texts], pa.int64()),
-                    pa.array(known, pa.int64()),
-                    pa.array(score, pa.float64()),
-                    pa.array(model, pa.float64()),
-                    pa.array(tails, pa.list_(pa.binary())),
-                    pa.array(times, pa.list_(pa.int32())),
-                ],
-                names=["rid", "doc_id", "held_out", "n_tokens", "heavy_known", "heavy_score", "score", "tail", "times"],
-            )
+            model, of, lost = np.zeros(len(texts)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for text, code in gram_codes(*stream(texts, order), order):
+                cost, gone = codes.get(code)
+                model += np.bincount(text, cost, len(texts))
+                of.append(text[gone])
+                lost.append(code[gone])
+            made = [
+                *[batch.column(i) for i in range(3)],
+                pa.array([len(t) + 1 for t in texts], pa.int64()),
+                pa.array(known, pa.int64()),
+                pa.array(base, pa.float64()),
+                pa.array(model, pa.float64()),
+                pa.array(rest, pa.list_(pa.binary())),
+                pa.array(times, pa.list_(pa.int32())),
+                *tails(np.concatenate(of), np.concatenate(lost), len(texts)),
+            ]
+            yield pa.RecordBatch.from_arrays(made, names=[c.split()[0] for c in SCORED.split(", ")])
 
     return run
 
 
-def train(docs: DataFrame, stored: Stored, order: int = ORDER, nodes: int = NODES):
-    """docs: text of the training documents -> counts of words (key, c), the trie, N, V."""
-    counts = docs.select("text").mapInArrow(counted(order), "kind int, key binary, c bigint").groupBy("kind", "key").agg(F.sum("c").alias("c"))
-    counts = stored.put(counts)
-    words = counts.filter("kind = 0").select("key", "c")
-    v, n = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    tops = counts.filter("kind = 1")
-    total = tops.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    least = max(2, -(-total // nodes))
-    by_order = tops.select(F.explode(F.array(*[F.expr(f"substring(key, {order + 2 - k}, {k})") for k in range(1, order + 2)])).alias("key"), "c")
-    kept = by_order.groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).toArrow()
-    rows = zip(kept.column(0).to_pylist(), kept.column(1).to_pylist(), strict=True)
-    return words, build_trie(rows, total, order), n, v
-
-
-def score_documents(docs: DataFrame, folds: int = FOLDS, order: int = ORDER, nodes: int = NODES, heavy_words: int = HEAVY) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = FOLDS, order: int = ORDER, heavy_grams: int = HEAVY_GRAMS, heavy_words: int = HEAVY) -> DataFrame:
     """docs: doc_id, text -> one row each: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     arrow_batches(spark)
     stored = Stored(spark, "lm")
     marked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (fold("doc_id", folds) == 0).alias("held_out"), "text")
-    words, trie, n, v = train(marked.filter(~F.col("held_out")), stored, order, nodes)
+    counts = marked.select("held_out", "text").mapInArrow(counted(order), COUNTS).groupBy("word", "gram").agg(F.sum("c").alias("c"), F.sum("uses").alias("uses"))
+    counts = stored.put(counts)
+    words = counts.filter("word IS NOT NULL").select(F.col("word").alias("key"), "c")
+    v, n = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    costs = gram_costs(counts.filter("gram IS NOT NULL").select("gram", "c", "uses"), order, stored)
     bottom = math.log10(n + ALPHA * (v + 1))
-    often = words.filter(F.col("c") >= max(1, -(-n // heavy_words))).toArrow()
+    often = heaviest(words, "c", heavy_words).toArrow()
     heavy = {k: math.log10(c + ALPHA) - bottom for k, c in zip(often.column(0).to_pylist(), often.column(1).to_pylist(), strict=True)}
-    schema = "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, heavy_known bigint, heavy_score double, score double, tail array<binary>, times array<int>"
-    shared = spark.sparkContext.broadcast((trie, heavy))
+    usual = heaviest(costs, "uses", heavy_grams).select("gram", "cost").toArrow()
+    shared = spark.sparkContext.broadcast((usual.column(0).to_numpy(), usual.column(1).to_numpy(), heavy))
+    made: dict[int, Codes] = {}
 
     def run(batches):
-        yield from scored(*shared.value)(batches)
+        keys, values, heavy = shared.value
+        if not made:
+            made[0] = Codes(keys, values)
+        yield from scored(made[0], heavy, order)(batches)
 
-    rows = stored.put(marked.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text").mapInArrow(run, schema))
-    tail = rows.select("rid", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("rid", F.col("t.tail").alias("key"), F.col("t.times").alias("times"))
+    rows = stored.put(marked.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text").mapInArrow(run, SCORED))
+    listed = lambda keys, times: rows.select("rid", F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(times).alias("times"))).alias("t")).select("rid", "t.*")
     c = F.coalesce("c", F.lit(0))
-    joined = tail.join(words, "key", "left").groupBy("rid").agg(
-        F.sum(F.col("times") * (F.log10(c + F.lit(ALPHA)) - F.lit(bottom))).alias("tail_score"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("tail_known")
-    )
+    by_word = listed("words", "word_times").join(words, "key", "left").groupBy("rid")
+    by_word = by_word.agg(F.sum(F.col("times") * (F.log10(c + F.lit(ALPHA)) - F.lit(bottom))).alias("more_base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
+    by_gram = listed("grams", "gram_times").join(costs.select(F.col("gram").alias("key"), "cost"), "key").groupBy("rid").agg(F.sum(F.col("times") * F.col("cost")).alias("more_model"))
     zero = lambda x: F.coalesce(x, F.lit(0))
-    return rows.drop("tail", "times").join(joined, "rid", "left").select(
+    return rows.drop("words", "word_times", "grams", "gram_times").join(by_word, "rid", "left").join(by_gram, "rid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("heavy_known") + zero("tail_known")).cast("long").alias("n_known"),
+        (F.col("known") + zero("more_known")).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("heavy_score") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        (F.col("model") + F.coalesce("more_model", F.lit(0.0))).alias("score"),
     )
 
 

@@ -315,36 +315,19 @@ def test_base_and_model(spark, docs):
         assert math.isfinite(r.score) and r.score < 0
 
 
-def small_trie(texts, order=2, least=1):
-    grams, n = Counter(), 0
-    for codes in lm.gram_codes(*lm.stream(texts, order), order):
-        n += len(codes)
-        for code in codes.tolist():
-            raw = code.to_bytes(order + 1, "big")
-            for k in range(1, order + 2):
-                grams[raw[-k:]] += 1
-    return lm.build_trie([(k, c) for k, c in grams.items() if c >= least], n, order)
-
-
-@pytest.mark.parametrize("least", [1, 2, 3])
-def test_model_is_a_distribution(least):
-    trie = small_trie([words(t) for t in ("the cat the hat", "that cat sat", "", "a")], 2, least)
-    for ctx in (b"", b"t", b"th", b"he", b"e ", b"zz", b"ca"):
-        total = 0.0
-        for b in range(256):
-            data = np.frombuffer(b"\n\n" + ctx + bytes([b]), np.uint8)
-            total += 10 ** trie.scores(data, np.array([len(data) - 1]), np.array([len(data)]))[0]
-        assert total == pytest.approx(1.0)
-
-
-def brute_ppm(texts, order, t):
-    """Escapes by method D with exclusion, straight from counts."""
+def followers(texts, order):
+    """Context of each order -> counts of the bytes after it."""
     follow = {}
     for x in texts:
         s = b"\n" * order + b" ".join(x) + b"\n"
         for i in range(order, len(s)):
             for k in range(order + 1):
                 follow.setdefault(s[i - k : i], Counter())[s[i]] += 1
+    return follow
+
+
+def brute_ppm(follow, order, t):
+    """Escapes by method D with exclusion, straight from counts."""
     s, out = b"\n" * order + b" ".join(t) + b"\n", 0.0
     for i in range(order, len(s)):
         gone = set()
@@ -359,18 +342,49 @@ def brute_ppm(texts, order, t):
             out += math.log10(len(c) / (2 * total))
             gone |= set(c)
         else:
-            out += math.log10(1 / (256 - len(follow[b""])))
+            out += math.log10(1 / (256 - len(follow.get(b"", {}))))
     return out
 
 
-def test_model_equals_brute_force(monkeypatch):
-    texts = [words(t) for t in ("the cat the hat", "that cat sat", "", "on the mat", "abracadabra cadabra")]
-    trie = small_trie(texts, 2)
-    asked = [words(t) for t in ("the cat", "zebra", "", "that mat sat on abra", "x" * 50)]
-    want = [brute_ppm(texts, 2, t) for t in asked]
-    assert trie.scores(*lm.stream(asked, 2)) == pytest.approx(want)
+def test_scores_equal_brute_force(spark, docs):
+    """Every document of the query, by the whole unpruned model."""
+    follow = followers([words(d["text"]) for d in docs if zlib.crc32(str(d["doc_id"]).encode()) % 10], lm.ORDER)
+    got = {r.doc_id: r.score for r in lm.op8_ppm_score(spark, SF).collect()}
+    some = [d for d in docs if zlib.crc32(str(d["doc_id"]).encode()) % 10 == 0 or d["doc_id"] % 4 == 0]
+    assert [got[d["doc_id"]] for d in some] == pytest.approx([brute_ppm(follow, lm.ORDER, words(d["text"])) for d in some])
+
+
+@pytest.mark.parametrize("heavy", [0, 30, 1 << 20])
+def test_what_is_broadcast_changes_nothing(make_docs, monkeypatch, heavy):
+    texts = ["the cat the hat", "that cat sat", None, "", "on the mat", "abracadabra cadabra", "é日本 x", "zebra", "x" * 50, "that mat sat on abra", "The  CAT"] * 3
+    rows = [(i, t) for i, t in enumerate(texts)]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
+    follow = followers([words(t) for (_, t), h in zip(rows, held, strict=True) if not h], 2)
+    got = {r.doc_id: r for r in lm.score_documents(make_docs(rows), order=2, heavy_grams=heavy, heavy_words=heavy).collect()}
+    assert any(held) and [got[i].held_out for i, _ in rows] == held
+    assert [got[i].score for i, _ in rows] == pytest.approx([brute_ppm(follow, 2, words(t)) for _, t in rows])
+    base = Counter(w for (_, t), h in zip(rows, held, strict=True) if not h for w in [*words(t), lm.END])
+    assert [got[i].n_known for i, _ in rows] == [sum(w in base for w in [*words(t), lm.END]) for _, t in rows]
+
+
+def test_codes():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 48, 5000))
+    table = lm.Codes(keys, np.arange(len(keys), dtype=float))
+    asked = np.concatenate([keys[::3], rng.integers(0, 1 << 48, 3000)])
+    values, lost = table.get(asked)
+    want = {k: i for i, k in enumerate(keys.tolist())}
+    assert [want.get(k, 0) for k in asked.tolist()] == values.tolist() and [i for i, k in enumerate(asked.tolist()) if k not in want] == lost.tolist()
+    none, all_lost = lm.Codes(keys[:0], np.zeros(0)).get(asked)
+    assert not none.any() and len(all_lost) == len(asked)
+
+
+def test_stretches(monkeypatch):
+    texts = [words(t) for t in ("the cat the hat", "", "that cat sat", "a")]
+    whole = [np.concatenate(x).tolist() for x in zip(*lm.gram_codes(*lm.stream(texts, 3), 3), strict=True)]
     monkeypatch.setattr(lm, "STRETCH", 7)
-    assert trie.scores(*lm.stream(asked, 2)) == pytest.approx(want)
+    assert [np.concatenate(x).tolist() for x in zip(*lm.gram_codes(*lm.stream(texts, 3), 3), strict=True)] == whole
+    assert len(whole[0]) == sum(len(b" ".join(t)) + 1 for t in texts)
 
 
 def test_lm_odd_rows(make_docs, odd_rows):
