@@ -1,5 +1,6 @@
 """Quality rules, line dedup, licences, sharding and mixing: SQL on the small tables, then odd cases."""
 
+import hashlib
 import re
 import textwrap
 from collections import Counter
@@ -222,43 +223,102 @@ def brute_targets(sizes, weights=(5, 2, 1), most=3):
         capped |= set(over)
 
 
-def test_targets_and_taken(make_docs, odd_rows):
-    rows = [*odd_rows, *[(100 + i, " ".join(["w"] * (i % 13 + 1)), "en", f"src{i % 4}") for i in range(300)], (900, "tiny", "en", "zz"), (901, "w " * 4000, "en", "a")]
+def mix_rows(odd_rows):
+    return [*odd_rows, *[(100 + i, " ".join(["w"] * (i % 13 + 1)), "en", f"src{i % 4}") for i in range(300)], (900, "tiny", "en", "zz"), (901, "w " * 4000, "en", "a")]
+
+
+def test_targets_and_taken(make_docs, odd_rows, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_BLOCK", 64)
+    rows = mix_rows(odd_rows)
     docs = make_docs(rows)
-    m = mixing.mix(docs).select("key", "__row.doc_id", F.col("__row.source").alias("source"), "size", "target", "copy", "words", "shard").collect()
+    m = mixing.mix(docs).select("key", "__row.doc_id", F.col("__row.source").alias("source"), "size", "target", "copies", "copy", "skip", "words", "shard").collect()
     sizes = Counter()
     for _, t, *rest in rows:
         sizes[(*rest, None, None)[1]] += len(WORD.findall(t or ""))
     want = brute_targets(sizes)
-    taken = Counter()
+    taken, pieces = Counter(), {}
     for r in m:
         assert r.target == pytest.approx(want[r.source])
         taken[r.source] += r.words or 0
-        assert (r.words is None) == (r.copy is None) and (r.words is None or 0 < r.words <= r.size)
+        assert (r.words is None) == (r.copy is None) == (r.shard is None)
+        if r.copy is not None:
+            pieces.setdefault((r["key"], r.copy), []).append((r.skip, r.words, r.size))
     assert all(abs(taken[s] - want[s]) <= 0.5 for s in want)
+    # A copy's pieces follow one another from its first word on.
+    for ps in pieces.values():
+        at = 0
+        for skip, words, size in sorted(ps):
+            assert skip == at and words > 0
+            at += words
+        assert at <= size
     assert len({r["key"] for r in m}) == len(rows)
-    assert max(Counter(r["key"] for r in m if r.copy is not None).values()) <= 3
-    again = mixing.mix(make_docs(rows[::-1])).select("__row.doc_id", "copy", "words", "shard", "shuffle_key").collect()
-    first = mixing.mix(docs).select("__row.doc_id", "copy", "words", "shard", "shuffle_key").collect()
+    assert all(max([-1, *[c for k, c in pieces if k == r["key"]]]) + 1 == r.copies <= 3 for r in m)
+    again = mixing.mix(make_docs(rows[::-1])).select("__row.doc_id", "copy", "skip", "words", "shard", "shuffle_key").collect()
+    first = mixing.mix(docs).select("__row.doc_id", "copy", "skip", "words", "shard", "shuffle_key").collect()
     assert sorted(map(str, again)) == sorted(map(str, first))
     whole = mixing.mix(docs, cut="whole").collect()
     assert all(r.words is None or r.words == r.size for r in whole)
     assert mixing.mix(make_docs([])).count() == 0
 
 
-def test_tree_is_exact(spark):
-    q = spark.createDataFrame([("a", 700), ("b", 200), (None, 124)], "source string, n_blocks bigint")
-    t = mixing.splitting_tree(q, 8).collect()
-    assert len(t) == len({(r.source, r.block) for r in t}) == 1024
-    by = Counter(r.shard for r in t)
-    assert set(by.values()) == {128}
-    share = Counter((r.source, r.shard) for r in t)
-    assert all(60 <= share[("a", k)] <= 110 for k in range(8))
+def brute_tree(quotas, shards, seed="mix"):
+    """{source: blocks} -> {(source, block): shard}: quotas split down the tree by an urn, then each source's permuted blocks dealt by the leaves' quotas."""
+    text = lambda s: "" if s is None else s
+    order = lambda *parts: hashlib.md5(":".join(str(text(p)) for p in parts).encode()).hexdigest()
+    nodes = {0: dict(quotas)}
+    for level in range((shards - 1).bit_length()):
+        below = {}
+        for shard, node in nodes.items():
+            urn = sorted((order(f"{seed}/{level}", shard, s, i), s is None, text(s), i, s) for s, n in node.items() for i in range(1, n + 1))
+            left = Counter(u[-1] for u in urn[: (len(urn) + (shard + level) % 2) // 2])
+            below[2 * shard] = dict(left)
+            below[2 * shard + 1] = {s: n - left[s] for s, n in node.items()}
+        nodes = below
+    out = {}
+    for s, n in quotas.items():
+        blocks = iter(sorted(range(n), key=lambda b: (order(f"{seed}/block", s, b), b)))
+        for shard in sorted(nodes):
+            for _ in range(nodes[shard].get(s, 0)):
+                out[s, next(blocks)] = shard
+    return out
 
 
-def test_first_words(spark):
-    df = spark.createDataFrame([(" a  b\nc d", 2), ("x", 1)], "t string, n int")
-    assert [r[0] for r in df.select(mixing.first_words(F.col("t"), F.col("n"))).collect()] == [" a  b\n", "x"]
+def test_tree_splits_quotas_and_blocks_are_drawn(spark):
+    quotas = {"a": 700, "b": 200, None: 123}
+    q = spark.createDataFrame(list(quotas.items()), "source string, n_blocks bigint")
+    tree = mixing.splitting_tree(q, 8)
+    got = {(r.source, r.block): r.shard for r in mixing.draw_blocks(tree).collect()}
+    assert got == brute_tree(quotas, 8)
+    by = Counter(got.values())
+    assert sum(by.values()) == 1023 and set(by.values()) <= {127, 128}
+    # Exact quotas at every leaf, near the mixture of the whole but not equal to it.
+    share = Counter((s, k) for (s, _), k in got.items())
+    assert {(r.source, r.shard): r.n_blocks for r in tree.collect()} == share
+    assert all(60 <= share["a", k] <= 110 for k in range(8)) and len({share["a", k] for k in range(8)}) > 2
+
+
+def test_the_tree_decides_what_each_shard_gets(make_docs, odd_rows, monkeypatch):
+    """The shards in the mix are those of the brute-force tree over the blocks; without the tree's quotas they aren't."""
+    monkeypatch.setattr(mixing, "LEAST_BLOCK", 64)
+    m = [r for r in mixing.mix(make_docs(mix_rows(odd_rows))).collect() if r.copy is not None]
+    quotas = Counter()
+    for s, b in {(r["__row"].source, r.block) for r in m}:
+        quotas[s] = max(quotas[s], b + 1)
+    tree = brute_tree(dict(quotas), mixing.SHARDS)
+    assert [r.shard for r in m] == [tree[r["__row"].source, r.block] for r in m]
+    assert len({r.shard for r in m}) > 10
+    dealt = {k: b % mixing.SHARDS for b, k in enumerate(sorted(tree, key=str))}
+    assert [r.shard for r in m] != [dealt[r["__row"].source, r.block] for r in m]
+
+
+def test_pieces_are_written_shard_by_shard(spark, make_docs, tmp_path):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(i % 9 + 1)), "en", f"s{i % 3}") for i in range(200)]
+    m = mixing.mix(make_docs(rows))
+    mixing.write_mix(m, f"file://{tmp_path}/out")
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert back.count() == m.filter("copy IS NOT NULL").count()
+    text = back.select("row.text", mixing.piece_text(F.col("row.text"), F.col("piece.skip"), F.col("piece.words")).alias("p"), "piece.skip", "piece.words").collect()
+    assert all(r.p.split() == r.text.split()[r.skip : r.skip + r.words] for r in text)
 
 
 @pytest.mark.parametrize("name", ["op3_license_scan", "op5_shard_lookup", "op7_line_dedup", "op9_mix_sources", "op10_quality_rules"])
