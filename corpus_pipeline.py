@@ -6,12 +6,12 @@ again as the next one's docs. All but the last return the columns of documents:
     quality   documents that the quality rules reject go
     lines     later occurrences of repeated passages go; documents that lose their last word with them go too
     simhash   one document of each component of near copies stays, the one with the smallest id; linked are fingerprints within 3 bits, and
-              texts that share four fifths of their five-word shingles
-    mix       sources are mixed to their target weights: documents are dropped or repeated, always whole
+              texts whose sets of five-word shingles have a similarity of 0.8
+    mix       sources are mixed to their target weights: documents are dropped or repeated, always whole, and stand shard by shard in shuffled order
     pack      texts are tokenised and packed into sequences: one row a piece
 
-Null texts fail the quality rules. Rows that repeat an id are documents of their own until simhash, which keeps one of them; after mix,
-a document drawn twice is two rows, and packed twice. SQL can't express components or packing, so ORACLE_SQL is None.
+Null texts fail the quality rules. Rows that repeat an id are documents of their own, of which simhash keeps one if they are linked; after
+mix, a document drawn twice is two rows, and packed twice. SQL can't express components or packing, so ORACLE_SQL is None.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, cut="whole").filter("copy IS NOT NULL").select("__row.*")
+    return mixing.shuffled(mixing.mix(docs, cut="whole")).select("__row.*")
 
 
 def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
