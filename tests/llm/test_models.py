@@ -153,37 +153,59 @@ def test_language_odd_rows(make_docs, odd_rows):
 
 
 def brute_neighbours(rows, k=5):
-    ok = [(i, np.array(v, float)) for i, v in rows if v is not None and len(v) == 4 and all(x is not None and math.isfinite(x) for x in v) and any(v)]
-    out = {}
+    """[(id, vector)] -> for each query row its id and neighbours, by length, in exact fractions of scaled vectors."""
+    fine = lambda v: v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)
+    ok = [(i, np.array(v) / max(map(abs, v))) for i, v in rows if fine(v)]
+    out = []
     for n, (q, a) in enumerate(ok):
-        if q % 50 == 0:
-            s = [(-(a @ b) / (np.linalg.norm(a) * np.linalg.norm(b)), i) for m, (i, b) in enumerate(ok) if i != q]
-            out[q] = sorted((round(x, 9), i) for x, i in s)[:k]
-    return out
+        if q is not None and q % 50 == 0:
+            s = [(round(-(a @ b) / (np.linalg.norm(a) * np.linalg.norm(b)), 9), i is None, i or 0) for m, (i, b) in enumerate(ok) if m != n and len(a) == len(b)]
+            out.append((q, [(x, None if z else i) for x, z, i in sorted(s)[:k]]))
+    return sorted(out, key=str)
+
+
+def found_neighbours(df):
+    out = []
+    for r in df.collect():
+        if r["rank"] == 1:
+            out.append((r.query_id, []))
+        out[-1][1].append((round(-r.score, 9), r.vec_id))
+        assert len(out[-1][1]) == r["rank"]
+    return sorted(out, key=str)
 
 
 def test_neighbours_odd_rows(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.standard_normal(4)]) for i in range(120)]
-    rows += [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(200, 230)] + [(250, [2.0, 4.0, 6.0, 8.0]), (300, None), (350, [0.0] * 4), (400, [1.0, None, 0.0, 0.0]), (450, [float("nan"), 1.0, 0.0, 0.0]), (500, [float("inf"), 1.0, 0.0, 0.0]), (550, [1.0, 2.0]), (None, [1.0, 1.0, 1.0, 1.0])]
+    rows += [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(200, 230)] + [(250, [2.0, 4.0, 6.0, 8.0]), (300, None), (350, [0.0] * 4), (400, [1.0, None, 0.0, 0.0]), (450, [float("nan"), 1.0, 0.0, 0.0]), (500, [float("inf"), 1.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0, 1.0])]
+    # Repeated ids, equal rows, components whose squares leave a double's range, and other lengths.
+    rows += [(0, [1.0, 0.0, 0.0, 0.0]), (0, [1.0, 0.0, 0.0, 0.0]), (600, [1e200, 1e200, 0.0, 1e199]), (650, [1e-200, 2e-200, 0.0, 3e-200]), (601, [1e-300, 1e-300, 0.0, 1e-301])]
+    rows += [(550, [1.0, 2.0]), (551, [2.0, 4.5]), (552, [-1.0, 0.0]), (700, [3.0])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id bigint, embedding array<double>, score string")
-    want = brute_neighbours([r for r in rows if r[0] is not None])
-    got = {}
-    for r in ann.search(df).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((round(-r.score, 9), r.vec_id))
-    assert got.keys() == want.keys()
-    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * sum(map(len, want.values()))
-    assert [i for _, i in got[200]] == [201, 202, 203, 204, 205]
+    want, got = brute_neighbours(rows), found_neighbours(ann.search(df))
+    assert [q for q, _ in got] == [q for q, _ in want if q != 700] and sum(q == 0 for q, _ in got) == 3
+    assert [x for q, x in got if q in (200, 250, 550, 600, 650)] == [x for q, x in want if q in (200, 250, 550, 600, 650)]
+    hits = sum(len(set(a) & set(b)) for (_, a), (_, b) in zip(got, [w for w in want if w[0] != 700], strict=True))
+    assert hits >= 0.9 * sum(len(x) for _, x in want)
     assert ann.search(df.limit(0)).count() == 0
     few = ann.search(df.filter("vec_id < 3"))
-    assert [r.vec_id for r in few.collect() if r.query_id == 0] and few.count() == 2
+    assert [len(x) for q, x in found_neighbours(few) if q == 0] == [4, 4, 4]
 
 
-def test_recall(spark):
+@pytest.mark.parametrize("lists", [None, 1500])
+def test_recall(spark, monkeypatch, lists):
+    """Of one level of lists, and of two."""
+    if lists:
+        monkeypatch.setattr(ann, "FINE_FROM", 1)
+        monkeypatch.setattr(ann, "MOST_LISTS", 8)
     t = pq.read_table(f"{SF}/embeddings.parquet")
     ids, m = t["vec_id"].to_numpy(), ann.units(ann.matrix(t["embedding"].combine_chunks()))
+    if lists:
+        index = ann.Lists(m, lists)
+        assert len(index) == 64 and set(index.home(m).tolist()) <= set(range(64)) and len(set(index.home(m).tolist())) > 8
+        assert [int(index.nearest(v, 1)[0]) for v in m[:50]] == [int(np.argmax(index.nearness(v))) for v in m[:50]]
     got = {}
-    for r in ann.op4_nearest(spark, SF).collect():
+    for r in ann.search(spark.read.parquet(f"{SF}/embeddings.parquet"), lists=lists).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hits = total = 0
     for q in np.flatnonzero(ids % 50 == 0):
@@ -198,7 +220,7 @@ def test_scan_keeps_the_nearest():
     rng = np.random.default_rng(3)
     c, q = ann.units(rng.standard_normal((3000, 64))), ann.units(rng.standard_normal((20, 64)))
     turn = ann.rotation(64)
-    alive = ann.scan(c @ turn, q @ turn, 5)
+    alive = list(ann.scan(c @ turn, q @ turn, 5))
     near = np.argsort(-(q @ c.T), axis=1)[:, :5]
     assert np.mean([len(set(a) & set(n)) / 5 for a, n in zip(alive, near, strict=True)]) > 0.95
     assert np.mean([len(a) for a in alive]) < 1500
