@@ -2,14 +2,16 @@
 
 A text is a bag of letter trigrams drawn from a mixture of languages. Each language's trigram distribution (over BUCKETS hashed
 trigrams, add-HALF smoothed) is learned from labelled documents: of each language a sample of about PER_LANGUAGE documents by a hash of
-the id, whole texts; that bound makes the model's cost independent of the corpus. For every document expectation-maximisation estimates the
-proportions; the set of languages grows from the best single one, by the proportions of the mixture over all, as long as the gain in
-log-likelihood exceeds a penalty of half the logarithm of the sample size for each language added. The prediction is the set's most
-probable language, its score the proportion.
+the id, whole texts; that bound makes the model's cost independent of the corpus. The model is broadcast and has at most MOST_MODEL bytes: of
+more languages than BUCKETS allow at that size, trigrams share fewer buckets. For every document expectation-maximisation estimates the
+proportions of all languages (ROUNDS rounds, or until none moves by CLOSE); the set of languages grows from the best single one, by the
+proportions of the mixture over all, as long as the gain in log-likelihood exceeds a penalty for each language added: neighbouring trigrams
+share letters, so a third of the n trigrams and a third of the gain count as independent, and gain / 3 must exceed half the logarithm of n / 3.
+The prediction is the set's most probable language, its score the proportion.
 
 Text alone is read for a prediction. Null texts, texts without letters, and all texts where nothing could be learned, are `und` with score 0.
 Documents with null language aren't learned from. Ties go to the lesser name. Rows that repeat an id are predicted each. Very long
-texts are first counted by trigram, so their mixture is estimated over BUCKETS rows at most.
+texts are first counted by trigram, which changes no likelihood, so their mixture is estimated over BUCKETS rows at most.
 """
 
 from __future__ import annotations
@@ -28,8 +30,11 @@ PER_LANGUAGE = 4000
 FOLDS = 5
 HALF = 0.5
 ROUNDS = 12
-#: Of more languages than this, those with the largest single likelihoods enter a text's mixture.
-MOST_MIXED = 24
+CLOSE = 1e-3
+#: Bytes of the model that is broadcast, at most.
+MOST_MODEL = 64 << 20
+#: Texts of more trigrams are counted first.
+COUNT_FROM = 8192
 #: The table of languages is broadcast up to so many rows.
 MOST_BROADCAST = 10_000
 
@@ -43,6 +48,11 @@ def _letters() -> np.ndarray:
     return _LETTER
 
 
+def buckets_for(languages: int) -> int:
+    """As many buckets, a power of two, as keep the model within its bound."""
+    return min(BUCKETS, 1 << max(1, (MOST_MODEL // (4 * max(1, languages))).bit_length() - 1))
+
+
 def trigrams(text: str) -> np.ndarray:
     """Bucket of each trigram that holds a letter; what is no letter counts as a space."""
     cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -58,19 +68,30 @@ def trigrams(text: str) -> np.ndarray:
     return (h >> np.uint32(17)).astype(np.int64)[some[:-2] | some[1:-1] | some[2:]]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, text -> lang, bucket, c; one dense row of counts for each language of the task."""
-    sums: dict[str, np.ndarray] = {}
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            t = trigrams(text or "")
-            if len(t):
-                if lang not in sums:
-                    sums[lang] = np.zeros(BUCKETS, np.int64)
-                sums[lang] += np.bincount(t, minlength=BUCKETS)
-    for lang, c in sums.items():
-        at = np.flatnonzero(c)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "bucket", "c"])
+def _counted(buckets: int):
+    """mapInArrow: lang, text -> lang, bucket, c; one dense row of counts for each language of the task, as many at once as the model's bound allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, c in sums.items():
+                at = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "bucket", "c"])
+            sums.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                t = trigrams(text or "") & (buckets - 1)
+                if len(t):
+                    if lang not in sums:
+                        if (len(sums) + 1) * buckets * 8 > MOST_MODEL:
+                            yield from out()
+                        sums[lang] = np.zeros(buckets, np.int64)
+                    sums[lang] += np.bincount(t, minlength=buckets)
+        yield from out()
+
+    return run
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
@@ -80,15 +101,20 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
     rates = named.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count(F.lit(1))).alias("rate")).withColumnRenamed("lang", "__lang")
     # A hash of the id, evenly spread over [0, 1); a language takes the ids below its rate.
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    if rates.count() <= MOST_BROADCAST:
+    languages = rates.count()
+    buckets = buckets_for(languages)
+    if languages <= MOST_BROADCAST:
         rates = F.broadcast(rates)
     sample = named.join(rates, F.col("lang") == F.col("__lang")).filter(draw < F.col("rate")).select("lang", "text")
-    got = sample.mapInArrow(_count, "lang string, bucket int, c bigint").groupBy("lang", "bucket").agg(F.sum("c").alias("c")).toArrow()
-    names = sorted(set(got.column("lang").to_pylist()))
-    counts = np.zeros((BUCKETS, len(names)))
+    got = sample.mapInArrow(_counted(buckets), "lang string, bucket int, c bigint").groupBy("lang", "bucket").agg(F.sum("c").alias("c")).toArrow()
+    lang = got.column("lang").combine_chunks().dictionary_encode()
+    found = lang.dictionary.to_pylist()
+    names = sorted(found)
     index = {n: i for i, n in enumerate(names)}
-    counts[got.column("bucket").to_numpy(), np.array([index[x] for x in got.column("lang").to_pylist()], int)] = got.column("c").to_numpy()
-    return names, np.log((counts + HALF) / (counts.sum(axis=0) + HALF * BUCKETS)).astype(np.float32)
+    counts = np.zeros((buckets, len(names)), np.float32)
+    if names:
+        counts[got.column("bucket").to_numpy(), np.array([index[x] for x in found])[lang.indices.to_numpy()]] = got.column("c").to_numpy()
+    return names, np.log((counts + HALF) / (counts.sum(axis=0, dtype=np.float64) + HALF * buckets)).astype(np.float32)
 
 
 def mixture(p: np.ndarray, weight: np.ndarray | None, start: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
@@ -98,7 +124,7 @@ def mixture(p: np.ndarray, weight: np.ndarray | None, start: np.ndarray, rounds:
     for _ in range(rounds):
         r = 1.0 / (p @ pi) if weight is None else weight / (p @ pi)
         new = pi * (r @ p) / n
-        if np.abs(new - pi).max() < 1e-3:
+        if np.abs(new - pi).max() < CLOSE:
             pi = new
             break
         pi = new
@@ -108,26 +134,22 @@ def mixture(p: np.ndarray, weight: np.ndarray | None, start: np.ndarray, rounds:
 
 def infer(text: str | None, logp: np.ndarray) -> tuple[np.ndarray | None, list[int]]:
     """Proportions of all languages (None: undetermined) and the set selected."""
-    ids = trigrams(text) if text else np.zeros(0, np.int64)
+    ids = trigrams(text) & (len(logp) - 1) if text else np.zeros(0, np.int64)
     if not len(ids) or not logp.shape[1]:
         return None, []
     weight = None
-    if len(ids) > 2 * BUCKETS:
-        counts = np.bincount(ids, minlength=BUCKETS)
+    if len(ids) > COUNT_FROM:
+        counts = np.bincount(ids, minlength=len(logp))
         ids = np.flatnonzero(counts)
         weight = counts[ids].astype(np.float32)
     lp = logp[ids]
     single = lp.sum(axis=0, dtype=np.float64) if weight is None else (weight.astype(np.float64) @ lp)
-    some = np.arange(logp.shape[1])
-    if len(some) > MOST_MIXED:
-        some = np.sort(np.argsort(-single, kind="stable")[:MOST_MIXED])
-        lp, single = lp[:, some], single[some]
     # Scaled by the row's largest, which changes likelihoods by a constant and keeps floats in range.
     top = lp.max(axis=1)
     shift = float(top.sum(dtype=np.float64) if weight is None else weight @ top)
     p = np.exp(lp - top[:, None])
     n = len(lp) if weight is None else float(weight.sum())
-    # Neighbouring trigrams share letters: a third of them counts as independent.
+    # gain / 3 > log(n / 3) / 2
     penalty = 1.5 * np.log(max(n / 3, 2.0))
     best = int(np.argmax(single))
     chosen, now, pi = [best], float(single[best]) - shift, np.ones(1)
@@ -142,8 +164,8 @@ def infer(text: str | None, logp: np.ndarray) -> tuple[np.ndarray | None, list[i
             if ll - now > penalty:
                 chosen, now, pi = trial, ll, share
     out = np.zeros(logp.shape[1])
-    out[some[chosen]] = pi
-    return out, [int(some[k]) for k in chosen]
+    out[chosen] = pi
+    return out, chosen
 
 
 def predict(docs: DataFrame, names: list[str], logp: np.ndarray) -> DataFrame:

@@ -140,6 +140,72 @@ def test_mixture_finds_both_languages(docs):
     assert np.allclose(long, pi, atol=0.05)
 
 
+def brute_mixture(p, start):
+    """p[i][k]: probability of trigram i in language k -> proportions, log-likelihood; by the book, one trigram at a time."""
+    pi = list(start)
+    for _ in range(langid.ROUNDS):
+        new = [0.0] * len(pi)
+        for row in p:
+            total = sum(a * b for a, b in zip(row, pi, strict=True))
+            for k, x in enumerate(row):
+                new[k] += pi[k] * x / total / len(p)
+        moved = max(abs(a - b) for a, b in zip(new, pi, strict=True))
+        pi = new
+        if moved < langid.CLOSE:
+            break
+    return pi, sum(math.log(sum(a * b for a, b in zip(row, pi, strict=True))) for row in p)
+
+
+def brute_languages(text, logp):
+    """Proportions by language of the set that the penalty leaves."""
+    p = [[math.exp(x) for x in logp[t].tolist()] for t in langid.trigrams(text)]
+    n, kinds = len(p), range(logp.shape[1])
+    single = [sum(math.log(row[k]) for row in p) for k in kinds]
+    best = max(kinds, key=lambda k: single[k])
+    chosen, now, pi = [best], single[best], [1.0]
+    whole, _ = brute_mixture(p, [1 / len(kinds)] * len(kinds))
+    for k in sorted(kinds, key=lambda k: -whole[k]):
+        if k == best or whole[k] < 0.01:
+            continue
+        trial = sorted([*chosen, k])
+        start = [max(whole[x], 0.01) for x in trial]
+        share, ll = brute_mixture([[row[x] for x in trial] for row in p], [x / sum(start) for x in start])
+        if ll - now > 1.5 * math.log(max(n / 3, 2)):
+            chosen, now, pi = trial, ll, share
+    return {k: x / sum(pi) for k, x in zip(chosen, pi, strict=True)}
+
+
+def languages(count, seed=2):
+    """Models of that many invented languages: letter trigrams of their own mixture of syllables."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for _ in range(count):
+        syllables = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 2)) for _ in range(30)]
+        texts.append(" ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(1500)))
+    counts = np.stack([np.bincount(langid.trigrams(t), minlength=langid.BUCKETS) for t in texts], axis=1)
+    return texts, np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * langid.BUCKETS)).astype(np.float32)
+
+
+def test_mixture_equals_brute_force():
+    texts, logp = languages(6)
+    for text in (texts[1][:400], texts[2][:300] + " " + texts[4][:150], texts[0][:200] + " " + texts[3][:200] + " " + texts[5][:200], "ab", texts[1][:90] + texts[2][:8]):
+        pi, chosen = langid.infer(text, logp)
+        want = brute_languages(text, logp)
+        assert set(chosen) == set(want) and all(pi[k] == pytest.approx(x, abs=2e-3) for k, x in want.items())
+
+
+def test_mixture_of_many_languages(make_docs):
+    """However many there are, each may enter a mixture, and the model keeps its bound."""
+    texts, logp = languages(60)
+    mixed = " ".join(texts[k][:600] for k in range(0, 60, 2))
+    _, chosen = langid.infer(mixed, logp)
+    assert len(chosen) >= 28 and all(k % 2 == 0 for k in chosen)
+    assert langid.buckets_for(4) == langid.BUCKETS and all(langid.buckets_for(n) * n * 4 <= langid.MOST_MODEL for n in (1, 511, 513, 10_000, 1_000_000))
+    rows = [(i, texts[i % 60][:1500], f"l{i % 60:02d}") for i in range(600)]
+    got = langid.identify(make_docs(rows)).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id % 60:02d}" for r in got if r.held_out) >= 0.95 * sum(r.held_out for r in got)
+
+
 def test_language_odd_rows(make_docs, odd_rows):
     got = langid.identify(make_docs(odd_rows)).collect()
     assert len(got) == len(odd_rows)
