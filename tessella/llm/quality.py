@@ -1,7 +1,8 @@
 """Quality rules: a threshold table compiled into one projection.
 
 Every measure and every rule is a built-in Spark expression over the row's own text, so the plan is scan -> project (or filter): no shuffle, no
-user function, and nothing that grows but the row. Null text counts as a text without words. Repeated rows are judged alike; columns
+user function, and nothing that grows but the row. Stop words are of languages in Latin letters; the ratio counts as met (one) in texts that have
+fewer Latin letters than half their characters, which it can't judge. Null text counts as a text without words. Repeated rows are judged alike; columns
 other than the text are neither read nor touched.
 """
 
@@ -14,12 +15,25 @@ from .common import SPACE_CLASS, WORD_PATTERN, documents, let, word_list
 
 WINDOW = 8
 
-#: Common function words of the languages served (fixed values).
+#: Common function words of languages in Latin letters (fixed values).
 STOP_WORDS = (
     "the of and to in a is that it on was for with as be by are this at from or an "
     "der die das und ist nicht mit von zu den dem ein eine für auf im sich des als auch "
-    "le la les de des et est que qui un une du pour dans en sur au il elle pas "
-    "el los las y que en un una por con para del se no su es lo al como"
+    "le la les de et est que qui un une du pour dans en sur au il elle pas "
+    "el los las por con para del se no su es lo al como "
+    "il che di non per sono gli della nel "
+    "os da do em um uma não com "
+    "het een van niet zijn voor "
+    "och att det som på inte är "
+    "og af til ikke er "
+    "ja on ei että oli "
+    "na nie się jest że "
+    "je že ve jsou "
+    "și la nu cu este "
+    "ve bir bu için ile "
+    "és az hogy nem egy "
+    "yang dan di untuk dengan "
+    "và của là có không"
 ).split()
 
 #: (measure, lowest, highest) of a text that passes, either bound None. Ratios are by word, or by line for *_lines.
@@ -71,6 +85,7 @@ def counts(text: Column) -> Column:
             n(lines).alias("n_lines"),
             F.regexp_count(t, F.lit("!!")).cast("long").alias("n_shouts"),
             n(F.filter(w, lambda x: F.lower(x).isin(list(dict.fromkeys(STOP_WORDS))))).alias("n_stop_words"),
+            F.regexp_count(t, F.lit("[A-Za-z]")).cast("long").alias("n_latin"),
             n(F.filter(lines, lambda x: x.rlike("^" + SPACE_CLASS + "*[-*•]"))).alias("n_bullet_lines"),
             n(F.filter(lines, lambda x: x.rlike("(\\.\\.\\.|…)" + SPACE_CLASS + "*$"))).alias("n_ellipsis_lines"),
         )
@@ -90,7 +105,7 @@ def _ratios(m: Column) -> dict[str, Column]:
         "mean_word_chars": by("word_chars", "n_words"),
         "symbol_ratio": by("n_symbols", "n_words"),
         "shout_ratio": by("n_shouts", "n_words"),
-        "stop_ratio": by("n_stop_words", "n_words"),
+        "stop_ratio": F.when(m["n_latin"] * 2 < m["word_chars"], F.lit(1.0)).otherwise(by("n_stop_words", "n_words")),
         "dup_line_ratio": by("n_dup_lines", "n_lines"),
         "bullet_line_ratio": by("n_bullet_lines", "n_lines"),
         "ellipsis_line_ratio": by("n_ellipsis_lines", "n_lines"),
@@ -137,7 +152,7 @@ def _sql() -> str:
         "mean_word_chars": "word_chars / greatest(n_words, 1)",
         "symbol_ratio": "n_symbols / greatest(n_words, 1)",
         "shout_ratio": "n_shouts / greatest(n_words, 1)",
-        "stop_ratio": "n_stop_words / greatest(n_words, 1)",
+        "stop_ratio": "CASE WHEN n_latin * 2 < word_chars THEN 1.0 ELSE n_stop_words / greatest(n_words, 1) END",
         "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
         "bullet_line_ratio": "n_bullet_lines / greatest(n_lines, 1)",
         "ellipsis_line_ratio": "n_ellipsis_lines / greatest(n_lines, 1)",
@@ -155,6 +170,7 @@ m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_st
         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, len(ls) AS n_lines,
         len(regexp_extract_all(t, '!!')) AS n_shouts,
         len(list_filter(ws, lambda x: lower(x) IN ({stops}))) AS n_stop_words,
+        len(regexp_extract_all(t, '[A-Za-z]')) AS n_latin,
         len(list_filter(ls, lambda x: regexp_matches(x, '^[\\x20\\x09-\\x0D]*[-*•]'))) AS n_bullet_lines,
         len(list_filter(ls, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS n_ellipsis_lines
       FROM w LEFT JOIN cov USING (rid)),
