@@ -9,7 +9,9 @@ Lines without a word belong to no window and stay. Null text stays null, with no
 document and treated alike; a null id sorts first. Extra columns pass through untouched, whatever their names.
 
 Windows are written once to the shared folder; repeats are counted with map-side partial aggregation, so a window that a third of all
-documents share costs one row per task, and the join that marks occurrences has no key that must stay in one task.
+documents share costs one row per task. The occurrences of such windows (a HOT_SHARE of all each, so their number is bounded) are marked by a
+broadcast join, only the others by a shuffle, so no key must stay in one task. Documents that lose lines, if they are MOST_COVERED or
+fewer, are broadcast to the texts; otherwise texts meet them by a shuffle.
 """
 
 from __future__ import annotations
@@ -21,6 +23,11 @@ from .common import SPACES, WORD_PATTERN, Stored, documents, let
 
 RUN = 3
 LONG_WORDS = 50
+#: A window is hot if one in so many is it.
+HOT_SHARE = 5000
+#: Documents that lose lines, and their lines, broadcast at most.
+MOST_COVERED = 200_000
+MOST_LINES = 2_000_000
 
 
 def windows(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
@@ -44,11 +51,18 @@ def windows(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     return out.select("__id", "__th", F.expr("transform(w, x -> x.i)").alias("idx"), F.expr("xxhash64(transform(w, x -> x.x))").alias("h1"), F.expr("xxhash64(reverse(transform(w, x -> x.x)), 'r')").alias("h2"))
 
 
-def covered_lines(docs: DataFrame, stored: Stored, long_words: int = LONG_WORDS) -> DataFrame:
+def covered_lines(docs: DataFrame, stored: Stored, long_words: int = LONG_WORDS, hot_share: int = HOT_SHARE) -> DataFrame:
     """(__id, __th, covered: sorted line numbers) of documents that hold a later occurrence."""
     w = stored.put(windows(docs, long_words))
-    first = w.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__id", "__th", "idx")).alias("first")).filter("n > 1").drop("n")
-    later = w.join(first, ["h1", "h2"]).filter(~F.struct("__id", "__th", "idx").eqNullSafe(F.col("first")))
+    place = F.struct("__id", "__th", "idx")
+    first = stored.put(w.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1"))
+    least = max(1000, w.count() // hot_share)
+    hot, cold = first.filter(F.col("n") >= least).drop("n"), first.filter(F.col("n") < least).drop("n")
+    if hot.isEmpty():
+        later = w.join(first.drop("n"), ["h1", "h2"])
+    else:
+        later = w.join(F.broadcast(hot), ["h1", "h2"]).unionByName(w.join(F.broadcast(hot), ["h1", "h2"], "left_anti").join(cold, ["h1", "h2"]))
+    later = later.filter(~place.eqNullSafe(F.col("first")))
     return later.select("__id", "__th", F.explode("idx").alias("i")).groupBy("__id", "__th").agg(F.sort_array(F.collect_set("i")).alias("covered"))
 
 
@@ -56,7 +70,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     """docs with the text's repeated passages removed, and n_lines, n_removed (in a struct column `line_dedup`)."""
     stored = Stored(docs.sparkSession, "lines")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{id_column}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
-    cov = covered_lines(keyed.select("__id", "__text"), stored, long_words).select(F.col("__id").alias("__cid"), F.col("__th").alias("__cth"), "covered")
+    cov = stored.put(covered_lines(keyed.select("__id", "__text"), stored, long_words).select(F.col("__id").alias("__cid"), F.col("__th").alias("__cth"), "covered"))
+    count, lines = cov.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("covered")), F.lit(0))).first()
+    if count <= MOST_COVERED and lines <= MOST_LINES:
+        cov = F.broadcast(cov)
     both = keyed.join(cov, F.col("__id").eqNullSafe(F.col("__cid")) & (F.xxhash64("__text") == F.col("__cth")), "left")
     n_lines = lambda x: F.when(x.isNull(), 0).otherwise(F.size(F.split(x, "\n"))).cast("long")
     return both.select(

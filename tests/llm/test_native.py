@@ -46,8 +46,10 @@ def test_quality_keeps_prose_and_drops_junk(make_docs):
     clean = " ".join(f"the word{i} of and thing{i * 7}" for i in range(30)) + "."
     junk = " ".join(f"WORD{i}!!" for i in range(60))
     table = " | ".join(f"cell{i}" for i in range(60))
-    kept = {r.doc_id for r in quality.passing(make_docs([(1, clean), (2, junk), (3, table), (4, "too short"), (5, None)])).collect()}
-    assert kept == {1}
+    italian = " ".join(f"la parola{i} non è per cosa{i * 7}" for i in range(30)) + "."
+    russian = " ".join(f"слово{i} и дело{i * 7}" for i in range(30)) + "."
+    kept = {r.doc_id for r in quality.passing(make_docs([(1, clean), (2, junk), (3, table), (4, "too short"), (5, None), (6, italian), (7, russian)])).collect()}
+    assert kept == {1, 6, 7}
 
 
 def brute_lines(rows, long_words=50):
@@ -128,6 +130,16 @@ def layouts(text):
     return [*wrapped, *comments, "/*\n" + comments[0] + "\n */\nint x;", "The License\n\nCopyright (c) 2020 A. Person\n" + wrapped[1] + "\nsome code", " ".join(text.split()), wrapped[1].replace("\n", "\r\n")]
 
 
+def test_hot_windows_and_shuffled_documents_change_nothing(make_docs, monkeypatch):
+    passage = "one line\nanother line\nthe third line"
+    rows = [(i, f"start {i}\n{passage}\nend {i % 700}\n{passage if i % 2 else 'x'}\nlast {i % 50}") for i in range(1500)]
+    want = brute_lines(rows)
+    for most in (linededup.MOST_COVERED, 10):
+        monkeypatch.setattr(linededup, "MOST_COVERED", most)
+        got = {r["__row"].doc_id: r.kept_text for r in linededup.dedup_lines(make_docs(rows)).collect()}
+        assert [got[i] for i, _ in rows] == want
+
+
 def test_licenses(make_docs, odd_rows):
     assert all(any(k in s for k in licenses.KEYS) for s in licenses.known())
     rows = [*odd_rows, (20, "Text.\nLicensed under the Apache License, Version 2.0.\nMore. All rights reserved."), (22, MIT.split("\n\n")[1]), (23, "I got a license to drive."), (24, "It is not released under the MIT License")]
