@@ -78,6 +78,11 @@ def elapsed_seconds(text: Column) -> Column:
     return F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, p: acc * 60 + p)
 
 
+def percent(part: Column, whole: Column, digits: int = 1) -> Column:
+    """A share in percent; ties go to the even digit."""
+    return F.bround(F.lit(100.0) * part / whole, digits)
+
+
 def mib_per_s(nbytes: Column, ms: Column) -> Column:
     return F.when(ms > 0, nbytes / F.lit(1048576.0) / (ms / F.lit(1000.0))).otherwise(F.lit(0.0))
 

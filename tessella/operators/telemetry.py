@@ -1,7 +1,9 @@
 """Telemetry: counter deltas and rates, merged histograms and their two quantiles, splits and summaries.
 
-Rates are increase over elapsed time within the window, counter resets handled by counting from zero, without extrapolation to the
-window's edges; a window with fewer than two samples has no row.
+Rates are evaluated at steps over the sliding range that ends there, open at its start: increase over elapsed time, counter resets handled by
+counting from zero. Without extrapolation it is the time between the range's first and last sample that counts; with it the increase is
+carried on to the range's edges, by half a sample's distance at most where they are far, and never below a counter's zero. A range with
+fewer than two samples has no row.
 """
 
 from __future__ import annotations
@@ -21,24 +23,53 @@ def counter_delta(samples: DataFrame, by: list[str], mode: str = "clamp") -> Dat
     return p.select(*by, "e0", "epoch_ms", "dt", delta.cast("bigint").alias("delta"))
 
 
-def rate_buckets(samples: DataFrame, by: list[str], width_s: int) -> DataFrame:
-    """Interval deltas dealt to buckets of width_s by their midpoints since the first sample; empty buckets have no row."""
-    d = counter_delta(samples, by)
+def split_rates(samples: DataFrame, width_s: int) -> DataFrame:
+    """host, epoch_ms, line_no, fuse, peer, blob, reads -> rates by bucket, and totals.
+
+    Each interval's clamped deltas go to the bucket of its midpoint since the first sample; local is what neither peers nor the origin served in
+    the interval. total_local is clamped once, of the totals, and isn't the sum of the buckets'. Empty buckets have no row."""
+    w = Window.partitionBy("host").orderBy("epoch_ms", "line_no")
+    names = ("fuse", "peer", "blob", "reads")
+    p = samples.withColumns({"e0": F.lag("epoch_ms").over(w), **{f"{c}0": F.lag(c).over(w) for c in names}}).filter(F.col("epoch_ms") > F.col("e0"))
+    d = p.select("e0", "epoch_ms", *[F.greatest(F.lit(0), F.col(c) - F.col(f"{c}0")).alias(c) for c in names])
+    d = d.withColumn("local", F.greatest(F.lit(0), F.col("fuse") - F.col("peer") - F.col("blob")))
     t0 = samples.agg(F.min("epoch_ms").alias("t0"))
     k = F.floor(((F.col("e0") + F.col("epoch_ms")) / 2 - F.col("t0")) / 1000 / width_s).cast("bigint")
-    g = d.crossJoin(F.broadcast(t0)).groupBy(k.alias("bucket")).agg(F.sum("delta").cast("bigint").alias("total"))
-    return g.select("bucket", (F.col("bucket") * width_s + width_s / 2).cast("double").alias("t_s"), "total", F.round(F.col("total") / width_s, 6).alias("rate"))
+    total = lambda c: F.sum(c).cast("bigint").alias(c)
+    g = d.crossJoin(F.broadcast(t0)).groupBy(k.alias("bucket")).agg(*[total(c) for c in (*names, "local")])
+    every = g.agg(*[F.sum(c).cast("bigint").alias(f"total_{c}") for c in names])
+    every = every.withColumn("total_local", F.greatest(F.lit(0), F.col("total_fuse") - F.col("total_peer") - F.col("total_blob")))
+    rate = [F.round(F.col(c) / width_s, 6).alias(c) for c in (*names, "local")]
+    return g.crossJoin(F.broadcast(every)).select("bucket", (F.col("bucket") * width_s + width_s / 2).cast("double").alias("t_s"), *rate, "total_fuse", "total_peer", "total_blob", "total_reads", "total_local")
+
 
+def range_rate(samples: DataFrame, by: list[str], range_s: int = 60, step_s: int = 30, extrapolate: bool = False) -> DataFrame:
+    """by, epoch_ms, line_no, value -> by, t_ms (the step), increase, span (ms between first and last sample), per_s.
 
-def window_rate(samples: DataFrame, by: list[str], width_s: int) -> DataFrame:
-    """Per tumbling window: increase (with resets) over the time between its first and last sample; per second."""
-    win = F.floor(F.col("epoch_ms") / (1000 * width_s)).cast("bigint")
-    s = samples.withColumn("win", win)
-    w = Window.partitionBy(*by, "win").orderBy("epoch_ms", "value")
-    p = s.withColumns({"v0": F.lag("value").over(w), "n": F.count(F.lit(1)).over(Window.partitionBy(*by, "win"))}).filter("n >= 2")
-    inc = F.when(F.col("v0").isNull(), 0).when(F.col("value") < F.col("v0"), F.col("value")).otherwise(F.col("value") - F.col("v0"))
-    g = p.groupBy(*by, "win").agg(F.sum(inc).cast("bigint").alias("increase"), (F.max("epoch_ms") - F.min("epoch_ms")).alias("span")).filter("span > 0")
-    return g.select(*by, "win", "increase", "span", (F.col("increase") * 1000 / F.col("span")).alias("per_s"))
+    One ordered pass over each series finds what a sample adds to the one before; a sample then goes to the range_s / step_s steps whose range
+    holds it, where an increase counts if the sample before lies in the range as well."""
+    w = Window.partitionBy(*by).orderBy("epoch_ms", "line_no")
+    p = samples.withColumns({"e0": F.lag("epoch_ms").over(w), "v0": F.lag("value").over(w)})
+    p = p.withColumn("inc", F.when(F.col("v0").isNull(), 0).when(F.col("value") < F.col("v0"), F.col("value")).otherwise(F.col("value") - F.col("v0")))
+    step, span = 1000 * step_s, 1000 * range_s
+    first = F.ceil(F.col("epoch_ms") / step).cast("bigint") * step
+    p = p.select(*by, "epoch_ms", "line_no", "value", "e0", "inc", F.explode(F.sequence(first, F.col("epoch_ms") + span - 1, F.lit(step).cast("bigint"))).alias("t_ms"))
+    g = p.groupBy(*by, "t_ms").agg(
+        F.sum(F.when(F.col("e0") > F.col("t_ms") - span, F.col("inc")).otherwise(0)).cast("bigint").alias("increase"),
+        F.min("epoch_ms").alias("first"),
+        F.max("epoch_ms").alias("last"),
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.struct("epoch_ms", "line_no", "value"))["value"].alias("from"),
+    )
+    g = g.filter("n >= 2 AND last > first").withColumn("span", F.col("last") - F.col("first"))
+    if not extrapolate:
+        return g.select(*by, "t_ms", "increase", "span", (F.col("increase") * 1000 / F.col("span")).alias("per_s"))
+    apart = F.col("span") / (F.col("n") - 1)
+    edge = lambda gap: F.when(gap >= apart * 1.1, apart / 2).otherwise(gap)
+    start = edge(F.col("first") - (F.col("t_ms") - span))
+    zero = F.when((F.col("increase") > 0) & (F.col("from") >= 0), F.col("span") * F.col("from") / F.col("increase"))
+    whole = F.col("span") + F.least(start, F.coalesce(zero, start)) + edge(F.col("t_ms") - F.col("last"))
+    return g.select(*by, "t_ms", "increase", "span", (F.col("increase") * (whole / F.col("span")) / range_s).alias("per_s"))
 
 
 def hist_delta(hist: DataFrame, by: list[str]) -> DataFrame:
@@ -64,7 +95,7 @@ def quantile_upper_bound(hist: DataFrame, by: list[str], qs: dict[str, float]) -
     return b.select(*by, *[bound(q).alias(name) for name, q in qs.items()], "total")
 
 
-def quantile_interpolated(hist: DataFrame, by: list[str], qs: dict[str, float]) -> DataFrame:
+def quantile_interpolated(hist: DataFrame, by: list[str], qs: dict[str, float], digits: int = 6) -> DataFrame:
     """Linear within the bucket that holds the rank; the bound below the last for ranks in the last, unbounded one."""
     b = _buckets(hist, by)
 
@@ -76,7 +107,7 @@ def quantile_interpolated(hist: DataFrame, by: list[str], qs: dict[str, float])
         inside = prev("le") + (here["le"] - prev("le")) * (rank - prev("cum")) / (here["cum"] - prev("cum"))
         return F.when(F.col("total") > 0, F.when(k == F.size("b"), prev("le").cast("double")).otherwise(inside))
 
-    return b.select(*by, *[F.round(at(q), 6).alias(name) for name, q in qs.items()])
+    return b.select(*by, *[F.round(at(q), digits).alias(name) for name, q in qs.items()])
 
 
 def hist_mean(sums: Column, count: Column) -> Column:
@@ -93,14 +124,23 @@ def before_after(before: DataFrame, after: DataFrame, how: str = "left") -> Data
 def wall_stats(passes: DataFrame, by: list[str]) -> DataFrame:
     """Upper median, maximum, and bytes over the slowest pod's wall time; unreadable bytes count 0."""
     nbytes = F.coalesce(F.col("bytes_text").try_cast("bigint"), F.lit(0))
+    # The upper median is the discrete one from above; what is held is a count for each distinct time.
     g = passes.groupBy(*by).agg(
         F.count(F.lit(1)).alias("pods"),
-        F.sort_array(F.collect_list("wall_s")).alias("walls"),
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY wall_s DESC)").alias("p50_s"),
         F.max("wall_s").alias("max_s"),
         F.sum(nbytes).cast("bigint").alias("bytes"),
         F.count_if(F.col("rc") != 0).alias("failed"),
     )
-    return g.select(*by, "pods", "failed", "bytes", "max_s", F.element_at("walls", F.floor(F.size("walls") / 2).cast("int") + 1).alias("p50_s"), F.round(F.col("bytes") / F.col("max_s"), 6).alias("bytes_per_s"), F.round(F.col("bytes") / F.col("max_s") / GBIT_BYTES, 9).alias("gbps"))
+    return g.select(*by, "pods", "failed", "bytes", "max_s", "p50_s", F.round(F.col("bytes") / F.col("max_s"), 6).alias("bytes_per_s"), F.round(F.col("bytes") / F.col("max_s") / GBIT_BYTES, 9).alias("gbps"))
+
+
+def brackets(samples: DataFrame) -> DataFrame:
+    """Sampler rows -> by host the bracket's milliseconds and each counter's last value less its first, never negative."""
+    at = F.struct("epoch_ms", "line_no")
+    ends = samples.groupBy("host").agg(*[f(c, at).alias(f"{c}_{x}") for c in ("epoch_ms", "fuse", "peer", "blob", "reads") for f, x in ((F.min_by, "a"), (F.max_by, "z"))])
+    gain = lambda c: F.greatest(F.lit(0), F.col(f"{c}_z") - F.col(f"{c}_a")).cast("bigint")
+    return ends.select("host", gain("epoch_ms").alias("ms"), *[gain(c).alias(c) for c in ("fuse", "peer", "blob", "reads")])
 
 
 def first_last(samples: DataFrame, by: list[str], order: str) -> DataFrame:

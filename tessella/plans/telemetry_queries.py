@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import policy as P
+from ..operators import chunking as C
 from ..operators import telemetry as T
 from .common import query
+from .placement_queries import BIG, CH
 
 BOUNDS = "[5.0, 10.0, 20.0, 40.0, 80.0, 160.0, 1000000.0]"
 HD = "hd AS (SELECT node, le, coalesce(a.cum, 0) - coalesce(b.cum, 0) AS cum FROM (SELECT * FROM v_hist WHERE phase = 'post') a FULL JOIN (SELECT * FROM v_hist WHERE phase = 'pre') b USING (node, le)), hm AS (SELECT le, CAST(sum(cum) AS BIGINT) AS cum FROM hd GROUP BY le)"
@@ -54,48 +56,76 @@ for _mode in ("clamp", "reset", "raw"):
         return T.counter_delta(V("v_counters"), BY, mode)
 
 
-@query("win_rate_bucket", f"WITH {CD}, b AS (SELECT CAST(floor(((e0 + epoch_ms) / 2 - (SELECT min(epoch_ms) FROM v_counters)) / 1000 / 3600) AS BIGINT) AS bucket, clamp FROM cd) SELECT bucket, CAST(bucket * 3600 + 1800 AS DOUBLE) AS t_s, CAST(sum(clamp) AS BIGINT) AS total, round(CAST(sum(clamp) AS BIGINT) / 3600, 6) AS rate FROM b GROUP BY bucket")
+NAMES = ("fuse", "peer", "blob", "reads")
+SPLIT_RATES = f"""sd AS (SELECT host, epoch_ms, e0, {", ".join(f"greatest(0, {c} - {c}0) AS {c}" for c in NAMES)} FROM (SELECT *, lag(epoch_ms) OVER w AS e0, {", ".join(f"lag({c}) OVER w AS {c}0" for c in NAMES)} FROM v_sampler WINDOW w AS (PARTITION BY host ORDER BY epoch_ms, line_no)) WHERE epoch_ms > e0),
+  sb AS (SELECT CAST(floor(((e0 + epoch_ms) / 2 - (SELECT min(epoch_ms) FROM v_sampler)) / 1000 / 3600) AS BIGINT) AS bucket, *, greatest(0, fuse - peer - blob) AS local FROM sd),
+  st AS (SELECT {", ".join(f"CAST(sum({c}) AS BIGINT) AS total_{c}" for c in NAMES)} FROM sd)"""
+
+
+@query("win_rate_bucket", f"WITH {SPLIT_RATES} SELECT bucket, CAST(bucket * 3600 + 1800 AS DOUBLE) AS t_s, {', '.join(f'round(CAST(sum({c}) AS BIGINT) / 3600, 6) AS {c}' for c in (*NAMES, 'local'))}, any_value(total_fuse) AS total_fuse, any_value(total_peer) AS total_peer, any_value(total_blob) AS total_blob, any_value(total_reads) AS total_reads, any_value(greatest(0, total_fuse - total_peer - total_blob)) AS total_local FROM sb, st GROUP BY bucket")
 def _(V):
-    return T.rate_buckets(V("v_counters"), BY, 3600)
+    return T.split_rates(V("v_sampler"), 3600)
+
+
+RANGE, STEP = 60, 30
+BY_METRIC = ["host", "metric"]
 
 
-W = 3600
-RATE = f"rt AS (SELECT host, metric, win, CAST(sum(CASE WHEN v0 IS NULL THEN 0 WHEN value < v0 THEN value ELSE value - v0 END) AS BIGINT) AS increase, max(epoch_ms) - min(epoch_ms) AS span FROM (SELECT *, CAST(floor(epoch_ms / {1000 * W}) AS BIGINT) AS win, lag(value) OVER (PARTITION BY host, metric, floor(epoch_ms / {1000 * W}) ORDER BY epoch_ms, value) AS v0 FROM v_counters) GROUP BY host, metric, win HAVING count(*) >= 2 AND max(epoch_ms) > min(epoch_ms)), pr AS (SELECT *, increase * 1000 / span AS per_s FROM rt)"
+def range_sql(name: str, view: str, by: str) -> str:
+    """Range rates by `by` as `name`; exact in integers up to the last division."""
+    span, step = RANGE * 1000, STEP * 1000
+    return f"""{name}_s AS (SELECT *, lag(epoch_ms) OVER w AS e0, lag(value) OVER w AS v0 FROM {view} WINDOW w AS (PARTITION BY {by} ORDER BY epoch_ms, line_no)),
+  {name}_x AS (SELECT *, CASE WHEN v0 IS NULL THEN 0 WHEN value < v0 THEN value ELSE value - v0 END AS inc, unnest(range((epoch_ms + {step - 1}) // {step} * {step}, epoch_ms + {span}, {step})) AS t_ms FROM {name}_s),
+  {name}_g AS (SELECT {by}, t_ms, CAST(sum(CASE WHEN e0 > t_ms - {span} THEN inc ELSE 0 END) AS BIGINT) AS increase, max(epoch_ms) - min(epoch_ms) AS span, count(*) AS n, min(epoch_ms) AS first, max(epoch_ms) AS last, arg_min(value, struct_pack(e := epoch_ms, l := line_no)) AS base
+      FROM {name}_x GROUP BY {by}, t_ms HAVING count(*) >= 2 AND max(epoch_ms) > min(epoch_ms)),
+  {name} AS (SELECT *, increase * 1000 / span AS per_s FROM {name}_g)"""
 
 
-def rates(V):
-    return T.window_rate(V("v_counters"), BY, W)
+RATE = range_sql("pr", "v_scrapes", "host, metric")
 
 
-@query("pq_rate", f"WITH {RATE} SELECT host, metric, win, increase, span, round(per_s, 9) AS per_s FROM pr")
+def rates(V, extrapolate: bool = False):
+    return T.range_rate(V("v_scrapes"), BY_METRIC, RANGE, STEP, extrapolate)
+
+
+@query("pq_rate", f"WITH {RATE} SELECT host, metric, t_ms, increase, span, round(per_s, 9) AS per_s FROM pr")
 def _(V):
+    """rate(M[1m]) of every counter at steps of 30 s"""
     return rates(V).withColumn("per_s", F.round("per_s", 9))
 
 
-#: The dashboard's panels, with the event types standing for its counters (fixed names of this engine).
-PANELS_SUM = {"pq01": "view", "pq02": "click", "pq03": "purchase", "pq09": "view", "pq10": "click", "pq11": "error", "pq17": "error", "pq18": "signup", "pq20": "purchase"}
+@query("pq_rate_extrapolated", f"""WITH {RATE}, ap AS (SELECT *, span / (n - 1) AS apart, first - (t_ms - {RANGE * 1000}) AS s0, t_ms - last AS e0 FROM pr_g),
+  ed AS (SELECT *, CASE WHEN s0 >= apart * CAST(1.1 AS DOUBLE) THEN apart / 2 ELSE s0 END AS s1, CASE WHEN e0 >= apart * CAST(1.1 AS DOUBLE) THEN apart / 2 ELSE e0 END AS e1 FROM ap)
+  SELECT host, metric, t_ms, increase, span, round(increase * ((span + least(s1, CASE WHEN increase > 0 AND base >= 0 THEN span * base / increase ELSE s1 END) + e1) / span) / {RANGE}, 9) AS per_s FROM ed""")
+def _(V):
+    """The same, carried on to the range's edges"""
+    return rates(V, True).withColumn("per_s", F.round("per_s", 9))
+
+
+#: The dashboard's panels and the counters that they sum (fixed names).
+PANELS_SUM = {"pq01": "fuse_read_bytes", "pq02": "peer_chunk_bytes_served", "pq03": "blob_fetch_bytes", "pq09": "peer_ok", "pq10": "peer_miss", "pq11": "peer_err", "pq17": "giveups", "pq18": "retry_sleep_s", "pq20": "blob_fetches"}
 for _name, _metric in PANELS_SUM.items():
 
-    @query(_name, f"WITH {RATE} SELECT win, round(sum(per_s), 6) AS value FROM pr WHERE metric = '{_metric}' GROUP BY win")
+    @query(_name, f"WITH {RATE} SELECT t_ms, round(sum(per_s), 6) AS value FROM pr WHERE metric = '{_metric}' GROUP BY t_ms")
     def _(V, metric=_metric):
-        """sum(rate(metric))"""
-        return rates(V).filter(F.col("metric") == metric).groupBy("win").agg(F.round(F.sum("per_s"), 6).alias("value"))
+        """sum(rate(metric[1m]))"""
+        return rates(V).filter(F.col("metric") == metric).groupBy("t_ms").agg(F.round(F.sum("per_s"), 6).alias("value"))
 
 
-for _name, _metric, _re in (("pq04", "view", "node[0-3]"), ("pq19", "purchase", "node.*"), ("label_regex", "click", "node[12]")):
+for _name, _metric, _re in (("pq04", "fuse_read_bytes", "node[0-3]"), ("pq19", "blob_fetch_bytes", "node.*"), ("label_regex", "cache_hits", "node[12]")):
 
-    @query(_name, f"WITH {RATE} SELECT host, win, round(sum(per_s), 6) AS value FROM pr WHERE metric = '{_metric}' AND regexp_full_match(host, '{_re}') GROUP BY host, win")
+    @query(_name, f"WITH {RATE} SELECT host, t_ms, round(sum(per_s), 6) AS value FROM pr WHERE metric = '{_metric}' AND regexp_full_match(host, '{_re}') GROUP BY host, t_ms")
     def _(V, metric=_metric, pattern=_re):
-        """sum by (node)(rate(metric{node=~pattern})), the pattern anchored at both ends"""
-        return rates(V).filter((F.col("metric") == metric) & F.col("host").rlike(f"^(?:{pattern})$")).groupBy("host", "win").agg(F.round(F.sum("per_s"), 6).alias("value"))
+        """sum by (node)(rate(metric{node=~pattern}[1m])), the pattern anchored at both ends"""
+        return rates(V).filter((F.col("metric") == metric) & F.col("host").rlike(f"^(?:{pattern})$")).groupBy("host", "t_ms").agg(F.round(F.sum("per_s"), 6).alias("value"))
 
 
-@query("pq05", f"WITH {RATE}, h AS (SELECT host, win, sum(per_s) FILTER (WHERE metric = 'view') AS hit, sum(per_s) FILTER (WHERE metric = 'click') AS miss FROM pr GROUP BY host, win) SELECT host, win, round(hit / greatest(hit + miss, 1), 6) AS ratio FROM h WHERE hit IS NOT NULL AND miss IS NOT NULL")
+@query("pq05", f"WITH {RATE}, h AS (SELECT host, t_ms, sum(per_s) FILTER (WHERE metric = 'cache_hits') AS hit, sum(per_s) FILTER (WHERE metric = 'cache_misses') AS miss FROM pr GROUP BY host, t_ms) SELECT host, t_ms, round(hit / greatest(hit + miss, 1), 6) AS ratio FROM h WHERE hit IS NOT NULL AND miss IS NOT NULL")
 def _(V):
     """Hit ratio, its denominator at least 1 a second: below that it is understated."""
     side = lambda m: F.sum(F.when(F.col("metric") == m, F.col("per_s")))
-    g = rates(V).groupBy("host", "win").agg(side("view").alias("hit"), side("click").alias("miss")).filter("hit IS NOT NULL AND miss IS NOT NULL")
-    return g.select("host", "win", F.round(F.col("hit") / F.greatest(F.col("hit") + F.col("miss"), F.lit(1.0)), 6).alias("ratio"))
+    g = rates(V).filter(F.col("metric").isin("cache_hits", "cache_misses")).groupBy("host", "t_ms").agg(side("cache_hits").alias("hit"), side("cache_misses").alias("miss")).filter("hit IS NOT NULL AND miss IS NOT NULL")
+    return g.select("host", "t_ms", F.round(F.col("hit") / F.greatest(F.col("hit") + F.col("miss"), F.lit(1.0)), 6).alias("ratio"))
 
 
 LATEST = "lt AS (SELECT host, metric, arg_max(value, struct_pack(e := epoch_ms, v := value)) AS value FROM v_counters GROUP BY host, metric)"
@@ -110,9 +140,9 @@ def _(V):
     return latest(V).filter((F.col("metric") == "view") & F.col("host").rlike("^(?:node[0-4])$")).select("host", "value")
 
 
-@query("pq07", f"WITH {RATE} SELECT host, win, round(per_s, 6) AS value FROM pr WHERE metric = 'error'")
+@query("pq07", f"WITH {RATE} SELECT host, t_ms, round(per_s, 6) AS value FROM pr WHERE metric = 'evictions'")
 def _(V):
-    return rates(V).filter("metric = 'error'").select("host", "win", F.round("per_s", 6).alias("value"))
+    return rates(V).filter("metric = 'evictions'").select("host", "t_ms", F.round("per_s", 6).alias("value"))
 
 
 @query("pq08", f"WITH {LATEST} SELECT min(value) AS value FROM lt WHERE metric = 'view'")
@@ -120,9 +150,10 @@ def _(V):
     return latest(V).filter("metric = 'view'").agg(F.min("value").alias("value"))
 
 
-@query("pq16", f"WITH {RATE} SELECT metric AS status, win, round(sum(per_s), 6) AS value FROM pr GROUP BY metric, win")
+@query("pq16", f"WITH {RATE} SELECT replace(metric, 'blob_status_', '') AS status, t_ms, round(sum(per_s), 6) AS value FROM pr WHERE starts_with(metric, 'blob_status_') GROUP BY ALL")
 def _(V):
-    return rates(V).groupBy(F.col("metric").alias("status"), "win").agg(F.round(F.sum("per_s"), 6).alias("value"))
+    r = rates(V).filter(F.startswith("metric", F.lit("blob_status_")))
+    return r.groupBy(F.replace("metric", F.lit("blob_status_"), F.lit("")).alias("status"), "t_ms").agg(F.round(F.sum("per_s"), 6).alias("value"))
 
 
 @query("pq21", f"WITH {LATEST} SELECT metric, CAST(sum(value) AS BIGINT) AS value FROM lt GROUP BY metric")
@@ -140,27 +171,35 @@ def _(V):
     return V("v_counters").filter("metric = 'view'").select("host").distinct()
 
 
-INTERP = "ix AS (SELECT *, lag(le, 1, 0) OVER w AS lo, lag(cum, 1, 0) OVER w AS before, max(cum) OVER (PARTITION BY {by}) AS total, row_number() OVER w AS k, count(*) OVER (PARTITION BY {by}) AS n FROM {src} WINDOW w AS (PARTITION BY {by} ORDER BY le))"
+BUCKET_RATE = range_sql("br", "v_buckets", "metric, host, le")
+
 
+def quantile_sql(metric: str, by: str, q: float) -> str:
+    """Linear interpolation over the rates by bound."""
+    return f"""WITH {BUCKET_RATE}, su AS (SELECT {by}, le, sum(per_s) AS cum FROM br WHERE metric = '{metric}' GROUP BY {by}, le),
+  ix AS (SELECT *, lag(le, 1, 0) OVER w AS lo, lag(cum, 1, 0) OVER w AS before, max(cum) OVER (PARTITION BY {by}) * CAST({q} AS DOUBLE) AS goal, row_number() OVER w AS k, count(*) OVER (PARTITION BY {by}) AS n FROM su WINDOW w AS (PARTITION BY {by} ORDER BY le))
+  SELECT {by}, round(max(CASE WHEN goal > 0 AND cum >= goal AND before < goal THEN CASE WHEN k = n THEN lo ELSE lo + (le - lo) * (goal - before) / (cum - before) END END), 4) AS value FROM ix GROUP BY {by}"""
 
-def interp(q: float) -> str:
-    return f"round(max(CASE WHEN cum >= total * CAST({q} AS DOUBLE) AND before < total * CAST({q} AS DOUBLE) THEN CASE WHEN k = n THEN lo ELSE lo + (le - lo) * (total * CAST({q} AS DOUBLE) - before) / (cum - before) END END), 6)"
+
+def bucket_quantile(V, metric: str, by: list[str], q: float):
+    r = T.range_rate(V("v_buckets").filter(F.col("metric") == metric), ["host", "le"], RANGE, STEP)
+    return T.quantile_interpolated(r.groupBy(*by, "le").agg(F.sum("per_s").alias("cum")), by, {"value": q}, 4)
 
 
 for _name, _q in (("pq12", 0.5), ("pq13", 0.99)):
 
-    @query(_name, f"WITH {HD}, hn AS (SELECT 1 AS one, * FROM hm), {INTERP.format(by='one', src='hn')} SELECT {interp(_q)} AS value FROM ix GROUP BY one")
+    @query(_name, quantile_sql("fuse_read_seconds", "t_ms", _q))
     def _(V, q=_q):
-        """histogram_quantile over all nodes"""
-        return T.quantile_interpolated(T.merge_hist(deltas(V), []), [], {"value": q})
+        """histogram_quantile(q, sum by (le)(rate(fuse_read_seconds_bucket[1m])))"""
+        return bucket_quantile(V, "fuse_read_seconds", ["t_ms"], q)
 
 
 for _name, _q in (("pq14", 0.5), ("pq15", 0.99)):
 
-    @query(_name, f"WITH {HD}, {INTERP.format(by='node', src='hd')} SELECT node, {interp(_q)} AS value FROM ix GROUP BY node")
+    @query(_name, quantile_sql("chunk_peer_fetch_seconds", "t_ms", _q))
     def _(V, q=_q):
-        """histogram_quantile by node"""
-        return T.quantile_interpolated(deltas(V), ["node"], {"value": q})
+        """histogram_quantile(q, sum by (le)(rate(chunk_peer_fetch_seconds_bucket[1m])))"""
+        return bucket_quantile(V, "chunk_peer_fetch_seconds", ["t_ms"], q)
 
 
 # Before and after
@@ -246,38 +285,33 @@ def _(V):
     return w.select("n", "pods", "failed", "bytes", "max_s", "gbps", F.round(F.col("gbps") / F.col("pods"), 9).alias("gbps_per_node"))
 
 
-@query("agg_first_last", "SELECT host, metric, CAST(greatest(0, arg_max(value, struct_pack(e := epoch_ms, v := value)) - arg_min(value, struct_pack(e := epoch_ms, v := value))) AS BIGINT) AS delta FROM v_counters GROUP BY host, metric HAVING count(*) >= 2")
+@query("agg_first_last", "SELECT host, metric, CAST(greatest(0, arg_max(value, line_no) - arg_min(value, line_no)) AS BIGINT) AS delta FROM v_counters GROUP BY host, metric HAVING count(*) >= 2")
 def _(V):
-    return T.first_last(V("v_counters").withColumn("pos", F.struct("epoch_ms", "value")), BY, "pos")
-
+    """In the file's order, whatever the times say."""
+    return T.first_last(V("v_counters"), BY, "line_no")
 
-SPLIT = "sp AS (SELECT host, sum(delta) FILTER (WHERE metric = 'view') AS total, coalesce(sum(delta) FILTER (WHERE metric = 'click'), 0) // 4 AS peer, coalesce(sum(delta) FILTER (WHERE metric = 'purchase'), 0) // 4 AS blob FROM fl GROUP BY host), sl AS (SELECT *, greatest(0, total - peer - blob) AS local FROM sp)"
-FL = "fl AS (SELECT host, metric, CAST(sum(value) AS BIGINT) AS delta FROM v_counters GROUP BY host, metric)"
 
+AT = "struct_pack(e := epoch_ms, l := line_no)"
+BRACKET = f"bk AS (SELECT host, CAST(greatest(0, max(epoch_ms) - min(epoch_ms)) AS BIGINT) AS ms, {', '.join(f'CAST(greatest(0, arg_max({c}, {AT}) - arg_min({c}, {AT})) AS BIGINT) AS {c}' for c in NAMES)} FROM v_sampler GROUP BY host), sl AS (SELECT *, greatest(0, fuse - peer - blob) AS local FROM bk)"
 
-def split_sums(V):
-    s = V("v_counters").groupBy(*BY).agg(F.sum("value").cast("bigint").alias("delta"))
-    pick = lambda m: F.coalesce(F.sum(F.when(F.col("metric") == m, F.col("delta"))), F.lit(0))
-    return s.groupBy("host").agg(pick("view").alias("total"), F.floor(pick("click") / 4).cast("bigint").alias("peer"), F.floor(pick("purchase") / 4).cast("bigint").alias("blob"))
 
-
-@query("agg_source_split", f"WITH {FL}, {SPLIT} SELECT host, CAST(total AS BIGINT) AS total, CAST(local AS BIGINT) AS local, round(100.0 * local / CASE WHEN total = 0 THEN 1 ELSE total END, 6) AS local_pct, round(100.0 * peer / CASE WHEN total = 0 THEN 1 ELSE total END, 6) AS peer_pct, round(100.0 * blob / CASE WHEN total = 0 THEN 1 ELSE total END, 6) AS blob_pct FROM sl")
+@query("agg_source_split", f"WITH {BRACKET} SELECT host, fuse AS total, CAST(local AS BIGINT) AS local, round(100.0 * local / CASE WHEN fuse = 0 THEN 1 ELSE fuse END, 6) AS local_pct, round(100.0 * peer / CASE WHEN fuse = 0 THEN 1 ELSE fuse END, 6) AS peer_pct, round(100.0 * blob / CASE WHEN fuse = 0 THEN 1 ELSE fuse END, 6) AS blob_pct FROM sl")
 def _(V):
-    s = split_sums(V)
-    return s.select("host", "total", *[c.alias(n) for n, c in T.source_split(F.col("total"), F.col("peer"), F.col("blob")).items()])
+    """Each node's counters between its first and last sample, clamped one by one; local is what neither peers nor the origin served."""
+    return T.brackets(V("v_sampler")).select("host", F.col("fuse").alias("total"), *[c.alias(n) for n, c in T.source_split(F.col("fuse"), F.col("peer"), F.col("blob")).items()])
 
 
-@query("agg_comparison", f"WITH {FL}, {SPLIT} SELECT host, CAST(total - blob AS BIGINT) AS egress_avoided, round(100.0 * (total - blob) / total, 6) AS avoided_pct FROM sl WHERE total > 0")
+@query("agg_comparison", f"WITH {BRACKET} SELECT host, CAST(fuse - blob AS BIGINT) AS egress_avoided, round(100.0 * (fuse - blob) / fuse, 6) AS avoided_pct FROM sl WHERE fuse > 0")
 def _(V):
-    s = split_sums(V).filter("total > 0")
-    return s.select("host", (F.col("total") - F.col("blob")).cast("bigint").alias("egress_avoided"), F.round(F.lit(100.0) * (F.col("total") - F.col("blob")) / F.col("total"), 6).alias("avoided_pct"))
+    s = T.brackets(V("v_sampler")).filter("fuse > 0")
+    return s.select("host", (F.col("fuse") - F.col("blob")).cast("bigint").alias("egress_avoided"), F.round(F.lit(100.0) * (F.col("fuse") - F.col("blob")) / F.col("fuse"), 6).alias("avoided_pct"))
 
 
-@query("agg_bracket_time", "WITH b AS (SELECT host, max(epoch_ms) - min(epoch_ms) AS ms, sum(value) AS v FROM v_counters WHERE metric = 'view' GROUP BY host) SELECT round(avg(ms), 6) AS mean_ms, CAST(sum(v) AS BIGINT) AS total, round(CAST(sum(v) AS BIGINT) / (avg(ms) / 1000), 6) AS per_s FROM b")
+@query("agg_bracket_time", f"WITH {BRACKET}, b AS (SELECT avg(ms) / 1000 AS dt, CAST(sum(fuse) AS BIGINT) AS total, CAST(sum(reads) AS BIGINT) AS reads, count(*) AS hosts FROM bk) SELECT hosts, round(dt, 6) AS mean_s, total, round(total / dt, 6) AS per_s, round(reads / dt, 6) AS iops FROM b")
 def _(V):
-    """Bandwidth over the mean of the nodes' brackets."""
-    b = V("v_counters").filter("metric = 'view'").groupBy("host").agg((F.max("epoch_ms") - F.min("epoch_ms")).alias("ms"), F.sum("value").alias("v"))
-    return b.agg(F.round(F.avg("ms"), 6).alias("mean_ms"), F.sum("v").cast("bigint").alias("total"), F.round(F.sum("v") / (F.avg("ms") / 1000), 6).alias("per_s"))
+    """Bandwidth and reads over the mean of the nodes' brackets."""
+    b = T.brackets(V("v_sampler")).agg((F.avg("ms") / 1000).alias("dt"), F.sum("fuse").cast("bigint").alias("total"), F.sum("reads").cast("bigint").alias("reads"), F.count(F.lit(1)).alias("hosts"))
+    return b.select("hosts", F.round("dt", 6).alias("mean_s"), "total", F.round(F.col("total") / F.col("dt"), 6).alias("per_s"), F.round(F.col("reads") / F.col("dt"), 6).alias("iops"))
 
 
 @query("agg_harness", "SELECT phase, count(*) AS samples, CAST(sum(got) AS BIGINT) AS bytes, max(t1 - t0) AS elapsed, round(count(*) / max(t1 - t0), 6) AS samples_s, round(CAST(sum(got) AS BIGINT) / 1000000.0 / max(t1 - t0), 6) AS mb_s, round(CAST(sum(got) AS BIGINT) * 8 / 1000000000.0 / max(t1 - t0), 9) AS gbps FROM v_tasks GROUP BY phase")
@@ -293,10 +327,10 @@ def _(V):
     return V("events").select("event_id", P.format_latency(s).alias("text"))
 
 
-@query("f_pct_round", "SELECT node, round(100.0 * sum(size) / (SELECT sum(size) FROM v_access), 1) AS pct FROM v_access GROUP BY node")
+@query("f_pct_round", "SELECT node, round_even(100.0 * sum(size) / (SELECT sum(size) FROM v_access), 1) AS pct FROM v_access GROUP BY node")
 def _(V):
     g = V("v_access").groupBy("node").agg(F.sum("size").alias("s"))
-    return g.select("node", F.round(F.lit(100.0) * F.col("s") / F.sum("s").over(Window.partitionBy()), 1).alias("pct"))
+    return g.select("node", P.percent(F.col("s"), F.sum("s").over(Window.partitionBy())).alias("pct"))
 
 
 @query("f_units", "SELECT n_name, n_nationkey * 1073741824 AS gib_bytes, round(n_nationkey * 1073741824 / 1048576.0, 6) AS mib, round(n_nationkey * 1073741824 / 125000000.0, 6) AS gbit FROM (SELECT n_name, CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation)")
@@ -308,19 +342,27 @@ def _(V):
 # Reports done by hand
 
 
-@query("rep_footprint", "SELECT rack, CAST(sum(content_length) AS BIGINT) AS have, CAST(sum(content_length) AS BIGINT) + 12582912 AS expected, 12582912 // 4194304 AS missing_chunks FROM (SELECT length(blob) % 5 AS rack, content_length FROM v_listing) GROUP BY rack")
+@query("rep_footprint", f"WITH {CH}, c AS (SELECT split_part(blob, '/', 1) AS part, len, (off // {BIG} + length(blob)) % 11 <> 3 AS held FROM ch), g AS (SELECT part, CAST(sum(len) * 2 AS BIGINT) AS expected, CAST(sum(CASE WHEN held THEN len * 2 ELSE len END) AS BIGINT) AS have FROM c GROUP BY part) SELECT part, have, expected, expected - have AS shortfall, CAST(ceil((expected - have) / {BIG}) AS BIGINT) AS missing_chunks FROM g")
 def _(V):
-    g = V("v_listing").groupBy((F.length("blob") % 5).cast("bigint").alias("rack")).agg(F.sum("content_length").cast("bigint").alias("have"))
-    e = g.withColumn("expected", F.col("have") + 12582912)
-    return e.withColumn("missing_chunks", F.floor((F.col("expected") - F.col("have")) / 4194304).cast("int"))
+    """What two replicas should hold against what the nodes' inventories add up to (here some chunks have one copy), in bytes and whole chunks."""
+    c = C.enumerate_chunks(V("v_listing"), BIG)
+    copies = F.when((F.floor(F.col("offset") / BIG) + F.length("blob")) % 11 != 3, 2).otherwise(1)
+    g = c.groupBy(F.split_part("blob", F.lit("/"), F.lit(1)).alias("part")).agg((F.sum("len") * 2).cast("bigint").alias("expected"), F.sum(F.col("len") * copies).cast("bigint").alias("have"))
+    short = F.col("expected") - F.col("have")
+    return g.select("part", "have", "expected", short.alias("shortfall"), F.ceil(short / BIG).cast("bigint").alias("missing_chunks"))
+
+
+FL = "fl AS (SELECT host, metric, CAST(greatest(0, arg_max(value, struct_pack(e := epoch_ms, l := line_no)) - arg_min(value, struct_pack(e := epoch_ms, l := line_no))) AS BIGINT) AS delta FROM v_scrapes GROUP BY host, metric HAVING count(*) >= 2)"
 
 
-@query("rep_demand_breakdown", f"WITH {FL}, d AS (SELECT host, sum(delta) FILTER (WHERE metric = 'view') AS hits, sum(delta) FILTER (WHERE metric = 'click') AS misses, sum(delta) FILTER (WHERE metric = 'click') // 3 AS peer_ok FROM fl GROUP BY host) SELECT host, CAST(hits + misses AS BIGINT) AS demand, round(100.0 * hits / (hits + misses), 6) AS lru_pct, round(100.0 * peer_ok / (hits + misses), 6) AS peer_pct, CAST(misses - peer_ok AS BIGINT) AS coalesced FROM d")
+@query("rep_demand_breakdown", f"WITH {FL}, d AS (SELECT host, coalesce(sum(delta) FILTER (WHERE metric = 'cache_hits'), 0) AS hits, coalesce(sum(delta) FILTER (WHERE metric = 'cache_misses'), 0) AS misses, coalesce(sum(delta) FILTER (WHERE metric = 'peer_ok'), 0) AS peer_ok FROM fl GROUP BY host) SELECT host, CAST(hits + misses AS BIGINT) AS demand, round(100.0 * hits / nullif(hits + misses, 0), 6) AS lru_pct, round(100.0 * peer_ok / nullif(hits + misses, 0), 6) AS peer_pct, CAST(greatest(0, misses - peer_ok) AS BIGINT) AS coalesced FROM d")
 def _(V):
-    s = V("v_counters").groupBy("host").agg(F.sum(F.when(F.col("metric") == "view", F.col("value"))).alias("hits"), F.sum(F.when(F.col("metric") == "click", F.col("value"))).alias("misses"))
-    s = s.withColumn("peer_ok", F.floor(F.col("misses") / 3).cast("bigint")).withColumn("demand", (F.col("hits") + F.col("misses")).cast("bigint"))
-    pct = lambda c: F.round(F.lit(100.0) * F.col(c) / F.col("demand"), 6)
-    return s.select("host", "demand", pct("hits").alias("lru_pct"), pct("peer_ok").alias("peer_pct"), (F.col("misses") - F.col("peer_ok")).cast("bigint").alias("coalesced"))
+    """Counters' gains: demand is hits and misses; what missed and no peer served was shared with another fetch."""
+    s = T.first_last(V("v_scrapes").withColumn("pos", F.struct("epoch_ms", "line_no")), BY, "pos")
+    gain = lambda m, n: F.coalesce(F.sum(F.when(F.col("metric") == m, F.col("delta"))), F.lit(0)).alias(n)
+    s = s.groupBy("host").agg(gain("cache_hits", "hits"), gain("cache_misses", "misses"), gain("peer_ok", "peer_ok")).withColumn("demand", (F.col("hits") + F.col("misses")).cast("bigint"))
+    pct = lambda c: F.round(F.lit(100.0) * F.col(c) / F.nullif(F.col("demand"), F.lit(0)), 6)
+    return s.select("host", "demand", pct("hits").alias("lru_pct"), pct("peer_ok").alias("peer_pct"), F.greatest(F.lit(0), F.col("misses") - F.col("peer_ok")).cast("bigint").alias("coalesced"))
 
 
 @query("rep_ab_delta", "SELECT pod, metric, a.value - b.value AS delta, round(100.0 * (a.value - b.value) / b.value, 6) AS pct FROM v_after a LEFT JOIN v_before b USING (pod, metric)")
