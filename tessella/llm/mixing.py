@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, word_count, word_list
+from .common import Stored, documents, word_count, word_list
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -33,6 +33,8 @@ SHARDS = 16
 MOST_BLOCKS = 8192
 #: Words that a block has at least.
 LEAST_BLOCK = 512
+#: Blocks broadcast at most; there are more only with very many sources.
+MOST_BROADCAST = 200_000
 SLICE_DIGITS = 3
 
 
@@ -134,7 +136,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_column:
     here = here.withColumn("__c", copies)
     out = here.select("*", F.size("__c").alias("copies"), F.explode_outer(F.flatten(F.transform("__c", pieces))).alias("__p")).select("*", "__p.*").drop("__c", "__p")
     quotas = targets.select("source", F.ceil(F.col("take") / F.col("block_words")).alias("n_blocks"))
-    drawn = draw_blocks(splitting_tree(quotas, shards, seed), seed).withColumnsRenamed({"source": "__bs", "block": "__bb"})
+    drawn = Stored(docs.sparkSession, "mix").put(draw_blocks(splitting_tree(quotas, shards, seed), seed).withColumnsRenamed({"source": "__bs", "block": "__bb"}))
+    if drawn.count() <= MOST_BROADCAST:
+        drawn = F.broadcast(drawn)
     out = out.join(drawn, F.col("source").eqNullSafe(F.col("__bs")) & (F.col("block") == F.col("__bb")), "left")
     return out.select(
         "__row",

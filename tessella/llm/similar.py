@@ -4,9 +4,12 @@ Candidates share one of BANDS bands, each the minima of a set under ROWS hash fu
 probability of 1 - (1 - 0.8 ** ROWS) ** BANDS, all but 7 in a million, more similar ones all the surer, however many rows there are. Whether
 they are similar is then decided on the whole sets, before anything joins a group.
 
-Links enough for the components are found without all pairs: each set is compared with the least of its bands' sets; where those links
-leave a band in several components, each is compared with one set of another component there; what is still apart after
-ROUNDS of that is compared pair by pair. Compared sets meet by salted joins, so a set that a third of all are compared with is no task's alone.
+Links enough for the components are found without all pairs: each set is compared with the most central one that it shares a band with, the one
+whose bands hold most sets, as the original of many copies does; where those links leave a band in several components, each is
+compared with a set of another component there, the most central one first, then others. Of what is still apart after ROUNDS of that, or when
+nothing new is found, all pairs are compared that share one of the first hashes of their sets, ordered from the rarest among these sets to the most
+frequent: sets of n hashes that have the similarity share one of their first n - ceil(similarity * n) + 1 hashes, whatever the order, so
+no such pair is missed, while sets that differ in more than that share none. Compared sets meet by salted joins, so a set that a third of all are compared with is no task's alone.
 
 A text's shingles are hashed by differences of one polynomial over its words, A-Z in lower case and joined by single spaces; of
 fewer words than a shingle the whole sequence is the one shingle. Texts without words are linked to nothing.
@@ -19,14 +22,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stored
 from .components import connected_components
 
 BANDS, ROWS = 30, 5
-ROUNDS = 2
+ROUNDS = 3
 #: Keys broadcast at most.
 MOST_BROADCAST = 50_000
 #: Sets compared with one set in a task.
@@ -125,43 +128,72 @@ class Similar:
         several = self.texts.filter("fp < most").select("sk", "fp")
         self.equal = stored.put(some.select("sk", "__fp").join(several, "sk").select(F.col("__fp").alias("a"), F.col("fp").alias("b")).distinct())
         met = self.texts.select("sk", "fp", "n", F.explode("bands").alias("h"))
-        shared = met.groupBy("h").agg(F.min("sk").alias("x"), F.max("sk").alias("y")).filter("x < y").select("h")
-        self.met = stored.put(met.join(shared, "h"))
+        shared = met.groupBy("h").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+        met = stored.put(met.join(shared, "h"))
+        # How central a set is: how many sets its bands hold.
+        central = met.groupBy("sk").agg(F.sum("sets").alias("w"))
+        self.met = stored.put(met.drop("sets").join(central, "sk"))
+        stored.drop(met)
         self.tried: DataFrame | None = None
 
     def side(self, df: DataFrame, x: str) -> DataFrame:
-        names = {"sk": "s", "fp": "f", "n": "n", "root": "r"}
+        names = {"sk": "s", "fp": "f", "n": "n", "w": "w", "root": "r", "pos": "p"}
         return df.select("h", *[F.col(c).alias(f"{d}{x}") for c, d in names.items() if c in df.columns])
 
     def sized(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes allow the similarity."""
         return pairs.filter(F.least("na", "nb") >= F.lit(self.similarity) * F.greatest("na", "nb") - F.lit(1e-6))
 
-    def one(self, pairs: DataFrame, *by: str) -> DataFrame:
-        return pairs.groupBy("sa", "fa", *by).agg(F.min(F.struct("sb", "fb")).alias("o")).select("sa", "fa", "o.*")
+    def one(self, pairs: DataFrame) -> DataFrame:
+        """Of each set's pairs the one with the most central set."""
+        return pairs.groupBy("sa", "fa").agg(F.max(F.struct("wb", "sb", "fb")).alias("o")).select("sa", "fa", "o.sb", "o.fb")
 
     def first(self) -> DataFrame:
-        """Links of each set with the least that it shares a band with."""
-        least = self.met.groupBy("h").agg(F.min(F.struct("sk", "fp", "n")).alias("m")).select("h", "m.*")
-        return self.checked(self.one(self.sized(self.side(self.met, "a").join(self.side(least, "b"), "h").filter("sa <> sb"))))
+        """Links of each set with the most central one that it shares a band with."""
+        most = self.met.groupBy("h").agg(F.max(F.struct("w", "sk", "fp", "n")).alias("m")).select("h", "m.*")
+        return self.checked(self.one(self.sized(self.side(self.met, "a").join(self.side(most, "b"), "h").filter("sa <> sb"))))
 
     def placed(self, roots: DataFrame) -> DataFrame:
         """met with each set's component, of the bands that have several."""
         met = self.met.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         several = met.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("h")
-        out = self.stored.put(met.join(several, "h").select("sk", "fp", "n", "h", "root"))
+        out = self.stored.put(met.join(several, "h").select("sk", "fp", "n", "w", "h", "root"))
         self.met = out.drop("root")
         return out
 
     def again(self, met: DataFrame, turn: int) -> DataFrame:
-        """Links of each set with one of each other component that its bands lead to."""
-        ends = met.groupBy("h").agg(*[f(F.struct("root", F.xxhash64("sk", F.lit(turn)).alias("o"), "sk", "fp", "n")).alias(x) for f, x in ((F.min, "x"), (F.max, "y"))])
-        ends = ends.select("h", F.explode(F.array("x", "y")).alias("m")).select("h", "m.*")
-        return self.checked(self.one(self.sized(self.side(met, "a").join(self.side(ends, "b"), "h").filter("ra <> rb")), "rb"))
+        """Links of each set with one of another component that its bands lead to: the most central at first, others at later turns."""
+        if turn > 1:
+            met = met.withColumn("w", F.xxhash64("sk", F.lit(turn)))
+        of_root = met.groupBy("h", "root").agg(F.max(F.struct("w", "sk", "fp", "n")).alias("m"))
+        top = of_root.groupBy("h").agg(F.max(F.struct("m", "root")).alias("t"))
+        next_to = of_root.join(top, "h").filter(F.col("root") != F.col("t.root")).groupBy("h").agg(F.max(F.struct("m", "root")).alias("t"))
+        ends = top.unionByName(next_to).select("h", "t.m.*", "t.root")
+        return self.checked(self.one(self.sized(self.side(met, "a").join(self.side(ends, "b"), "h").filter("ra <> rb"))))
 
     def every(self, met: DataFrame) -> DataFrame:
-        """Links of all sets of different components that share a band and weren't compared."""
-        return self.checked(self.sized(self.side(met, "a").join(self.side(met, "b"), "h").filter("sa < sb AND ra <> rb")))
+        """Links of all these sets that are in different components and have the similarity, by the first hashes of each."""
+        some = self.stored.put(met.groupBy("sk").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("root").alias("root")))
+        each = self.stored.put(self.sets(some.select("sk")).select("sk", F.explode("s").alias("h")))
+        often = each.groupBy("h").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+        of = Window.partitionBy("sk")
+        # Hashes that one set alone has come first and meet nothing.
+        heads = each.join(often, "h").withColumns({"shared": F.count(F.lit(1)).over(of), "pos": F.row_number().over(of.orderBy("sets", "h"))}).join(some, "sk")
+        heads = heads.withColumn("pos", F.col("n") - F.col("shared") + F.col("pos")).filter(F.col("pos") <= F.col("n") - F.ceil(F.lit(self.similarity) * F.col("n") - F.lit(1e-9)) + 1)
+        heads = self.stored.put(heads.select("h", "sk", "fp", "n", "root", "pos"))
+        pairs = self.sized(self.side(heads, "a").join(self.side(heads, "b"), "h").filter("sa < sb AND ra <> rb"))
+        # What two sets can share from their first common hash on.
+        share = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
+        return self.checked(pairs.filter(share >= F.lit(self.similarity / (1 + self.similarity)) * (F.col("na") + F.col("nb")) - F.lit(1e-6)))
+
+    def sets(self, keys: DataFrame) -> DataFrame:
+        """keys: sk -> sk, s: the hashes of these sets, from the texts."""
+        keys = self.stored.put(self.texts.join(keys, "sk").select("sk", F.col("key").alias("__key")))
+        if keys.count() <= MOST_BROADCAST:
+            keys = F.broadcast(keys)
+        texts = self.boxed.select(F.struct(F.col("__id").alias("i"), F.col("__th").alias("t")).alias("__key"), "__text").join(keys, "__key").select("sk", "__text")
+        # Rows that repeat id and text give the same set.
+        return self.stored.put(sets_of(texts, self.words).groupBy("sk").agg(F.first("s").alias("s")))
 
     def checked(self, pairs: DataFrame) -> DataFrame:
         """a, b: the fingerprints of those pairs (sa, fa, sb, fb) whose sets have the similarity. The lesser set, met by more, is salted."""
@@ -173,12 +205,7 @@ class Similar:
         pairs = self.stored.put(pairs)
         done = pairs.select("sa", "sb")
         self.tried = done if self.tried is None else self.tried.unionByName(done)
-        keys = self.stored.put(self.texts.join(pairs.select(F.explode(F.array("sa", "sb")).alias("sk")).distinct(), "sk").select("sk", F.col("key").alias("__key")))
-        if keys.count() <= MOST_BROADCAST:
-            keys = F.broadcast(keys)
-        texts = self.boxed.select(F.struct(F.col("__id").alias("i"), F.col("__th").alias("t")).alias("__key"), "__text").join(keys, "__key").select("sk", "__text")
-        # Rows that repeat id and text give the same set.
-        sets = self.stored.put(sets_of(texts, self.words).groupBy("sk").agg(F.first("s").alias("s")))
+        sets = self.sets(pairs.select(F.explode(F.array("sa", "sb")).alias("sk")).distinct())
         loads = pairs.groupBy("sa").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("salts"))
         left = sets.join(loads, F.col("sk") == F.col("sa")).select("sa", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("s").alias("ta"))
         salted = pairs.join(loads, "sa").withColumn("salt", F.pmod(F.xxhash64("sb"), F.col("salts")).cast("int"))
