@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.policy import strip_prefix
+from .transfer import numbered
 
 
 def list_directory(listing: DataFrame, prefix: str, recursive: bool = False) -> DataFrame:
@@ -37,14 +38,14 @@ def capped_children(listed: DataFrame, known: DataFrame, cap: int) -> DataFrame:
     """Names already known stay; new ones, folders first, fill what is left of the cap."""
     k = known.select("name").distinct().withColumn("known", F.lit(True))
     room = cap - known.select("name").distinct().count()
-    new = listed.join(k, "name", "left_anti").withColumn("r", F.row_number().over(Window.orderBy(F.when(F.col("kind") == "dir", 0).otherwise(1), "name")))
+    new = listed.join(k, "name", "left_anti").orderBy(F.when(F.col("kind") == "dir", 0).otherwise(1), "name").limit(max(0, room))
     stay = listed.join(k.select("name"), "name", "left_semi")
-    return stay.select("name", "kind").unionByName(new.filter(F.col("r") <= max(0, room)).select("name", "kind"))
+    return stay.select("name", "kind").unionByName(new.select("name", "kind"))
 
 
 def page(children: DataFrame, skip: int) -> DataFrame:
     """Directory entries after the first `skip`: '.' and '..' come first, then children by name."""
     spark = children.sparkSession
     dots = spark.range(2).select(F.when(F.col("id") == 0, ".").otherwise("..").alias("name"), F.lit("dir").alias("kind"), (F.col("id") + 1).alias("pos"))
-    rest = children.select("name", "kind", (F.row_number().over(Window.orderBy("name")) + 2).cast("bigint").alias("pos"))
+    rest = numbered(children.select("name", "kind"), ["name"]).select("name", "kind", (F.col("i") + 3).cast("bigint").alias("pos"))
     return dots.unionByName(rest).filter(F.col("pos") > skip)

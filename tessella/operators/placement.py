@@ -1,16 +1,19 @@
 """Rendezvous placement, Bloom advertisements and candidate ranking.
 
-Chunks meet every node, so nodes are the broadcast side when they are few (checked by count); beyond that the join is left to the planner.
+Every chunk meets every node, so nodes stand beside each chunk as one array (a single broadcast row, behind a check of their number), and what is asked
+of them is decided inside the row: owners and candidates need no shuffle. Filters are words of 64 bits; while all nodes' filters together stay
+within MOST_FILTER_BYTES they are broadcast and tested bit by bit, beyond that bits meet by a join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.digest import bloom_positions, chunk_digest, hrw_score
 
 MOST_NODES = 10_000
+MOST_FILTER_BYTES = 256 << 20
 KEY = ("mount", "blob", "offset")
 
 
@@ -23,20 +26,41 @@ def with_digest(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("digest", chunk_digest(F.col("mount"), F.col("blob"), F.col("offset")))
 
 
+def beside(chunks: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    """chunks with all nodes as one array of structs (`nodes`), by id."""
+    few = nodes.limit(MOST_NODES + 1).count() <= MOST_NODES
+    one = nodes.agg(F.array_sort(F.collect_list(F.struct("node_id", *columns))).alias("nodes"))
+    if not few:
+        raise ValueError(f"more than {MOST_NODES} nodes")
+    return chunks.crossJoin(F.broadcast(one))
+
+
+def ranked(scores: Column) -> Column:
+    """Structs of node_id and score, the highest score first; on equal scores the lesser id."""
+    first = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & (a["node_id"] < b["node_id"]))
+    return F.array_sort(scores, lambda a, b: F.when(first(a, b), -1).when(first(b, a), 1).otherwise(0))
+
+
 def scored(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
-    return with_digest(chunks).crossJoin(small(nodes)).withColumn("score", hrw_score(F.col("node_id"), F.col("digest")))
+    """A row for each chunk and node."""
+    c = beside(with_digest(chunks), nodes)
+    return c.select(*[x for x in c.columns if x != "nodes"], F.explode("nodes").alias("n")).select("*", "n.node_id").drop("n").withColumn("score", hrw_score(F.col("node_id"), F.col("digest")))
 
 
 def hrw_owner(chunks: DataFrame, nodes: DataFrame, self_id: str | None = None) -> DataFrame:
-    """chunk key -> owner: the highest score; on equal scores oneself, then the lesser id."""
-    mine = F.when(F.col("node_id") == F.lit(self_id), 1).otherwise(0) if self_id else F.lit(0)
-    best = scored(chunks, nodes).withColumn("k", F.struct("score", mine.alias("m")))
-    return best.groupBy(*KEY).agg(F.max_by("node_id", "k").alias("owner"))
+    """chunk key -> owner: the highest score; on equal scores oneself, then the lesser id. One projection."""
+    c = beside(with_digest(chunks.select(*KEY)), nodes)
+    mine = lambda n: F.when(n["node_id"] == F.lit(self_id), 1).otherwise(0) if self_id else F.lit(0)
+    keys = F.transform("nodes", lambda n: F.struct(hrw_score(n["node_id"], F.col("digest")).alias("score"), mine(n).alias("mine")))
+    c = c.withColumn("keys", keys)
+    # The first of equal keys: nodes stand by id.
+    return c.select(*KEY, F.get("nodes", F.array_position("keys", F.array_max("keys")).cast("int") - 1)["node_id"].alias("owner"))
 
 
 def hrw_rank(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
-    w = Window.partitionBy(*KEY).orderBy(F.desc("score"), "node_id")
-    return scored(chunks, nodes).withColumn("rank", F.row_number().over(w)).select(*KEY, "node_id", "score", "rank")
+    c = beside(with_digest(chunks.select(*KEY)), nodes)
+    every = ranked(F.transform("nodes", lambda n: F.struct(n["node_id"].alias("node_id"), hrw_score(n["node_id"], F.col("digest")).alias("score"))))
+    return c.select(*KEY, F.posexplode(every).alias("rank", "n")).select(*KEY, "n.node_id", "n.score", (F.col("rank") + 1).alias("rank"))
 
 
 def build_blooms(inventory: DataFrame, m_bits: int) -> DataFrame:
@@ -44,19 +68,64 @@ def build_blooms(inventory: DataFrame, m_bits: int) -> DataFrame:
     return with_digest(inventory).select("node_id", F.explode(bloom_positions(F.col("digest"), m_bits)).alias("bit")).distinct()
 
 
-def probe_blooms(chunks: DataFrame, blooms: DataFrame, m_bits: int) -> DataFrame:
-    """chunk key, node_id of the filters that hold all of a chunk's distinct bits."""
+def build_filters(inventory: DataFrame, m_bits: int) -> DataFrame:
+    """node_id and chunk key -> node_id, words: its filter, 64 bits a word. Bits are joined into words before the shuffle."""
+    bits = with_digest(inventory).select("node_id", F.explode(bloom_positions(F.col("digest"), m_bits)).alias("bit"))
+    word = F.shiftright("bit", 6).cast("int").alias("word")
+    words = bits.groupBy("node_id", word).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    full = words.groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    return full.select("node_id", F.transform(F.sequence(F.lit(0), F.lit((m_bits + 63) // 64 - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint"))).alias("words"))
+
+
+def holds(words: Column, bits: Column, k: int = 4) -> Column:
+    """Whether a filter has all of a chunk's bits."""
+    out = F.lit(True)
+    for i in range(k):
+        bit = F.get(bits, F.lit(i))
+        out = out & (F.call_function("shiftright", F.get(words, F.shiftright(bit, 6).cast("int")), F.call_function("mod", bit, F.lit(64).cast("bigint")).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+    return out
+
+
+def with_bits(chunks: DataFrame, m_bits: int) -> DataFrame:
+    return with_digest(chunks).withColumn("bits", bloom_positions(F.col("digest"), m_bits))
+
+
+def fits(nodes: DataFrame, m_bits: int) -> bool:
+    """Whether so many filters may be broadcast."""
+    return nodes.count() * m_bits // 8 <= MOST_FILTER_BYTES
+
+
+def probe_blooms(chunks: DataFrame, inventory: DataFrame, m_bits: int) -> DataFrame:
+    """chunk key, node_id of the filters of `inventory` that hold a chunk."""
+    nodes = inventory.select("node_id").distinct()
+    if fits(nodes, m_bits):
+        c = with_bits(chunks.select(*KEY), m_bits).drop("digest")
+        return c.join(F.broadcast(build_filters(inventory, m_bits)), holds(F.col("words"), F.col("bits"))).select(*KEY, "node_id")
     bits = with_digest(chunks).select(*KEY, F.array_distinct(bloom_positions(F.col("digest"), m_bits)).alias("bits"))
     each = bits.select(*KEY, F.size("bits").alias("need"), F.explode("bits").alias("bit"))
-    hits = each.join(blooms, "bit").groupBy(*KEY, "node_id").agg(F.count(F.lit(1)).alias("got"), F.first("need").alias("need"))
+    hits = each.join(build_blooms(inventory, m_bits), "bit").groupBy(*KEY, "node_id").agg(F.count(F.lit(1)).alias("got"), F.first("need").alias("need"))
     return hits.filter("got = need").select(*KEY, "node_id")
 
 
-def rank_candidates(chunks: DataFrame, alive: DataFrame, positive: DataFrame, advertised: DataFrame, max_yes: int, max_maybe: int) -> DataFrame:
-    """Each chunk's peers to try: those whose filter holds it (yes), then those without a filter (maybe), by score, within either budget."""
-    known = advertised.select("node_id").distinct().withColumn("known", F.lit(True))
+def rank_candidates(chunks: DataFrame, alive: DataFrame, inventory: DataFrame, m_bits: int, max_yes: int, max_maybe: int) -> DataFrame:
+    """Each chunk's peers to try: those whose filter holds it (yes), then those that advertise none (maybe), by score, within either budget."""
+    if not fits(inventory.select("node_id").distinct(), m_bits):
+        return _rank_by_join(chunks, alive, probe_blooms(chunks, inventory, m_bits), inventory, max_yes, max_maybe)
+    peers = alive.select("node_id").join(build_filters(inventory, m_bits), "node_id", "left")
+    c = beside(with_bits(chunks.select(*KEY), m_bits), peers, "words")
+    cls = lambda n: F.when(n["words"].isNull(), "maybe").when(holds(n["words"], F.col("bits")), "yes")
+    # Scores are for those that may be tried only; their filters are left behind.
+    asked = F.filter(F.transform("nodes", lambda n: F.struct(n["node_id"].alias("node_id"), cls(n).alias("cls"))), lambda n: n["cls"].isNotNull())
+    tried = F.transform(asked, lambda n: F.struct(n["node_id"].alias("node_id"), n["cls"].alias("cls"), hrw_score(n["node_id"], F.col("digest")).alias("score")))
+    c = c.select(*KEY, tried.alias("tried"))
+    best = lambda name, most: F.slice(ranked(F.filter("tried", lambda n: n["cls"] == name)), 1, most)
+    return c.select(*KEY, F.posexplode(F.concat(best("yes", max_yes), best("maybe", max_maybe))).alias("attempt", "n")).select(*KEY, "n.node_id", "n.cls", (F.col("attempt") + 1).alias("attempt"))
+
+
+def _rank_by_join(chunks: DataFrame, alive: DataFrame, positive: DataFrame, inventory: DataFrame, max_yes: int, max_maybe: int) -> DataFrame:
+    known = inventory.select("node_id").distinct().withColumn("known", F.lit(True))
     hold = positive.select(*KEY, "node_id").withColumn("hold", F.lit(True))
-    p = scored(chunks, alive).join(hold, [*KEY, "node_id"], "left").join(known, "node_id", "left")
+    p = scored(chunks.select(*KEY), alive).join(hold, [*KEY, "node_id"], "left").join(known, "node_id", "left")
     p = p.withColumn("cls", F.when(F.col("hold"), "yes").when(F.col("known").isNull(), "maybe")).filter("cls IS NOT NULL")
     w = Window.partitionBy(*KEY, "cls").orderBy(F.desc("score"), "node_id")
     p = p.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.when(F.col("cls") == "yes", max_yes).otherwise(max_maybe))

@@ -2,56 +2,63 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def replay_lru(trace: DataFrame, cap: int, oversize: str = "flush") -> DataFrame:
-    """trace: node, seq, key, size -> with hit, hits if the distinct keys used since the key's last use, itself included, fit into the cap.
+    """trace: node, seq, key, size -> with hit, by the cache itself: the least recently used go until what is held fits into the cap.
 
-    Byte-weighted stack distance, exact when a key's size is constant. A node's trace is replayed in order in one task with a Fenwick
-    tree over last uses, O(log n) an access, so the cost is linear in the trace and spread over the nodes. oversize: 'flush', a key above the
-    cap empties the cache; 'reject', it is never stored and disturbs nothing.
+    A cache's decisions follow one another, so a node's trace is one task's, in order; it streams through in Arrow batches, and only the keys
+    that the cache holds are in memory, however long the trace. oversize: 'flush', a key above the cap empties the cache; 'reject', it is never
+    stored and disturbs nothing.
     """
-    out = "node bigint, seq bigint, key bigint, size bigint, hit boolean"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        n = len(pdf)
-        tree = [0] * (n + 1)
-
-        def add(i: int, x: int) -> None:
-            i += 1
-            while i <= n:
-                tree[i] += x
-                i += i & -i
-
-        def upto(i: int) -> int:
-            s = 0
-            while i > 0:
-                s += tree[i]
-                i -= i & -i
-            return s
-
-        last: dict[int, int] = {}
-        total, hits = 0, []
-        for i, (key, size) in enumerate(zip(pdf["key"].tolist(), pdf["size"].tolist(), strict=True)):
-            if oversize == "reject" and size > cap:
-                hits.append(False)
-                continue
-            at = last.get(key)
-            hits.append(at is not None and total - upto(at) <= cap)
-            if at is not None:
-                add(at, -size)
-                total -= size
-            add(i, size)
-            total += size
-            last[key] = i
-        return pdf.assign(hit=hits)[["node", "seq", "key", "size", "hit"]]
-
-    return trace.select(*[F.col(c).cast("bigint") for c in ("node", "seq", "key", "size")]).groupBy("node").applyInPandas(run, out)
+    names = ["node", "seq", "key", "size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, total = None, OrderedDict(), 0
+        for batch in batches:
+            hits = []
+            for node, key, size in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3)], strict=True):
+                if node != here:
+                    here, held, total = node, OrderedDict(), 0
+                if oversize == "reject" and size > cap:
+                    hits.append(False)
+                    continue
+                was = held.pop(key, None)
+                hits.append(was is not None)
+                total += size - (was or 0)
+                held[key] = size
+                while total > cap:
+                    total -= held.popitem(last=False)[1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.bool_())], names=[*names, "hit"])
+
+    rows = trace.select(*[F.col(c).cast("bigint") for c in names]).repartition("node").sortWithinPartitions("node", "seq")
+    return rows.mapInArrow(run, "node bigint, seq bigint, key bigint, size bigint, hit boolean")
+
+
+def lru_content(trace: DataFrame, cap: int) -> DataFrame:
+    """What each node's cache holds after its trace: node, key, size, last, evict_order (the least recently used goes first).
+
+    Of its distinct keys, the most recent whose sizes add up to no more than the cap (a key's size is constant)."""
+    keys = trace.groupBy("node", "key").agg(F.max("seq").alias("last"), F.max("size").alias("size"))
+    recent = Window.partitionBy("node").orderBy(F.desc("last"))
+    held = keys.withColumn("sum", F.sum("size").over(recent.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("sum") <= cap)
+    return held.select("node", "key", "size", "last", F.row_number().over(Window.partitionBy("node").orderBy("last")).cast("bigint").alias("evict_order"))
+
+
+def bloom_versions(replayed: DataFrame, rebuilds: DataFrame) -> DataFrame:
+    """replayed: node, seq, hit; rebuilds: node, seq -> by node the filter's version (an insert and a rebuild each raise it), its inserts and
+    rebuilds, and pending: the inserts since the last rebuild began, which the rebuilt filter gets as well."""
+    inserts = replayed.filter("NOT hit").select("node", "seq", F.lit(1).alias("i"))
+    both = inserts.unionByName(rebuilds.select("node", "seq", F.lit(0).alias("i")))
+    last = rebuilds.groupBy("node").agg(F.max("seq").alias("last"))
+    late = (F.col("i") == 1) & (F.col("seq") >= F.coalesce("last", F.lit(-1)))
+    return both.join(last, "node", "left").groupBy("node").agg(F.count(F.lit(1)).alias("version"), F.sum("i").cast("bigint").alias("inserts"), F.count_if(F.col("i") == 0).alias("rebuilds"), F.count_if(late).alias("pending"))
 
 
 def hit_miss(replayed: DataFrame) -> DataFrame:
@@ -96,22 +103,26 @@ def prefetch_skips(candidates: DataFrame, cached: DataFrame, writing: DataFrame,
 
 
 def singleflight(fetches: DataFrame) -> DataFrame:
-    """id, key, t0, t1 -> role and leader: the first of a key leads until it ends; who starts before that follows, the next one leads."""
-    out = "id bigint, key bigint, role string, leader bigint"
+    """id, key, t0, t1 -> role and leader: the first of a key leads until it ends; who starts before that follows, the next one leads.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t0", "id"], kind="stable")
-        leader, until, roles, leaders = None, None, [], []
-        for i, t0, t1 in zip(pdf["id"].tolist(), pdf["t0"].tolist(), pdf["t1"].tolist(), strict=True):
-            if until is None or t0 >= until:
-                leader, until = i, t1
-                roles.append("leader")
-            else:
-                roles.append("follower")
-            leaders.append(leader)
-        return pdf.assign(role=roles, leader=leaders)[["id", "key", "role", "leader"]]
+    A key's fetches stream in order through one task, which remembers the leader alone."""
+    names = ["id", "key", "t0", "t1"]
 
-    return fetches.groupBy("key").applyInPandas(run, out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, leader, until = None, None, None
+        for batch in batches:
+            roles, leaders = [], []
+            for i, key, t0, t1 in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
+                if key != here or t0 >= until:
+                    here, leader, until = key, i, t1
+                    roles.append("leader")
+                else:
+                    roles.append("follower")
+                leaders.append(leader)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(roles, pa.string()), pa.array(leaders, pa.int64())], names=["id", "key", "role", "leader"])
+
+    rows = fetches.select(*[F.col(c).cast("bigint") for c in names]).repartition("key").sortWithinPartitions("key", "t0", "id")
+    return rows.mapInArrow(run, "id bigint, key bigint, role string, leader bigint")
 
 
 def route(requests: DataFrame) -> DataFrame:
@@ -128,5 +139,3 @@ def stampede_roles(requests: DataFrame, self_id: str) -> DataFrame:
     """Of a chunk nobody surely holds, the highest-scored node leads, the others follow until wait_ms has passed, then go on alone."""
     lead = F.col("owner") == F.lit(self_id)
     return requests.withColumn("role", F.when(lead, "leader").when(F.col("leader_ms") <= F.col("wait_ms"), "follower").otherwise("timed_out"))
-
-

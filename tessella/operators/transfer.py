@@ -14,12 +14,13 @@ from .placement import small
 MOST_ERRORS = 32
 
 
-def numbered(df: DataFrame, order: list, name: str = "i", buckets: int = 64) -> DataFrame:
-    """Row numbers from 0 in the given order without one task for all: range partitions, their counts, then numbers within each.
+def numbered(df: DataFrame, order: list, name: str = "i") -> DataFrame:
+    """Row numbers from 0 in the given order without one task for all: range partitions, as many as the session shuffles into, their counts, then
+    numbers within each.
 
     Ranges come from a sample, which differs from one evaluation to the next, so the partitioned rows are written to the shared folder once."""
     path = f"{shared_dir(df.sparkSession)}/numbered-{uuid.uuid4().hex}"
-    df.repartitionByRange(buckets, *order).withColumn("__p", F.spark_partition_id()).write.parquet(path)
+    df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()).write.parquet(path)
     ranged = df.sparkSession.read.parquet(path)
     counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
@@ -51,21 +52,45 @@ def ring_plan(targets: DataFrame) -> DataFrame:
     return s.join(name("prev"), "prev_r").join(name("source"), "source_r").select("step", F.col("node_id").alias("receiver"), "prev", "source")
 
 
+def ring_run(plan: DataFrame, shards: DataFrame, reported: DataFrame, bytes_per_ms: int) -> DataFrame:
+    """plan: step, receiver, prev, source; shards: node_id, chunks, bytes -> by step: receivers, those unknown (without a report), what the others
+    moved, and when the step begins and ends: it lasts as long as its slowest transfer, and begins when every one of the step before has ended."""
+    known = reported.select(F.col("node_id").alias("receiver"), F.lit(True).alias("known"))
+    moved = plan.join(shards.withColumnRenamed("node_id", "source"), "source", "left").join(known, "receiver", "left")
+    told = lambda c: F.when(F.col("known"), c).otherwise(0)
+    steps = moved.groupBy("step").agg(
+        F.count(F.lit(1)).alias("receivers"),
+        F.count_if(F.col("known").isNull()).alias("unknown"),
+        F.sum(told(F.coalesce("chunks", F.lit(0)))).cast("bigint").alias("chunks"),
+        F.sum(told(F.coalesce("bytes", F.lit(0)))).cast("bigint").alias("bytes"),
+        F.max(told(F.ceil(F.coalesce("bytes", F.lit(0)) / bytes_per_ms))).cast("bigint").alias("ms"),
+    )
+    ends = F.sum("ms").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    return steps.withColumn("ends_ms", ends).select("step", "receivers", "unknown", "chunks", "bytes", (F.col("ends_ms") - F.col("ms")).alias("starts_ms"), "ends_ms")
+
+
 def interleave(chunks: DataFrame) -> DataFrame:
-    """Order of fetches over several sources: every source's i-th chunk before any's i+1-th."""
-    r = chunks.withColumn("turn", F.row_number().over(Window.partitionBy("receiver", "source").orderBy("chunk")))
-    return r.withColumn("place", F.row_number().over(Window.partitionBy("receiver").orderBy("turn", "source")))
+    """Order of fetches over several sources: every source's i-th chunk before any's i+1-th.
+
+    A chunk's turn is its number within receiver and source; its place is how many chunks of the receiver's sources come before that turn, and
+    how many of the lesser sources have it: counts by receiver and source, so no task sees a receiver's chunks."""
+    i = numbered(chunks.select("receiver", "source", "chunk"), ["receiver", "source", "chunk"])
+    sizes = i.groupBy("receiver", "source").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("from"))
+    every = sizes.groupBy("receiver").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("all"))
+    r = i.join(small(sizes.join(every, "receiver")), ["receiver", "source"]).withColumn("turn", F.col("i") - F.col("from") + 1)
+    total = lambda f: F.aggregate(F.transform("all", f), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    before = total(lambda s: F.least(s["n"], F.col("turn") - 1))
+    here = total(lambda s: F.when((s["source"] <= F.col("source")) & (s["n"] >= F.col("turn")), 1).otherwise(0).cast("bigint"))
+    return r.select("receiver", "source", "chunk", "turn", (before + here).alias("place"))
 
 
 def shard_report(tasks: DataFrame, most: int = MOST_ERRORS) -> DataFrame:
-    """peer: assigned, fetched, bytes, and the first errors by task."""
-    errors = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("task", "error")))), 1, most), lambda e: F.concat(e["task"].cast("string"), F.lit(": "), e["error"]))
-    return tasks.groupBy("peer").agg(
-        F.count(F.lit(1)).alias("assigned"),
-        F.count("got").alias("fetched"),
-        F.coalesce(F.sum("got"), F.lit(0)).cast("bigint").alias("bytes"),
-        errors.alias("errors"),
-    )
+    """peer: assigned, fetched, bytes, and the first errors by task; only those are collected."""
+    ranked = tasks.filter("error IS NOT NULL").withColumn("r", F.row_number().over(Window.partitionBy("peer").orderBy("task", "error"))).filter(F.col("r") <= most)
+    line = F.concat(F.col("task").cast("string"), F.lit(": "), F.col("error"))
+    errors = ranked.groupBy("peer").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", line.alias("e")))), lambda x: x["e"]).alias("errors"))
+    totals = tasks.groupBy("peer").agg(F.count(F.lit(1)).alias("assigned"), F.count("got").alias("fetched"), F.coalesce(F.sum("got"), F.lit(0)).cast("bigint").alias("bytes"))
+    return totals.join(errors, "peer", "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
 
 
 def silent_loss(report: DataFrame) -> DataFrame:

@@ -174,11 +174,11 @@ def _(V):
     return r.join(m, "m", "left").select("req_id", F.when(F.col("known").isNull(), "unknown mount").alias("error"), F.when(F.col("known").isNull(), 0).otherwise(F.col("len")).cast("bigint").alias("fetched"))
 
 
-@query("state_listing_ttl", "SELECT id, last_seen < 1704067200 + 600 AND rec % 11 <> 0 OR rec % 11 = 0 AS relist, rec FROM v_gossip")
+@query("state_listing_ttl", "SELECT id, last_seen <= 1704067200 + 600 AND rec % 11 <> 0 OR rec % 11 = 0 AS relist, rec FROM v_gossip")
 def _(V):
     """A folder never loaded (here every 11th) or loaded 30 s ago or more is listed again; now = 1704067830."""
     loaded = F.when(F.col("rec") % 11 != 0, F.col("last_seen"))
-    return V("v_gossip").select("id", (loaded.isNull() | (F.lit(1704067830) - loaded > 30)).alias("relist"), "rec")
+    return V("v_gossip").select("id", (loaded.isNull() | (F.lit(1704067830) - loaded >= 30)).alias("relist"), "rec")
 
 
 @query("state_startup_purge", "SELECT count(*) AS files, CAST(sum(content_length) AS BIGINT) AS bytes FROM v_listing")

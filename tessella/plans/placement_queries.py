@@ -87,12 +87,12 @@ PROBE = f"{DG}, {BITS}, {INV}, bl AS (SELECT DISTINCT node_id, bit FROM inv), ne
 
 @query("f_bloom_contains", f"WITH {PROBE} SELECT blob, off AS offset, node_id FROM pos")
 def _(V):
-    return H.probe_blooms(chunks(V), H.build_blooms(inventory(V), M_BITS), M_BITS).select("blob", "offset", "node_id")
+    return H.probe_blooms(chunks(V), inventory(V), M_BITS).select("blob", "offset", "node_id")
 
 
 @query("j_chunk_holder", f"WITH {PROBE} SELECT node_id, count(*) AS chunks FROM pos GROUP BY node_id")
 def _(V):
-    p = H.probe_blooms(chunks(V), H.build_blooms(inventory(V), M_BITS), M_BITS)
+    p = H.probe_blooms(chunks(V), inventory(V), M_BITS)
     return p.groupBy("node_id").agg(F.count(F.lit(1)).alias("chunks"))
 
 
@@ -103,7 +103,7 @@ FULLER = PROBE.replace(f"% {M_BITS}", f"% {SMALL_BITS}")
 @query("agg_fp_rate", f"WITH {FULLER}, h AS (SELECT DISTINCT node_id, blob, off FROM inv) SELECT count(*) AS probes_positive, count(*) FILTER (WHERE h.blob IS NULL) AS false_positive FROM pos LEFT JOIN h USING (node_id, blob, off)")
 def _(V):
     inv = inventory(V)
-    p = H.probe_blooms(chunks(V), H.build_blooms(inv, SMALL_BITS), SMALL_BITS)
+    p = H.probe_blooms(chunks(V), inv, SMALL_BITS)
     held = inv.select("node_id", "mount", "blob", "offset", F.lit(True).alias("held"))
     j = p.join(held, ["node_id", "mount", "blob", "offset"], "left")
     return j.agg(F.count(F.lit(1)).alias("probes_positive"), F.count_if(F.col("held").isNull()).alias("false_positive"))
@@ -113,7 +113,7 @@ def _(V):
 def _(V):
     """Nodes whose filter promised a chunk that they don't hold: their filter is dropped."""
     inv = inventory(V)
-    p = H.probe_blooms(chunks(V), H.build_blooms(inv, SMALL_BITS), SMALL_BITS)
+    p = H.probe_blooms(chunks(V), inv, SMALL_BITS)
     return p.join(inv, ["node_id", "mount", "blob", "offset"], "left_anti").select("node_id").distinct()
 
 
@@ -122,8 +122,7 @@ YES = f"{PROBE}, {ALIVE}, sc AS (SELECT blob, off, node_id, {SCORE} AS score FRO
 
 @query("top_yes_maybe", f"WITH {YES} SELECT 'docs' AS mount, blob, off AS offset, node_id, cls, CAST(row_number() OVER (PARTITION BY blob, off ORDER BY cls DESC, r) AS INTEGER) AS attempt FROM k")
 def _(V):
-    c, b = chunks(V), H.build_blooms(inventory(V), M_BITS)
-    return H.rank_candidates(c, alive(V), H.probe_blooms(c, b, M_BITS), b, 2, 3)
+    return H.rank_candidates(chunks(V), alive(V), inventory(V), M_BITS, 2, 3)
 
 
 @query("f_bloom_fp_theory", f"SELECT n_name, round(pow(1 - exp(-4.0 * (n_nationkey * 1000) / {M_BITS}.0), 4.0), 9) AS p FROM nation")
@@ -247,12 +246,6 @@ def _(V):
     return have(V).join(V("v_nodes").filter("state = 'Alive'"), "node_id", "left_anti").select("node_id")
 
 
-@query("state_bloom_version", "SELECT n AS node, CAST(count(*) AS BIGINT) AS version, CAST(max(seq) AS BIGINT) AS last_insert FROM (SELECT node AS n, seq FROM v_access) GROUP BY n")
-def _(V):
-    """A filter's version counts its inserts."""
-    return V("v_access").groupBy("node").agg(F.count(F.lit(1)).alias("version"), F.max("seq").alias("last_insert"))
-
-
 # Transfer plans
 
 TG = f"tg AS (SELECT node_id, 0 AS grp FROM v_nodes WHERE node_id = '{SELF}' UNION ALL SELECT node_id, 1 FROM v_nodes WHERE state = 'Alive' AND node_id <> '{SELF}' AND cluster_hash = 'h1'), tn AS (SELECT node_id, row_number() OVER (ORDER BY grp, node_id) - 1 AS t, count(*) OVER () AS n FROM tg)"
@@ -303,9 +296,18 @@ def _(V):
     return targets(V).select("node_id", (F.row_number().over(Window.orderBy("node_id")) - 1).alias("r"))
 
 
-@query("state_hydrate_ring", f"WITH {RING} SELECT node_id, count(*) AS steps FROM st GROUP BY node_id")
+RING_RUN = f"""{SHARD}, {RING.removeprefix(TG + ', ')}, sh AS (SELECT node_id, count(*) AS chunks, CAST(sum(len) AS BIGINT) AS bytes FROM ix JOIN tn ON i % n = t GROUP BY node_id),
+  sp AS (SELECT st.step, st.node_id AS receiver, s.node_id AS source FROM st JOIN rk s ON s.r = (st.r + st.n - st.step) % st.n),
+  mv AS (SELECT step, receiver, source, coalesce(chunks, 0) AS chunks, coalesce(bytes, 0) AS bytes, v.num % 7 <> 3 AS known FROM sp LEFT JOIN sh ON sh.node_id = source JOIN v_nodes v ON v.node_id = receiver),
+  sm AS (SELECT step, count(*) AS receivers, count(*) FILTER (WHERE NOT known) AS unknown, CAST(sum(CASE WHEN known THEN chunks ELSE 0 END) AS BIGINT) AS chunks, CAST(sum(CASE WHEN known THEN bytes ELSE 0 END) AS BIGINT) AS bytes,
+    max(CASE WHEN known THEN (bytes + 999) // 1000 ELSE 0 END) AS ms FROM mv GROUP BY step)"""
+
+
+@query("state_hydrate_ring", f"WITH {RING_RUN} SELECT step, receivers, unknown, chunks, bytes, CAST(sum(ms) OVER (ORDER BY step) - ms AS BIGINT) AS starts_ms, CAST(sum(ms) OVER (ORDER BY step) AS BIGINT) AS ends_ms FROM sm")
 def _(V):
-    return T.ring_plan(targets(V)).groupBy(F.col("receiver").alias("node_id")).agg(F.count(F.lit(1)).alias("steps"))
+    """The ring run step by step over links of 1000 bytes a millisecond; receivers that send no report (here every seventh) are unknown."""
+    shards = T.shard_plan(chunks(V), targets(V)).groupBy("node_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("len").cast("bigint").alias("bytes"))
+    return T.ring_run(T.ring_plan(targets(V)), shards, V("v_nodes").filter("num % 7 <> 3").select("node_id"), 1000)
 
 
 @query("state_hydrate_broadcast", f"WITH {SHARD}, w AS (SELECT node_id, count(*) AS c FROM ix JOIN tn ON i % n = t GROUP BY node_id) SELECT a.node_id AS receiver, CAST(sum(w.c) AS BIGINT) AS chunks, max(greatest(1, 64 // (SELECT count(*) - 1 FROM tg))) AS permits FROM tg a JOIN w ON w.node_id <> a.node_id GROUP BY 1")
@@ -316,9 +318,9 @@ def _(V):
     return T.broadcast_plan(targets(V)).join(per, "source").groupBy("receiver").agg(F.sum("c").cast("bigint").alias("chunks"), F.lit(max(1, 64 // max(1, n))).cast("bigint").alias("permits"))
 
 
-@query("win_rr_interleave", "WITH c AS (SELECT l_suppkey % 5 AS receiver, l_suppkey % 7 AS source, l_orderkey * 10 + l_linenumber AS chunk FROM lineitem WHERE l_orderkey < 2000), d AS (SELECT DISTINCT * FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY receiver, source ORDER BY chunk) AS turn FROM d) SELECT receiver, source, chunk, CAST(row_number() OVER (PARTITION BY receiver ORDER BY turn, source) AS INTEGER) AS place FROM r")
+@query("win_rr_interleave", "WITH c AS (SELECT l_suppkey % 5 AS receiver, l_suppkey % 7 AS source, l_orderkey * 10 + l_linenumber AS chunk FROM lineitem), d AS (SELECT DISTINCT * FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY receiver, source ORDER BY chunk) AS turn FROM d) SELECT receiver, source, chunk, row_number() OVER (PARTITION BY receiver ORDER BY turn, source) AS place FROM r")
 def _(V):
-    c = V("lineitem").filter("l_orderkey < 2000").select((F.col("l_suppkey") % 5).alias("receiver"), (F.col("l_suppkey") % 7).alias("source"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk")).distinct()
+    c = V("lineitem").select((F.col("l_suppkey") % 5).alias("receiver"), (F.col("l_suppkey") % 7).alias("source"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk")).distinct()
     return T.interleave(c).select("receiver", "source", "chunk", "place")
 
 
@@ -366,13 +368,6 @@ def _(V):
     return per.agg(F.count(F.lit(1)).alias("peers"), F.sum("files").cast("bigint").alias("files"), F.sum("bytes").cast("bigint").alias("bytes"))
 
 
-@query("state_clear", "SELECT node, count(DISTINCT key) AS files, CAST(sum(DISTINCT key * 8 + size) AS BIGINT) AS digest FROM v_access GROUP BY node")
-def _(V):
-    """What clearing each node's cache would drop: every key it holds, once."""
-    k = V("v_access").select("node", "key", "size").distinct()
-    return k.groupBy("node").agg(F.count(F.lit(1)).alias("files"), F.sum(F.col("key") * 8 + F.col("size")).cast("bigint").alias("digest"))
-
-
 @query("state_hydrate_mode", "SELECT n_name, CASE WHEN lower(e) IN ('broadcast', 'ring') THEN lower(e) ELSE coalesce(r, 'broadcast') END AS mode FROM (SELECT n_name, CASE n_nationkey % 4 WHEN 0 THEN 'RING' WHEN 1 THEN 'Broadcast' WHEN 2 THEN 'default' END AS e, CASE n_nationkey % 3 WHEN 0 THEN 'ring' WHEN 1 THEN 'broadcast' END AS r FROM nation)")
 def _(V):
     k = F.col("n_nationkey")
@@ -380,7 +375,7 @@ def _(V):
     return n.select("n_name", P.hydrate_mode(F.col("e"), F.col("r")).alias("mode"))
 
 
-@query("random_pick")
+@query("random_pick", f"WITH {ALIVE} SELECT node_id FROM al ORDER BY md5('7:' || node_id), node_id LIMIT 1")
 def _(V):
-    """One alive peer at random, by a seeded shuffle."""
-    return alive(V).orderBy(F.rand(7)).limit(1)
+    """One alive peer, drawn by a seeded hash: every peer is as likely over the seeds, and reruns agree."""
+    return alive(V).orderBy(F.md5(F.concat(F.lit("7:"), F.col("node_id")).cast("binary")), "node_id").limit(1)

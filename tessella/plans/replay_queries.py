@@ -21,13 +21,26 @@ def _(V):
     return R.replay_lru(V("v_access"), CAP)
 
 
-@query("win_lru_order", f"WITH {FLUSH}, l AS (SELECT node, key, max(seq) AS last FROM ac GROUP BY node, key) SELECT node, key, row_number() OVER (PARTITION BY node ORDER BY last) AS evict_order FROM l")
+HELD = f"ky AS (SELECT node, key, max(seq) AS last, max(size) AS size FROM v_access GROUP BY node, key), hd AS (SELECT * FROM (SELECT *, sum(size) OVER (PARTITION BY node ORDER BY last DESC) AS s FROM ky) WHERE s <= {CAP})"
+
+
+@query("win_lru_order", f"WITH {HELD} SELECT node, key, row_number() OVER (PARTITION BY node ORDER BY last) AS evict_order FROM hd")
+def _(V):
+    """Order of eviction of what the caches hold: the least recently used first."""
+    return R.lru_content(V("v_access"), CAP).select("node", "key", "evict_order")
+
+
+@query("state_clear", f"WITH {HELD} SELECT node, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(key * 8 + size) AS BIGINT) AS digest FROM hd GROUP BY node")
 def _(V):
-    """Order of eviction: the least recently used first."""
-    from pyspark.sql import Window
+    """What clearing each node's cache drops: what it holds at the end of the trace."""
+    return R.lru_content(V("v_access"), CAP).groupBy("node").agg(F.count(F.lit(1)).alias("files"), F.sum("size").cast("bigint").alias("bytes"), F.sum(F.col("key") * 8 + F.col("size")).cast("bigint").alias("digest"))
+
 
-    l = V("v_access").groupBy("node", "key").agg(F.max("seq").alias("last"))
-    return l.select("node", "key", F.row_number().over(Window.partitionBy("node").orderBy("last")).cast("bigint").alias("evict_order"))
+@query("state_bloom_version", f"WITH {FLUSH}, rb AS (SELECT node, seq FROM v_access WHERE event_type = 'error' AND seq % 10 = 0), bo AS (SELECT node, seq, 1 AS i FROM lr WHERE NOT hit UNION ALL SELECT node, seq, 0 FROM rb), la AS (SELECT node, max(seq) AS last FROM rb GROUP BY node) SELECT node, count(*) AS version, CAST(sum(i) AS BIGINT) AS inserts, count(*) FILTER (WHERE i = 0) AS rebuilds, count(*) FILTER (WHERE i = 1 AND seq >= coalesce(last, -1)) AS pending FROM bo LEFT JOIN la USING (node) GROUP BY node")
+def _(V):
+    """Versions of the filters: each miss inserts a key, and some errors (here every tenth place) have the filter rebuilt."""
+    a = V("v_access")
+    return R.bloom_versions(R.replay_lru(a, CAP), a.filter("event_type = 'error' AND seq % 10 = 0").select("node", "seq"))
 
 
 @query("state_hit_miss", f"WITH {FLUSH} SELECT node, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses, CAST(sum(CASE WHEN hit THEN 0 ELSE size END) AS BIGINT) AS bytes_inserted FROM lr GROUP BY node")
@@ -156,11 +169,11 @@ def _(V):
     return V("v_requests").select("req_id", u.alias("url")).select("req_id", "url", part("offset").alias("parsed_offset"), part("len").alias("parsed_len"))
 
 
-@query("f_urlenc", "SELECT doc_id, list_aggregate(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda p: CASE WHEN regexp_full_match(p, '3[0-9]|[46][1-9A-F]|[57][0-9A]') THEN decode(unhex(p)) ELSE '%' || p END), 'string_agg', '') AS enc FROM (SELECT doc_id, substr(text, 1, 60) AS t FROM documents WHERE length(text) > 0)")
+@query("f_urlenc", "SELECT doc_id, coalesce(list_aggregate(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda p: CASE WHEN regexp_full_match(p, '3[0-9]|[46][1-9A-F]|[57][0-9A]') THEN decode(unhex(p)) ELSE '%' || p END), 'string_agg', ''), '') AS enc FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def _(V):
     from ..functions.codec import percent_encode
 
-    return V("documents").filter("length(text) > 0").select("doc_id", percent_encode(F.substring("text", 1, 60)).alias("enc"))
+    return V("documents").select("doc_id", percent_encode(F.coalesce("text", F.lit(""))).alias("enc"))
 
 
 @query("f_elapsed_to_s", "SELECT n_name, n_nationkey * 3 + CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 3600 END + 60 AS s FROM (SELECT n_name, CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation)")
@@ -177,10 +190,22 @@ def _(V):
     return V("pages").select("page_id", P.request_id_ok(r).alias("ok"))
 
 
-@query("f_shared_key")
+SECRET, ACCOUNT, DATE = "c2VjcmV0", "acct", "Mon, 01 Jan 2024 00:00:00 GMT"
+HMAC = "unhex(sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({text})))))"
+
+
+def signed_sql() -> str:
+    from ..functions.codec import key_pads
+
+    inner, outer = (p.hex() for p in key_pads(SECRET))
+    text = f"'GET' || chr(10) || chr(10) || chr(10) || CASE WHEN content_length > 0 THEN CAST(content_length AS STRING) ELSE '' END || repeat(chr(10), 9) || 'x-ms-date:{DATE}' || chr(10) || '/{ACCOUNT}/c/' || blob"
+    return f"SELECT blob, 'SharedKey {ACCOUNT}:' || base64({HMAC.format(outer=outer, inner=inner, text=text)}) AS \"authorization\" FROM v_listing"
+
+
+@query("f_shared_key", signed_sql())
 def _(V):
-    """Signatures by a keyed hash, which the built-ins lack."""
-    from ..functions.codec import sign_column
+    """Signatures by a keyed hash: two rounds of SHA-256 with the key's pads as constants."""
+    from ..functions.codec import authorization_of
 
-    sign = sign_column("c2VjcmV0", "acct")
-    return V("v_listing").select("blob", sign(F.lit("GET"), F.concat(F.lit("/c/"), F.col("blob")), F.col("content_length"), F.lit("Mon, 01 Jan 2024 00:00:00 GMT")).alias("authorization"))
+    text = F.concat(F.lit("GET\n\n\n"), F.when(F.col("content_length") > 0, F.col("content_length").cast("string")).otherwise(""), F.lit("\n" * 9), F.lit(f"x-ms-date:{DATE}\n/{ACCOUNT}/c/"), F.col("blob"))
+    return V("v_listing").select("blob", authorization_of(ACCOUNT, SECRET, text).alias("authorization"))

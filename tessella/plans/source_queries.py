@@ -71,12 +71,12 @@ def _(V):
 
 def logs(V):
     """A progress log by user: marks in order of event, with colours and noise."""
-    e = V("events").filter("user_id % 4 = 0").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    e = V("events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     mark = F.format_string("\x1b[32m 0: %d/500 [%02d:%02d<10:00, 1s/it]\x1b[0m", F.floor(F.col("n") / 2), F.floor(F.col("n") * 7 / 60), F.col("n") * 7 % 60)
     return e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", mark.alias("m")))), lambda x: x["m"]), "\n").alias("text"))
 
 
-MARKS = "ev AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id % 4 = 0), mk AS (SELECT user_id, n, n // 2 AS step, n * 7 AS elapsed_s FROM ev)"
+MARKS = "ev AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), mk AS (SELECT user_id, n, n // 2 AS step, n * 7 AS elapsed_s FROM ev)"
 
 
 @query("src_train_log", f"WITH {MARKS} SELECT user_id, CAST(n - 1 AS INTEGER) AS pos, CAST(step AS BIGINT) AS step, CAST(500 AS BIGINT) AS total, CAST(elapsed_s AS BIGINT) AS elapsed_s FROM mk")
@@ -189,7 +189,7 @@ def _(V):
     return c.select("chunk_size", "pool", "prefetch_depth", "prefetch_threshold", "kind", F.get("mounts", F.lit(0))["name"].alias("mount"))
 
 
-@query("src_request_codec", "SELECT req_id, CASE WHEN req_id % 7 <> 0 THEN off END AS off, CASE WHEN req_id % 7 <> 0 THEN len END AS len, CASE WHEN req_id % 7 = 0 THEN 'trailing' END AS error FROM v_requests WHERE req_id < 20000")
+@query("src_request_codec", "SELECT req_id, CASE WHEN req_id % 7 <> 0 THEN off END AS off, CASE WHEN req_id % 7 <> 0 THEN len END AS len, CASE WHEN req_id % 7 = 0 THEN 'trailing' END AS error FROM v_requests")
 def _(V):
     """Requests as messages (built here from hex parts), read back; every 7th has a byte too many."""
     from ..functions.codec import MAGIC, request_fields
@@ -198,17 +198,17 @@ def _(V):
     text = lambda c: F.hex(F.encode(c, "UTF-8"))
     b = F.col("blob").cast("string")
     wire = F.concat(F.lit(f"{MAGIC:08X}"), F.lit("04"), text(F.lit("docs")), be(F.length(b), 4), text(b), be(F.col("off"), 16), be(F.col("len"), 8), F.lit("0002"), text(F.lit("n1")), F.lit("00000064000161"), F.when(F.col("req_id") % 7 == 0, "00").otherwise(""))
-    r = V("v_requests").filter("req_id < 20000").select("req_id", request_fields(F.unhex(wire)).alias("r"))
+    r = V("v_requests").select("req_id", request_fields(F.unhex(wire)).alias("r"))
     return r.select("req_id", "r.off", F.col("r.length").alias("len"), "r.error")
 
 
-@query("src_response_codec", "SELECT req_id, CASE req_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'miss' WHEN 2 THEN 'error' END AS status, CASE WHEN req_id % 4 = 3 THEN 'unknown' WHEN req_id % 4 = 0 AND req_id % 5 = 0 THEN 'too_large' END AS error FROM v_requests WHERE req_id < 20000")
+@query("src_response_codec", "SELECT req_id, CASE req_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'miss' WHEN 2 THEN 'error' END AS status, CASE WHEN req_id % 4 = 3 THEN 'unknown' WHEN req_id % 4 = 0 AND req_id % 5 = 0 THEN 'too_large' END AS error FROM v_requests")
 def _(V):
     from ..functions.codec import response_fields
 
     k = F.col("req_id")
     wire = F.concat(F.lpad(F.hex(k % 4), 2, "0"), F.lit("000000"), F.lit("02000000AABB"))
-    r = V("v_requests").filter("req_id < 20000").select("req_id", response_fields(F.unhex(wire), F.when(k % 5 == 0, 1).otherwise(2)).alias("r"))
+    r = V("v_requests").select("req_id", response_fields(F.unhex(wire), F.when(k % 5 == 0, 1).otherwise(2)).alias("r"))
     return r.select("req_id", "r.status", "r.error")
 
 

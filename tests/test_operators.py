@@ -33,6 +33,15 @@ def test_lru_equals_simulation(spark, traces, cap, reject):
     assert [r.hit for r in got] == want
 
 
+def test_interleave(spark):
+    rows = [(r, s, 10 * r + 100 * s + k) for r in range(2) for s, n in ((0, 4), (1, 2), (2, 3)) for k in range(n)]
+    got = {(x.receiver, x.source, x.chunk): x.place for x in transfer.interleave(spark.createDataFrame(rows, "receiver bigint, source bigint, chunk bigint")).collect()}
+    turn = {row: sorted(x for x in rows if x[:2] == row[:2]).index(row) for row in rows}
+    for r in range(2):
+        want = sorted((x for x in rows if x[0] == r), key=lambda x: (turn[x], x[1]))
+        assert [got[x] for x in want] == list(range(1, len(want) + 1))
+
+
 def test_singleflight(spark):
     rows = [(1, 7, 0, 10), (2, 7, 5, 9), (3, 7, 10, 12), (4, 8, 5, 6), (5, 7, 11, 40)]
     got = {r.id: (r.role, r.leader) for r in replay.singleflight(spark.createDataFrame(rows, "id bigint, key bigint, t0 bigint, t1 bigint")).collect()}
@@ -70,11 +79,26 @@ def test_merge_is_a_maximum(spark):
     assert [tuple(r) for r in got] == [("a", 1, 5, "Dead", 3)]
 
 
-def test_bloom_holds_what_was_put_in(spark):
+def test_bloom_holds_what_was_put_in(spark, monkeypatch):
     keys = spark.createDataFrame([("m", "b", i) for i in range(50)], "mount string, blob string, offset bigint")
     inv = keys.filter("offset < 25").withColumn("node_id", F.lit("n"))
-    hit = {r.offset for r in placement.probe_blooms(keys, placement.build_blooms(inv, 1 << 16), 1 << 16).collect()}
+    hit = {r.offset for r in placement.probe_blooms(keys, inv, 1 << 16).collect()}
     assert set(range(25)) <= hit and len(hit) < 30
+    bits = {r.bit for r in placement.build_blooms(inv, 1 << 16).collect()}
+    words = placement.build_filters(inv, 1 << 16).first().words
+    assert {64 * i + b for i, w in enumerate(words) for b in range(64) if w >> b & 1} == bits and len(words) == 1024
+    # Filters too large to broadcast: the same by a join.
+    monkeypatch.setattr(placement, "MOST_FILTER_BYTES", 1)
+    assert {r.offset for r in placement.probe_blooms(keys, inv, 1 << 16).collect()} == hit
+
+
+def test_candidates_either_way(spark, monkeypatch):
+    keys = spark.createDataFrame([("m", "b", i) for i in range(40)], "mount string, blob string, offset bigint")
+    inv = keys.withColumn("node_id", F.concat(F.lit("n"), (F.col("offset") % 3).cast("string")))
+    alive = spark.createDataFrame([(f"n{i}",) for i in range(9)], "node_id string")
+    few = sorted(map(tuple, placement.rank_candidates(keys, alive, inv, 1 << 10, 2, 3).collect()))
+    monkeypatch.setattr(placement, "MOST_FILTER_BYTES", 1)
+    assert sorted(map(tuple, placement.rank_candidates(keys, alive, inv, 1 << 10, 2, 3).collect())) == few and len(few) >= 160
 
 
 def test_quantiles(spark):

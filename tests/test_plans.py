@@ -25,7 +25,21 @@ def test_scans_are_pruned(spark, sf_dir):
 
 
 def test_filters_reach_the_scan(spark, sf_dir):
-    assert re.search(r"PushedFilters: \[.*LessThan\(l_orderkey,2000\)", plan(QUERIES["win_rr_interleave"](spark, sf_dir)))
+    assert re.search(r"PushedFilters: \[.*EqualTo\(l_returnflag,R\)", plan(spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_returnflag = 'R'").select("l_orderkey")))
+
+
+@pytest.mark.parametrize("name", ["top_hrw_owner", "win_hrw_rank", "f_hrw_score"])
+def test_owners_need_no_shuffle(name, spark, sf_dir):
+    # The one exchange gathers the nodes into an array, before the broadcast.
+    text = plan(QUERIES[name](spark, sf_dir))
+    assert "hashpartitioning" not in text and text.count("Exchange SinglePartition") <= 1
+
+
+@pytest.mark.parametrize("name", ["top_yes_maybe", "f_bloom_contains"])
+def test_filters_are_probed_in_the_row(name, spark, sf_dir):
+    """Chunks are never shuffled: what is, are the bits of the filters, by node."""
+    text = plan(QUERIES[name](spark, sf_dir))
+    assert not re.search(r"hashpartitioning\((mount|blob|offset)", text)
 
 
 def test_range_reads_join_by_equality(spark, sf_dir):
