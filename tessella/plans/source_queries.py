@@ -70,25 +70,36 @@ def _(V):
 
 
 def logs(V):
-    """A progress log by user: marks in order of event, with colours and noise."""
+    """A training log by user: phases on rank 0's lines, other ranks' noise, and marks in order of event, with colours; two marks a step."""
     e = V("events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    mark = F.format_string("\x1b[32m 0: %d/500 [%02d:%02d<10:00, 1s/it]\x1b[0m", F.floor(F.col("n") / 2), F.floor(F.col("n") * 7 / 60), F.col("n") * 7 % 60)
-    return e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", mark.alias("m")))), lambda x: x["m"]), "\n").alias("text"))
+    g, n = F.floor(F.col("n") / 2), F.col("n")
+    mark = F.format_string("\x1b[32m 0: Epoch 0: %d/500 [%02d:%02d<10:00, %d.5s/it, loss=0.%03d, global_grad_norm=1.5, global_step=%d]\x1b[0m", n, F.floor(n * 7 / 60), n * 7 % 60, n % 9, n % 1000, g)
+    body = e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", mark.alias("m")))), lambda x: x["m"]), "\n").alias("b"))
+    u = F.col("user_id")
+    head = F.format_string("1: [2024-01-01 00:00:00] Loading checkpoint from /c\n 0: [2024-01-01 00:%02d:00] Loading checkpoint from /c\n0: [2024-01-01 00:%02d:10] hunyuan_vae\n", u % 7, u % 7)
+    begin = F.when(u % 5 == 0, "").otherwise(F.format_string("0: [2024-01-01 00:%02d:%02d] Beginning epoch 0\n0: [2024-01-01 09:00:00] Beginning epoch 1\n", 10 + u % 3, u % 60))
+    return body.select("user_id", F.concat(head, begin, F.col("b")).alias("text"))
 
 
 MARKS = "ev AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), mk AS (SELECT user_id, n, n // 2 AS step, n * 7 AS elapsed_s FROM ev)"
 
 
-@query("src_train_log", f"WITH {MARKS} SELECT user_id, CAST(n - 1 AS INTEGER) AS pos, CAST(step AS BIGINT) AS step, CAST(500 AS BIGINT) AS total, CAST(elapsed_s AS BIGINT) AS elapsed_s FROM mk")
+@query("src_train_log", f"WITH {MARKS} SELECT user_id, CAST(n - 1 AS INTEGER) AS pos, n AS step, CAST(500 AS BIGINT) AS total, CAST(elapsed_s AS BIGINT) AS elapsed_s, n % 9 + CAST(0.5 AS DOUBLE) AS s_it, CAST(n % 1000 AS DOUBLE) / 1000 AS loss, CAST(1.5 AS DOUBLE) AS grad_norm, CAST(step AS BIGINT) AS global_step FROM mk")
 def _(V):
     return X.parse_steps(logs(V), ["user_id"])
 
 
+@query("src_train_times", "SELECT user_id, ckpt_start, vae_start, steps_start, CAST(epoch(CAST(steps_start AS TIMESTAMP)) - epoch(CAST(ckpt_start AS TIMESTAMP)) AS BIGINT) AS ckpt_load_s FROM (SELECT DISTINCT user_id, format('2024-01-01 00:{:02d}:00', user_id % 7) AS ckpt_start, format('2024-01-01 00:{:02d}:10', user_id % 7) AS vae_start, CASE WHEN user_id % 5 <> 0 THEN format('2024-01-01 00:{:02d}:{:02d}', 10 + user_id % 3, user_id % 60) END AS steps_start FROM events)")
+def _(V):
+    return X.phase_times(logs(V), ["user_id"])
+
+
 DUR = f"{MARKS}, ls AS (SELECT user_id, step, max(elapsed_s) AS e FROM mk GROUP BY user_id, step), du AS (SELECT user_id, CAST(step AS BIGINT) AS step, CAST(greatest(0, e - lag(e, 1, 0) OVER (PARTITION BY user_id ORDER BY step)) AS BIGINT) AS duration_s FROM ls)"
 
 
 def durations(V):
-    s = X.parse_steps(logs(V), ["user_id"]).groupBy("user_id", "step").agg(F.max("elapsed_s").alias("e"))
+    """Of a step's marks the one with the greatest time counts; its duration is what was added since the step before."""
+    s = X.parse_steps(logs(V), ["user_id"]).filter("global_step IS NOT NULL").groupBy("user_id", F.col("global_step").alias("step")).agg(F.max("elapsed_s").alias("e"))
     w = Window.partitionBy("user_id").orderBy("step")
     return s.select("user_id", "step", F.greatest(F.lit(0), F.col("e") - F.lag("e", 1, 0).over(w)).cast("bigint").alias("duration_s"))
 

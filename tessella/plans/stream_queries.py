@@ -36,6 +36,18 @@ def stream_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("id", "w.incarnation", "w.last_seen", "w.state")
 
 
+SWEEP_MS = "CAST(floor(epoch(max(ts)) * 1000) AS BIGINT)"
+
+
+@register("stream_sweep", oracle(f"WITH r AS (SELECT id, max(struct_pack(i := incarnation, l := last_seen, r := CASE state WHEN 'Alive' THEN 0 WHEN 'Suspect' THEN 1 ELSE 2 END, s := state)) AS w FROM v_gossip WHERE cluster_hash = 'h1' AND id <> 'n0' GROUP BY id), c AS (SELECT {SWEEP_MS} AS now FROM events) SELECT id, w.i AS incarnation, w.l AS last_seen, CASE WHEN now > w.l * 1000 + 7200000 THEN 'Dead' WHEN now > w.l * 1000 + 3600000 THEN 'Suspect' ELSE w.s END AS state FROM r, c"))
+def stream_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of every member after gossip and timers (here an hour and two, for events are minutes apart)."""
+    g = spark.sql(spark_text(VIEWS["v_gossip"]).replace(" FROM events", ", ts FROM {events}"), events=_events(spark, sf_dir)).withColumn("ts", F.expr("to_timestamp(cast(ts AS string))"))
+    out = S.drain(S.swept_membership(g, "h1", "n0", 3600, 7200), _folder(spark, "sweep"))
+    last = out.groupBy("id").agg(F.max_by(F.struct("incarnation", "last_seen", "state"), "n").alias("w"))
+    return last.select("id", "w.incarnation", "w.last_seen", "w.state")
+
+
 @register("stream_lru", oracle(f"WITH {FLUSH} SELECT node, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses FROM lr GROUP BY node"))
 def stream_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = S.drain(S.lru(_view(spark, sf_dir, "v_access").select("node", "seq", "key", "size"), CAP), _folder(spark, "lru"))

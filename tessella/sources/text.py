@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 SAMPLER_FIELDS = ("epoch_ms", "host", "fuse", "peer", "blob", "net_rx", "net_tx", "cpu", "mem", "disk_r", "disk_w")
 PASS_PATTERN = r"^(\S+)\s+(?:(\S+)\s+)?(?:RESULT\s+)?files=(\d+)\s+bytes=(\d+)\s+wall_s=([0-9.]+)\s*$"
-STEP_PATTERN = r"(\d+)/(\d+) \[(\d+(?::\d+)+)<"
+#: A progress mark: place, total, time so far, and what follows the pace up to the closing bracket.
+STEP_PATTERN = r"(\d+)/(\d+)\s*\[(\d+(?::\d+)+)<[^,\]]*(?:,([^\]]*))?\]"
+#: What a log says when a phase begins (fixed values).
+PHASES = {"ckpt_start": "Loading checkpoint from", "vae_start": "hunyuan_vae", "steps_start": "Beginning epoch"}
 
 
 def whole_number(c: Column) -> Column:
@@ -73,13 +76,34 @@ def strip_ansi(c: Column) -> Column:
 
 
 def parse_steps(logs: DataFrame, by: list[str]) -> DataFrame:
-    """by, text -> step, total, elapsed_s for each progress mark in the text, in order (pos)."""
-    body = logs.select(*by, strip_ansi(F.col("text")).alias("t"))
-    marks = lambda g: F.regexp_extract_all("t", F.lit(STEP_PATTERN), g)
-    rows = body.select(*by, F.posexplode(F.arrays_zip(marks(1).alias("step"), marks(2).alias("total"), marks(3).alias("elapsed"))).alias("pos", "m"))
+    """by, text -> step, total, elapsed_s, s_it, loss, grad_norm, global_step for each progress mark in the text, in order (pos)."""
     from ..functions.policy import elapsed_seconds
 
-    return rows.select(*by, "pos", F.col("m.step").cast("bigint").alias("step"), F.col("m.total").cast("bigint").alias("total"), elapsed_seconds(F.col("m.elapsed")).alias("elapsed_s"))
+    body = logs.select(*by, strip_ansi(F.col("text")).alias("t"))
+    marks = lambda g: F.regexp_extract_all("t", F.lit(STEP_PATTERN), g)
+    rows = body.select(*by, F.posexplode(F.arrays_zip(*[marks(i + 1).alias(c) for i, c in enumerate(("step", "total", "elapsed", "rest"))])).alias("pos", "m"))
+    said = lambda name, kind: F.regexp_extract("m.rest", rf"(?:^|[ ,]){name}=([0-9.eE+-]+)", 1).try_cast(kind)
+    return rows.select(
+        *by,
+        "pos",
+        F.col("m.step").cast("bigint").alias("step"),
+        F.col("m.total").cast("bigint").alias("total"),
+        elapsed_seconds(F.col("m.elapsed")).alias("elapsed_s"),
+        F.regexp_extract("m.rest", r"([0-9.]+)s/it", 1).try_cast("double").alias("s_it"),
+        said("loss", "double").alias("loss"),
+        said("global_grad_norm", "double").alias("grad_norm"),
+        said("global_step", "bigint").alias("global_step"),
+    )
+
+
+def phase_times(logs: DataFrame, by: list[str]) -> DataFrame:
+    """by, text -> when each phase begins: the time in brackets on the first line of rank 0 ('0:' in front) that names it; and how long the
+    checkpoint took to load, null unless both its ends are there."""
+    lines = F.filter(F.split(strip_ansi(F.col("text")), "\n"), lambda x: x.rlike(r"^\s*0:"))
+    first = lambda says: F.regexp_extract(F.get(F.filter(lines, lambda x: F.contains(x, F.lit(says))), F.lit(0)), r"\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)\]", 1)
+    t = logs.select(*by, *[F.nullif(first(says), F.lit("")).alias(c) for c, says in PHASES.items()])
+    at = lambda c: F.unix_timestamp(F.col(c), "yyyy-MM-dd HH:mm:ss")
+    return t.withColumn("ckpt_load_s", (at("steps_start") - at("ckpt_start")).cast("bigint"))
 
 
 def parse_passes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.policy import DEAD_AFTER, SUSPECT_AFTER
+
 DELTA = "host string, metric string, e0 bigint, epoch_ms bigint, dt bigint, delta bigint"
 LAST = "epoch_ms bigint, value bigint"
 
@@ -61,6 +63,39 @@ def membership(records: DataFrame, cluster_hash: str, self_id: str) -> DataFrame
     return ours.groupBy("id").applyInPandasWithState(step, MEMBER, "incarnation bigint, last_seen bigint, state string", "update", GroupStateTimeout.NoTimeout)
 
 
+SWEPT = "id string, n bigint, incarnation bigint, last_seen bigint, state string, failed boolean"
+
+
+def swept_membership(records: DataFrame, cluster_hash: str, self_id: str, suspect_after: int = SUSPECT_AFTER, dead_after: int = DEAD_AFTER) -> DataFrame:
+    """Gossip records with an event time `ts` -> every change of a member (its n-th), by gossip or by the clock.
+
+    A timer stands for each member at the time from which on it is suspect, then dead; the stream's watermark is the clock, so a member falls silent
+    even in a batch that doesn't name it. failed marks the change to dead, upon which its filter is dropped."""
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, *best = state.get if state.exists else (0, None)
+        was = tuple(best) if state.exists else None
+        best, now = was, state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                for i, s, st in zip(pdf["incarnation"].tolist(), pdf["last_seen"].tolist(), pdf["state"].tolist(), strict=True):
+                    if best is None or (i, s) > best[:2] or (i, s) == best[:2] and RANKS[st] > RANKS[best[2]]:
+                        best = (i, s, st)
+        seen = best[1] * 1000
+        due = [t for t in (seen + 1000 * suspect_after, seen + 1000 * dead_after) if t >= now and t > 0]
+        if len(due) < 2:
+            best = (*best[:2], "Suspect" if due else "Dead")
+        if due:
+            state.setTimeoutTimestamp(due[0])
+        changed = best != was
+        state.update((n + changed, *best))
+        if changed:
+            yield pd.DataFrame([(key[0], n + 1, *best, best[2] == "Dead" and (was is None or was[2] != "Dead"))], columns=[f.split()[0] for f in SWEPT.split(", ")])
+
+    ours = records.withWatermark("ts", "0 seconds").filter((F.col("cluster_hash") == cluster_hash) & (F.col("id") != self_id))
+    return ours.groupBy("id").applyInPandasWithState(step, SWEPT, "n bigint, incarnation bigint, last_seen bigint, state string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 ACCESS = "node bigint, seq bigint, key bigint, hit boolean, evicted bigint"
 
 
