@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), a new local folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a new local folder, on one machine only."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -49,9 +52,12 @@ class Stored:
                 at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few enough rows for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def arrow_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Arrow batches of few enough rows and bytes for long texts; a session that has smaller ones keeps them."""
+    for key, most, read in (("maxRecordsPerBatch", rows, int), ("maxBytesPerBatch", size, lambda x: int(x.rstrip("b")) if x.rstrip("b").lstrip("-").isdigit() else 0)):
+        name = f"spark.sql.execution.arrow.{key}"
+        if not 0 < read(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
 
 
 def id_text(doc_id: Column | str) -> Column:

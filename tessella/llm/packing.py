@@ -36,7 +36,9 @@ BINS = 128
 DEPTH = 3
 END_ID = 2
 WORDS_HELD = 1_000_000
+#: Slices of a length class at least, and pieces in a slice.
 SLICES = 512
+SLICE_SIZE = 1 << 16
 #: Less room than this stays padding rather than cutting a document for it.
 LEAST_ROOM = 64
 MOST_BROADCAST = 50_000
@@ -396,9 +398,9 @@ def assign(plan: Plan, lengths: np.ndarray, ranks: np.ndarray, window: int = WIN
     return base[at] + (ranks - since[at] + phase[at]) // per[at]
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
-    """pieces with `rank` (from 0) within their length; by (length, slice) counts and offsets, then within each slice."""
-    cell = F.pmod(F.xxhash64("doc_id", "th", "start"), F.lit(SLICES)).cast("int")
+def ranked(pieces: DataFrame, count: int) -> DataFrame:
+    """pieces, `count` of them, with `rank` (from 0) within their length; by (length, slice) counts and offsets, then within each slice."""
+    cell = F.pmod(F.xxhash64("doc_id", "th", "start"), F.lit(max(SLICES, 1 << (count // SLICE_SIZE).bit_length()))).cast("int")
     p = pieces.withColumn("slice", cell)
     counts = p.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -414,12 +416,15 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     tokenizer = tokenizer or default_tokenizer()
     pieces = stored.put(pieces_of(docs, tokenizer, window, end_id, keep_ids))
     hist = np.zeros(window, np.int64)
-    for length, n in pieces.groupBy("length").count().filter(F.col("length") < window).collect():
-        hist[length] = n
+    total = 0
+    for length, n in pieces.groupBy("length").count().collect():
+        total += n
+        if length < window:
+            hist[length] = n
     plan = plan_packing(hist, window)
     plan.rows.append((window, 0, plan.sequences, 0, 1))
     shared = spark.sparkContext.broadcast(plan)
-    r = ranked(pieces)
+    r = ranked(pieces, total)
     at_length, at_rank = r.columns.index("length"), r.columns.index("rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

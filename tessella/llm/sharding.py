@@ -54,22 +54,23 @@ def table_frame(spark: SparkSession, shards=SHARDS, size: int = TABLE_SIZE) -> D
 
 
 def place(docs: DataFrame, key: Column, shards=SHARDS, size: int = TABLE_SIZE) -> DataFrame:
-    """docs with __slot and __shard, which replace columns of these names."""
-    docs = docs.drop("__slot", "__shard")
-    table = F.broadcast(table_frame(docs.sparkSession, shards, size).withColumnsRenamed({"slot": "__slot", "shard": "__shard"}))
-    return docs.withColumn("__slot", slot_of(key, size)).join(table, "__slot").select(*[f"`{c}`" for c in docs.columns], "__slot", "__shard")
+    """__row (docs' columns), slot, shard."""
+    table = F.broadcast(table_frame(docs.sparkSession, shards, size))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), slot_of(key, size).alias("slot"))
+    return rows.join(table, "slot").select("__row", "slot", "shard")
 
 
 def write_shards(placed: DataFrame, path: str, files: int = 8) -> None:
-    """A folder for each shard, of at most `files` files a shard."""
-    salt = F.pmod(F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in placed.columns if c != "__shard"])), F.lit(files))
-    placed.withColumn("__salt", salt).repartition("__shard", "__salt").drop("__salt").write.partitionBy("__shard").parquet(path)
+    """A folder for each shard, of at most `files` files a shard; the documents are a column `row`."""
+    salt = F.pmod(F.xxhash64("__row"), F.lit(files))
+    rows = placed.withColumn("salt", salt).repartition("shard", "salt")
+    rows.select(F.col("__row").alias("row"), "slot", "shard").write.partitionBy("shard").parquet(path)
 
 
 def op5_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, slot, shard for every document."""
     docs = documents(spark, sf_dir).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
-    return place(docs, F.col("doc_id")).select("doc_id", "n_bytes", F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
+    return place(docs, F.col("doc_id")).select("__row.doc_id", "__row.n_bytes", "slot", "shard")
 
 
 QUERIES = {"op5_shard_lookup": op5_shard_lookup}

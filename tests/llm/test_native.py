@@ -6,6 +6,7 @@ import textwrap
 from collections import Counter
 
 import pytest
+import xxhash
 from compare import SF, assert_equal
 from pyspark.sql import functions as F
 
@@ -213,7 +214,11 @@ def test_placement(spark, make_docs, odd_rows, tmp_path):
     placed = sharding.place(make_docs(odd_rows), F.col("doc_id"))
     table = sharding.lookup_table()
     rows = placed.collect()
-    assert len(rows) == len(odd_rows) and all(table[r["__slot"]] == r["__shard"] for r in rows if r["__slot"] is not None)
+    # A slot is the id's text hashed; a null id's slot is that of the seed alone.
+    slot = lambda i: xxhash.xxh64_intdigest("" if i is None else str(i), 42) if i is not None else 42
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    assert len(rows) == len(odd_rows) and all(r.slot == signed(slot(r["__row"].doc_id)) % sharding.TABLE_SIZE and table[r.slot] == r.shard for r in rows)
+    assert [r["__row"].shard for r in rows] == ["h"] * len(rows)
     assert "BroadcastHashJoin" in placed._jdf.queryExecution().toString()
     sharding.write_shards(placed, f"file://{tmp_path}/out")
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == len(odd_rows)
