@@ -42,6 +42,11 @@ def _permuted(seed: str, *parts: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary"))
 
 
+def _key(source: Column) -> Column:
+    """A source as text that is never null, so that joins and windows by it are alike."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int = MOST) -> DataFrame:
     """sizes: source, source_size -> with weight and target. The table has one row per source; its windows see nothing else."""
     order = Window.orderBy(F.col("source").isNull(), "source")
@@ -105,18 +110,18 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_column:
         word_count(F.col(f"`{text}`")).alias("size"),
         _permuted(seed, F.col(f"`{id_column}`")).alias("perm"),
         F.xxhash64(F.col(f"`{text}`"), F.col(f"`{id_column}`")).alias("tie"),
-    ).withColumn("slice", F.substring("perm", 1, SLICE_DIGITS))
-    slices = base.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
-    ahead = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    targets = source_targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, share, most).withColumn("take", F.round("target").cast("long"))
+    ).withColumns({"slice": F.substring("perm", 1, SLICE_DIGITS), "of": _key(F.col("source"))})
+    slices = base.groupBy("of", "slice").agg(F.first("source").alias("source"), F.sum("size").alias("slice_size"))
+    ahead = Window.partitionBy("of").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = slices.groupBy("of").agg(F.first("source").alias("source"), F.sum("slice_size").alias("source_size"))
+    targets = source_targets(sums.drop("of"), weights, share, most).withColumn("take", F.round("target").cast("long"))
     block_words = F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.sum("take").over(Window.partitionBy()) / F.lit(MOST_BLOCKS))).cast("long")
     targets = targets.withColumn("block_words", block_words)
-    plan = slices.withColumn("slice_start", F.coalesce(F.sum("slice_size").over(ahead), F.lit(0)))
-    t = targets.withColumnRenamed("source", "__ts")
-    plan = plan.join(t, F.col("source").eqNullSafe(F.col("__ts"))).drop("__ts", "slice_size")
-    p = plan.withColumnsRenamed({"source": "__ps", "slice": "__pslice"})
-    here = base.join(p, F.col("source").eqNullSafe(F.col("__ps")) & (F.col("slice") == F.col("__pslice"))).drop("__ps", "__pslice")
-    within = Window.partitionBy("source", "slice").orderBy("perm", "tie", "size")
+    plan = slices.drop("source").withColumn("slice_start", F.coalesce(F.sum("slice_size").over(ahead), F.lit(0))).drop("slice_size")
+    plan = plan.join(targets.withColumn("of", _key(F.col("source"))).drop("source"), "of")
+    # The join and the window share one shuffle of the documents.
+    here = base.join(plan, ["of", "slice"])
+    within = Window.partitionBy("of", "slice").orderBy("perm", "tie", "size")
     here = here.withColumns({"n": F.row_number().over(within), "start": F.col("slice_start") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
     # Copy c of a document lies at c * source_size + start on the source's line, of which the first `take` words are taken.
     first = lambda c: c * F.col("source_size") + F.col("start")
@@ -136,10 +141,10 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_column:
     here = here.withColumn("__c", copies)
     out = here.select("*", F.size("__c").alias("copies"), F.explode_outer(F.flatten(F.transform("__c", pieces))).alias("__p")).select("*", "__p.*").drop("__c", "__p")
     quotas = targets.select("source", F.ceil(F.col("take") / F.col("block_words")).alias("n_blocks"))
-    drawn = Stored(docs.sparkSession, "mix").put(draw_blocks(splitting_tree(quotas, shards, seed), seed).withColumnsRenamed({"source": "__bs", "block": "__bb"}))
+    drawn = Stored(docs.sparkSession, "mix").put(draw_blocks(splitting_tree(quotas, shards, seed), seed).select(_key(F.col("source")).alias("of"), "block", "shard"))
     if drawn.count() <= MOST_BROADCAST:
         drawn = F.broadcast(drawn)
-    out = out.join(drawn, F.col("source").eqNullSafe(F.col("__bs")) & (F.col("block") == F.col("__bb")), "left")
+    out = out.join(drawn, ["of", "block"], "left")
     return out.select(
         "__row",
         F.struct("source", "slice", "n").alias("key"),
