@@ -1,8 +1,8 @@
 """Quality rules: a threshold table compiled into one projection.
 
 Every measure and every rule is a built-in Spark expression over the row's own text, so the plan is scan -> project (or filter): no shuffle, no
-user function, and nothing that grows but the row. Stop words are of languages in Latin letters; the ratio counts as met (one) in texts that have
-fewer Latin letters than half their characters, which it can't judge. Null text counts as a text without words. Repeated rows are judged alike; columns
+user function, and nothing that grows but the row. Stop words are of languages in Latin letters; the ratio counts as met (one) in texts of
+three bytes or more for two characters, so mostly in other letters, which it can't judge. Null text counts as a text without words. Repeated rows are judged alike; columns
 other than the text are neither read nor touched.
 """
 
@@ -85,7 +85,8 @@ def counts(text: Column) -> Column:
             n(lines).alias("n_lines"),
             F.regexp_count(t, F.lit("!!")).cast("long").alias("n_shouts"),
             n(F.filter(w, lambda x: F.lower(x).isin(list(dict.fromkeys(STOP_WORDS))))).alias("n_stop_words"),
-            F.regexp_count(t, F.lit("[A-Za-z]")).cast("long").alias("n_latin"),
+            F.length(t).cast("long").alias("n_chars"),
+            F.octet_length(t).cast("long").alias("n_bytes"),
             n(F.filter(lines, lambda x: x.rlike("^" + SPACE_CLASS + "*[-*•]"))).alias("n_bullet_lines"),
             n(F.filter(lines, lambda x: x.rlike("(\\.\\.\\.|…)" + SPACE_CLASS + "*$"))).alias("n_ellipsis_lines"),
         )
@@ -105,7 +106,7 @@ def _ratios(m: Column) -> dict[str, Column]:
         "mean_word_chars": by("word_chars", "n_words"),
         "symbol_ratio": by("n_symbols", "n_words"),
         "shout_ratio": by("n_shouts", "n_words"),
-        "stop_ratio": F.when(m["n_latin"] * 2 < m["word_chars"], F.lit(1.0)).otherwise(by("n_stop_words", "n_words")),
+        "stop_ratio": F.when(m["n_bytes"] * 2 >= m["n_chars"] * 3, F.lit(1.0)).otherwise(by("n_stop_words", "n_words")),
         "dup_line_ratio": by("n_dup_lines", "n_lines"),
         "bullet_line_ratio": by("n_bullet_lines", "n_lines"),
         "ellipsis_line_ratio": by("n_ellipsis_lines", "n_lines"),
@@ -152,7 +153,7 @@ def _sql() -> str:
         "mean_word_chars": "word_chars / greatest(n_words, 1)",
         "symbol_ratio": "n_symbols / greatest(n_words, 1)",
         "shout_ratio": "n_shouts / greatest(n_words, 1)",
-        "stop_ratio": "CASE WHEN n_latin * 2 < word_chars THEN 1.0 ELSE n_stop_words / greatest(n_words, 1) END",
+        "stop_ratio": "CASE WHEN n_bytes * 2 >= n_chars * 3 THEN 1.0 ELSE n_stop_words / greatest(n_words, 1) END",
         "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
         "bullet_line_ratio": "n_bullet_lines / greatest(n_lines, 1)",
         "ellipsis_line_ratio": "n_ellipsis_lines / greatest(n_lines, 1)",
@@ -170,7 +171,7 @@ m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_st
         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, len(ls) AS n_lines,
         len(regexp_extract_all(t, '!!')) AS n_shouts,
         len(list_filter(ws, lambda x: lower(x) IN ({stops}))) AS n_stop_words,
-        len(regexp_extract_all(t, '[A-Za-z]')) AS n_latin,
+        length(t) AS n_chars, strlen(t) AS n_bytes,
         len(list_filter(ls, lambda x: regexp_matches(x, '^[\\x20\\x09-\\x0D]*[-*•]'))) AS n_bullet_lines,
         len(list_filter(ls, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS n_ellipsis_lines
       FROM w LEFT JOIN cov USING (rid)),
