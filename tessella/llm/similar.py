@@ -31,7 +31,7 @@ from .components import connected_components
 BANDS, ROWS = 30, 5
 ROUNDS = 3
 #: Keys broadcast at most.
-MOST_BROADCAST = 50_000
+MOST_BROADCAST = 200_000
 #: Sets compared with one set in a task.
 TOGETHER = 512
 #: Bytes of a text worked on at once.
@@ -134,6 +134,8 @@ class Similar:
         central = met.groupBy("sk").agg(F.sum("sets").alias("w"))
         self.met = stored.put(met.drop("sets").join(central, "sk"))
         stored.drop(met)
+        # The sets that any comparison may need, from the texts in one pass.
+        self.held = self.sets(self.met.select("sk").distinct())
         self.tried: DataFrame | None = None
 
     def side(self, df: DataFrame, x: str) -> DataFrame:
@@ -174,7 +176,7 @@ class Similar:
     def every(self, met: DataFrame) -> DataFrame:
         """Links of all these sets that are in different components and have the similarity, by the first hashes of each."""
         some = self.stored.put(met.groupBy("sk").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("root").alias("root")))
-        each = self.stored.put(self.sets(some.select("sk")).select("sk", F.explode("s").alias("h")))
+        each = self.stored.put(self.held.join(some.select("sk"), "sk", "left_semi").select("sk", F.explode("s").alias("h")))
         often = each.groupBy("h").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
         of = Window.partitionBy("sk")
         # Hashes that one set alone has come first and meet nothing.
@@ -196,7 +198,7 @@ class Similar:
         return self.stored.put(sets_of(texts, self.words).groupBy("sk").agg(F.first("s").alias("s")))
 
     def checked(self, pairs: DataFrame) -> DataFrame:
-        """a, b: the fingerprints of those pairs (sa, fa, sb, fb) whose sets have the similarity. The lesser set, met by more, is salted."""
+        """a, b: the fingerprints of those pairs (sa, fa, sb, fb) whose sets have the similarity. A set met by many is salted."""
         turn = F.col("sa") < F.col("sb")
         pick = lambda c: [F.when(turn, F.col(f"{c}a")).otherwise(F.col(f"{c}b")).alias(f"{c}a"), F.when(turn, F.col(f"{c}b")).otherwise(F.col(f"{c}a")).alias(f"{c}b")]
         pairs = pairs.select(*pick("s"), *pick("f")).distinct()
@@ -205,16 +207,14 @@ class Similar:
         pairs = self.stored.put(pairs)
         done = pairs.select("sa", "sb")
         self.tried = done if self.tried is None else self.tried.unionByName(done)
-        sets = self.sets(pairs.select(F.explode(F.array("sa", "sb")).alias("sk")).distinct())
-        loads = pairs.groupBy("sa").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("salts"))
-        left = sets.join(loads, F.col("sk") == F.col("sa")).select("sa", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("s").alias("ta"))
-        salted = pairs.join(loads, "sa").withColumn("salt", F.pmod(F.xxhash64("sb"), F.col("salts")).cast("int"))
-        both = salted.join(sets.select(F.col("sk").alias("sb"), F.col("s").alias("tb")), "sb").join(left, ["sa", "salt"])
+        both = pairs
+        for x, other, name in (("sb", "sa", "tb"), ("sa", "sb", "ta")):
+            loads = pairs.groupBy(x).agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("salts"))
+            sets = self.held.join(loads, F.col("sk") == F.col(x)).select(x, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("s").alias(name))
+            both = both.join(loads, x).withColumn("salt", F.pmod(F.xxhash64(other), F.col("salts")).cast("int")).drop("salts").join(sets, [x, "salt"]).drop("salt")
         shared = F.size(F.array_intersect("ta", "tb"))
         alike = shared >= F.lit(self.similarity) * (F.size("ta") + F.size("tb") - shared) - F.lit(1e-9)
-        out = self.stored.put(both.filter(alike).select(F.col("fa").alias("a"), F.col("fb").alias("b")))
-        self.stored.drop(sets)
-        return out
+        return self.stored.put(both.filter(alike).select(F.col("fa").alias("a"), F.col("fb").alias("b")))
 
     def components(self, found: DataFrame) -> DataFrame:
         """node, root of the components of `found` (a, b) and of all similar pairs."""
