@@ -28,12 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_written: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def remove_stored(spark: SparkSession) -> None:
+    """Removes the tables that this process has stored; results that read them must have been written before."""
+    while _written:
+        _remove(spark, _written.pop())
+
+
 class Stored:
-    """Tables written to the shared folder, which cut lineage and survive lost executors; drop() removes one early."""
+    """Tables written to the shared folder, which cut lineage and survive lost executors; drop() removes one early, remove_stored() all."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        _written.add(self.base)
 
     def put(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -46,10 +62,7 @@ class Stored:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_stored_path", None)
         if path:
-            with contextlib.suppress(Exception):
-                jvm = self.spark._jvm
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(self.spark, path)
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:

@@ -12,7 +12,7 @@ from compare import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessella.llm import ann, bktree, components, langid, lm, packing, simhash
+from tessella.llm import ann, bktree, common, components, langid, lm, packing, simhash
 from tessella.llm.common import Stored
 
 
@@ -114,6 +114,15 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(1, 31)}, **{k: 100 for k in range(101, 140)}, 201: 200}
 
 
+def test_stored_tables_can_be_removed(spark):
+    import os
+
+    stored = Stored(spark, "gone")
+    assert stored.put(spark.range(5)).count() == 5 and os.path.isdir(stored.base.removeprefix("file://"))
+    common.remove_stored(spark)
+    assert not os.path.exists(stored.base.removeprefix("file://"))
+
+
 # Language ID
 
 
