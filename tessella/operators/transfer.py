@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.policy import mib_per_s
-from ..session import shared_dir
+from ..session import shared_path
 from .placement import small
 
 MOST_ERRORS = 32
@@ -19,7 +18,7 @@ def numbered(df: DataFrame, order: list, name: str = "i") -> DataFrame:
     numbers within each.
 
     Ranges come from a sample, which differs from one evaluation to the next, so the partitioned rows are written to the shared folder once."""
-    path = f"{shared_dir(df.sparkSession)}/numbered-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "numbered")
     df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()).write.parquet(path)
     ranged = df.sparkSession.read.parquet(path)
     counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import shared_path
 from ..sources import docs as S
 from ..sources import text as X
 from .common import query
@@ -227,6 +226,6 @@ def _(V):
 def _(V):
     """A committed write: rows go to a new folder, then are read back."""
     listing = V("v_listing")
-    path = f"{shared_dir(listing.sparkSession)}/insert-{uuid.uuid4().hex}"
+    path = shared_path(listing.sparkSession, "insert")
     listing.write.parquet(path)
     return listing.sparkSession.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), F.sum("content_length").cast("bigint").alias("bytes"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import shared_path
 from ..streaming import stateful as S
 from .registry import register
 from .replay_queries import CAP, FLUSH
@@ -20,7 +19,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
 def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

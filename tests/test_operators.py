@@ -128,3 +128,20 @@ def test_config(spark):
     toml = '[cache]\nchunk_size = 5000\n[[mounts]]\nname = "m"\naccount = ""\ncontainer = "c"\n'
     rules = {r.rule for r in docs.config_violations(docs.load_config(spark, toml).withColumn("cfg", F.lit(1)), "cfg").collect()}
     assert rules == {"chunk_size", "mount_fields"}
+
+
+def test_numbers_are_whole_and_stored_tables_can_go(spark):
+    import os
+
+    from tessella import session
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
+    n = transfer.numbered(rows, ["k"])
+    assert [r.i for r in n.orderBy("k").collect()] == list(range(1000))
+    kept = set(session._written)
+    path = session.shared_path(spark, "x")
+    rows.write.parquet(path)
+    session._written.difference_update(kept)
+    session.remove_stored(spark)
+    session._written.update(kept)
+    assert not os.path.exists(path.removeprefix("file://"))
