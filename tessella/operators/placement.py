@@ -1,7 +1,7 @@
 """Rendezvous placement, Bloom advertisements and candidate ranking.
 
-Every chunk meets every node, so nodes stand beside each chunk as one array (a single broadcast row, behind a check of their number), and what is asked
-of them is decided inside the row: owners and candidates need no shuffle. Filters are words of 64 bits; while all nodes' filters together stay
+Every chunk meets every node, so nodes stand beside each chunk as one array (a single broadcast row), and what is asked of them is decided inside
+the row: owners and candidates need no shuffle. More than MOST_NODES nodes make several arrays, whose answers meet by the chunk's key. Filters are words of 64 bits; while all nodes' filters together stay
 within MOST_FILTER_BYTES they are broadcast and tested bit by bit, beyond that bits meet by a join.
 """
 
@@ -26,13 +26,16 @@ def with_digest(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("digest", chunk_digest(F.col("mount"), F.col("blob"), F.col("offset")))
 
 
-def beside(chunks: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
-    """chunks with all nodes as one array of structs (`nodes`), by id."""
-    few = nodes.limit(MOST_NODES + 1).count() <= MOST_NODES
-    one = nodes.agg(F.array_sort(F.collect_list(F.struct("node_id", *columns))).alias("nodes"))
-    if not few:
-        raise ValueError(f"more than {MOST_NODES} nodes")
-    return chunks.crossJoin(F.broadcast(one))
+def blocks(nodes: DataFrame) -> int:
+    """How many arrays the nodes make."""
+    return -(-nodes.count() // MOST_NODES) or 1
+
+
+def beside(chunks: DataFrame, nodes: DataFrame, *columns: str, parts: int = 1) -> DataFrame:
+    """chunks with nodes as arrays of structs (`nodes`), by id; a row for each of the parts."""
+    block = F.pmod(F.xxhash64("node_id"), F.lit(parts))
+    arrays = nodes.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("node_id", *columns))).alias("nodes")).drop("block")
+    return chunks.crossJoin(F.broadcast(arrays))
 
 
 def ranked(scores: Column) -> Column:
@@ -43,21 +46,30 @@ def ranked(scores: Column) -> Column:
 
 def scored(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     """A row for each chunk and node."""
-    c = beside(with_digest(chunks), nodes)
+    c = beside(with_digest(chunks), nodes, parts=blocks(nodes))
     return c.select(*[x for x in c.columns if x != "nodes"], F.explode("nodes").alias("n")).select("*", "n.node_id").drop("n").withColumn("score", hrw_score(F.col("node_id"), F.col("digest")))
 
 
 def hrw_owner(chunks: DataFrame, nodes: DataFrame, self_id: str | None = None) -> DataFrame:
     """chunk key -> owner: the highest score; on equal scores oneself, then the lesser id. One projection."""
-    c = beside(with_digest(chunks.select(*KEY)), nodes)
+    parts = blocks(nodes)
+    c = beside(with_digest(chunks.select(*KEY)), nodes, parts=parts)
     mine = lambda n: F.when(n["node_id"] == F.lit(self_id), 1).otherwise(0) if self_id else F.lit(0)
     keys = F.transform("nodes", lambda n: F.struct(hrw_score(n["node_id"], F.col("digest")).alias("score"), mine(n).alias("mine")))
-    c = c.withColumn("keys", keys)
     # The first of equal keys: nodes stand by id.
-    return c.select(*KEY, F.get("nodes", F.array_position("keys", F.array_max("keys")).cast("int") - 1)["node_id"].alias("owner"))
+    best = F.array_max("keys")
+    c = c.withColumn("keys", keys).select(*KEY, best.alias("best"), F.get("nodes", F.array_position("keys", best).cast("int") - 1)["node_id"].alias("owner"))
+    if parts == 1:
+        return c.select(*KEY, "owner")
+    first = F.max("best").alias("best")
+    tops = c.groupBy(*KEY).agg(first).withColumnRenamed("best", "top")
+    return c.join(tops, [*KEY]).filter("best = top").groupBy(*KEY).agg(F.min("owner").alias("owner"))
 
 
 def hrw_rank(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
+    if blocks(nodes) > 1:
+        w = Window.partitionBy(*KEY).orderBy(F.desc("score"), "node_id")
+        return scored(chunks, nodes).withColumn("rank", F.row_number().over(w)).select(*KEY, "node_id", "score", "rank")
     c = beside(with_digest(chunks.select(*KEY)), nodes)
     every = ranked(F.transform("nodes", lambda n: F.struct(n["node_id"].alias("node_id"), hrw_score(n["node_id"], F.col("digest")).alias("score"))))
     return c.select(*KEY, F.posexplode(every).alias("rank", "n")).select(*KEY, "n.node_id", "n.score", (F.col("rank") + 1).alias("rank"))
@@ -109,7 +121,7 @@ def probe_blooms(chunks: DataFrame, inventory: DataFrame, m_bits: int) -> DataFr
 
 def rank_candidates(chunks: DataFrame, alive: DataFrame, inventory: DataFrame, m_bits: int, max_yes: int, max_maybe: int) -> DataFrame:
     """Each chunk's peers to try: those whose filter holds it (yes), then those that advertise none (maybe), by score, within either budget."""
-    if not fits(inventory.select("node_id").distinct(), m_bits):
+    if blocks(alive) > 1 or not fits(inventory.select("node_id").distinct(), m_bits):
         return _rank_by_join(chunks, alive, probe_blooms(chunks, inventory, m_bits), inventory, max_yes, max_maybe)
     peers = alive.select("node_id").join(build_filters(inventory, m_bits), "node_id", "left")
     c = beside(with_bits(chunks.select(*KEY), m_bits), peers, "words")

@@ -101,6 +101,17 @@ def test_candidates_either_way(spark, monkeypatch):
     assert sorted(map(tuple, placement.rank_candidates(keys, alive, inv, 1 << 10, 2, 3).collect())) == few and len(few) >= 160
 
 
+def test_owners_of_many_nodes(spark, monkeypatch):
+    """Nodes in one array or in several: the same owners and ranks."""
+    keys = spark.createDataFrame([("m", "b", i) for i in range(60)], "mount string, blob string, offset bigint")
+    nodes = spark.createDataFrame([(f"n{i:02d}",) for i in range(30)], "node_id string")
+    take = lambda: [sorted(map(tuple, f(keys, nodes).collect())) for f in (placement.hrw_owner, placement.hrw_rank, placement.scored)]
+    one = take()
+    monkeypatch.setattr(placement, "MOST_NODES", 7)
+    assert placement.blocks(nodes) == 5 and take() == one
+    assert {r[:3]: r[3] for r in one[0]} == {r[:3]: r[3] for r in one[1] if r[5] == 1}
+
+
 def test_quantiles(spark):
     h = spark.createDataFrame([("n", 1.0, 0), ("n", 2.0, 5), ("n", 4.0, 10), ("e", 1.0, 0)], "node string, le double, cum bigint")
     ub = {r.node: r.q for r in telemetry.quantile_upper_bound(h, ["node"], {"q": 0.5}).collect()}
