@@ -156,9 +156,15 @@ def _(V):
     return S.parse_listing_xml(pages.select("page", xml.alias("xml"))).select("page", "kind", "name", "content_length")
 
 
-@query("sink_prom_render", "SELECT metric, string_agg(metric || '{node=\"' || host || '\"} ' || CAST(value AS STRING), chr(10) ORDER BY metric || '{node=\"' || host || '\"} ' || CAST(value AS STRING)) AS text FROM (SELECT metric, host, max(value) AS value FROM v_counters GROUP BY metric, host) GROUP BY metric")
-def _(V):
-    return S.render_exposition(V("v_counters").groupBy("metric", "host").agg(F.max("value").alias("value")))
+@query("sink_prom_render", "SELECT metric, host, metric || '{node=\"' || host || '\"}' AS key, CAST(max(value) AS DOUBLE) AS value, (SELECT count(DISTINCT metric) FROM v_counters) AS types FROM v_counters GROUP BY metric, host")
+def _(V):
+    """Written as text files and read back by the parser."""
+    c = V("v_counters").groupBy("metric", "host").agg(F.max("value").alias("value"))
+    path = shared_path(c.sparkSession, "exposition")
+    S.write_exposition(c, path)
+    lines = X.read_lines(c.sparkSession, path)
+    types = lines.filter(F.startswith("line", F.lit("# TYPE "))).agg(F.count(F.lit(1)).alias("types"))
+    return X.parse_exposition(lines).select(X.metric_name(F.col("key")).alias("metric"), X.label(F.col("key"), "node").alias("host"), "key", "value").crossJoin(F.broadcast(types))
 
 
 @query("sink_stats_json", "SELECT node_id, '{\"state\":\"' || state || '\",\"bloom_version\":' || CAST(bloom_version AS STRING) || '}' AS json FROM v_nodes")

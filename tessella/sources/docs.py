@@ -33,10 +33,15 @@ def parse_listing_xml(pages: DataFrame, column: str = "xml") -> DataFrame:
     return blobs.unionByName(prefixes)
 
 
-def render_exposition(samples: DataFrame) -> DataFrame:
-    """metric, host, value -> one document: lines in order of metric and host."""
-    line = F.format_string('%s{node="%s"} %d', "metric", "host", "value")
-    return samples.groupBy("metric").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+def exposition_lines(samples: DataFrame) -> DataFrame:
+    """metric, host, value -> metric, host, line: one line a sample."""
+    return samples.select("metric", "host", F.format_string('%s{node="%s"} %d', "metric", "host", "value").alias("line"))
+
+
+def write_exposition(samples: DataFrame, path: str) -> None:
+    """Text files in order of metric and host over as many tasks as the session has, each metric's type before its first sample."""
+    typed = samples.select("metric").distinct().select("metric", F.lit("").alias("host"), F.format_string("# TYPE %s counter", "metric").alias("line"))
+    exposition_lines(samples).unionByName(typed).orderBy("metric", "host").select("line").write.text(path)
 
 
 def stats_json(rows: DataFrame, by: str) -> DataFrame:

@@ -135,6 +135,14 @@ def test_text_sources(spark, tmp_path):
     assert [(r.pod, r.node, r.wall_s) for r in good.orderBy("line_no").collect()] == [("pod1", "n1", 3.5), ("pod2", None, 5.0)] and bad.count() == 1
 
 
+def test_exposition_is_ordered(spark, tmp_path):
+    rows = [(m, f"h{h}", m_i * 10 + h) for m_i, m in enumerate(("b_total", "a_total")) for h in range(3)]
+    docs.write_exposition(spark.createDataFrame(rows, "metric string, host string, value bigint"), f"file://{tmp_path}/x")
+    parts = sorted(p for p in (tmp_path / "x").iterdir() if p.name.startswith("part"))
+    got = "".join(p.read_text() for p in parts).splitlines()
+    assert got[0] == "# TYPE a_total counter" and got[4] == "# TYPE b_total counter" and got[1] == 'a_total{node="h0"} 10' and len(got) == 8
+
+
 def test_config(spark):
     toml = '[cache]\nchunk_size = 5000\n[[mounts]]\nname = "m"\naccount = ""\ncontainer = "c"\n'
     rules = {r.rule for r in docs.config_violations(docs.load_config(spark, toml).withColumn("cfg", F.lit(1)), "cfg").collect()}
