@@ -238,6 +238,18 @@ class Codes:
         return out, np.sort(np.concatenate(lost))
 
 
+class Heavy:
+    """What is broadcast: the usual byte sequences with their costs, and words with their scores. A worker makes the table once, for all its tasks."""
+
+    def __init__(self, keys: np.ndarray, costs: np.ndarray, words: dict[bytes, float]):
+        self.keys, self.costs, self.words, self.made = keys, costs, words, None
+
+    def codes(self) -> Codes:
+        if self.made is None:
+            self.made = Codes(self.keys, self.costs)
+        return self.made
+
+
 def tails(texts: np.ndarray, codes: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
     """For each of n texts the codes, and how often each occurs there."""
     order = np.lexsort((codes, texts))
@@ -313,14 +325,10 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, order: int = ORDER, hea
     often = heaviest(words, "c", heavy_words).toArrow()
     heavy = {k: math.log10(c + ALPHA) - bottom for k, c in zip(often.column(0).to_pylist(), often.column(1).to_pylist(), strict=True)}
     usual = heaviest(costs, "uses", heavy_grams).select("gram", "cost").toArrow()
-    shared = spark.sparkContext.broadcast((usual.column(0).to_numpy(), usual.column(1).to_numpy(), heavy))
-    made: dict[int, Codes] = {}
+    shared = spark.sparkContext.broadcast(Heavy(usual.column(0).to_numpy(), usual.column(1).to_numpy(), heavy))
 
     def run(batches):
-        keys, values, heavy = shared.value
-        if not made:
-            made[0] = Codes(keys, values)
-        yield from scored(made[0], heavy, order)(batches)
+        yield from scored(shared.value.codes(), shared.value.words, order)(batches)
 
     rows = stored.put(marked.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text").mapInArrow(run, SCORED))
     listed = lambda keys, times: rows.select("rid", F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(times).alias("times"))).alias("t")).select("rid", "t.*")
