@@ -1,6 +1,9 @@
 import pytest
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, copy string, shard string, covered string, `key` string, rank string, words string"
+#: And names of what the operators return.
+DOCS += "".join(f", {c} string" for c in "held_out lang_pred component_id fingerprint sequence_id offset score base_score kept taken licenses slot source_size __fp __row __key __text n bands".split())
+OTHERS = DOCS.count(",") - 4
 
 
 @pytest.fixture(scope="session")
@@ -11,7 +14,7 @@ def make_docs(spark):
         full = []
         for r in rows:
             i, text, lang, source = (*r, *[None] * (4 - len(r)))
-            full.append((i, text, lang, source, None if text is None else len(text), "s", "c", "h", "v", "k", "r", "w"))
+            full.append((i, text, lang, source, None if text is None else len(text), "s", "c", "h", *["x"] * (OTHERS - 3)))
         return spark.createDataFrame(full, DOCS)
 
     return make
