@@ -35,6 +35,7 @@ MOST_BLOCKS = 8192
 LEAST_BLOCK = 512
 #: Blocks broadcast at most; there are more only with very many sources.
 MOST_BROADCAST = 200_000
+#: Hex digits of the permutation that name a slice, for up to 2 ** 30 documents; one more for every sixteenfold.
 SLICE_DIGITS = 3
 
 
@@ -104,13 +105,14 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_column:
     """One row for each piece drawn, and one with copy null for a document not taken: __row (docs' columns, or those to keep), key (which
     document, as struct), size, source_size, target, copies (how many it has), copy (from 0), skip (words of the copy before the piece), words
     (taken in it), block, shard, shuffle_key."""
+    digits = SLICE_DIGITS + max(0, -(-(docs.count().bit_length() - 30) // 4))
     base = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("__row"),
         F.col(f"`{source}`").alias("source"),
         word_count(F.col(f"`{text}`")).alias("size"),
         _permuted(seed, F.col(f"`{id_column}`")).alias("perm"),
         F.xxhash64(F.col(f"`{text}`"), F.col(f"`{id_column}`")).alias("tie"),
-    ).withColumns({"slice": F.substring("perm", 1, SLICE_DIGITS), "of": _key(F.col("source"))})
+    ).withColumns({"slice": F.substring("perm", 1, digits), "of": _key(F.col("source"))})
     slices = base.groupBy("of", "slice").agg(F.first("source").alias("source"), F.sum("size").alias("slice_size"))
     ahead = Window.partitionBy("of").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = slices.groupBy("of").agg(F.first("source").alias("source"), F.sum("slice_size").alias("source_size"))

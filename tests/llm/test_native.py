@@ -273,6 +273,9 @@ def test_targets_and_taken(make_docs, odd_rows, monkeypatch):
     again = mixing.mix(make_docs(rows[::-1])).select("__row.doc_id", "copy", "skip", "words", "shard", "shuffle_key").collect()
     first = mixing.mix(docs).select("__row.doc_id", "copy", "skip", "words", "shard", "shuffle_key").collect()
     assert sorted(map(str, again)) == sorted(map(str, first))
+    # Slices only divide the work.
+    monkeypatch.setattr(mixing, "SLICE_DIGITS", 1)
+    assert sorted(map(str, mixing.mix(docs).select("__row.doc_id", "copy", "skip", "words", "shard", "shuffle_key").collect())) == sorted(map(str, first))
     whole = mixing.mix(docs, cut="whole").collect()
     assert all(r.words is None or r.words == r.size for r in whole)
     assert mixing.mix(make_docs([])).count() == 0
