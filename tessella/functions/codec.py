@@ -1,4 +1,4 @@
-"""Wire formats, percent encoding and request signing: what built-ins can't say runs as Arrow-batched functions."""
+"""Wire formats, percent encoding and request signing, as plain functions and as column expressions of built-ins."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ import hmac
 import re
 import struct
 
-import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from .digest import swap_hex
 
 #: Of the wire format (fixed values).
 MAGIC = 0xBC10C001
@@ -24,7 +24,6 @@ LAYOUT = (("magic", "I"), ("mount", "s8"), ("blob", "s16"), ("off", "Q"), ("leng
 #: What a message may lack at its end, and what then holds.
 OPTIONAL = {"wait_ms": (4, 0), "rid": (2, "")}
 REQUEST = "mount string, blob string, off bigint, length bigint, requester string, wait_ms bigint, rid string, error string"
-RESPONSE = "status string, length bigint, error string"
 _RID = re.compile("[A-Za-z0-9-]*")
 
 
@@ -94,19 +93,60 @@ def decode_response(raw: bytes | None, expected: int) -> dict:
     return {"status": name, "length": n, "error": why}
 
 
-def _struct(ddl: str) -> StructType:
-    kinds = {"string": StringType(), "bigint": LongType()}
-    return StructType([StructField(n, kinds[k]) for n, k in (f.split() for f in ddl.split(", "))])
-
-
-@pandas_udf(_struct(REQUEST))
-def request_fields(raw: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([decode_request(x) for x in raw], columns=[f.split()[0] for f in REQUEST.split(", ")])
+def _number(raw: Column, at: Column, size: int) -> Column:
+    """`size` bytes from `at` on, big-endian."""
+    return F.conv(F.hex(F.substring(raw, at + 1, F.lit(size))), 16, 10).try_cast("bigint")
 
 
-@pandas_udf(_struct(RESPONSE))
-def response_fields(raw: pd.Series, expected: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([decode_response(x, n) for x, n in zip(raw, expected, strict=True)], columns=["status", "length", "error"])
+def decode_requests(messages: DataFrame, column: str = "wire") -> DataFrame:
+    """messages with LAYOUT's fields and error in a struct `request`, as decode_request() reads them; field by field in built-ins, where the
+    place reached and the first error are columns of their own."""
+    raw, size, at, error = F.col("__raw"), F.col("__size"), F.col("__at"), F.col("__error")
+    d = messages.withColumns({"__raw": F.coalesce(F.col(f"`{column}`"), F.lit(b""))})
+    d = d.withColumns({"__size": F.octet_length("__raw"), "__at": F.lit(0), "__error": F.lit(None).cast("string")})
+    for name, kind in LAYOUT:
+        least, default = OPTIONAL.get(name, (0, None))
+        # A missing field at the end takes no bytes.
+        absent = size - at < least
+        if kind[0] == "s":
+            head = int(kind[1:]) // 8
+            d = d.withColumn("__n", F.when(size >= at + head, _number(raw, at, head)).cast("int"))
+            whole = F.col("__n").isNotNull() & (size >= at + head + F.col("__n"))
+            d = d.withColumn("__text", F.when(whole, F.substring(raw, at + head + 1, F.col("__n")).cast("string")))
+            value, step = F.col("__text"), F.col("__n") + head
+            wrong = F.when(~whole, "short").when(~F.is_valid_utf8(F.col("__text")), "utf8")
+        else:
+            width = struct.calcsize(">" + kind)
+            whole = size >= at + width
+            value, step = F.when(whole, _number(raw, at, width)), F.lit(width)
+            wrong = F.when(~whole, "short")
+            if name == "magic":
+                wrong = wrong.when(_number(raw, at, width) != MAGIC, "magic")
+        d = d.withColumns(
+            {
+                f"__{name}": F.when(absent, F.lit(default)).otherwise(value) if least else value,
+                "__error": F.coalesce(error, F.when(~absent, wrong) if least else wrong),
+                "__at": F.when(absent, at).otherwise(at + F.coalesce(step, F.lit(0))) if least else at + F.coalesce(step, F.lit(0)),
+            }
+        )
+    rid = F.col("__rid")
+    late = F.when((F.length(rid) > MOST_RID) | ~rid.rlike(f"^(?:{_RID.pattern})$"), "rid").when(at < size, "trailing")
+    d = d.withColumn("__error", F.coalesce(error, late))
+    fields = [f.split() for f in REQUEST.split(", ")[:-1]]
+    out = F.struct(*[F.when(error.isNull(), F.col(f"__{n}")).cast(t).alias(n) for n, t in fields], error.alias("error"))
+    return d.select(*[F.col(f"`{c}`") for c in messages.columns], out.alias("request"))
+
+
+def response_fields(raw: Column, expected: Column) -> Column:
+    """The struct that decode_response() reads, of built-ins."""
+    word = lambda at: F.conv(swap_hex(F.hex(F.substring(raw, at + 1, 4)), 4), 16, 10).cast("bigint")
+    code, n = word(0), word(4)
+    name = F.when(code == 0, STATUS[0]).when(code == 1, STATUS[1]).when(code == 2, STATUS[2])
+    short = raw.isNull() | (F.octet_length(raw) < 8)
+    wrong = F.when(short, "short").when(n != F.octet_length(raw) - 8, "mismatch").when(name.isNull(), "unknown")
+    wrong = wrong.when((code == 0) & ((n <= 0) | (n > MOST_PAYLOAD)), "bad_length").when((code == 0) & (n > expected), "too_large")
+    mismatch = ~short & (n != F.octet_length(raw) - 8)
+    return F.struct(F.when(~short & ~mismatch, name).alias("status"), F.when(~short, n).alias("length"), wrong.alias("error"))
 
 
 def percent_encode(text):

@@ -207,14 +207,14 @@ def _(V):
 @query("src_request_codec", "SELECT req_id, CASE WHEN req_id % 7 <> 0 THEN off END AS off, CASE WHEN req_id % 7 <> 0 THEN len END AS len, CASE WHEN req_id % 7 = 0 THEN 'trailing' END AS error FROM v_requests")
 def _(V):
     """Requests as messages (built here from hex parts), read back; every 7th has a byte too many."""
-    from ..functions.codec import MAGIC, request_fields
+    from ..functions.codec import MAGIC, decode_requests
 
     be = lambda c, n: F.lpad(F.hex(c), n, "0")
     text = lambda c: F.hex(F.encode(c, "UTF-8"))
     b = F.col("blob").cast("string")
     wire = F.concat(F.lit(f"{MAGIC:08X}"), F.lit("04"), text(F.lit("docs")), be(F.length(b), 4), text(b), be(F.col("off"), 16), be(F.col("len"), 8), F.lit("0002"), text(F.lit("n1")), F.lit("00000064000161"), F.when(F.col("req_id") % 7 == 0, "00").otherwise(""))
-    r = V("v_requests").select("req_id", request_fields(F.unhex(wire)).alias("r"))
-    return r.select("req_id", "r.off", F.col("r.length").alias("len"), "r.error")
+    r = decode_requests(V("v_requests").select("req_id", F.unhex(wire).alias("wire")))
+    return r.select("req_id", "request.off", F.col("request.length").alias("len"), "request.error")
 
 
 @query("src_response_codec", "SELECT req_id, CASE req_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'miss' WHEN 2 THEN 'error' END AS status, CASE WHEN req_id % 4 = 3 THEN 'unknown' WHEN req_id % 4 = 0 AND req_id % 5 = 0 THEN 'too_large' END AS error FROM v_requests")

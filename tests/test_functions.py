@@ -65,6 +65,18 @@ def test_request_round_trip_any(mount, blob, off, length):
     assert codec.decode_request(codec.encode_request(**f)) == f | {"error": None}
 
 
+def test_columns_read_messages_alike(spark):
+    """The expressions against the plain decoders: whole messages, every prefix, and broken ones."""
+    raw = codec.encode_request(**FIELDS)
+    more = [codec.encode_request(**FIELDS | x) for x in ({"rid": ""}, {"rid": "a b"}, {"mount": "", "blob": "é/ü", "requester": ""}, {"blob": "x" * 300, "off": 2**62, "length": 2**32 - 1})]
+    messages = [None, b"", *[raw[:n] for n in range(len(raw) + 1)], raw + b"\0", b"\1" + raw[1:], *more, *[m[:-1] for m in more], *[m[:-7] for m in more], raw.replace(b"m", b"\xff"), raw[:-1] + b"_"]
+    got = codec.decode_requests(spark.createDataFrame([(m,) for m in messages], "wire binary")).collect()
+    assert [r.request.asDict() for r in got] == [codec.decode_request(m) for m in messages]
+    replies = [None, b"", b"\0" * 7, *[codec.encode_response(c, p) for c in (0, 1, 2, 9) for p in (b"", b"a", b"abc")], b"\0" * 9, codec.encode_response(0, b"ab")[:-1]]
+    got = spark.createDataFrame([(m,) for m in replies], "wire binary").select(codec.response_fields(F.col("wire"), F.lit(2)).alias("r")).collect()
+    assert [r.r.asDict() for r in got] == [codec.decode_response(m, 2) for m in replies]
+
+
 def test_response():
     assert codec.decode_response(codec.encode_response(0, b"ab"), 2) == {"status": "ok", "length": 2, "error": None}
     assert codec.decode_response(codec.encode_response(0, b"abc"), 2)["error"] == "too_large"

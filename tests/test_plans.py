@@ -13,7 +13,7 @@ def plan(df):
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
-@pytest.mark.parametrize("name", ["flagship_latency_quantiles", "chunk_slice", "j_range_chunks", "top_hrw_owner", "win_counter_delta", "pq05", "agg_pivot_metrics", "win_seq_detect", "state_swim_merge", "src_prom_text", "f_urlenc"])
+@pytest.mark.parametrize("name", ["flagship_latency_quantiles", "chunk_slice", "j_range_chunks", "top_hrw_owner", "win_counter_delta", "pq05", "agg_pivot_metrics", "win_seq_detect", "state_swim_merge", "src_prom_text", "f_urlenc", "f_shared_key", "src_request_codec", "src_response_codec", "pq12", "top_yes_maybe", "state_hydrate_ring", "win_lru_order"])
 def test_stays_in_the_engine(name, spark, sf_dir):
     text = plan(QUERIES[name](spark, sf_dir))
     assert not re.search("ArrowEval|BatchEval|InPandas|InArrow|CartesianProduct", text)
