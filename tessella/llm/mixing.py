@@ -113,9 +113,10 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_column:
         _permuted(seed, F.col(f"`{id_column}`")).alias("perm"),
         F.xxhash64(F.col(f"`{text}`"), F.col(f"`{id_column}`")).alias("tie"),
     ).withColumns({"slice": F.substring("perm", 1, digits), "of": _key(F.col("source"))})
-    slices = base.groupBy("of", "slice").agg(F.first("source").alias("source"), F.sum("size").alias("slice_size"))
+    stored = Stored(docs.sparkSession, "mix")
+    slices = stored.put(base.groupBy("of", "slice").agg(F.min("source").alias("source"), F.sum("size").alias("slice_size")))
     ahead = Window.partitionBy("of").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = slices.groupBy("of").agg(F.first("source").alias("source"), F.sum("slice_size").alias("source_size"))
+    sums = slices.groupBy("of").agg(F.min("source").alias("source"), F.sum("slice_size").alias("source_size"))
     targets = source_targets(sums.drop("of"), weights, share, most).withColumn("take", F.round("target").cast("long"))
     block_words = F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.sum("take").over(Window.partitionBy()) / F.lit(MOST_BLOCKS))).cast("long")
     targets = targets.withColumn("block_words", block_words)
@@ -143,7 +144,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_column:
     here = here.withColumn("__c", copies)
     out = here.select("*", F.size("__c").alias("copies"), F.explode_outer(F.flatten(F.transform("__c", pieces))).alias("__p")).select("*", "__p.*").drop("__c", "__p")
     quotas = targets.select("source", F.ceil(F.col("take") / F.col("block_words")).alias("n_blocks"))
-    drawn = Stored(docs.sparkSession, "mix").put(draw_blocks(splitting_tree(quotas, shards, seed), seed).select(_key(F.col("source")).alias("of"), "block", "shard"))
+    drawn = stored.put(draw_blocks(splitting_tree(quotas, shards, seed), seed).select(_key(F.col("source")).alias("of"), "block", "shard"))
     if drawn.count() <= MOST_BROADCAST:
         drawn = F.broadcast(drawn)
     out = out.join(drawn, ["of", "block"], "left")
