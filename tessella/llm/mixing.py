@@ -114,13 +114,14 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_column:
         F.xxhash64(F.col(f"`{text}`"), F.col(f"`{id_column}`")).alias("tie"),
     ).withColumns({"slice": F.substring("perm", 1, digits), "of": _key(F.col("source"))})
     stored = Stored(docs.sparkSession, "mix")
-    slices = stored.put(base.groupBy("of", "slice").agg(F.min("source").alias("source"), F.sum("size").alias("slice_size")))
+    slices = stored.put(base.groupBy("of", "slice").agg(F.sum("size").alias("slice_size")))
     ahead = Window.partitionBy("of").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = slices.groupBy("of").agg(F.min("source").alias("source"), F.sum("slice_size").alias("source_size"))
-    targets = source_targets(sums.drop("of"), weights, share, most).withColumn("take", F.round("target").cast("long"))
+    name = F.when(F.col("of") != "", F.expr("substring(of, 2)")).cast(docs.schema[source].dataType)
+    sums = slices.groupBy("of").agg(F.sum("slice_size").alias("source_size")).select(name.alias("source"), "source_size")
+    targets = source_targets(sums, weights, share, most).withColumn("take", F.round("target").cast("long"))
     block_words = F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.sum("take").over(Window.partitionBy()) / F.lit(MOST_BLOCKS))).cast("long")
     targets = targets.withColumn("block_words", block_words)
-    plan = slices.drop("source").withColumn("slice_start", F.coalesce(F.sum("slice_size").over(ahead), F.lit(0))).drop("slice_size")
+    plan = slices.withColumn("slice_start", F.coalesce(F.sum("slice_size").over(ahead), F.lit(0))).drop("slice_size")
     plan = plan.join(targets.withColumn("of", _key(F.col("source"))).drop("source"), "of")
     # The join and the window share one shuffle of the documents.
     here = base.join(plan, ["of", "slice"])
