@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, langid, licenses, linededup, lm, mixing, packing, quality, sharding, simhash
+from . import ann, concurrency, langid, licenses, linededup, lm, mixing, packing, quality, sharding, simhash, spelling, substrings
 
-MODULES = (simhash, langid, licenses, ann, sharding, packing, linededup, lm, mixing, quality)
+MODULES = (simhash, langid, licenses, ann, sharding, packing, linededup, lm, mixing, quality, substrings, spelling, concurrency)
 
 
 def queries() -> dict:
