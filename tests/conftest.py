@@ -29,6 +29,6 @@ def duck(sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    for f in os.listdir(sf_dir):
+        con.execute(f"CREATE VIEW {f.split(chr(46))[0]} AS SELECT * FROM read_parquet('{sf_dir}/{f}')")
     return con
