@@ -6,9 +6,14 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running, since_break
+
+#: Events of a series in one segment of a scan.
+SEGMENT = 100_000
+
 
 def replay_lru(trace: DataFrame, cap: int, oversize: str = "flush") -> DataFrame:
     """trace: node, seq, key, size -> with hit, by the cache itself: the least recently used go until what is held fits into the cap.
@@ -41,13 +46,13 @@ def replay_lru(trace: DataFrame, cap: int, oversize: str = "flush") -> DataFrame
     return rows.mapInArrow(run, "node bigint, seq bigint, key bigint, size bigint, hit boolean")
 
 
-def lru_content(trace: DataFrame, cap: int) -> DataFrame:
+def lru_content(trace: DataFrame, cap: int, width: int = SEGMENT) -> DataFrame:
     """What each node's cache holds after its trace: node, key, size, last, evict_order (the least recently used goes first).
 
     Of its distinct keys, the most recent whose sizes add up to no more than the cap (a key's size is constant)."""
-    keys = trace.groupBy("node", "key").agg(F.max("seq").alias("last"), F.max("size").alias("size"))
-    recent = Window.partitionBy("node").orderBy(F.desc("last"))
-    held = keys.withColumn("sum", F.sum("size").over(recent.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("sum") <= cap)
+    keys = trace.groupBy("node", "key").agg(F.max("seq").alias("last"), F.max("size").alias("size")).withColumn("__ago", -F.col("last"))
+    held = running(keys, ["node"], ["__ago"], width, sums={"__sum": F.col("size")}).filter(F.col("__sum") <= cap)
+    # What is held is bounded by the cap.
     return held.select("node", "key", "size", "last", F.row_number().over(Window.partitionBy("node").orderBy("last")).cast("bigint").alias("evict_order"))
 
 
@@ -69,20 +74,20 @@ def hit_miss(replayed: DataFrame) -> DataFrame:
     )
 
 
-def detect_sequential(reads: DataFrame, chunk_size: int) -> DataFrame:
+def detect_sequential(reads: DataFrame, chunk_size: int, width: int = SEGMENT) -> DataFrame:
     """blob, seq, off, len -> consecutive: how many reads in a row began within a chunk after the last one's end (which begins at 0)."""
-    w = Window.partitionBy("blob").orderBy("seq")
-    gap = F.col("off") - F.coalesce(F.lag(F.col("off") + F.col("len")).over(w), F.lit(0))
-    r = reads.withColumn("jump", F.when((gap >= 0) & (gap <= chunk_size), 0).otherwise(1))
-    r = r.withColumn("run", F.sum("jump").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return r.withColumn("consecutive", F.row_number().over(Window.partitionBy("blob", "run").orderBy("seq"))).drop("jump")
+
+    def jumps(before: Column, row: Column) -> Column:
+        gap = row["off"] - F.coalesce(before["off"] + before["len"], F.lit(0))
+        return ~F.coalesce((gap >= 0) & (gap <= chunk_size), F.lit(False))
+
+    return since_break(reads, ["blob"], ["seq"], width, "consecutive", ["off", "len"], jumps)
 
 
-def blob_streak(reads: DataFrame, reset: str = "flag = 'A'") -> DataFrame:
+def blob_streak(reads: DataFrame, reset: str = "flag = 'A'", width: int = SEGMENT) -> DataFrame:
     """How many origin fetches in a row; a peer's success starts again at 0."""
-    w = Window.partitionBy("blob").orderBy("seq")
-    r = reads.withColumn("peer", F.when(F.expr(reset), 1).otherwise(0)).withColumn("run", F.sum("peer").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return r.withColumn("streak", F.sum(1 - F.col("peer")).over(Window.partitionBy("blob", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))).drop("peer", "run")
+    r = reads.withColumn("__peer", F.coalesce(F.expr(reset), F.lit(False)))
+    return since_break(r, ["blob"], ["seq"], width, "streak", ["__peer"], lambda _, row: row["__peer"], ~F.col("__peer")).drop("__peer")
 
 
 def prefetch_plan(reads: DataFrame, chunk_size: int, depth: int = 16, threshold: int = 3, file_size: int = 1 << 40) -> DataFrame:

@@ -8,16 +8,18 @@ fewer than two samples has no row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..units import GBIT_BYTES
+from .asof import SEGMENT_MS
+from .scan import neighbour
+from .select import nth
 
 
 def counter_delta(samples: DataFrame, by: list[str], mode: str = "clamp") -> DataFrame:
     """Consecutive samples of a counter (by, epoch_ms, value): dt and delta. A fall gives 0 (clamp), the new value (reset) or itself (raw)."""
-    w = Window.partitionBy(*by).orderBy("epoch_ms", "value")
-    p = samples.withColumns({"e0": F.lag("epoch_ms").over(w), "v0": F.lag("value").over(w)})
+    p = neighbour(samples.select(*by, "epoch_ms", "value"), by, ["epoch_ms", "value"], SEGMENT_MS, {"e0": "epoch_ms", "v0": "value"})
     p = p.withColumns({"dt": F.col("epoch_ms") - F.col("e0"), "raw": F.col("value") - F.col("v0")}).filter("dt > 0")
     delta = {"clamp": F.greatest(F.lit(0), F.col("raw")), "reset": F.when(F.col("raw") < 0, F.col("value")).otherwise(F.col("raw")), "raw": F.col("raw")}[mode]
     return p.select(*by, "e0", "epoch_ms", "dt", delta.cast("bigint").alias("delta"))
@@ -28,9 +30,8 @@ def split_rates(samples: DataFrame, width_s: int) -> DataFrame:
 
     Each interval's clamped deltas go to the bucket of its midpoint since the first sample; local is what neither peers nor the origin served in
     the interval. total_local is clamped once, of the totals, and isn't the sum of the buckets'. Empty buckets have no row."""
-    w = Window.partitionBy("host").orderBy("epoch_ms", "line_no")
     names = ("fuse", "peer", "blob", "reads")
-    p = samples.withColumns({"e0": F.lag("epoch_ms").over(w), **{f"{c}0": F.lag(c).over(w) for c in names}}).filter(F.col("epoch_ms") > F.col("e0"))
+    p = neighbour(samples, ["host"], ["epoch_ms", "line_no"], SEGMENT_MS, {"e0": "epoch_ms", **{f"{c}0": c for c in names}}).filter(F.col("epoch_ms") > F.col("e0"))
     d = p.select("e0", "epoch_ms", *[F.greatest(F.lit(0), F.col(c) - F.col(f"{c}0")).alias(c) for c in names])
     d = d.withColumn("local", F.greatest(F.lit(0), F.col("fuse") - F.col("peer") - F.col("blob")))
     t0 = samples.agg(F.min("epoch_ms").alias("t0"))
@@ -46,10 +47,9 @@ def split_rates(samples: DataFrame, width_s: int) -> DataFrame:
 def range_rate(samples: DataFrame, by: list[str], range_s: int = 60, step_s: int = 30, extrapolate: bool = False) -> DataFrame:
     """by, epoch_ms, line_no, value -> by, t_ms (the step), increase, span (ms between first and last sample), per_s.
 
-    One ordered pass over each series finds what a sample adds to the one before; a sample then goes to the range_s / step_s steps whose range
+    One ordered pass over each series, in segments, finds what a sample adds to the one before; a sample then goes to the range_s / step_s steps whose range
     holds it, where an increase counts if the sample before lies in the range as well."""
-    w = Window.partitionBy(*by).orderBy("epoch_ms", "line_no")
-    p = samples.withColumns({"e0": F.lag("epoch_ms").over(w), "v0": F.lag("value").over(w)})
+    p = neighbour(samples.select(*by, "epoch_ms", "line_no", "value"), by, ["epoch_ms", "line_no"], SEGMENT_MS, {"e0": "epoch_ms", "v0": "value"})
     p = p.withColumn("inc", F.when(F.col("v0").isNull(), 0).when(F.col("value") < F.col("v0"), F.col("value")).otherwise(F.col("value") - F.col("v0")))
     step, span = 1000 * step_s, 1000 * range_s
     first = F.ceil(F.col("epoch_ms") / step).cast("bigint") * step
@@ -124,14 +124,15 @@ def before_after(before: DataFrame, after: DataFrame, how: str = "left") -> Data
 def wall_stats(passes: DataFrame, by: list[str]) -> DataFrame:
     """Upper median, maximum, and bytes over the slowest pod's wall time; unreadable bytes count 0."""
     nbytes = F.coalesce(F.col("bytes_text").try_cast("bigint"), F.lit(0))
-    # The upper median is the discrete one from above; what is held is a count for each distinct time.
-    g = passes.groupBy(*by).agg(
+    passes = passes.withColumn("__all", F.lit(1))
+    keys = [*by, "__all"]
+    g = passes.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pods"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY wall_s DESC)").alias("p50_s"),
         F.max("wall_s").alias("max_s"),
         F.sum(nbytes).cast("bigint").alias("bytes"),
         F.count_if(F.col("rc") != 0).alias("failed"),
     )
+    g = g.join(nth(passes, keys, "wall_s", lambda n: F.floor(n / 2) + 1).withColumnRenamed("value", "p50_s"), keys, "left")
     return g.select(*by, "pods", "failed", "bytes", "max_s", "p50_s", F.round(F.col("bytes") / F.col("max_s"), 6).alias("bytes_per_s"), F.round(F.col("bytes") / F.col("max_s") / GBIT_BYTES, 9).alias("gbps"))
 
 

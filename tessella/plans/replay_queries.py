@@ -61,7 +61,7 @@ JUMP = "jp AS (SELECT *, off - coalesce(lag(off + len) OVER w, 0) AS gap FROM v_
 
 @query("win_seq_detect", f"WITH {JUMP} SELECT blob, seq, CAST(consecutive AS INTEGER) AS consecutive FROM sq")
 def _(V):
-    return R.detect_sequential(V("v_reads"), 256).select("blob", "seq", "consecutive")
+    return R.detect_sequential(V("v_reads"), 256).select("blob", "seq", F.col("consecutive").cast("int").alias("consecutive"))
 
 
 @query("win_blob_streak", "WITH p AS (SELECT *, CASE WHEN flag = 'A' THEN 1 ELSE 0 END AS peer FROM v_reads), r AS (SELECT *, sum(peer) OVER (PARTITION BY blob ORDER BY seq) AS run FROM p) SELECT blob, seq, CAST(sum(1 - peer) OVER (PARTITION BY blob, run ORDER BY seq) AS BIGINT) AS streak FROM r")

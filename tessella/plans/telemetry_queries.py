@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import policy as P
+from ..operators import asof as A
 from ..operators import chunking as C
 from ..operators import telemetry as T
 from .common import query
@@ -128,16 +129,48 @@ def _(V):
     return g.select("host", "t_ms", F.round(F.col("hit") / F.greatest(F.col("hit") + F.col("miss"), F.lit(1.0)), 6).alias("ratio"))
 
 
-LATEST = "lt AS (SELECT host, metric, arg_max(value, struct_pack(e := epoch_ms, v := value)) AS value FROM v_counters GROUP BY host, metric)"
+LOOKBACK = 300
 
 
-def latest(V):
-    return V("v_counters").groupBy(*BY).agg(F.max_by("value", F.struct("epoch_ms", "value")).alias("value"))
+def instant_sql(name: str, view: str, by: str) -> str:
+    """Instant vectors as `name`: at each step the latest sample of each series."""
+    back, step = LOOKBACK * 1000, STEP * 1000
+    same = " AND ".join(f"q.{c} = s.{c}" for c in by.split(", "))
+    return f"""{name}_s AS (SELECT {by}, epoch_ms, arg_max(value, line_no) AS value FROM {view} GROUP BY ALL),
+  {name}_t AS (SELECT unnest(range((min(epoch_ms) + {step - 1}) // {step} * {step}, max(epoch_ms) + {back}, {step})) AS t_ms FROM {name}_s),
+  {name}_q AS (SELECT * FROM (SELECT DISTINCT {by} FROM {name}_s) CROSS JOIN {name}_t),
+  {name} AS (SELECT {", ".join("q." + c for c in by.split(", "))}, q.t_ms, s.value, q.t_ms - s.epoch_ms AS age_ms FROM {name}_q q ASOF JOIN {name}_s s ON {same} AND q.t_ms >= s.epoch_ms WHERE q.t_ms - s.epoch_ms < {back})"""
 
 
-@query("pq06", f"WITH {LATEST} SELECT host, value FROM lt WHERE metric = 'view' AND regexp_full_match(host, 'node[0-4]')")
+GAUGES, TOTALS = instant_sql("ig", "v_gauges", "host, metric"), instant_sql("it", "(SELECT * FROM v_scrapes WHERE metric = 'blob_fetch_bytes')", "host")
+
+
+def gauge(V, metric: str):
+    return A.instant_vector(V("v_gauges").filter(F.col("metric") == metric), ["host"], STEP, LOOKBACK)
+
+
+def totals(V):
+    return A.instant_vector(V("v_scrapes").filter("metric = 'blob_fetch_bytes'"), ["host"], STEP, LOOKBACK)
+
+
+@query("pq_instant", f"WITH {GAUGES} SELECT host, metric, t_ms, value, age_ms FROM ig")
+def _(V):
+    """Every gauge at steps of 30 s: its latest sample, none if that is five minutes old"""
+    return A.instant_vector(V("v_gauges"), BY_METRIC, STEP, LOOKBACK)
+
+
+@query("pq06", f"WITH {GAUGES} SELECT host, t_ms, value FROM ig WHERE metric = 'cache_bytes' AND regexp_full_match(host, 'node[0-4]')")
+def _(V):
+    """cache_bytes{node=~pattern}"""
+    return gauge(V, "cache_bytes").filter(F.col("host").rlike("^(?:node[0-4])$")).select("host", "t_ms", "value")
+
+
+@query("j_asof_gauge", """WITH g AS (SELECT host, epoch_ms, max(value) AS held FROM v_gauges WHERE metric = 'cache_bytes' GROUP BY ALL)
+  SELECT s.line_no, s.host, s.epoch_ms, CASE WHEN s.epoch_ms - g.epoch_ms <= 60000 THEN g.held END AS held FROM (SELECT * FROM v_scrapes WHERE metric = 'evictions') s ASOF LEFT JOIN g ON s.host = g.host AND s.epoch_ms >= g.epoch_ms""")
 def _(V):
-    return latest(V).filter((F.col("metric") == "view") & F.col("host").rlike("^(?:node[0-4])$")).select("host", "value")
+    """How full the cache was at each scrape of evictions, as far as it is known for the minute before"""
+    full = V("v_gauges").filter("metric = 'cache_bytes'").select("host", "epoch_ms", F.col("value").alias("held"))
+    return A.asof_join(V("v_scrapes").filter("metric = 'evictions'").select("line_no", "host", "epoch_ms"), full, ["host"], "epoch_ms", ["held"], 60_000)
 
 
 @query("pq07", f"WITH {RATE} SELECT host, t_ms, round(per_s, 6) AS value FROM pr WHERE metric = 'evictions'")
@@ -145,9 +178,10 @@ def _(V):
     return rates(V).filter("metric = 'evictions'").select("host", "t_ms", F.round("per_s", 6).alias("value"))
 
 
-@query("pq08", f"WITH {LATEST} SELECT min(value) AS value FROM lt WHERE metric = 'view'")
+@query("pq08", f"WITH {GAUGES} SELECT t_ms, min(value) AS value FROM ig WHERE metric = 'members_alive' GROUP BY t_ms")
 def _(V):
-    return latest(V).filter("metric = 'view'").agg(F.min("value").alias("value"))
+    """min(members_alive)"""
+    return gauge(V, "members_alive").groupBy("t_ms").agg(F.min("value").alias("value"))
 
 
 @query("pq16", f"WITH {RATE} SELECT replace(metric, 'blob_status_', '') AS status, t_ms, round(sum(per_s), 6) AS value FROM pr WHERE starts_with(metric, 'blob_status_') GROUP BY ALL")
@@ -156,14 +190,16 @@ def _(V):
     return r.groupBy(F.replace("metric", F.lit("blob_status_"), F.lit("")).alias("status"), "t_ms").agg(F.round(F.sum("per_s"), 6).alias("value"))
 
 
-@query("pq21", f"WITH {LATEST} SELECT metric, CAST(sum(value) AS BIGINT) AS value FROM lt GROUP BY metric")
+@query("pq21", f"WITH {TOTALS} SELECT t_ms, CAST(sum(value) AS BIGINT) AS value FROM it GROUP BY t_ms")
 def _(V):
-    return latest(V).groupBy("metric").agg(F.sum("value").cast("bigint").alias("value"))
+    """sum(blob_fetch_bytes)"""
+    return totals(V).groupBy("t_ms").agg(F.sum("value").cast("bigint").alias("value"))
 
 
-@query("pq22", f"WITH {LATEST} SELECT host, CAST(sum(value) AS BIGINT) AS value FROM lt GROUP BY host")
+@query("pq22", f"WITH {TOTALS} SELECT host, t_ms, CAST(sum(value) AS BIGINT) AS value FROM it WHERE regexp_full_match(host, 'node[1-5]') GROUP BY host, t_ms")
 def _(V):
-    return latest(V).groupBy("host").agg(F.sum("value").cast("bigint").alias("value"))
+    """sum by (node)(blob_fetch_bytes{node=~pattern})"""
+    return totals(V).filter(F.col("host").rlike("^(?:node[1-5])$")).groupBy("host", "t_ms").agg(F.sum("value").cast("bigint").alias("value"))
 
 
 @query("pq_vars", "SELECT DISTINCT host FROM v_counters WHERE metric = 'view'")

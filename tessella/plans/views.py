@@ -15,6 +15,8 @@ CHUNK = 256
 VIEWS = {
     # blob listing of one mount
     "v_listing": "SELECT 'docs' AS mount, coalesce(lang, 'xx') || '/' || coalesce(source, 'none') || '/' || CAST(doc_id AS STRING) AS blob, CAST(coalesce(OCTETS(text), 0) * (CASE WHEN doc_id % 97 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS content_length FROM documents",
+    # what a listing says of each blob, before and after: some are rewritten in place, some touched, some gone, some new
+    "v_props": "SELECT coalesce(lang, 'xx') || '/' || coalesce(source, 'none') || '/' || CAST(doc_id AS STRING) AS name, CAST(coalesce(OCTETS(text), 0) AS BIGINT) AS size, md5(coalesce(text, '')) AS etag, CAST(1700000000 + doc_id % 1000 AS BIGINT) AS mtime, doc_id FROM documents",
     # cluster members
     "v_nodes": """SELECT n_name AS node_id, n_nationkey AS num, n_regionkey AS rack, CASE n_nationkey % 9 WHEN 4 THEN 'Suspect' WHEN 7 THEN 'Dead' ELSE 'Alive' END AS state,
         CASE WHEN n_nationkey % 11 = 10 THEN 'h2' ELSE 'h1' END AS cluster_hash, CAST(n_nationkey % 5 AS BIGINT) AS bloom_version FROM nation""",
@@ -37,6 +39,10 @@ VIEWS = {
               WHEN 'purchase' THEN CASE event_id % 3 WHEN 0 THEN 'blob_fetch_bytes' WHEN 1 THEN 'blob_fetches' ELSE 'blob_status_200' END
               WHEN 'error' THEN CASE event_id % 3 WHEN 0 THEN 'peer_err' WHEN 1 THEN 'giveups' ELSE 'blob_status_500' END
               ELSE CASE event_id % 3 WHEN 0 THEN 'retry_sleep_s' WHEN 1 THEN 'evictions' ELSE 'blob_status_404' END END AS metric FROM events) AS a) AS t""",
+    # scrapes of gauges, which may fall; each host is silent for 400 s in every 2400
+    "v_gauges": """SELECT host, metric, epoch_ms, event_id AS line_no, CASE WHEN metric = 'cache_bytes' THEN v ELSE 20 + event_id % 7 END AS value
+        FROM (SELECT 'node' || CAST(user_id % 6 AS STRING) AS host, user_id, event_id, CASE WHEN event_id % 2 = 0 THEN 'cache_bytes' ELSE 'members_alive' END AS metric, CAST(round(value * 100) AS BIGINT) AS v,
+          CAST(1704067200000 + floor(((EPOCH(ts) - 1704067200) * 1000 + event_id % 1000) / 2000) AS BIGINT) AS epoch_ms FROM events) AS t WHERE floor((epoch_ms - 1704067200000) / 400000) % 6 <> user_id % 6""",
     # scrapes of two latency histograms: cumulative counts by bound
     "v_buckets": """SELECT metric, host, le, epoch_ms, event_id AS line_no, CAST(sum(CASE WHEN value <= le THEN 1 ELSE 0 END) OVER (PARTITION BY metric, host, le ORDER BY epoch_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS value
         FROM (SELECT 'node' || CAST(user_id % 6 AS STRING) AS host, event_id, event_type, value, CAST(1704067200000 + floor(((EPOCH(ts) - 1704067200) * 1000 + event_id % 1000) / 2000) AS BIGINT) AS epoch_ms FROM events) AS e
