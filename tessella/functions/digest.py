@@ -41,6 +41,10 @@ def u64(hex16: Column) -> Column:
 
 def bloom_positions(digest_hex: Column, m_bits: int, k: int = 4) -> Column:
     """array<bigint>: (h1 + i * h2 mod 2^64) mod m for i < k, of the digest's first two little-endian words."""
+    if m_bits & (m_bits - 1) == 0 and m_bits <= 1 << 32:
+        # A power of two: the words' low halves, their first four bytes, decide alone.
+        low1, low2 = (F.conv(swap_hex(F.substring(digest_hex, at, 8), 4), 16, 10).cast("bigint") for at in (1, 17))
+        return F.array(*[(low1 + low2 * F.lit(i)).bitwiseAND(F.lit(m_bits - 1).cast("bigint")) for i in range(k)])
     h1, h2 = u64(swap_hex(F.substring(digest_hex, 1, 16))), u64(swap_hex(F.substring(digest_hex, 17, 16)))
     turn = F.lit(str(U64)).cast("decimal(20,0)")
     return F.array(*[(((h1 + h2 * F.lit(i).cast("decimal(1,0)")) % turn) % F.lit(m_bits).cast("decimal(20,0)")).cast("bigint") for i in range(k)])

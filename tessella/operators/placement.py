@@ -1,8 +1,11 @@
 """Rendezvous placement, Bloom advertisements and candidate ranking.
 
 Every chunk meets every node, so nodes stand beside each chunk as one array (a single broadcast row), and what is asked of them is decided inside
-the row: owners and candidates need no shuffle. More than MOST_NODES nodes make several arrays, whose answers meet by the chunk's key. Filters are words of 64 bits; while all nodes' filters together stay
-within MOST_FILTER_BYTES they are broadcast and tested bit by bit, beyond that bits meet by a join.
+the row: owners and candidates need no shuffle. More than MOST_NODES nodes make several arrays, whose answers meet by the chunk's key.
+
+Filters are asked through a bit-sliced index: for each bit position the nodes whose filter has it set, as a bitmap over the nodes' numbers. A chunk looks
+up the slices of its K bits by equality and ANDs them, whatever the number of nodes; what is left set are the nodes that may hold it. While all slices together
+stay within MOST_FILTER_BYTES they are broadcast, beyond that chunks and slices meet by a shuffle on the bit.
 """
 
 from __future__ import annotations
@@ -11,9 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.digest import bloom_positions, chunk_digest, hrw_score
+from ..session import shared_path
 
 MOST_NODES = 10_000
 MOST_FILTER_BYTES = 256 << 20
+#: Bits of a chunk in a filter.
+K = 4
 KEY = ("mount", "blob", "offset")
 
 
@@ -89,44 +95,82 @@ def build_filters(inventory: DataFrame, m_bits: int) -> DataFrame:
     return full.select("node_id", F.transform(F.sequence(F.lit(0), F.lit((m_bits + 63) // 64 - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint"))).alias("words"))
 
 
-def holds(words: Column, bits: Column, k: int = 4) -> Column:
-    """Whether a filter has all of a chunk's bits."""
-    out = F.lit(True)
-    for i in range(k):
-        bit = F.get(bits, F.lit(i))
-        out = out & (F.call_function("shiftright", F.get(words, F.shiftright(bit, 6).cast("int")), F.call_function("mod", bit, F.lit(64).cast("bigint")).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1)
-    return out
+def node_numbers(nodes: DataFrame) -> DataFrame:
+    """node_id, num: nodes by id, from 0."""
+    return nodes.select("node_id").distinct().select("node_id", (F.row_number().over(Window.orderBy("node_id")) - 1).alias("num"))
+
+
+def build_slices(inventory: DataFrame, m_bits: int, numbers: DataFrame, words: int) -> DataFrame:
+    """bit, nodes: for each position that any filter has set, the nodes that have it, 64 to a word. Bits are joined into words before the shuffle."""
+    held = inventory.join(F.broadcast(numbers), "node_id")
+    bits = with_digest(held).select("num", F.explode(bloom_positions(F.col("digest"), m_bits, K)).alias("bit"))
+    one = F.expr("shiftleft(1L, cast(num & 63 as int))")
+    parts = bits.groupBy("bit", F.shiftright("num", 6).cast("int").alias("word")).agg(F.bit_or(one).alias("set"))
+    if words == 1:
+        return parts.select("bit", F.array("set").alias("nodes"))
+    full = parts.groupBy("bit").agg(F.map_from_entries(F.collect_list(F.struct("word", "set"))).alias("m"))
+    return full.select("bit", F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint"))).alias("nodes"))
+
+
+def with_holders(chunks: DataFrame, inventory: DataFrame, m_bits: int, numbers: DataFrame, count: int, how: str = "inner") -> DataFrame:
+    """chunks with digest and `hit`: the bitmap of nodes whose filter has all of the chunk's bits; null where some bit is nobody's."""
+    # The index is written once, for four lookups; so is its plan made once.
+    path = shared_path(chunks.sparkSession, "slices")
+    made = build_slices(inventory, m_bits, numbers, -(-count // 64) or 1)
+    made.write.parquet(path)
+    slices = chunks.sparkSession.read.schema(made.schema).parquet(path)
+    c = with_bits(chunks, m_bits)
+    hint = F.broadcast if count * m_bits // 8 <= MOST_FILTER_BYTES else lambda x: x
+    # Never null, so that no filter on them is pushed below what computes them.
+    c = c.select(*c.columns, *[F.coalesce(F.get("bits", F.lit(i)), F.lit(-1).cast("bigint")).alias(f"__b{i}") for i in range(K)])
+    for i in range(K):
+        c = c.join(hint(slices.select(F.col("bit").alias(f"__b{i}"), F.col("nodes").alias(f"__s{i}"))), f"__b{i}", how)
+    every = lambda x, j: x.bitwiseAND(F.get("__s1", j)).bitwiseAND(F.get("__s2", j)).bitwiseAND(F.get("__s3", j))
+    if count <= 64:
+        word = every(F.get("__s0", F.lit(0)), F.lit(0))
+        return c.select(*chunks.columns, "digest", F.when(word.isNotNull(), F.array(word)).alias("hit"))
+    return c.select(*chunks.columns, "digest", F.transform("__s0", every).alias("hit"))
+
+
+def has(hit: Column, num: Column) -> Column:
+    """Whether a bitmap has a node's number."""
+    word = F.coalesce(F.get(hit, F.shiftright(num, 6).cast("int")), F.lit(0).cast("bigint"))
+    return F.call_function("shiftright", word, num.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+
+def numbers_in(hit: Column, count: int) -> Column:
+    """The numbers, below count, that a bitmap has; words without any are passed over."""
+    if count <= 64:
+        word = F.get(hit, F.lit(0))
+        one = lambda i: F.when(word.bitwiseAND(F.lit((1 << i) - (1 << 64 if i == 63 else 0))) != 0, F.lit(i))
+        return F.array_compact(F.array(*[one(i) for i in range(count)]))
+    bits = F.sequence(F.lit(0), F.lit(63))
+    of_word = lambda w, j: F.filter(F.transform(bits, lambda i: j * 64 + i), lambda n: F.call_function("shiftright", w, n.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+    return F.flatten(F.transform(hit, lambda w, j: F.when(w == 0, F.array().cast("array<int>")).otherwise(of_word(w, j))))
 
 
 def with_bits(chunks: DataFrame, m_bits: int) -> DataFrame:
     return with_digest(chunks).withColumn("bits", bloom_positions(F.col("digest"), m_bits))
 
 
-def fits(nodes: DataFrame, m_bits: int) -> bool:
-    """Whether so many filters may be broadcast."""
-    return nodes.count() * m_bits // 8 <= MOST_FILTER_BYTES
-
-
-def probe_blooms(chunks: DataFrame, inventory: DataFrame, m_bits: int) -> DataFrame:
-    """chunk key, node_id of the filters of `inventory` that hold a chunk."""
-    nodes = inventory.select("node_id").distinct()
-    if fits(nodes, m_bits):
-        c = with_bits(chunks.select(*KEY), m_bits).drop("digest")
-        return c.join(F.broadcast(build_filters(inventory, m_bits)), holds(F.col("words"), F.col("bits"))).select(*KEY, "node_id")
-    bits = with_digest(chunks).select(*KEY, F.array_distinct(bloom_positions(F.col("digest"), m_bits)).alias("bits"))
-    each = bits.select(*KEY, F.size("bits").alias("need"), F.explode("bits").alias("bit"))
-    hits = each.join(build_blooms(inventory, m_bits), "bit").groupBy(*KEY, "node_id").agg(F.count(F.lit(1)).alias("got"), F.first("need").alias("need"))
-    return hits.filter("got = need").select(*KEY, "node_id")
+def probe_blooms(chunks: DataFrame, inventory: DataFrame, m_bits: int, holders: DataFrame | None = None) -> DataFrame:
+    """chunk key, node_id of the filters of `inventory` that hold a chunk. holders: the nodes that it names, if they are known."""
+    numbers = node_numbers(inventory if holders is None else holders)
+    count = numbers.count()
+    c = with_holders(chunks.select(*KEY), inventory, m_bits, numbers, count)
+    found = c.select(*KEY, F.explode(numbers_in(F.col("hit"), count)).alias("num"))
+    return found.join(F.broadcast(numbers), "num").select(*KEY, "node_id")
 
 
-def rank_candidates(chunks: DataFrame, alive: DataFrame, inventory: DataFrame, m_bits: int, max_yes: int, max_maybe: int) -> DataFrame:
+def rank_candidates(chunks: DataFrame, alive: DataFrame, inventory: DataFrame, m_bits: int, max_yes: int, max_maybe: int, holders: DataFrame | None = None) -> DataFrame:
     """Each chunk's peers to try: those whose filter holds it (yes), then those that advertise none (maybe), by score, within either budget."""
-    if blocks(alive) > 1 or not fits(inventory.select("node_id").distinct(), m_bits):
-        return _rank_by_join(chunks, alive, probe_blooms(chunks, inventory, m_bits), inventory, max_yes, max_maybe)
-    peers = alive.select("node_id").join(build_filters(inventory, m_bits), "node_id", "left")
-    c = beside(with_bits(chunks.select(*KEY), m_bits), peers, "words")
-    cls = lambda n: F.when(n["words"].isNull(), "maybe").when(holds(n["words"], F.col("bits")), "yes")
-    # Scores are for those that may be tried only; their filters are left behind.
+    numbers = node_numbers(inventory if holders is None else holders)
+    if blocks(alive) > 1:
+        return _rank_by_join(chunks, alive, probe_blooms(chunks, inventory, m_bits, holders), numbers, max_yes, max_maybe)
+    c = with_holders(chunks.select(*KEY), inventory, m_bits, numbers, numbers.count(), "left")
+    c = beside(c, alive.select("node_id").join(numbers, "node_id", "left"), "num")
+    cls = lambda n: F.when(n["num"].isNull(), "maybe").when(has(F.col("hit"), n["num"]), "yes")
+    # Scores are for those that may be tried only.
     asked = F.filter(F.transform("nodes", lambda n: F.struct(n["node_id"].alias("node_id"), cls(n).alias("cls"))), lambda n: n["cls"].isNotNull())
     tried = F.transform(asked, lambda n: F.struct(n["node_id"].alias("node_id"), n["cls"].alias("cls"), hrw_score(n["node_id"], F.col("digest")).alias("score")))
     c = c.select(*KEY, tried.alias("tried"))
@@ -134,8 +178,8 @@ def rank_candidates(chunks: DataFrame, alive: DataFrame, inventory: DataFrame, m
     return c.select(*KEY, F.posexplode(F.concat(best("yes", max_yes), best("maybe", max_maybe))).alias("attempt", "n")).select(*KEY, "n.node_id", "n.cls", (F.col("attempt") + 1).alias("attempt"))
 
 
-def _rank_by_join(chunks: DataFrame, alive: DataFrame, positive: DataFrame, inventory: DataFrame, max_yes: int, max_maybe: int) -> DataFrame:
-    known = inventory.select("node_id").distinct().withColumn("known", F.lit(True))
+def _rank_by_join(chunks: DataFrame, alive: DataFrame, positive: DataFrame, holders: DataFrame, max_yes: int, max_maybe: int) -> DataFrame:
+    known = holders.select("node_id").withColumn("known", F.lit(True))
     hold = positive.select(*KEY, "node_id").withColumn("hold", F.lit(True))
     p = scored(chunks.select(*KEY), alive).join(hold, [*KEY, "node_id"], "left").join(known, "node_id", "left")
     p = p.withColumn("cls", F.when(F.col("hold"), "yes").when(F.col("known").isNull(), "maybe")).filter("cls IS NOT NULL")

@@ -67,10 +67,14 @@ def _(V):
     return c.select("blob", "offset", F.posexplode(D.bloom_positions(F.col("digest"), M_BITS)).alias("i", "bit"))
 
 
+def holders(V):
+    return V("v_nodes").filter("num < 6").select("node_id", "num")
+
+
 def inventory(V):
     """Which node holds which chunk: those that its number divides out of offset and id."""
     c = chunks(V).withColumn("k", (F.col("offset") / BIG + F.length("blob")).cast("bigint"))
-    n = V("v_nodes").filter("num < 6").select("node_id", "num")
+    n = holders(V)
     return c.join(F.broadcast(n), F.col("k") % 6 == F.col("num")).select("node_id", "mount", "blob", "offset")
 
 
@@ -87,12 +91,12 @@ PROBE = f"{DG}, {BITS}, {INV}, bl AS (SELECT DISTINCT node_id, bit FROM inv), ne
 
 @query("f_bloom_contains", f"WITH {PROBE} SELECT blob, off AS offset, node_id FROM pos")
 def _(V):
-    return H.probe_blooms(chunks(V), inventory(V), M_BITS).select("blob", "offset", "node_id")
+    return H.probe_blooms(chunks(V), inventory(V), M_BITS, holders(V)).select("blob", "offset", "node_id")
 
 
 @query("j_chunk_holder", f"WITH {PROBE} SELECT node_id, count(*) AS chunks FROM pos GROUP BY node_id")
 def _(V):
-    p = H.probe_blooms(chunks(V), inventory(V), M_BITS)
+    p = H.probe_blooms(chunks(V), inventory(V), M_BITS, holders(V))
     return p.groupBy("node_id").agg(F.count(F.lit(1)).alias("chunks"))
 
 
@@ -103,7 +107,7 @@ FULLER = PROBE.replace(f"% {M_BITS}", f"% {SMALL_BITS}")
 @query("agg_fp_rate", f"WITH {FULLER}, h AS (SELECT DISTINCT node_id, blob, off FROM inv) SELECT count(*) AS probes_positive, count(*) FILTER (WHERE h.blob IS NULL) AS false_positive FROM pos LEFT JOIN h USING (node_id, blob, off)")
 def _(V):
     inv = inventory(V)
-    p = H.probe_blooms(chunks(V), inv, SMALL_BITS)
+    p = H.probe_blooms(chunks(V), inv, SMALL_BITS, holders(V))
     held = inv.select("node_id", "mount", "blob", "offset", F.lit(True).alias("held"))
     j = p.join(held, ["node_id", "mount", "blob", "offset"], "left")
     return j.agg(F.count(F.lit(1)).alias("probes_positive"), F.count_if(F.col("held").isNull()).alias("false_positive"))
@@ -113,7 +117,7 @@ def _(V):
 def _(V):
     """Nodes whose filter promised a chunk that they don't hold: their filter is dropped."""
     inv = inventory(V)
-    p = H.probe_blooms(chunks(V), inv, SMALL_BITS)
+    p = H.probe_blooms(chunks(V), inv, SMALL_BITS, holders(V))
     return p.join(inv, ["node_id", "mount", "blob", "offset"], "left_anti").select("node_id").distinct()
 
 
@@ -122,7 +126,7 @@ YES = f"{PROBE}, {ALIVE}, sc AS (SELECT blob, off, node_id, {SCORE} AS score FRO
 
 @query("top_yes_maybe", f"WITH {YES} SELECT 'docs' AS mount, blob, off AS offset, node_id, cls, CAST(row_number() OVER (PARTITION BY blob, off ORDER BY cls DESC, r) AS INTEGER) AS attempt FROM k")
 def _(V):
-    return H.rank_candidates(chunks(V), alive(V), inventory(V), M_BITS, 2, 3)
+    return H.rank_candidates(chunks(V), alive(V), inventory(V), M_BITS, 2, 3, holders(V))
 
 
 @query("f_bloom_fp_theory", f"SELECT n_name, round(pow(1 - exp(-4.0 * (n_nationkey * 1000) / {M_BITS}.0), 4.0), 9) AS p FROM nation")
