@@ -8,6 +8,7 @@ from ..functions import policy as P
 from ..operators import chunking as C
 from ..operators import namespace as N
 from ..operators import transfer as T
+from ..operators.reconcile import reconcile
 from .common import query
 from .views import CHUNK
 
@@ -109,6 +110,47 @@ def _(V):
     return want.join(have, "blob", "left").select("req", "blob", "content_length", F.col("there").isNull().alias("not_found"))
 
 
+FOLDERS = """bl AS (SELECT string_split(blob, '/') AS p, content_length FROM v_listing),
+  up AS (SELECT array_to_string(p[1:d], '/') || CASE WHEN d > 0 THEN '/' ELSE '' END AS folder, d AS depth, d = len(p) - 1 AS own, content_length FROM bl, unnest(range(0, len(p))) AS u(d)),
+  fo AS (SELECT folder, depth, count(*) FILTER (WHERE own) AS files, count(*) AS blobs, CAST(sum(content_length) AS BIGINT) AS bytes FROM up GROUP BY ALL)"""
+
+
+@query("agg_folder_rollup", f"WITH {FOLDERS} SELECT folder, CAST(depth AS INTEGER) AS depth, files, (SELECT count(*) FROM fo c WHERE c.depth = fo.depth + 1 AND starts_with(c.folder, fo.folder)) AS dirs, blobs, bytes FROM fo")
+def _(V):
+    """Every folder with its direct children, and the blobs and bytes below it."""
+    return N.folder_rollup(V("v_listing"))
+
+
+@query("listing_children", f"WITH {FOLDERS} SELECT regexp_replace(blob, '[^/]*$', '') AS folder, regexp_extract(blob, '[^/]*$') AS name, 'file' AS kind, content_length AS size FROM v_listing UNION ALL SELECT regexp_replace(folder, '[^/]*/$', ''), regexp_extract(folder, '([^/]*)/$', 1), 'dir', NULL FROM fo WHERE depth > 0")
+def _(V):
+    """The direct children of all folders at once."""
+    return N.children(V("v_listing"))
+
+
+#: The listing as it was: some blobs rewritten in the same length, some touched, some not there yet; and one in 40 that is gone since.
+OLD = """SELECT name || CASE WHEN doc_id % 40 = 7 THEN '.old' ELSE '' END AS name, 'file' AS kind, CASE WHEN doc_id % 11 = 3 THEN size + 1 ELSE size END AS size, CASE WHEN doc_id % 13 = 5 THEN reverse(etag) ELSE etag END AS etag,
+  CASE WHEN doc_id % 17 = 2 THEN mtime - 60 ELSE mtime END AS mtime FROM v_props WHERE doc_id % 19 <> 4"""
+
+
+def _old(V):
+    d = F.col("doc_id")
+    name = F.concat("name", F.when(d % 40 == 7, ".old").otherwise(""))
+    size, etag, mtime = F.when(d % 11 == 3, F.col("size") + 1).otherwise(F.col("size")), F.when(d % 13 == 5, F.reverse("etag")).otherwise(F.col("etag")), F.when(d % 17 == 2, F.col("mtime") - 60).otherwise(F.col("mtime"))
+    return V("v_props").filter(d % 19 != 4).select(name.alias("name"), F.lit("file").alias("kind"), size.alias("size"), etag.alias("etag"), mtime.alias("mtime"))
+
+
+@query("j_upsert_properties", f"WITH t AS ({OLD}) SELECT coalesce(t.name, l.name) AS name, CASE WHEN t.kind IS NULL THEN 'insert' WHEN l.name IS NULL THEN 'delete' WHEN (t.size, t.etag, t.mtime) IS DISTINCT FROM (l.size, l.etag, l.mtime) THEN 'update' ELSE 'keep' END AS action FROM t FULL JOIN v_props l ON t.name = l.name")
+def _(V):
+    """A refresh that also sees blobs rewritten in the same length, by their etag, and touched ones, by their time."""
+    return N.refresh(_old(V), V("v_props").withColumn("kind", F.lit("file")))
+
+
+@query("j_inventory_diff", f"WITH t AS ({OLD}) SELECT coalesce(t.name, l.name) AS name, CASE WHEN t.kind IS NULL THEN 'insert' WHEN l.name IS NULL THEN 'delete' ELSE 'update' END AS action FROM t FULL JOIN v_props l ON t.name = l.name WHERE t.kind IS NULL OR l.name IS NULL OR (t.size, t.etag, t.mtime) IS DISTINCT FROM (l.size, l.etag, l.mtime)")
+def _(V):
+    """Only what differs between two inventories, found by digests of ever smaller buckets."""
+    return reconcile(_old(V), V("v_props"), ["name"], ["size", "etag", "mtime"])
+
+
 TRACKED = "SELECT substr(blob, 9) AS name, 'file' AS kind, content_length + CASE WHEN content_length % 3 = 0 THEN 1 ELSE 0 END AS size FROM v_listing WHERE starts_with(blob, 'en/src1/') AND content_length % 4 <> 1 UNION ALL SELECT 'gone' || CAST(r_regionkey AS STRING), 'file', CAST(1 AS BIGINT) FROM region UNION ALL SELECT name, 'dir', NULL FROM (SELECT substr(blob, 9) AS name FROM v_listing WHERE starts_with(blob, 'en/src1/') AND content_length % 4 = 1 AND content_length % 5 = 0)"
 
 
