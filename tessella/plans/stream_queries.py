@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
+from ..streaming import expiring as X
 from ..streaming import stateful as S
 from .registry import register
 from .replay_queries import CAP, FLUSH
@@ -65,3 +66,32 @@ def stream_windowed_increase(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _events(spark, sf_dir).select(F.concat(F.lit("node"), (F.col("user_id") % 6).cast("string")).alias("host"), F.timestamp_seconds(F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")).alias("ts"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
     out = S.drain(S.windowed_increase(s, "1 hour"), _folder(spark, "windows"))
     return out.select("host", F.floor(F.unix_seconds("start") / 3600).cast("bigint").alias("h"), "n", "cents")
+
+
+LOADS = "SELECT 'f' || CAST(user_id % 50 AS STRING) AS folder, EPOCH(ts) AS t_s, event_id AS req FROM events"
+TTL, KEEP, LATE = 1800, 86_400, 3600
+
+
+@register("stream_listing_ttl", oracle(f"""WITH l AS (SELECT folder, list(t_s ORDER BY t_s, req) AS xs FROM ({LOADS}) GROUP BY folder),
+  z AS (SELECT folder, len(xs) AS lookups, list_reduce(list_transform(xs, lambda x: [x]), lambda acc, x: CASE WHEN x[1] - acc[len(acc)] >= {TTL} THEN list_append(acc, x[1]) ELSE acc END) AS ys FROM l),
+  c AS (SELECT max(t_s) - {LATE} AS now FROM ({LOADS}))
+  SELECT folder, CAST(lookups - len(ys) AS BIGINT) AS fresh, CAST(len(ys) AS BIGINT) AS listed, ys[len(ys)] AS loaded, ys[len(ys)] + {TTL} < now AS expired FROM z, c"""))
+def stream_listing_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each folder's listing was still fresh, and whether its state has expired at the end."""
+    l = spark.sql(spark_text(LOADS).replace("FROM events", "FROM {events}"), events=_events(spark, sf_dir))
+    out = S.drain(X.listings(l, TTL, f"{LATE} seconds"), _folder(spark, "listings"))
+    g = out.groupBy("folder").agg(F.count_if(F.col("action") == "fresh").alias("fresh"), F.count_if(F.col("action").isin("list", "relist")).alias("listed"), F.max(F.when(F.col("action").isin("list", "relist"), F.col("t_s"))).alias("loaded"), F.max(F.when(F.col("action") == "expired", F.col("t_s"))).alias("gone"))
+    return g.select("folder", "fresh", "listed", "loaded", F.coalesce(F.col("gone") == F.col("loaded") + TTL, F.lit(False)).alias("expired"))
+
+
+ENDED = "SELECT 'u' || CAST(user_id % 40 AS STRING) AS owner, event_id % 500 AS job, EPOCH(ts) AS t_s FROM events"
+
+
+@register("stream_jobs_ttl", oracle(f"WITH j AS (SELECT owner, job, max(t_s) AS ended FROM ({ENDED}) GROUP BY owner, job) SELECT owner, count(*) AS jobs, count(*) FILTER (WHERE ended + {KEEP} >= (SELECT max(t_s) - {LATE} FROM ({ENDED}))) AS held FROM j GROUP BY owner"))
+def stream_jobs_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of each owner's jobs are still remembered at the end: those that ended within a day."""
+    e = spark.sql(spark_text(ENDED).replace("FROM events", "FROM {events}"), events=_events(spark, sf_dir))
+    out = S.drain(X.jobs(e, KEEP, f"{LATE} seconds"), _folder(spark, "jobs"))
+    at = lambda forgotten: F.max(F.when((F.col("action") == "forgotten") == forgotten, F.col("t_s")))
+    j = out.groupBy("owner", "job").agg(at(False).alias("ended"), at(True).alias("gone"))
+    return j.groupBy("owner").agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.coalesce(F.col("gone") < F.col("ended") + KEEP, F.lit(True))).alias("held"))
