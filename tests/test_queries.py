@@ -13,9 +13,8 @@ def test_matches_sql(name, spark, sf_dir, duck):
     assert_equal(QUERIES[name](spark, sf_dir), duck, SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(name, spark, sf_dir):
-    assert QUERIES[name](spark, sf_dir).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):

@@ -9,7 +9,7 @@ from test_operators import simulate
 
 from tessella.operators import membership
 from tessella.session import shared_dir
-from tessella.streaming import stateful
+from tessella.streaming import expiring, stateful
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +95,66 @@ def test_windows_close_once(spark, files):
     out = drained(spark, stateful.windowed_increase(e, "1 hour")).collect()
     assert len({r.start for r in out}) == len(out) > 100
     assert 0 < sum(r.n for r in out) <= spark.read.parquet(files[0]).count()
+
+
+def numbered(spark, files, **columns):
+    """The stream's rows in the order of their files, with a time in seconds that rises from file to file."""
+    return streamed(spark, files).select(*[c.alias(n) for n, c in columns.items()])
+
+
+def states(q):
+    return [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in q.recentProgress if p["stateOperators"]]
+
+
+@pytest.fixture(scope="module")
+def ticks(spark):
+    """Twelve batches of lookups and ended jobs, 100 s apart."""
+    path, schema = f"{shared_dir(spark)}/ticks-{uuid.uuid4().hex}", "k string, job bigint, t_s bigint, req bigint"
+    rows = [(f"k{(b * 7 + i * i) % 23 if i % 3 else b % 23}", (b + i) % 9, 1_000_000 + 100 * b + i * 7 % 100, 1000 * b + i) for b in range(12) for i in range(15)]
+    for b in range(12):
+        spark.createDataFrame(rows[15 * b : 15 * (b + 1)], schema).coalesce(1).write.mode("append").parquet(path)
+    return (path, spark.read.parquet(path).schema), rows
+
+
+def test_listings_expire_without_a_lookup(spark, ticks):
+    files, rows = ticks
+    src = streamed(spark, files).select(F.col("k").alias("folder"), "t_s", "req")
+    path = f"{shared_dir(spark)}/ttl-{uuid.uuid4().hex}"
+    out = stateful.drain(expiring.listings(src, 250), path)
+    got = out.collect()
+    loaded, want = {}, {}
+    for k, _, t, req in sorted(rows, key=lambda r: (r[2], r[3])):
+        want[req] = "fresh" if k in loaded and t - loaded[k] < 250 else "list"
+        if want[req] == "list":
+            loaded[k] = t
+    assert {r.req: r.action.replace("relist", "list") for r in got if r.req >= 0} == want and len(got) > len(want)
+    # What expired: every listing that the clock has passed, though no event names its folder then.
+    now = max(r[2] for r in rows)
+    last = {}
+    for r in got:
+        if r.action == "expired":
+            last[r.folder] = max(last.get(r.folder, 0), r.t_s)
+    assert {k for k, t in loaded.items() if t + 250 < now} == {k for k, t in last.items() if t == loaded[k] + 250}
+
+
+def test_state_of_jobs_stays_bounded(spark, ticks):
+    """A job is forgotten its time after it ended, and the store holds what is alive only."""
+    files, rows = ticks
+    src = streamed(spark, files).select(F.col("k").alias("owner"), "job", "t_s")
+    path = f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    q = expiring.jobs(src, 250).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert not q.exception() and "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    got = spark.read.schema("owner string, job bigint, t_s bigint, action string, held bigint").parquet(f"{path}/out").collect()
+    ended, now = {}, max(r[2] for r in rows)
+    for k, job, t, _ in rows:
+        ended[k, job] = max(ended.get((k, job), 0), t)
+    gone = {}
+    for r in got:
+        if r.action == "forgotten":
+            gone[r.owner, r.job] = max(gone.get((r.owner, r.job), 0), r.t_s)
+    assert {j for j, t in ended.items() if t + 250 < now} == {j for j, t in gone.items() if t >= ended[j] + 250}
+    alive = {j for j, t in ended.items() if t + 250 >= now}
+    # Jobs, a timer each, and a count for each owner.
+    sizes = states(q)
+    assert len(sizes) >= 12 and sizes[-1] <= 6 * len(alive) + 2 * 23 and max(sizes[6:]) < 2.5 * max(sizes[:6])
