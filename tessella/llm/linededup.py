@@ -33,22 +33,17 @@ MOST_LINES = 2_000_000
 def windows(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     """(__id, __th, idx: line numbers from 0, h1, h2) for each window; docs: __id, __text."""
     lines = docs.select("__id", F.xxhash64("__text").alias("__th"), F.split("__text", "\n").alias("__l"))
-    held = lines.select(
-        "__id",
-        "__th",
-        F.filter(
-            F.transform("__l", lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(SPACES)).alias("x"), F.regexp_count(x, F.lit(WORD_PATTERN)).alias("n"))),
-            lambda s: s["n"] > 0,
-        ).alias("__c"),
-    )
+    # A line is its number, two 64-bit hashes and how many words it has: no window carries a text.
+    bare = lambda x: F.btrim(x, F.lit(SPACES))
+    line = lambda x, i: F.struct(i.alias("i"), F.xxhash64(bare(x)).alias("a"), F.xxhash64(F.lit("r"), bare(x)).alias("b"), F.regexp_count(x, F.lit(WORD_PATTERN)).alias("n"))
+    held = lines.select("__id", "__th", F.filter(F.transform("__l", line), lambda s: s["n"] > 0).alias("__c"))
     runs = F.expr(
         f"""CASE WHEN size(__c) > 0 THEN flatten(transform(sequence(1, size(__c)), k -> filter(
           transform(array(1, 2, {RUN}), m -> slice(__c, k, m)),
           (s, j) -> size(s) = j + 1 AND (j = {RUN - 1} OR aggregate(s, 0, (a, x) -> a + x.n) >= {long_words})))) END"""
     )
     out = held.select("__id", "__th", F.explode(runs).alias("w"))
-    # Two 64-bit hashes over the lines in either order: together as good as one of 128 bits.
-    return out.select("__id", "__th", F.expr("transform(w, x -> x.i)").alias("idx"), F.expr("xxhash64(transform(w, x -> x.x))").alias("h1"), F.expr("xxhash64(reverse(transform(w, x -> x.x)), 'r')").alias("h2"))
+    return out.select("__id", "__th", F.expr("transform(w, x -> x.i)").alias("idx"), F.expr("xxhash64(transform(w, x -> x.a))").alias("h1"), F.expr("xxhash64(transform(w, x -> x.b))").alias("h2"))
 
 
 def covered_lines(docs: DataFrame, stored: Stored, long_words: int = LONG_WORDS, hot_share: int = HOT_SHARE) -> DataFrame:
