@@ -245,7 +245,7 @@ def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", wor
     """The row of each component with the smallest id (null last; of rows that repeat it, the one whose text hashes lowest), all columns kept.
 
     Beside the links of fingerprints, texts are linked whose sets of similar_words-word shingles have the similarity or more (see similar.py).
-    Rows that repeat an id but aren't linked stay both; of rows that repeat id and text one stays."""
+    Rows that repeat an id but aren't linked stay both; of rows that repeat id and text the one stays whose columns, written as JSON, come first."""
     stored = Stored(docs.sparkSession, "simhash")
     keyed = [F.col(f"`{id_column}`").alias("__id"), F.xxhash64(f"`{text}`").alias("__th")]
     boxed = docs.select(*keyed, F.col(f"`{text}`").alias("__text"))
@@ -260,12 +260,13 @@ def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", wor
     # Keys whose rows go, and keys that several rows repeat: if they are few, the rows of all others stay where they are.
     marked = placed.join(picks, "root").groupBy("__key").agg(F.first(F.col("__key") == F.col("pick")).alias("stays"), F.count(F.lit(1)).alias("rows"))
     odd = stored.put(marked.filter("NOT stays OR rows > 1").select("__key", "stays"))
+    least = F.min_by("__row", F.to_json("__row")).alias("__row")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.struct(F.isnull(f"`{id_column}`").alias("z"), F.col(f"`{id_column}`").alias("i"), F.xxhash64(f"`{text}`").alias("t")).alias("__key"))
     if odd.count() <= MOST_ODD:
         plain = whole.join(F.broadcast(odd), "__key", "left_anti").select("__row.*")
-        twins = whole.join(F.broadcast(odd.filter("stays").select("__key")), "__key").groupBy("__key").agg(F.first("__row").alias("__row")).select("__row.*")
+        twins = whole.join(F.broadcast(odd.filter("stays").select("__key")), "__key").groupBy("__key").agg(least).select("__row.*")
         return plain.unionByName(twins)
-    return whole.join(picks.select(F.col("pick").alias("__key")), "__key").groupBy("__key").agg(F.first("__row").alias("__row")).select("__row.*")
+    return whole.join(picks.select(F.col("pick").alias("__key")), "__key").groupBy("__key").agg(least).select("__row.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
