@@ -7,6 +7,7 @@ more languages than BUCKETS allow at that size, trigrams share fewer buckets. Fo
 proportions of all languages (ROUNDS rounds, or until none moves by CLOSE); the set of languages grows from the best single one, by the
 proportions of the mixture over all, as long as the gain in log-likelihood exceeds a penalty for each language added: neighbouring trigrams
 share letters, so a third of the n trigrams and a third of the gain count as independent, and gain / 3 must exceed half the logarithm of n / 3.
+Every language is tried, however small its proportion, until even all together would not pay for one more.
 The prediction is the set's most probable language, its score the proportion.
 
 Text alone is read for a prediction. Null texts, texts without letters, and all texts where nothing could be learned, are `und` with score 0.
@@ -31,6 +32,8 @@ FOLDS = 5
 HALF = 0.5
 ROUNDS = 12
 CLOSE = 1e-3
+#: Log-likelihood that the mixture over all languages may still gain after its rounds.
+SLACK = 3.0
 #: Bytes of the model that is broadcast, at most.
 MOST_MODEL = 64 << 20
 #: Texts of more trigrams are counted first.
@@ -154,9 +157,12 @@ def infer(text: str | None, logp: np.ndarray) -> tuple[np.ndarray | None, list[i
     best = int(np.argmax(single))
     chosen, now, pi = [best], float(single[best]) - shift, np.ones(1)
     if p.shape[1] > 1:
-        whole, _ = mixture(p, weight, np.full(p.shape[1], 1.0 / p.shape[1]))
+        whole, most = mixture(p, weight, np.full(p.shape[1], 1.0 / p.shape[1]))
         for k in np.argsort(-whole, kind="stable").tolist():
-            if k in chosen or whole[k] < 0.01:
+            # No set is likelier than all languages together, so nothing more can pay for itself.
+            if most + SLACK - now <= penalty:
+                break
+            if k in chosen:
                 continue
             trial = sorted([*chosen, k])
             start = np.maximum(whole[trial], 0.01)
