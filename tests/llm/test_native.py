@@ -87,6 +87,18 @@ def test_line_dedup(make_docs, odd_rows):
     assert {r.kept_text for r in odd.collect() if r["__row"].doc_id == 2 and r["__row"].text == odd_rows[1][1]} == {""}
 
 
+def test_one_very_long_document_and_a_hot_passage(make_docs):
+    """A document of 20 MB, and a third of the others with the same passage: windows carry numbers, no texts."""
+    passage = "\n".join(f"line {k} of what many share" for k in range(6))
+    long = "\n".join(f"row {k} " + "x" * 60 for k in range(290_000))
+    rows = [(0, long)] + [(i, f"head {i}\n{passage if i % 3 == 0 else f'own {i}'}\ntail {i}") for i in range(1, 600)]
+    docs = make_docs(rows)
+    held = linededup.windows(docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")))
+    assert {t for _, t in held.dtypes} <= {"bigint", "array<int>"}
+    got = {r.doc_id: r.n for r in linededup.dedup_lines(docs).select("__row.doc_id", F.col("line_dedup.n_removed").alias("n")).collect()}
+    assert got == {i: 6 if i % 3 == 0 and i > 3 else 0 for i in range(600)}
+
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -177,10 +189,104 @@ def test_standard_notices(make_docs):
     assert {i: (x, rows[i][1][:300]) for i, x in got.items() if x != want[i]} == {}
 
 
+ASF = """Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements.  See the NOTICE file distributed with this work for additional information regarding copyright ownership.  The ASF licenses this file to You under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.  You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.  See the License for the specific language governing permissions and limitations under the License."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software."""
+BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"""
+GPL3_TEXT = """GNU GENERAL PUBLIC LICENSE
+Version 3, 29 June 2007
+
+Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.
+
+Preamble
+
+The GNU General Public License is a free, copyleft license for software and other kinds of works."""
+GPL2_TEXT = """GNU GENERAL PUBLIC LICENSE
+Version 2, June 1991
+
+Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.
+
+The licenses for most software are designed to take away your freedom to share and change it.  By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."""
+MPL_TEXT = """Mozilla Public License Version 2.0
+
+1. Definitions
+
+1.1. "Contributor"
+    means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."""
+KERNEL = GPL2.replace("either version 2 of the License, or (at your option) any later version.", "version 2 of the License.")
+BSD3_AUTHOR = BSD3.replace("Neither the name of the copyright holder nor the names of its contributors may be used", "The name of the author may not be used")
+BSD4 = BSD3.replace("3. Neither", "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization.\n\n4. Neither").replace("BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "BY A. PERSON ``AS IS'' AND")
+BSD_ODD = BSD3.replace("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse", "3. You must buy the author a drink and must not endorse")
+held = lambda text, who: text.replace("the copyright holder nor", f"{who} nor").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", f"{who.upper()} AND CONTRIBUTORS")
+MORE_NOTICES = [
+    ("Apache-2.0", ASF),
+    ("Apache-2.0", ASF.replace("The ASF licenses", "Some Company B.V. licenses").split("ownership.  ")[1]),
+    ("Apache-2.0", "you may not use this file except in compliance with the License." + APACHE.split("with the License.", 1)[1]),
+    ("BSD-3-Clause", held(BSD3, "Google Inc.")),
+    ("BSD-3-Clause", held(BSD3, "the University of California, Berkeley")),
+    ("BSD-3-Clause", held(BSD3, "The FreeBSD Project, Inc. (and others)").replace("its contributors", "other contributors")),
+    ("BSD-3-Clause", BSD3_AUTHOR),
+    ("BSD-3-Clause", BSD3.replace("3. Neither", "* Neither").replace("2. Red", "* Red").replace("1. Red", "* Red")),
+    ("BSD-2-Clause", held(BSD2, "Example Org.")),
+    ("BSD-4-Clause", BSD4.replace("``AS IS'' AND \"AS IS\" AND", "``AS IS'' AND")),
+    ("", BSD_ODD),
+    ("GPL-2.0", KERNEL),
+    ("GPL-2.0", KERNEL.replace("Foundation; version 2 of the License", "Foundation, version 2")),
+    ("GPL-2.0-or-later", GPL2.replace("version 2 of the License, or", "version 2, or")),
+    ("GPL-2.0-or-later", GPL2.replace("Foundation; either", "Foundation, either")),
+    ("GPL-3.0-or-later", GPL.replace("Foundation, either", "Foundation; either")),
+    ("LGPL-3.0-or-later", GPL.replace("General Public", "Lesser General Public")),
+    ("AGPL-3.0-or-later", GPL.replace("General Public", "Affero General Public")),
+    ("LGPL-2.1-or-later", LGPL.replace("Foundation; either", "Foundation, either")),
+    ("LGPL-2.0-or-later", GPL2.replace("program", "library").replace("General Public", "Library General Public")),
+    ("ISC", ISC.replace("and/or", "and")),
+    ("0BSD", ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")),
+    ("MIT-0", MIT.replace(", subject to the following conditions:", ".").replace(MIT.split("\n\n")[1] + "\n\n", "")),
+    ("Zlib", ZLIB),
+    ("BSL-1.0", BOOST),
+    ("GPL-3.0", GPL3_TEXT),
+    ("GPL-2.0", GPL2_TEXT),
+    ("MPL-2.0", MPL_TEXT),
+    ("Apache-2.0;MIT", "// SPDX-License-Identifier: MIT OR Apache-2.0\nfn main() {}"),
+    ("Apache-2.0;MIT", "# SPDX-License-Identifier: (MIT OR Apache-2.0)\nx"),
+    ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */\n#include"),
+    ("GPL-2.0-or-later", "/* SPDX-License-Identifier: GPL-2.0+ */\n#include"),
+    ("BSD-3-Clause;GPL-2.0-or-later;MIT", "SPDX-License-Identifier: GPL-2.0-or-later AND (MIT OR BSD-3-Clause)\n"),
+    ("MIT", "This project is licensed under the MIT License - see the LICENSE file for details."),
+    ("MIT", "Licensed under the MIT License, see LICENSE.md."),
+    ("Apache-2.0", "Released under the Apache License 2.0 \u2014 enjoy."),
+    ("", "Neither the name nor the licence is known. You may redistribute it under version 2 of the agreement."),
+]
+
+
+def test_more_notices(make_docs):
+    rows, want = [], {}
+    for names, text in MORE_NOTICES:
+        wide = "SPDX" in text or "\n" not in text
+        for t in [text] if wide else layouts(text):
+            # On one line nothing ends a heading.
+            if text in (BOOST, GPL3_TEXT, GPL2_TEXT, MPL_TEXT) and "\n" not in t:
+                continue
+            want[len(rows)] = set(names.split(";"))
+            rows.append((len(rows), t))
+    got = {r.doc_id: set(r.licenses.removesuffix("All-Rights-Reserved").rstrip(";").split(";")) for r in licenses.scan_licenses(make_docs(rows)).collect()}
+    assert {i: (x, want[i], rows[i][1][:1500]) for i, x in got.items() if x != want[i]} == {}
+
+
 def test_longer_rules_come_first(spark):
     seq = lambda *ids: ";" + ";".join(ids) + ";"
     m = lambda s: spark.range(1).select(licenses.matched(F.lit(s))).first()[0].strip(";")
-    three = m(seq("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_NAME"))
+    three = m(seq("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_THIRD", "BSD_NAME"))
     assert len(three) == 1 and licenses.RULES[ord(three) - 0xE000][0] == "BSD-3-Clause"
     assert m(seq("NOTICE_MIT", "NOTICE_MIT")) == m(seq("NOTICE_MIT")) * 2
 
