@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_path
 from ..sources import docs as S
+from ..sources import exposition as E
 from ..sources import text as X
 from .common import query
 
@@ -22,6 +23,19 @@ def _(V):
     return parsed(V)
 
 
+@query("src_prom_files", f"WITH {PROM}, n AS (SELECT snap, line_no, split_part(key, '{{', 1) AS name, v FROM pp WHERE v IS NOT NULL) SELECT snap, name, count(*) AS samples, round(sum(v), 6) AS total, arg_max(v, line_no) AS last FROM n WHERE name IN ('view_total', 'click_total') GROUP BY ALL")
+def _(V):
+    """A file of lines for each snapshot, written as text and read as samples, of two metrics only; the last is the one that begins last in its file."""
+    lines = V("v_prom")
+    path = shared_path(lines.sparkSession, "scrapes")
+    # A file's name is its snapshot's: one range of lines each, in order.
+    lines.repartition(F.col("snap")).sortWithinPartitions("snap", "line_no").select("snap", F.col("line").alias("value")).write.partitionBy("snap").text(path)
+    E.register(lines.sparkSession)
+    read = lines.sparkSession.read.format("exposition").load(path).filter(F.col("name").isin("view_total", "click_total"))
+    snap = F.regexp_extract("file", "snap=(\\d+)/", 1).cast("bigint")
+    return read.groupBy(snap.alias("snap"), "name").agg(F.count(F.lit(1)).alias("samples"), F.round(F.sum("value"), 6).alias("total"), F.max_by("value", F.struct("file", "at")).alias("last"))
+
+
 @query("src_prom_pick", f"WITH {PROM}, w AS (SELECT DISTINCT snap, k AS key FROM v_prom, (SELECT unnest(['view_total{{node=\"n1\"}}', 'absent_total']) AS k) AS u) SELECT snap, key, coalesce(value, 0.0) AS value FROM w LEFT JOIN pk USING (snap, key)")
 def _(V):
     w = V("v_prom").select("snap").distinct().select("snap", F.explode(F.array(F.lit('view_total{node="n1"}'), F.lit("absent_total"))).alias("key"))
