@@ -3,15 +3,16 @@
 Vectors are scaled to length one, so that the largest cosine is the least distance, and rotated by a random orthogonal matrix, after
 which the first few of D dimensions estimate a distance: after b of them the partial square times D / b. Vectors lie in inverted lists
 around centroids, which are fitted to a bounded sample; every vector is in a list, and the lists grow in number with the vectors: beyond
-FINE_FROM of them each centroid's list is cut by a second set of centroids, fitted to what the first leaves over. A query probes the lists of its nearest
+FINE_FROM of them each centroid's list is cut by a second set of centroids, fitted to what the first leaves over, and a query looks below its nearest
+centroids of the first level only, as many as the sample shows to be needed. A query probes the lists of its nearest
 centroids, as many as brute force within the sample shows to hold TARGET of the neighbours; within a list the columns are read in blocks,
 and after each a hypothesis test abandons a candidate whose estimate exceeds the fifth-best distance found by more than chance explains,
 sqrt(estimate) > (1 + EPSILON / sqrt(b)) * sqrt(threshold). Survivors are ranked by the cosine of the original vectors in double
 precision, each scaled by a power of two first, which changes no digit and keeps squares in range.
 
 A list is cut into cells of CELL candidates, and its queries into groups of QUERIES_AT_ONCE, so a list with a third of all vectors is
-many tasks' work. Vectors that are null, zero, or hold a null or non-finite component take no part. Vectors of different lengths have no cosine: those of
-another length than most are compared, all with all queries, among their own length. A query is a row: rows that repeat an id are
+many tasks' work. Vectors that are null, zero, or hold a null or non-finite component take no part. Vectors of different lengths have no cosine: each
+length has an index of its own, sample and lists included; beyond MOST_LENGTHS lengths the vectors of the rarest are compared with all queries of theirs. A query is a row: rows that repeat an id are
 queries and candidates each, and a query's own row alone is none of its candidates. Equal vectors rank by id, a null id last.
 """
 
@@ -34,6 +35,10 @@ SAMPLE = 20_000
 MOST_LISTS = 1024
 LIST_SIZE = 1000
 FINE_FROM = 1000
+#: Lengths of vectors that are indexed, the most frequent first; of others all are compared with all queries of their length.
+MOST_LENGTHS = 32
+#: Rows about lists that are broadcast at most.
+MOST_CELLS = 1 << 20
 #: Of a sampled query's neighbours within the sample, the share whose lists must be probed; lists are added until it is met.
 TARGET = 0.985
 CALIBRATION = 256
@@ -94,6 +99,8 @@ class Lists:
             self.second = fit_centroids(rest, min(-(-count // len(self.first)), most), spherical=False)
         # Half the square of a list's centre.
         self.half = self.first @ self.second.T + (self.second * self.second).sum(axis=1) / 2 + self.own[:, None]
+        # How many centroids of the first level a query goes down from.
+        self.coarse = len(self.first)
 
     def __len__(self) -> int:
         return len(self.first) * len(self.second)
@@ -106,28 +113,36 @@ class Lists:
             out.append(a * len(self.second) + np.argmax(x @ self.second.T - self.half[a], axis=1))
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
-    def nearness(self, q: np.ndarray) -> np.ndarray:
-        """Of one query to every list, the larger the nearer."""
-        return ((self.first @ q)[:, None] + (self.second @ q)[None, :] - self.half).ravel()
+    def descend(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists below the nearest centroids of the first level, and how near they are, the larger the nearer."""
+        level = self.first @ q
+        top = np.argpartition(-(level - self.own), self.coarse - 1)[: self.coarse] if self.coarse < len(level) else np.arange(len(level))
+        near = level[top, None] + (self.second @ q)[None, :] - self.half[top]
+        return (top[:, None] * len(self.second) + np.arange(len(self.second))[None, :]).ravel(), near.ravel()
 
     def nearest(self, q: np.ndarray, probes: int) -> np.ndarray:
-        near = self.nearness(q)
+        lists, near = self.descend(q)
         some = np.argpartition(-near, probes - 1)[:probes] if probes < len(near) else np.arange(len(near))
-        return some[np.lexsort((some, -near[some]))]
+        return lists[some[np.lexsort((lists[some], -near[some]))]]
 
     def probes_for(self, sample: np.ndarray, k: int, target: float = TARGET, seed: int = 13) -> int:
-        """How many lists to probe, measured by brute force among the sample."""
+        """How many lists to probe, measured by brute force among the sample; of two levels also how many of the first to go down from."""
         if len(self) <= LEAST_PROBED or len(sample) <= k:
             return len(self)
         some = np.random.default_rng(seed).choice(len(sample), min(CALIBRATION, len(sample)), replace=False)
-        home, needed = self.home(sample), []
+        home, pairs = self.home(sample), []
         for i in some.tolist():
             sims = sample @ sample[i]
             sims[i] = -np.inf
-            near = self.nearness(sample[i])
-            needed += [int((near > near[h]).sum()) for h in home[np.argpartition(-sims, k - 1)[:k]].tolist()]
-        needed.sort()
-        return min(len(self), max(LEAST_PROBED, needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)] + 1))
+            pairs += [(i, h) for h in home[np.argpartition(-sims, k - 1)[:k]].tolist()]
+        most = lambda ranks, share: sorted(ranks)[min(len(ranks) - 1, int(np.ceil(share * len(ranks))) - 1)] + 1
+        if len(self.second) > 1:
+            # The first level alone may lose half of what may be lost.
+            above = {i: self.first @ sample[i] - self.own for i, _ in pairs}
+            self.coarse = min(len(self.first), max(LEAST_PROBED, most([int((above[i] > above[i][h // len(self.second)]).sum()) for i, h in pairs], (1 + target) / 2)))
+        down = {i: self.descend(sample[i]) for i, _ in pairs}
+        rank = lambda lists, near, h: int((near > near[lists == h][0]).sum()) if (lists == h).any() else len(lists)
+        return min(len(self), max(LEAST_PROBED, most([rank(*down[i], h) for i, h in pairs], target)))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -166,30 +181,40 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, target: float = T
     stored = Stored(spark, "ann")
     v = stored.put(usable(vectors, id_column, column))
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    usual = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if not usual:
+    found = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(MOST_LENGTHS).collect()
+    if not found:
         return empty
-    d, n = usual["d"], usual["count"]
-    most = max(64, min(SAMPLE, (32 << 20) // (8 * d)))
-    sample = units(matrix(v.filter(F.size("v") == d).orderBy(F.xxhash64("vec_id", "row"), "row").limit(most).select("v").toArrow().column(0).combine_chunks()))
-    index = Lists(sample, lists or int(max(1, round(n**0.5), n // LIST_SIZE)))
-    probes = index.probes_for(sample, k, target)
-    shared = spark.sparkContext.broadcast((index, rotation(d)))
+    indexes, start = {}, 0
+    for d, n in found:
+        most = max(64, min(SAMPLE, (32 << 20) // (8 * d)))
+        sample = units(matrix(v.filter(F.size("v") == d).orderBy(F.xxhash64("vec_id", "row"), "row").limit(most).select("v").toArrow().column(0).combine_chunks()))
+        index = Lists(sample, lists or int(max(1, round(n**0.5), n // LIST_SIZE)))
+        indexes[d] = (index, index.probes_for(sample, k, target), rotation(d), start)
+        start += len(index)
+    shared = spark.sparkContext.broadcast(indexes)
+
+    def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Length, which vectors have it, and these as rows."""
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        for d in np.unique(sizes).tolist():
+            same = np.flatnonzero(sizes == d)
+            yield d, same, matrix(column.take(pa.array(same)))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, _ = shared.value
         for b in batches:
-            sizes = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
-            home = -sizes.astype(np.int64)
-            same = np.flatnonzero(sizes == d)
-            if len(same):
-                home[same] = index.home(units(matrix(b.column(2).take(pa.array(same)))))
+            home = np.zeros(b.num_rows, np.int64)
+            for d, same, m in by_length(b.column(2)):
+                index, _, _, first = shared.value.get(d, (None, 0, None, 0))
+                home[same] = first + index.home(units(m)) if index else -d
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home)], names=[*b.schema.names, "list"])
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, _ = shared.value
         for b in batches:
-            lists = [index.nearest(units(np.array([x], np.float64))[0], probes) if len(x) == d else np.array([-len(x)]) for x in b.column(2).to_pylist()]
+            lists: list[np.ndarray] = [np.zeros(0, np.int64)] * b.num_rows
+            for d, same, m in by_length(b.column(2)):
+                index, probes, _, first = shared.value.get(d, (None, 0, None, 0))
+                for i, q in zip(same.tolist(), units(m), strict=True):
+                    lists[i] = first + index.nearest(q, probes) if index else np.array([-d])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, pa.list_(pa.int64()))], names=["qrow", "query_id", "q", "lists"])
 
     members = stored.put(v.mapInArrow(near, "row bigint, vec_id bigint, v array<double>, list bigint"))
@@ -199,7 +224,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, target: float = T
     sizes = members.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
     loads = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES_AT_ONCE).cast("int").alias("groups"))
     cells = stored.put(sizes.join(loads, "list"))
-    if cells.count() <= MOST_LISTS * MOST_LISTS:
+    if cells.count() <= MOST_CELLS:
         cells = F.broadcast(cells)
     left = members.join(cells, "list").withColumn("cell", F.pmod(F.xxhash64("row"), F.col("cells")).cast("int"))
     left = left.select("list", "cell", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "row", "vec_id", "v")
@@ -214,8 +239,8 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, target: float = T
         place = ids.fill_null(np.iinfo(np.int64).max).to_numpy()
         c, q = scaled(matrix(cand.column("v").combine_chunks())), scaled(matrix(asked.column("q").combine_chunks()))
         length, qlength = np.sqrt((c * c).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
-        if c.shape[1] == d:
-            _, turn = shared.value
+        if c.shape[1] in shared.value:
+            turn = shared.value[c.shape[1]][2]
             # One more than asked for, for the query itself may be among them.
             kept = scan(units(c) @ turn, units(q) @ turn, k + 1)
         else:
