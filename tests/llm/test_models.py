@@ -174,7 +174,7 @@ def brute_languages(text, logp):
     chosen, now, pi = [best], single[best], [1.0]
     whole, _ = brute_mixture(p, [1 / len(kinds)] * len(kinds))
     for k in sorted(kinds, key=lambda k: -whole[k]):
-        if k == best or whole[k] < 0.01:
+        if k == best:
             continue
         trial = sorted([*chosen, k])
         start = [max(whole[x], 0.01) for x in trial]
@@ -184,7 +184,7 @@ def brute_languages(text, logp):
     return {k: x / sum(pi) for k, x in zip(chosen, pi, strict=True)}
 
 
-def languages(count, seed=2):
+def languages(count, seed=2, half=0.5):
     """Models of that many invented languages: letter trigrams of their own mixture of syllables."""
     rng = np.random.default_rng(seed)
     texts = []
@@ -192,7 +192,7 @@ def languages(count, seed=2):
         syllables = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 2)) for _ in range(30)]
         texts.append(" ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(1500)))
     counts = np.stack([np.bincount(langid.trigrams(t), minlength=langid.BUCKETS) for t in texts], axis=1)
-    return texts, np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * langid.BUCKETS)).astype(np.float32)
+    return texts, np.log((counts + half) / (counts.sum(axis=0) + half * langid.BUCKETS)).astype(np.float32)
 
 
 def test_mixture_equals_brute_force():
@@ -203,6 +203,15 @@ def test_mixture_equals_brute_force():
         assert set(chosen) == set(want) and all(pi[k] == pytest.approx(x, abs=2e-3) for k, x in want.items())
 
 
+def test_a_language_below_a_hundredth_is_found():
+    """90 letters among 20000, by models learned from much: far more than chance explains, so it enters; as many letters of the main language don't."""
+    texts, logp = languages(6, half=1e-4)
+    body = " ".join([texts[1]] * 3)[:20_000]
+    pi, chosen = langid.infer(body + " " + texts[4][:90], logp)
+    assert set(chosen) == {1, 4} and 0 < pi[4] < 0.01
+    assert langid.infer(body + " " + texts[1][:90], logp)[1] == [1]
+
+
 def test_mixture_of_many_languages(make_docs):
     """However many there are, each may enter a mixture, and the model keeps its bound."""
     texts, logp = languages(60)
@@ -278,7 +287,14 @@ def test_recall(spark, monkeypatch, lists):
     if lists:
         index = ann.Lists(m, lists)
         assert len(index) == 64 and set(index.home(m).tolist()) <= set(range(64)) and len(set(index.home(m).tolist())) > 8
-        assert [int(index.nearest(v, 1)[0]) for v in m[:50]] == [int(np.argmax(index.nearness(v))) for v in m[:50]]
+        lists_of = [index.descend(v) for v in m[:50]]
+        assert [int(index.nearest(v, 1)[0]) for v in m[:50]] == [int(x[np.argmax(near)]) for x, near in lists_of]
+        assert sorted(lists_of[0][0].tolist()) == list(range(64))
+        # The nearest of those below the first level's nearest three.
+        index.coarse = 3
+        for v in m[:50]:
+            top = set(np.argsort(-(index.first @ v - index.own), kind="stable")[:3].tolist())
+            assert {x // 8 for x in index.descend(v)[0].tolist()} == top and index.nearest(v, 5)[0] // 8 in top
     got = {}
     for r in ann.search(spark.read.parquet(f"{SF}/embeddings.parquet"), lists=lists).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
@@ -291,6 +307,24 @@ def test_recall(spark, monkeypatch, lists):
     assert hits >= 0.9 * total
 
 
+def test_two_lengths_in_equal_parts(spark):
+    """Each length has lists of its own, searched alike; recall of both; beyond MOST_LENGTHS all are compared."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.standard_normal(12 if i // 50 % 2 else 16)]) for i in range(3000)] + [(3000 + i, [1.0, float(i)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = dict(brute_neighbours(rows))
+    for most in (ann.MOST_LENGTHS, 1):
+        kept, ann.MOST_LENGTHS = ann.MOST_LENGTHS, most
+        got = dict(found_neighbours(ann.search(df)))
+        ann.MOST_LENGTHS = kept
+        assert got.keys() == want.keys()
+        for size in (12, 16, 2):
+            ids = [q for q in got if len(rows[q][1]) == size]
+            assert not ids or sum(len(set(got[q]) & set(want[q])) for q in ids) >= 0.9 * sum(len(want[q]) for q in ids)
+    plan = ann.search(df)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan
+
+
 def test_scan_keeps_the_nearest():
     rng = np.random.default_rng(3)
     c, q = ann.units(rng.standard_normal((3000, 64))), ann.units(rng.standard_normal((20, 64)))
