@@ -192,10 +192,10 @@ def _(V):
     return N.page(N.list_directory(V("v_listing"), "en/src1/"), 1)
 
 
-@query("prefix_combine", "SELECT n_name, CASE WHEN p = '' THEN q WHEN q = '' THEN p ELSE regexp_replace(p, '/+$', '') || CASE WHEN starts_with(q, '/') THEN q ELSE '/' || q END END AS path FROM (SELECT n_name, CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'data//' ELSE 'd/e' END AS p, CASE n_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN '/x' ELSE 'x/y' END AS q FROM nation)")
+@query("prefix_combine", "SELECT n_name, CASE WHEN p = '' THEN q WHEN q = '' THEN p ELSE regexp_replace(p, '/+$', '') || CASE WHEN starts_with(q, '/') THEN q ELSE '/' || q END END AS path FROM (SELECT n_name, CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'data//' ELSE 'd/e' END AS p, CASE n_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN '/x' ELSE 'x/y' END AS q FROM v_names)")
 def _(V):
     k = F.col("n_nationkey")
-    n = V("nation").select("n_name", F.when(k % 3 == 0, "").when(k % 3 == 1, "data//").otherwise("d/e").alias("p"), F.when(k % 4 == 0, "").when(k % 4 == 1, "/x").otherwise("x/y").alias("q"))
+    n = V("v_names").select("n_name", F.when(k % 3 == 0, "").when(k % 3 == 1, "data//").otherwise("d/e").alias("p"), F.when(k % 4 == 0, "").when(k % 4 == 1, "/x").otherwise("x/y").alias("q"))
     return n.select("n_name", P.combine_prefix(F.col("p"), F.col("q")).alias("path"))
 
 

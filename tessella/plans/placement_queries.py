@@ -129,35 +129,35 @@ def _(V):
     return H.rank_candidates(chunks(V), alive(V), inventory(V), M_BITS, 2, 3, holders(V))
 
 
-@query("f_bloom_fp_theory", f"SELECT n_name, round(pow(1 - exp(-4.0 * (n_nationkey * 1000) / {M_BITS}.0), 4.0), 9) AS p FROM nation")
+@query("f_bloom_fp_theory", f"SELECT n_name, round(pow(1 - exp(-4.0 * (n_nationkey % 120 * 1000) / {M_BITS}.0), 4.0), 9) AS p FROM v_names")
 def _(V):
-    return V("nation").select("n_name", F.round(D.bloom_fp_theory(F.col("n_nationkey") * 1000, M_BITS), 9).alias("p"))
+    return V("v_names").select("n_name", F.round(D.bloom_fp_theory(F.col("n_nationkey") % 120 * 1000, M_BITS), 9).alias("p"))
 
 
-@query("f_bloom_codec", "SELECT n_name, n_nationkey * 16 AS m_bits, CASE WHEN n_nationkey * 16 < 64 THEN 'too_small' WHEN (n_nationkey * 16 + 63) // 64 * 8 <> n_nationkey % 7 * 8 THEN 'wrong_size' ELSE 'ok' END AS verdict FROM nation")
+@query("f_bloom_codec", "SELECT n_name, n_nationkey * 16 AS m_bits, CASE WHEN n_nationkey * 16 < 64 THEN 'too_small' WHEN (n_nationkey * 16 + 63) // 64 * 8 <> n_nationkey % 7 * 8 THEN 'wrong_size' ELSE 'ok' END AS verdict FROM v_names")
 def _(V):
     """A filter on the wire: 8 bytes for the number of bits, then 64-bit words."""
     k = F.col("n_nationkey")
-    n = V("nation").select("n_name", (k * 16).alias("m_bits"), F.concat(D.le8((k * 16).cast("bigint")), F.unhex(F.expr("repeat('00', cast(n_nationkey % 7 as int) * 8)"))).alias("wire"))
+    n = V("v_names").select("n_name", (k * 16).alias("m_bits"), F.concat(D.le8((k * 16).cast("bigint")), F.unhex(F.expr("repeat('00', cast(n_nationkey % 7 as int) * 8)"))).alias("wire"))
     bits = F.conv(D.swap_hex(F.substring(F.hex("wire"), 1, 16)), 16, 10).cast("bigint")
     words = F.octet_length("wire") - 8
     verdict = F.when(F.octet_length("wire") < 8, "short").when(bits < 64, "too_small").when(F.floor((bits + 63) / 64) * 8 != words, "wrong_size").otherwise("ok")
     return n.select("n_name", "m_bits", verdict.alias("verdict"))
 
 
-MOUNTS = "SELECT n_regionkey AS cfg, list(struct_pack(name := n_name, account := 'a' || n_nationkey, container := 'c', prefix := '') ORDER BY n_name) AS m FROM nation GROUP BY 1"
+MOUNTS = "SELECT n_regionkey AS cfg, list(struct_pack(name := n_name, account := 'a' || n_nationkey, container := 'c', prefix := '') ORDER BY n_name) AS m FROM v_names GROUP BY 1"
 
 
 @query("f_cluster_hash", f"SELECT CAST(cfg AS BIGINT) AS cfg, sha256(unhex('0000400000000000') || encode('tcp') || '\\x00'::BLOB || encode(list_reduce(list_transform(m, lambda x: x.name || chr(0) || x.account || chr(0) || x.container || chr(0) || x.prefix || chr(0)), lambda a, b: a || b))) AS hash FROM ({MOUNTS})")
 def _(V):
     m = F.struct(F.col("n_name").alias("name"), F.concat(F.lit("a"), F.col("n_nationkey").cast("string")).alias("account"), F.lit("c").alias("container"), F.lit("").alias("prefix"))
-    g = V("nation").groupBy(F.col("n_regionkey").cast("bigint").alias("cfg")).agg(F.collect_list(m).alias("mounts"))
+    g = V("v_names").groupBy(F.col("n_regionkey").cast("bigint").alias("cfg")).agg(F.collect_list(m).alias("mounts"))
     return g.select("cfg", D.cluster_hash(F.lit(4194304).cast("bigint"), F.lit("tcp"), F.col("mounts")).alias("hash"))
 
 
-@query("sort_mounts", "SELECT CAST(n_regionkey AS BIGINT) AS cfg, string_agg(n_name, ',' ORDER BY n_name) AS mounts FROM nation GROUP BY 1")
+@query("sort_mounts", "SELECT CAST(n_regionkey AS BIGINT) AS cfg, string_agg(n_name, ',' ORDER BY n_name) AS mounts FROM v_names GROUP BY 1")
 def _(V):
-    return V("nation").groupBy(F.col("n_regionkey").cast("bigint").alias("cfg")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("mounts"))
+    return V("v_names").groupBy(F.col("n_regionkey").cast("bigint").alias("cfg")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("mounts"))
 
 
 # Membership
@@ -372,10 +372,10 @@ def _(V):
     return per.agg(F.count(F.lit(1)).alias("peers"), F.sum("files").cast("bigint").alias("files"), F.sum("bytes").cast("bigint").alias("bytes"))
 
 
-@query("state_hydrate_mode", "SELECT n_name, CASE WHEN lower(e) IN ('broadcast', 'ring') THEN lower(e) ELSE coalesce(r, 'broadcast') END AS mode FROM (SELECT n_name, CASE n_nationkey % 4 WHEN 0 THEN 'RING' WHEN 1 THEN 'Broadcast' WHEN 2 THEN 'default' END AS e, CASE n_nationkey % 3 WHEN 0 THEN 'ring' WHEN 1 THEN 'broadcast' END AS r FROM nation)")
+@query("state_hydrate_mode", "SELECT n_name, CASE WHEN lower(e) IN ('broadcast', 'ring') THEN lower(e) ELSE coalesce(r, 'broadcast') END AS mode FROM (SELECT n_name, CASE n_nationkey % 4 WHEN 0 THEN 'RING' WHEN 1 THEN 'Broadcast' WHEN 2 THEN 'default' END AS e, CASE n_nationkey % 3 WHEN 0 THEN 'ring' WHEN 1 THEN 'broadcast' END AS r FROM v_names)")
 def _(V):
     k = F.col("n_nationkey")
-    n = V("nation").select("n_name", F.when(k % 4 == 0, "RING").when(k % 4 == 1, "Broadcast").when(k % 4 == 2, "default").alias("e"), F.when(k % 3 == 0, "ring").when(k % 3 == 1, "broadcast").alias("r"))
+    n = V("v_names").select("n_name", F.when(k % 4 == 0, "RING").when(k % 4 == 1, "Broadcast").when(k % 4 == 2, "default").alias("e"), F.when(k % 3 == 0, "ring").when(k % 3 == 1, "broadcast").alias("r"))
     return n.select("n_name", P.hydrate_mode(F.col("e"), F.col("r")).alias("mode"))
 
 

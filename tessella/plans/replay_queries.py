@@ -176,11 +176,11 @@ def _(V):
     return V("documents").select("doc_id", percent_encode(F.coalesce("text", F.lit(""))).alias("enc"))
 
 
-@query("f_elapsed_to_s", "SELECT n_name, n_nationkey * 3 + CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 3600 END + 60 AS s FROM (SELECT n_name, CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation)")
+@query("f_elapsed_to_s", "SELECT n_name, n_nationkey % 1100 * 3 + CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 3600 END + 60 AS s FROM (SELECT n_name, CAST(n_nationkey AS BIGINT) AS n_nationkey FROM v_names)")
 def _(V):
-    k = F.col("n_nationkey")
-    t = F.when(k % 2 == 0, F.format_string("%02d:%02d", F.floor((k * 3 + 60) / 60), (k * 3 + 60) % 60)).otherwise(F.format_string("1:%02d:%02d", F.floor((k * 3 + 60) / 60), (k * 3 + 60) % 60))
-    return V("nation").select("n_name", P.elapsed_seconds(t).alias("s"))
+    k, m = F.col("n_nationkey"), F.col("n_nationkey") % 1100 * 3 + 60
+    t = F.when(k % 2 == 0, F.format_string("%02d:%02d", F.floor(m / 60), m % 60)).otherwise(F.format_string("1:%02d:%02d", F.floor(m / 60), m % 60))
+    return V("v_names").select("n_name", P.elapsed_seconds(t).alias("s"))
 
 
 @query("rid_valid", "SELECT page_id, regexp_full_match(trim(r), '[A-Za-z0-9-]{1,128}') AS ok FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN ' req-' || page_id || ' ' WHEN 1 THEN '' WHEN 2 THEN repeat('a', 129) ELSE url END AS r FROM pages)")

@@ -161,12 +161,12 @@ def _(V):
     return S.parse_hydrate(hydrate_docs(V)).select("run", "node_id", "assigned", "fetched", "bytes", "total_chunks", F.size("errors").cast("bigint").alias("n_errors"))
 
 
-@query("src_blob_list_xml", "SELECT n_regionkey AS page, 'blob' AS kind, n_name AS name, CASE WHEN n_nationkey % 4 = 0 THEN 0 ELSE n_nationkey * 100 END AS content_length FROM (SELECT n_regionkey, n_name, CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation) UNION ALL SELECT r_regionkey, 'prefix', r_name || '/', 0 FROM region")
+@query("src_blob_list_xml", "SELECT n_regionkey AS page, 'blob' AS kind, n_name AS name, CASE WHEN n_nationkey % 4 = 0 THEN 0 ELSE n_nationkey * 100 END AS content_length FROM v_names UNION ALL SELECT DISTINCT n_regionkey, 'prefix', 'p' || CAST(n_regionkey AS STRING) || '/', 0 FROM v_names")
 def _(V):
+    """A page of the listing for each group, with a folder of its own."""
     one = F.format_string("<Blob><Name>%s</Name><Properties>%s</Properties></Blob>", "n_name", F.when(F.col("n_nationkey") % 4 == 0, "<Etag>x</Etag>").otherwise(F.format_string("<Content-Length>%d</Content-Length>", F.col("n_nationkey") * 100)))
-    pages = V("nation").groupBy(F.col("n_regionkey").alias("page")).agg(F.array_join(F.collect_list(one), "").alias("b"))
-    pages = pages.join(V("region").withColumnRenamed("r_regionkey", "page"), "page")
-    xml = F.concat(F.lit("<EnumerationResults><Blobs>"), F.col("b"), F.format_string("<BlobPrefix><Name>%s/</Name></BlobPrefix>", "r_name"), F.lit("</Blobs><NextMarker/></EnumerationResults>"))
+    pages = V("v_names").groupBy(F.col("n_regionkey").alias("page")).agg(F.array_join(F.collect_list(one), "").alias("b"))
+    xml = F.concat(F.lit("<EnumerationResults><Blobs>"), F.col("b"), F.format_string("<BlobPrefix><Name>p%d/</Name></BlobPrefix>", "page"), F.lit("</Blobs><NextMarker/></EnumerationResults>"))
     return S.parse_listing_xml(pages.select("page", xml.alias("xml"))).select("page", "kind", "name", "content_length")
 
 
@@ -189,10 +189,10 @@ def _(V):
 def configs(V):
     k = F.col("n_nationkey").cast("bigint")
     m = F.struct(F.col("n_name").alias("name"), F.when(k % 5 == 0, "").otherwise("a").alias("account"), F.lit("c").alias("container"), F.lit("").alias("prefix"))
-    return V("nation").select(k.alias("cfg"), (k % 3 * 4096).alias("chunk_size"), F.when(k % 4 == 0, k * 1000).alias("block_size"), (k % 6).alias("pool"), F.lit(1).cast("bigint").alias("workers"), (k % 7).alias("main_threads"), F.when(k % 8 == 0, "ib").otherwise("tcp").alias("kind"), F.when(k % 9 == 0, F.array().cast("array<struct<name:string,account:string,container:string,prefix:string>>")).otherwise(F.array(m)).alias("mounts"))
+    return V("v_names").select(k.alias("cfg"), (k % 3 * 4096).alias("chunk_size"), F.when(k % 4 == 0, k * 1000).alias("block_size"), (k % 6).alias("pool"), F.lit(1).cast("bigint").alias("workers"), (k % 7).alias("main_threads"), F.when(k % 8 == 0, "ib").otherwise("tcp").alias("kind"), F.when(k % 9 == 0, F.array().cast("array<struct<name:string,account:string,container:string,prefix:string>>")).otherwise(F.array(m)).alias("mounts"))
 
 
-@query("config_validate", """WITH c AS (SELECT k AS cfg, k % 3 * 4096 AS cs, CASE WHEN k % 4 = 0 THEN k * 1000 END AS bs, k FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation))
+@query("config_validate", """WITH c AS (SELECT k AS cfg, k % 3 * 4096 AS cs, CASE WHEN k % 4 = 0 THEN k * 1000 END AS bs, k FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM v_names))
 SELECT cfg, 'chunk_size' AS rule FROM c WHERE cs = 0 UNION ALL SELECT cfg, 'pool' FROM c WHERE k % 6 < 1 UNION ALL SELECT cfg, 'main_threads' FROM c WHERE k % 7 < 1
 UNION ALL SELECT cfg, 'block_size' FROM c WHERE bs IS NOT NULL AND (bs < cs OR (cs > 0 AND bs % nullif(cs, 0) <> 0)) UNION ALL SELECT cfg, 'mounts' FROM c WHERE k % 9 = 0
 UNION ALL SELECT cfg, 'mount_fields' FROM c WHERE k % 9 <> 0 AND k % 5 = 0 UNION ALL SELECT cfg, 'kind' FROM c WHERE k % 8 = 0""")
@@ -200,22 +200,17 @@ def _(V):
     return S.config_violations(configs(V), "cfg")
 
 
-TOML = """
-[cache]
-chunk_size = 65536
-[transport]
-kind = "rdma"
-[[mounts]]
-name = "m"
-account = "a"
-container = "c"
-"""
-
-
-@query("src_toml_config", "SELECT CAST(65536 AS BIGINT) AS chunk_size, CAST(1 AS BIGINT) AS pool, CAST(16 AS BIGINT) AS prefetch_depth, CAST(3 AS BIGINT) AS prefetch_threshold, 'rdma' AS kind, 'm' AS mount")
+@query("src_toml_config", """SELECT n_nationkey AS cfg, n_nationkey % 16 <> 0 AS readable, CASE WHEN n_nationkey % 16 <> 0 THEN CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey % 7 * 4096 ELSE 4194304 END END AS chunk_size, CASE WHEN n_nationkey % 16 <> 0 THEN CAST(CASE WHEN n_nationkey % 5 = 0 THEN 4 ELSE 16 END AS BIGINT) END AS prefetch_depth,
+  CASE WHEN n_nationkey % 16 <> 0 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'rdma' ELSE 'tcp' END END AS kind, CASE WHEN n_nationkey % 16 <> 0 THEN n_nationkey % 4 END AS mounts, CASE WHEN n_nationkey % 16 <> 0 AND n_nationkey % 4 > 0 THEN n_name END AS mount FROM v_names""")
 def _(V):
-    c = S.load_config(V("nation").sparkSession, TOML)
-    return c.select("chunk_size", "pool", "prefetch_depth", "prefetch_threshold", "kind", F.get("mounts", F.lit(0))["name"].alias("mount"))
+    """A configuration for each name, written as TOML and read back with defaults where it says nothing; every 16th can't be read."""
+    k = F.col("n_nationkey")
+    part = lambda when, text: F.when(when, text).otherwise("")
+    mount = F.format_string('[[mounts]]\nname = "%s"\naccount = "a"\ncontainer = "c"\n', "n_name")
+    toml = F.concat(part(k % 3 == 0, F.format_string("[cache]\nchunk_size = %d\n", k % 7 * 4096)), F.lit("[transport]\n"), part(k % 5 == 0, F.lit("prefetch_depth = 4\n")), part(k % 2 == 0, F.lit('kind = "rdma"\n')), F.call_function("repeat", mount, (k % 4).cast("int")), part(k % 16 == 0, F.lit("= broken")))
+    c = S.parse_configs(V("v_names").select(k.alias("cfg"), toml.alias("toml")))
+    has = F.col("config").isNotNull()
+    return c.select("cfg", has.alias("readable"), "config.chunk_size", "config.prefetch_depth", "config.kind", F.when(has, F.size("config.mounts")).cast("bigint").alias("mounts"), F.get("config.mounts", F.lit(0))["name"].alias("mount"))
 
 
 @query("src_request_codec", "SELECT req_id, CASE WHEN req_id % 7 <> 0 THEN off END AS off, CASE WHEN req_id % 7 <> 0 THEN len END AS len, CASE WHEN req_id % 7 = 0 THEN 'trailing' END AS error FROM v_requests")

@@ -369,10 +369,10 @@ def _(V):
     return g.select("node", P.percent(F.col("s"), F.sum("s").over(Window.partitionBy())).alias("pct"))
 
 
-@query("f_units", "SELECT n_name, n_nationkey * 1073741824 AS gib_bytes, round(n_nationkey * 1073741824 / 1048576.0, 6) AS mib, round(n_nationkey * 1073741824 / 125000000.0, 6) AS gbit FROM (SELECT n_name, CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation)")
+@query("f_units", "SELECT n_name, n_nationkey * 1073741824 AS gib_bytes, round(n_nationkey * 1073741824 / 1048576.0, 6) AS mib, round(n_nationkey * 1073741824 / 125000000.0, 6) AS gbit FROM (SELECT n_name, CAST(n_nationkey AS BIGINT) AS n_nationkey FROM v_names)")
 def _(V):
     b = F.col("n_nationkey").cast("bigint") * F.lit(1073741824)
-    return V("nation").select("n_name", b.alias("gib_bytes"), F.round(b / F.lit(1048576.0), 6).alias("mib"), F.round(b / F.lit(125000000.0), 6).alias("gbit"))
+    return V("v_names").select("n_name", b.alias("gib_bytes"), F.round(b / F.lit(1048576.0), 6).alias("mib"), F.round(b / F.lit(125000000.0), 6).alias("gbit"))
 
 
 # Reports done by hand

@@ -17,6 +17,8 @@ VIEWS = {
     "v_listing": "SELECT 'docs' AS mount, coalesce(lang, 'xx') || '/' || coalesce(source, 'none') || '/' || CAST(doc_id AS STRING) AS blob, CAST(coalesce(OCTETS(text), 0) * (CASE WHEN doc_id % 97 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS content_length FROM documents",
     # what a listing says of each blob, before and after: some are rewritten in place, some touched, some gone, some new
     "v_props": "SELECT coalesce(lang, 'xx') || '/' || coalesce(source, 'none') || '/' || CAST(doc_id AS STRING) AS name, CAST(coalesce(OCTETS(text), 0) AS BIGINT) AS size, md5(coalesce(text, '')) AS etag, CAST(1700000000 + doc_id % 1000 AS BIGINT) AS mtime, doc_id FROM documents",
+    # names with a number, in groups of five
+    "v_names": "SELECT c_name AS n_name, c_custkey AS n_nationkey, CAST(floor(c_custkey / 5) AS BIGINT) AS n_regionkey FROM customer",
     # cluster members
     "v_nodes": """SELECT n_name AS node_id, n_nationkey AS num, n_regionkey AS rack, CASE n_nationkey % 9 WHEN 4 THEN 'Suspect' WHEN 7 THEN 'Dead' ELSE 'Alive' END AS state,
         CASE WHEN n_nationkey % 11 = 10 THEN 'h2' ELSE 'h1' END AS cluster_hash, CAST(n_nationkey % 5 AS BIGINT) AS bloom_version FROM nation""",

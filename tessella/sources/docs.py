@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,13 +58,35 @@ CONFIG_SCHEMA = (
 )
 
 
-def load_config(spark: SparkSession, text: str) -> DataFrame:
-    """A TOML document as one row, with defaults where it says nothing."""
+def config_row(text: str) -> dict:
+    """A TOML document's settings, with defaults where it says nothing."""
     raw = tomllib.loads(text)
     get = lambda part, key: raw.get(part, {}).get(key, DEFAULTS[part][key])
-    mounts = [tuple(m.get(f, "") for f in ("name", "account", "container", "prefix")) for m in raw.get("mounts", [])]
-    row = (get("cache", "chunk_size"), get("azure", "block_size"), get("azure", "pool"), get("azure", "workers"), get("runtime", "main_threads"), get("transport", "kind"), get("transport", "prefetch_depth"), get("transport", "prefetch_threshold"), mounts)
-    return spark.createDataFrame([row], CONFIG_SCHEMA)
+    mounts = [{f: m.get(f, "") for f in ("name", "account", "container", "prefix")} for m in raw.get("mounts", [])]
+    parts = {"chunk_size": "cache", "block_size": "azure", "pool": "azure", "workers": "azure", "main_threads": "runtime", "kind": "transport", "prefetch_depth": "transport", "prefetch_threshold": "transport"}
+    return {k: get(part, k) for k, part in parts.items()} | {"mounts": mounts}
+
+
+def load_config(spark: SparkSession, text: str) -> DataFrame:
+    """A TOML document as one row."""
+    return spark.createDataFrame([config_row(text)], CONFIG_SCHEMA)
+
+
+def parse_configs(texts: DataFrame) -> DataFrame:
+    """cfg, toml -> cfg, config: a struct of the settings, null if the text can't be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                try:
+                    out.append(json.dumps(config_row(text or "")))
+                except (tomllib.TOMLDecodeError, AttributeError):
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["cfg", "json"])
+
+    read = texts.select("cfg", "toml").mapInArrow(run, f"cfg {dict(texts.dtypes)['cfg']}, json string")
+    return read.select("cfg", F.from_json("json", CONFIG_SCHEMA).alias("config"))
 
 
 def config_rules() -> dict[str, Column]:
