@@ -69,7 +69,7 @@ def stream_windowed_increase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LOADS = "SELECT 'f' || CAST(user_id % 50 AS STRING) AS folder, EPOCH(ts) AS t_s, event_id AS req FROM events"
-TTL, KEEP, LATE = 1800, 86_400, 3600
+TTL, KEEP, LATE, GRAIN = 1800, 7200, 3600, 600
 
 
 @register("stream_listing_ttl", oracle(f"""WITH l AS (SELECT folder, list(t_s ORDER BY t_s, req) AS xs FROM ({LOADS}) GROUP BY folder),
@@ -84,14 +84,14 @@ def stream_listing_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("folder", "fresh", "listed", "loaded", F.coalesce(F.col("gone") == F.col("loaded") + TTL, F.lit(False)).alias("expired"))
 
 
-ENDED = "SELECT 'u' || CAST(user_id % 40 AS STRING) AS owner, event_id % 500 AS job, EPOCH(ts) AS t_s FROM events"
+ENDED = "SELECT 'u' || CAST(user_id % 4 AS STRING) AS owner, event_id % 200 AS job, EPOCH(ts) AS t_s FROM events"
 
 
-@register("stream_jobs_ttl", oracle(f"WITH j AS (SELECT owner, job, max(t_s) AS ended FROM ({ENDED}) GROUP BY owner, job) SELECT owner, count(*) AS jobs, count(*) FILTER (WHERE ended + {KEEP} >= (SELECT max(t_s) - {LATE} FROM ({ENDED}))) AS held FROM j GROUP BY owner"))
+@register("stream_jobs_ttl", oracle(f"WITH j AS (SELECT owner, job, max(t_s) AS ended FROM ({ENDED}) GROUP BY owner, job) SELECT owner, count(*) AS jobs, count(*) FILTER (WHERE (ended + {KEEP} + {GRAIN} - 1) // {GRAIN} * {GRAIN} >= (SELECT max(t_s) - {LATE} FROM ({ENDED}))) AS held FROM j GROUP BY owner"))
 def stream_jobs_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of each owner's jobs are still remembered at the end: those that ended within a day."""
+    """How many of each owner's jobs are still remembered at the end: those that ended within two hours, forgotten every ten minutes."""
     e = spark.sql(spark_text(ENDED).replace("FROM events", "FROM {events}"), events=_events(spark, sf_dir))
-    out = S.drain(X.jobs(e, KEEP, f"{LATE} seconds"), _folder(spark, "jobs"))
+    out = S.drain(X.jobs(e, KEEP, f"{LATE} seconds", GRAIN), _folder(spark, "jobs"))
     at = lambda forgotten: F.max(F.when((F.col("action") == "forgotten") == forgotten, F.col("t_s")))
     j = out.groupBy("owner", "job").agg(at(False).alias("ended"), at(True).alias("gone"))
     return j.groupBy("owner").agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.coalesce(F.col("gone") < F.col("ended") + KEEP, F.lit(True))).alias("held"))

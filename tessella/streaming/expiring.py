@@ -39,7 +39,7 @@ class Listings(StatefulProcessor):
         return (at + self.ttl) * 1000
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out, at = [], self.loaded.get()[0] if self.loaded.exists() else None
+        out, at = [], (self.loaded.get() or (None,))[0]
         old = at
         for t, req in sorted((int(t), int(r)) for pdf in rows for t, r in zip(pdf["t_s"].tolist(), pdf["req"].tolist(), strict=True)):
             if at is not None and t - at < self.ttl:
@@ -63,40 +63,55 @@ class Listings(StatefulProcessor):
 
 
 class Jobs(StatefulProcessor):
-    """Per owner: its jobs, by number, with the time at which each ended. A timer forgets a job once it is kept long enough."""
+    """Per owner: its jobs, by number, with the time at which each ended, and by the time that they are due to be forgotten which jobs those are. A
+    timer stands for each such time, so forgetting looks at what is due and at nothing else; times are rounded up to multiples of `grain_s`, which bounds the
+    timers. State is asked once for each job of a batch."""
 
-    def __init__(self, keep_s: int):
-        self.keep = keep_s
+    def __init__(self, keep_s: int, grain_s: int):
+        self.keep, self.grain = keep_s, grain_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.jobs = handle.getMapState("jobs", "job bigint", "ended bigint")
+        self.due = handle.getMapState("due", "t_s bigint", "jobs array<bigint>")
         self.count = handle.getValueState("count", "n bigint")
 
     def _held(self) -> int:
-        return self.count.get()[0] if self.count.exists() else 0
+        return (self.count.get() or (0,))[0]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out, held = [], self._held()
+        out, held, ended, was = [], self._held(), {}, {}
         for t, job in sorted((int(t), int(j)) for pdf in rows for t, j in zip(pdf["t_s"].tolist(), pdf["job"].tolist(), strict=True)):
-            known = self.jobs.containsKey((job,))
-            if known and self.jobs.getValue((job,))[0] >= t:
+            if job not in ended:
+                ended[job] = was[job] = (self.jobs.getValue((job,)) or (None,))[0]
+            if ended[job] is not None and ended[job] >= t:
                 continue
-            held += not known
-            self.jobs.updateValue((job,), (t,))
-            self.handle.registerTimer((t + self.keep) * 1000)
-            out.append((key[0], job, t, "again" if known else "ended", held))
+            held += ended[job] is None
+            out.append((key[0], job, t, "ended" if ended[job] is None else "again", held))
+            ended[job] = t
+        due: dict[int, list[int]] = {}
+        for job, t in ended.items():
+            if t != was[job]:
+                self.jobs.updateValue((job,), (t,))
+                due.setdefault(-(-(t + self.keep) // self.grain) * self.grain, []).append(job)
+        for t, jobs in due.items():
+            already = self.due.getValue((t,))
+            self.due.updateValue((t,), ([*(already[0] if already else []), *jobs],))
+            self.handle.registerTimer(t * 1000)
         self.count.update((held,))
         yield pd.DataFrame(out, columns=["owner", "job", "t_s", "action", "held"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due, held, out = expiredTimerInfo.getExpiryTimeInMs() // 1000 - self.keep, self._held(), []
-        for (job,), (ended,) in list(self.jobs.iterator()):
-            # A job that ended again since has a later timer.
-            if ended <= due:
+        now, held, out = expiredTimerInfo.getExpiryTimeInMs() // 1000, self._held(), []
+        due = self.due.getValue((now,))
+        for job in sorted({int(j) for j in due[0]} if due else []):
+            # A job that ended again since is due later.
+            ended = self.jobs.getValue((job,))
+            if ended and ended[0] + self.keep <= now:
                 self.jobs.removeKey((job,))
                 held -= 1
-                out.append((key[0], job, due + self.keep, "forgotten", held))
+                out.append((key[0], job, now, "forgotten", held))
+        self.due.removeKey((now,))
         if held:
             self.count.update((held,))
         else:
@@ -117,7 +132,7 @@ def listings(lookups: DataFrame, ttl_s: int = LISTING_TTL_S, late: str = "0 seco
     return _clocked(lookups, late).groupBy("folder").transformWithStateInPandas(Listings(ttl_s), LOOKED, "Append", "EventTime")
 
 
-def jobs(ended: DataFrame, keep_s: int = JOB_KEEP_S, late: str = "0 seconds") -> DataFrame:
+def jobs(ended: DataFrame, keep_s: int = JOB_KEEP_S, late: str = "0 seconds", grain_s: int = 1) -> DataFrame:
     """ended: owner, job, t_s (seconds) -> ended (or again, if the job is known), forgotten, each with the number of jobs then held for the owner."""
     use_rocksdb(ended.sparkSession)
-    return _clocked(ended, late).groupBy("owner").transformWithStateInPandas(Jobs(keep_s), JOBS, "Append", "EventTime")
+    return _clocked(ended, late).groupBy("owner").transformWithStateInPandas(Jobs(keep_s, grain_s), JOBS, "Append", "EventTime")
