@@ -159,18 +159,18 @@ def _(V):
     return A.instant_vector(V("v_gauges"), BY_METRIC, STEP, LOOKBACK)
 
 
-@query("pq06", f"WITH {GAUGES} SELECT host, t_ms, value FROM ig WHERE metric = 'cache_bytes' AND regexp_full_match(host, 'node[0-4]')")
+@query("pq06", f"WITH {GAUGES} SELECT host, t_ms, value FROM ig WHERE metric = 'cache_bytes' AND regexp_full_match(host, 'node[0-9]*[0-4]')")
 def _(V):
     """cache_bytes{node=~pattern}"""
-    return gauge(V, "cache_bytes").filter(F.col("host").rlike("^(?:node[0-4])$")).select("host", "t_ms", "value")
+    return gauge(V, "cache_bytes").filter(F.col("host").rlike("^(?:node[0-9]*[0-4])$")).select("host", "t_ms", "value")
 
 
 @query("j_asof_gauge", """WITH g AS (SELECT host, epoch_ms, max(value) AS held FROM v_gauges WHERE metric = 'cache_bytes' GROUP BY ALL)
-  SELECT s.line_no, s.host, s.epoch_ms, CASE WHEN s.epoch_ms - g.epoch_ms <= 60000 THEN g.held END AS held FROM (SELECT * FROM v_scrapes WHERE metric = 'evictions') s ASOF LEFT JOIN g ON s.host = g.host AND s.epoch_ms >= g.epoch_ms""")
+  SELECT s.line_no, s.host, s.epoch_ms, CASE WHEN s.epoch_ms - g.epoch_ms <= 60000 THEN g.held END AS held FROM (SELECT * FROM v_gauges WHERE metric = 'members_alive') s ASOF LEFT JOIN g ON s.host = g.host AND s.epoch_ms >= g.epoch_ms""")
 def _(V):
-    """How full the cache was at each scrape of evictions, as far as it is known for the minute before"""
+    """How full the cache was at each count of members, as far as it is known for the minute before"""
     full = V("v_gauges").filter("metric = 'cache_bytes'").select("host", "epoch_ms", F.col("value").alias("held"))
-    return A.asof_join(V("v_scrapes").filter("metric = 'evictions'").select("line_no", "host", "epoch_ms"), full, ["host"], "epoch_ms", ["held"], 60_000)
+    return A.asof_join(V("v_gauges").filter("metric = 'members_alive'").select("line_no", "host", "epoch_ms"), full, ["host"], "epoch_ms", ["held"], 60_000)
 
 
 @query("pq07", f"WITH {RATE} SELECT host, t_ms, round(per_s, 6) AS value FROM pr WHERE metric = 'evictions'")

@@ -27,10 +27,10 @@ VIEWS = {
     # gossip records
     "v_gossip": """SELECT event_id AS rec, 'n' || CAST(user_id % 60 AS STRING) AS id, event_id % 7 AS incarnation, EPOCH(ts) AS last_seen,
         CASE event_type WHEN 'error' THEN 'Dead' WHEN 'view' THEN 'Suspect' ELSE 'Alive' END AS state, CASE WHEN event_id % 13 = 0 THEN 'h2' ELSE 'h1' END AS cluster_hash FROM events""",
-    # cumulative counters in hundredths, with a reset after every 40 samples
+    # cumulative counters in hundredths, with a reset after every 6 samples
     "v_counters": """SELECT host, metric, epoch_ms, event_id AS line_no, CAST(sum(c) OVER (PARTITION BY host, metric, life ORDER BY epoch_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS value
-        FROM (SELECT 'node' || CAST(user_id % 6 AS STRING) AS host, event_type AS metric, EPOCH(ts) * 1000 + event_id % 1000 AS epoch_ms, event_id, CAST(round(value * 100) AS BIGINT) AS c,
-          floor((row_number() OVER (PARTITION BY user_id % 6, event_type ORDER BY EPOCH(ts) * 1000 + event_id % 1000, event_id) - 1) / 40) AS life FROM events) AS t""",
+        FROM (SELECT 'node' || CAST(user_id AS STRING) AS host, event_type AS metric, EPOCH(ts) * 1000 + event_id % 1000 AS epoch_ms, event_id, CAST(round(value * 100) AS BIGINT) AS c,
+          floor((row_number() OVER (PARTITION BY user_id, event_type ORDER BY EPOCH(ts) * 1000 + event_id % 1000, event_id) - 1) / 6) AS life FROM events) AS t""",
     # scrapes of named counters in hundredths, about five a minute and series, with a reset after every 40 samples
     "v_scrapes": """SELECT host, metric, epoch_ms, event_id AS line_no, CAST(sum(c) OVER (PARTITION BY host, metric, life ORDER BY epoch_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS value
         FROM (SELECT host, metric, epoch_ms, event_id, c, floor((row_number() OVER (PARTITION BY host, metric ORDER BY epoch_ms, event_id) - 1) / 40) AS life
@@ -43,7 +43,7 @@ VIEWS = {
               ELSE CASE event_id % 3 WHEN 0 THEN 'retry_sleep_s' WHEN 1 THEN 'evictions' ELSE 'blob_status_404' END END AS metric FROM events) AS a) AS t""",
     # scrapes of gauges, which may fall; each host is silent for 400 s in every 2400
     "v_gauges": """SELECT host, metric, epoch_ms, event_id AS line_no, CASE WHEN metric = 'cache_bytes' THEN v ELSE 20 + event_id % 7 END AS value
-        FROM (SELECT 'node' || CAST(user_id % 6 AS STRING) AS host, user_id, event_id, CASE WHEN event_id % 2 = 0 THEN 'cache_bytes' ELSE 'members_alive' END AS metric, CAST(round(value * 100) AS BIGINT) AS v,
+        FROM (SELECT 'node' || CAST(user_id AS STRING) AS host, user_id, event_id, CASE WHEN event_id % 2 = 0 THEN 'cache_bytes' ELSE 'members_alive' END AS metric, CAST(round(value * 100) AS BIGINT) AS v,
           CAST(1704067200000 + floor(((EPOCH(ts) - 1704067200) * 1000 + event_id % 1000) / 2000) AS BIGINT) AS epoch_ms FROM events) AS t WHERE floor((epoch_ms - 1704067200000) / 400000) % 6 <> user_id % 6""",
     # scrapes of two latency histograms: cumulative counts by bound
     "v_buckets": """SELECT metric, host, le, epoch_ms, event_id AS line_no, CAST(sum(CASE WHEN value <= le THEN 1 ELSE 0 END) OVER (PARTITION BY metric, host, le ORDER BY epoch_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS value
@@ -51,11 +51,11 @@ VIEWS = {
         CROSS JOIN (SELECT 'fuse_read_seconds' AS metric UNION ALL SELECT 'chunk_peer_fetch_seconds') AS m
         CROSS JOIN (SELECT CAST(5 AS DOUBLE) AS le UNION ALL SELECT 10 UNION ALL SELECT 20 UNION ALL SELECT 40 UNION ALL SELECT 80 UNION ALL SELECT 160 UNION ALL SELECT 1000000) AS b
         WHERE metric = 'fuse_read_seconds' OR event_type = 'click'""",
-    # sampler rows: a node's cumulative counters side by side, in the file's order; bytes from peers partly fetched twice, a restart after every 150 rows
+    # sampler rows: a node's cumulative counters side by side, in the file's order; bytes from peers partly fetched twice, a restart after every 25 rows
     "v_sampler": """SELECT host, epoch_ms, event_id AS line_no, CAST(sum(c) OVER w AS BIGINT) AS fuse, CAST(sum(CASE WHEN event_type = 'click' THEN c * 4 ELSE 0 END) OVER w AS BIGINT) AS peer,
           CAST(sum(CASE WHEN event_type = 'purchase' THEN c ELSE 0 END) OVER w AS BIGINT) AS blob, CAST(count(*) OVER w AS BIGINT) AS reads
-        FROM (SELECT 'node' || CAST(user_id % 6 AS STRING) AS host, event_type, EPOCH(ts) * 1000 + event_id % 1000 AS epoch_ms, event_id, CAST(round(value * 100) AS BIGINT) AS c,
-          floor((row_number() OVER (PARTITION BY user_id % 6 ORDER BY EPOCH(ts) * 1000 + event_id % 1000, event_id) - 1) / 150) AS life FROM events) AS t
+        FROM (SELECT 'node' || CAST(user_id AS STRING) AS host, event_type, EPOCH(ts) * 1000 + event_id % 1000 AS epoch_ms, event_id, CAST(round(value * 100) AS BIGINT) AS c,
+          floor((row_number() OVER (PARTITION BY user_id ORDER BY EPOCH(ts) * 1000 + event_id % 1000, event_id) - 1) / 25) AS life FROM events) AS t
         WINDOW w AS (PARTITION BY host, life ORDER BY epoch_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     # latency histogram: cumulative bucket counts by node before and after
     "v_hist": """SELECT phase, node, le, CAST(sum(CASE WHEN value <= le AND (phase = 'post' OR event_id % 3 = 0) THEN 1 ELSE 0 END) AS BIGINT) AS cum
