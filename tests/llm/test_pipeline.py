@@ -161,6 +161,8 @@ def test_odd_rows(spark, make_docs, odd_rows):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+    clean = [" ".join(f"the word{i}{k} of and thing{i * 7}{k}" for i in range(30)) + "." for k in range(4)]
+    odd_rows = [*odd_rows, (30, clean[0], "en", "s1"), (30, clean[0], "en", "s1"), (31, clean[1], None, None), (None, clean[2], "en", "s2"), (32, clean[2], "en", "s2"), (33, clean[3] + "\n" + clean[1], "en", "s3"), (34, clean[3].replace("word5", "other"), "en", "s3")]
     marked = [(*r, *[None] * (4 - len(r))) for r in odd_rows]
     kept = [(r[0], r[1]) for r in marked if r[1] and not brute_quality_fails(r[1])]
     runs = []
