@@ -8,8 +8,8 @@ has CELLS_EACH cells for each anchor in a row, 2 ** MOST_BITS at most, and is br
 Then an exact pass. Only windows whose anchor is estimated repeated are sent, by a hash of 128 bits, to where the smallest id of each is found. Beyond the
 sketch's largest size it lets more windows through, and nothing is lost or found in excess.
 
-Windows estimated to occur as often as one in HOT_SHARE of all (or HOT_LEAST times, if that is more) never meet in one task: they are counted exactly by partial sums
-first, and those that do occur so often, at most HOT_SHARE, are broadcast with their smallest ids, so that tasks decide them where they are.
+Windows estimated to occur as often as one in HOT_SHARE of all (or HOT_LEAST times, if that is more) never meet in one task: each task counts those of its own documents, these
+counts are summed exactly, and those that do occur so often, at most HOT_SHARE, are broadcast with their smallest ids, so that tasks decide them where they are.
 
 Windows are judged on the input, not on what is left. Null text has no words. Rows with the same id never remove each other's words; null ids come after all others
 and remove none. Rows that repeat id and text are treated alike. Extra columns pass through untouched, whatever their names.
@@ -33,8 +33,9 @@ SKETCH_ROWS = 2
 CELLS_EACH = 4
 LEAST_BITS, MOST_BITS, BLOCK_BITS = 16, 29, 21
 HOT_SHARE, HOT_LEAST = 200_000, 500
-#: Bytes of texts hashed at once, where a single text isn't longer; anchors that a task counts before it writes its sketch.
-STRETCH, MOST_ANCHORS = 1 << 20, 1 << 22
+#: Bytes of texts hashed at once, where a single text isn't longer; anchors that a task counts before it writes its sketch; windows estimated hot
+#: that a task holds before it sends their counts.
+STRETCH, MOST_ANCHORS, MOST_HOT = 1 << 20, 1 << 22, 1 << 19
 #: Documents that lose words, and their spans, broadcast at most.
 MOST_COVERED, MOST_SPANS = 200_000, 2_000_000
 
@@ -223,19 +224,53 @@ class Sketch:
         return out
 
 
-def hot_windows(keyed: DataFrame, sketch, hot: int, window: int, anchor: int) -> pa.Table:
-    """h1, h2, first (smallest id) of windows that occur so often; there are at most as many as all windows divided by that."""
-    schema = keyed.select("__id").withColumns({"h1": F.lit(0).cast("bigint"), "h2": F.lit(0).cast("bigint")}).schema
+def window_counts(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Rows __id, h1, h2, n -> a row for each window: its smallest id (null if all are) and the sum of its counts."""
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    ids, (h1, h2, n) = rows.column(0), (rows.column(i).to_numpy() for i in (1, 2, 3))
+    rank = np.empty(len(rows), np.int64)
+    rank[pc.sort_indices(ids, null_placement="at_end").to_numpy()] = np.arange(len(rows))
+    order = np.lexsort((rank, h2, h1))
+    h1, h2 = h1[order], h2[order]
+    heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]))
+    sums = np.add.reduceat(n[order], heads) if len(heads) else n
+    columns = [ids.take(pa.array(order[heads])).combine_chunks(), pa.array(h1[heads]), pa.array(h2[heads]), pa.array(sums)]
+    return pa.RecordBatch.from_arrays(columns, names=["__id", "h1", "h2", "n"])
+
+
+def hot_counts(keyed: DataFrame, sketch, window: int, anchor: int) -> DataFrame:
+    """__id, h1, h2, n: windows that are estimated hot, with how often and in which smallest id a task has them. A task sends a window once, however
+    many of its documents hold it, unless it meets more than MOST_HOT different ones."""
+    schema = keyed.select("__id").withColumns({c: F.lit(0).cast("bigint") for c in ("h1", "h2", "n")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = 0
         for batch in batches:
             for first, data, offsets in stretches(batch.column(1)):
                 w = Windows(data, offsets, window, anchor)
                 some = np.flatnonzero(w.spread(sketch.value.hot(w.anchors)))
+                if not len(some):
+                    continue
                 h1, h2 = w.hashes(some)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + w.of[some])), pa.array(h1), pa.array(h2)], names=["__id", "h1", "h2"])
+                columns = [batch.column(0).take(pa.array(first + w.of[some])), pa.array(h1), pa.array(h2), pa.array(np.ones(len(some), np.int64))]
+                held.append(pa.RecordBatch.from_arrays(columns, names=["__id", "h1", "h2", "n"]))
+                count += len(some)
+                if count > 2 * MOST_HOT:
+                    held = [window_counts(held)]
+                    count = len(held[0])
+                    if count > MOST_HOT:
+                        yield held[0]
+                        held, count = [], 0
+        if held:
+            yield window_counts(held)
 
-    found = keyed.select("__id", "__text").mapInArrow(run, schema).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first"))
+    return keyed.select("__id", "__text").mapInArrow(run, schema)
+
+
+def hot_windows(keyed: DataFrame, sketch, hot: int, window: int, anchor: int) -> pa.Table:
+    """h1, h2, first (smallest id) of windows that occur so often; there are at most as many as all windows divided by that."""
+    found = hot_counts(keyed, sketch, window, anchor).groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("__id").alias("first"))
     return found.filter(F.col("n") >= hot).select("h1", "h2", "first").orderBy("h1", "h2").toArrow()
 
 

@@ -92,6 +92,25 @@ def test_substring_sketch_sizes_change_nothing(make_docs, monkeypatch):
     check_substrings(make_docs, rows, hot_least=40)
 
 
+@pytest.mark.parametrize("most", [1 << 19, 40])
+def test_hot_windows_are_counted_before_they_are_sent(spark, make_docs, monkeypatch, most):
+    """A task's copies of a window are one row, with their number and smallest id: rows grow with different windows and tasks, not with copies."""
+    monkeypatch.setattr(substrings, "MOST_HOT", most)
+    rows = [(None if i % 9 == 0 else 500 - i, prose(80, 900 + i % 3)) for i in range(400)]
+    keyed = make_docs(rows).repartition(2).select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).localCheckpoint()
+
+    class All:
+        value = substrings.Sketch(np.full(1 << 14, 255, np.uint8), np.arange(1 << 17), 16)
+
+    got = substrings.hot_counts(keyed, All, 50, 25).collect()
+    each = Counter((r.h1, r.h2) for r in got)
+    assert len(each) == 3 * 31 and sum(r.n for r in got) == 400 * 31
+    assert most < 1000 or max(each.values()) <= 2
+    table = substrings.hot_windows(keyed, All, 134, 50, 25).to_pylist()
+    want = [(sum(i % 3 == k for i in range(400)), min(r[0] for i, r in enumerate(rows) if i % 3 == k and r[0] is not None)) for k in range(3)]
+    assert sorted(r["first"] for r in table) == sorted(f for n, f in want if n >= 134 for _ in range(31))
+
+
 def test_sketch_never_underestimates(make_docs):
     rows = [(i, prose(200, i % 40)) for i in range(120)]
     w = [substrings.Windows(*next(iter(substrings.stretches(__import__("pyarrow").array([t]))))[1:], 50, 25) for _, t in rows]
