@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .stateful import in_order
+
 LISTING_TTL_S, JOB_KEEP_S = 30, 3600
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -39,20 +41,22 @@ class Listings(StatefulProcessor):
         return (at + self.ttl) * 1000
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out, at = [], (self.loaded.get() or (None,))[0]
+        at = (self.loaded.get() or (None,))[0]
         old = at
-        for t, req in sorted((int(t), int(r)) for pdf in rows for t, r in zip(pdf["t_s"].tolist(), pdf["req"].tolist(), strict=True)):
-            if at is not None and t - at < self.ttl:
-                out.append((key[0], t, req, "fresh"))
-                continue
-            out.append((key[0], t, req, "list" if at is None else "relist"))
-            at = t
+        for times, reqs in in_order(rows, ["t_s", "req"], ["t_s", "req"]):
+            out = []
+            for t, req in zip(times.tolist(), reqs.tolist(), strict=True):
+                if at is not None and t - at < self.ttl:
+                    out.append((key[0], t, req, "fresh"))
+                    continue
+                out.append((key[0], t, req, "list" if at is None else "relist"))
+                at = t
+            yield pd.DataFrame(out, columns=["folder", "t_s", "req", "action"])
         if at != old:
             if old is not None:
                 self.handle.deleteTimer(self._until(old))
             self.loaded.update((at,))
             self.handle.registerTimer(self._until(at))
-        yield pd.DataFrame(out, columns=["folder", "t_s", "req", "action"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.loaded.clear()
@@ -80,15 +84,18 @@ class Jobs(StatefulProcessor):
         return (self.count.get() or (0,))[0]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out, held, ended, was = [], self._held(), {}, {}
-        for t, job in sorted((int(t), int(j)) for pdf in rows for t, j in zip(pdf["t_s"].tolist(), pdf["job"].tolist(), strict=True)):
-            if job not in ended:
-                ended[job] = was[job] = (self.jobs.getValue((job,)) or (None,))[0]
-            if ended[job] is not None and ended[job] >= t:
-                continue
-            held += ended[job] is None
-            out.append((key[0], job, t, "ended" if ended[job] is None else "again", held))
-            ended[job] = t
+        held, ended, was = self._held(), {}, {}
+        for times, jobs in in_order(rows, ["t_s", "job"], ["t_s", "job"]):
+            out = []
+            for t, job in zip(times.tolist(), jobs.tolist(), strict=True):
+                if job not in ended:
+                    ended[job] = was[job] = (self.jobs.getValue((job,)) or (None,))[0]
+                if ended[job] is not None and ended[job] >= t:
+                    continue
+                held += ended[job] is None
+                out.append((key[0], job, t, "ended" if ended[job] is None else "again", held))
+                ended[job] = t
+            yield pd.DataFrame(out, columns=["owner", "job", "t_s", "action", "held"])
         due: dict[int, list[int]] = {}
         for job, t in ended.items():
             if t != was[job]:
@@ -99,7 +106,6 @@ class Jobs(StatefulProcessor):
             self.due.updateValue((t,), ([*(already[0] if already else []), *jobs],))
             self.handle.registerTimer(t * 1000)
         self.count.update((held,))
-        yield pd.DataFrame(out, columns=["owner", "job", "t_s", "action", "held"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, held, out = expiredTimerInfo.getExpiryTimeInMs() // 1000, self._held(), []

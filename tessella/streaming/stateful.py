@@ -2,7 +2,8 @@
 
 State is kept per key and bounded by what the key needs: a counter's last sample, a member's winning record, a node's cache contents.
 Within a micro-batch a key's rows are replayed in their own order (epoch, sequence), so results equal the batch operators' when
-batches arrive in order.
+batches arrive in order. For that order a key's rows of one micro-batch are held as numbers in columns, 8 bytes each, and are replayed and
+returned a slice at a time.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,24 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.policy import DEAD_AFTER, SUSPECT_AFTER
 
+#: Rows of a slice.
+SLICE = 10_000
+
+
+def in_order(pdfs: Iterator[pd.DataFrame], columns: list[str], order: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns of all rows, ordered, in slices. The frames go as they come: only the columns' numbers and their order are held."""
+    held: dict[str, list[np.ndarray]] = {c: [] for c in columns}
+    for pdf in pdfs:
+        for c in columns:
+            held[c].append(pdf[c].to_numpy(copy=True))
+        del pdf
+    # Each column's pieces go before the next one is joined.
+    whole = {c: np.concatenate(held.pop(c)) for c in columns}
+    at = np.lexsort([whole[c] for c in reversed(order)])
+    for i in range(0, len(at), SLICE):
+        yield [whole[c][at[i : i + SLICE]] for c in columns]
+
+
 DELTA = "host string, metric string, e0 bigint, epoch_ms bigint, dt bigint, delta bigint"
 LAST = "epoch_ms bigint, value bigint"
 
@@ -26,16 +46,16 @@ def counter_deltas(samples: DataFrame, mode: str = "clamp") -> DataFrame:
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
-        rows = pd.concat(list(pdfs)).sort_values(["epoch_ms", "value"], kind="stable")
-        out = []
-        for e, v in zip(rows["epoch_ms"].tolist(), rows["value"].tolist(), strict=True):
-            if last is not None and e > last[0]:
-                raw = v - last[1]
-                delta = max(0, raw) if mode == "clamp" else v if mode == "reset" and raw < 0 else raw
-                out.append((*key, last[0], e, e - last[0], delta))
-            last = (e, v)
+        for epochs, values in in_order(pdfs, ["epoch_ms", "value"], ["epoch_ms", "value"]):
+            out = []
+            for e, v in zip(epochs.tolist(), values.tolist(), strict=True):
+                if last is not None and e > last[0]:
+                    raw = v - last[1]
+                    delta = max(0, raw) if mode == "clamp" else v if mode == "reset" and raw < 0 else raw
+                    out.append((*key, last[0], e, e - last[0], delta))
+                last = (e, v)
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in DELTA.split(", ")])
         state.update(last)
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in DELTA.split(", ")])
 
     return samples.groupBy("host", "metric").applyInPandasWithState(step, DELTA, LAST, "append", GroupStateTimeout.NoTimeout)
 
@@ -105,21 +125,22 @@ def lru(trace: DataFrame, cap: int, reject_oversize: bool = False) -> DataFrame:
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         cache = OrderedDict(zip(*state.get, strict=True)) if state.exists else OrderedDict()
         total = sum(cache.values())
-        out = []
-        for seq, k, size in pd.concat(list(pdfs)).sort_values("seq", kind="stable")[["seq", "key", "size"]].itertuples(index=False):
-            if reject_oversize and size > cap:
-                out.append((key[0], seq, k, False, 0))
-                continue
-            hit = cache.get(k) == size
-            total += size - cache.pop(k, 0)
-            cache[k] = size
-            evicted = 0
-            while total > cap:
-                total -= cache.popitem(last=False)[1]
-                evicted += 1
-            out.append((key[0], seq, k, hit, evicted))
+        for rows in in_order(pdfs, ["seq", "key", "size"], ["seq"]):
+            out = []
+            for seq, k, size in zip(*[x.tolist() for x in rows], strict=True):
+                if reject_oversize and size > cap:
+                    out.append((key[0], seq, k, False, 0))
+                    continue
+                hit = cache.get(k) == size
+                total += size - cache.pop(k, 0)
+                cache[k] = size
+                evicted = 0
+                while total > cap:
+                    total -= cache.popitem(last=False)[1]
+                    evicted += 1
+                out.append((key[0], seq, k, hit, evicted))
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in ACCESS.split(", ")])
         state.update((list(cache), list(cache.values())))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in ACCESS.split(", ")])
 
     return trace.groupBy("node").applyInPandasWithState(step, ACCESS, "keys array<bigint>, sizes array<bigint>", "append", GroupStateTimeout.NoTimeout)
 

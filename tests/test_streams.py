@@ -1,7 +1,9 @@
 """Streams over several files read one a batch: state carries across batches, and the results equal those of one batch."""
 
 import uuid
+import weakref
 
+import pandas as pd
 import pytest
 from compare import SF
 from pyspark.sql import functions as F
@@ -90,6 +92,24 @@ def test_lru(spark, files):
         assert [r.hit for r in got if r.node == node] == simulate([(r.key, r["size"]) for r in rows], 40, False)
 
 
+def test_rows_of_a_key_are_held_as_numbers(monkeypatch):
+    """A key's frames of one micro-batch go as they come, and its rows are ordered and returned in slices."""
+    monkeypatch.setattr(stateful, "SLICE", 100)
+    alive = []
+
+    def frames():
+        for i in range(20):
+            pdf = pd.DataFrame({"key": [(i * 50 + j) * 7 % 1000 for j in range(50)], "size": range(50), "seq": [(i * 50 + j) * 7 % 1000 // 2 for j in range(50)]})
+            alive.append(weakref.ref(pdf))
+            yield pdf
+            del pdf
+            assert sum(r() is not None for r in alive) <= 1
+
+    slices = list(stateful.in_order(frames(), ["seq", "key"], ["seq", "key"]))
+    assert [len(x) for x, _ in slices] == [100] * 10
+    assert [k for _, x in slices for k in x.tolist()] == list(range(1000)) and [k for x, _ in slices for k in x.tolist()] == [k // 2 for k in range(1000)]
+
+
 def test_windows_close_once(spark, files):
     e = streamed(spark, files).select(F.lit("h").alias("host"), F.expr("to_timestamp(cast(ts AS string))").alias("ts"), F.lit(1).alias("cents"))
     out = drained(spark, stateful.windowed_increase(e, "1 hour")).collect()
