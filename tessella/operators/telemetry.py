@@ -48,8 +48,11 @@ def range_rate(samples: DataFrame, by: list[str], range_s: int = 60, step_s: int
     """by, epoch_ms, line_no, value -> by, t_ms (the step), increase, span (ms between first and last sample), per_s.
 
     One ordered pass over each series, in segments, finds what a sample adds to the one before; a sample then goes to the range_s / step_s steps whose range
-    holds it, where an increase counts if the sample before lies in the range as well."""
-    p = neighbour(samples.select(*by, "epoch_ms", "line_no", "value"), by, ["epoch_ms", "line_no"], SEGMENT_MS, {"e0": "epoch_ms", "v0": "value"})
+    holds it, where an increase counts if the sample before lies in the range as well. A segment is a step, so there are no more of them than rows of the
+    result, about; a series' key may be null."""
+    s = samples.select(F.struct(*by).alias("__series"), "epoch_ms", "line_no", "value")
+    p = neighbour(s, ["__series"], ["epoch_ms", "line_no"], 1000 * step_s, {"e0": "epoch_ms", "v0": "value"})
+    p = p.select(*[F.col("__series")[c].alias(c) for c in by], "epoch_ms", "line_no", "value", "e0", "v0")
     p = p.withColumn("inc", F.when(F.col("v0").isNull(), 0).when(F.col("value") < F.col("v0"), F.col("value")).otherwise(F.col("value") - F.col("v0")))
     step, span = 1000 * step_s, 1000 * range_s
     first = F.ceil(F.col("epoch_ms") / step).cast("bigint") * step
@@ -72,6 +75,27 @@ def range_rate(samples: DataFrame, by: list[str], range_s: int = 60, step_s: int
     return g.select(*by, "t_ms", "increase", "span", (F.col("increase") * (whole / F.col("span")) / range_s).alias("per_s"))
 
 
+def bucket_rates(samples: DataFrame, by: list[str], bounds: tuple[float, ...], range_s: int = 60, step_s: int = 30) -> DataFrame:
+    """by, epoch_ms, line_no, counts (an array, one for each bound) -> by, le, t_ms, increase, span, per_s: range_rate of every bound's series.
+
+    A scrape's counts stay side by side until they are summed up by step, so its rows aren't multiplied by the bounds before."""
+    step, span = 1000 * step_s, 1000 * range_s
+    s = samples.select(F.struct(*by).alias("__series"), "epoch_ms", "line_no", "counts")
+    p = neighbour(s, ["__series"], ["epoch_ms", "line_no"], step, {"e0": "epoch_ms", "c0": "counts"})
+    first = F.ceil(F.col("epoch_ms") / step).cast("bigint") * step
+    p = p.withColumn("t_ms", F.explode(F.sequence(first, F.col("epoch_ms") + span - 1, F.lit(step).cast("bigint"))))
+
+    def increase(i: int) -> Column:
+        now, was = F.get("counts", F.lit(i)), F.get("c0", F.lit(i))
+        inc = F.when(was.isNull(), 0).when(now < was, now).otherwise(now - was)
+        return F.sum(F.when(F.col("e0") > F.col("t_ms") - span, inc).otherwise(0)).cast("bigint")
+
+    g = p.groupBy("__series", "t_ms").agg(F.min("epoch_ms").alias("first"), F.max("epoch_ms").alias("last"), F.count(F.lit(1)).alias("n"), *[increase(i).alias(f"i{i}") for i in range(len(bounds))])
+    g = g.filter("n >= 2 AND last > first").withColumn("span", F.col("last") - F.col("first"))
+    g = g.select("*", F.explode(F.array(*[F.struct(F.lit(le).alias("le"), F.col(f"i{i}").alias("increase")) for i, le in enumerate(bounds)])).alias("b"))
+    return g.select(*[F.col("__series")[c].alias(c) for c in by], "b.le", "t_ms", "b.increase", "span", (F.col("b.increase") * 1000 / F.col("span")).alias("per_s"))
+
+
 def hist_delta(hist: DataFrame, by: list[str]) -> DataFrame:
     """Bucket counts after less before, a missing bucket counting 0."""
     side = lambda phase, name: hist.filter(F.col("phase") == phase).select(*by, "le", F.col("cum").alias(name))

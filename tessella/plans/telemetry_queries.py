@@ -11,6 +11,7 @@ from ..operators import chunking as C
 from ..operators import telemetry as T
 from .common import query
 from .placement_queries import BIG, CH
+from .views import BOUNDS as VIEW_BOUNDS
 
 BOUNDS = "[5.0, 10.0, 20.0, 40.0, 80.0, 160.0, 1000000.0]"
 HD = "hd AS (SELECT node, le, coalesce(a.cum, 0) - coalesce(b.cum, 0) AS cum FROM (SELECT * FROM v_hist WHERE phase = 'post') a FULL JOIN (SELECT * FROM v_hist WHERE phase = 'pre') b USING (node, le)), hm AS (SELECT le, CAST(sum(cum) AS BIGINT) AS cum FROM hd GROUP BY le)"
@@ -218,7 +219,7 @@ def quantile_sql(metric: str, by: str, q: float) -> str:
 
 
 def bucket_quantile(V, metric: str, by: list[str], q: float):
-    r = T.range_rate(V("v_buckets").filter(F.col("metric") == metric), ["host", "le"], RANGE, STEP)
+    r = T.bucket_rates(V("v_bucket_counts").filter(F.col("metric") == metric), ["host"], VIEW_BOUNDS, RANGE, STEP)
     return T.quantile_interpolated(r.groupBy(*by, "le").agg(F.sum("per_s").alias("cum")), by, {"value": q}, 4)
 
 

@@ -8,6 +8,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.scan import running
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHUNK = 256
@@ -98,10 +101,44 @@ def duck_text(sql: str) -> str:
     return sql.replace("AS STRING", "AS VARCHAR")
 
 
+#: A segment's length for counts of buckets, milliseconds.
+BUCKETS_MS = 30_000
+BOUNDS = (5.0, 10.0, 20.0, 40.0, 80.0, 160.0, 1000000.0)
+
+
+def bucket_counts(events: DataFrame) -> DataFrame:
+    """v_buckets with a scrape's counts side by side, as many as BOUNDS: metric, host, epoch_ms, line_no, counts. They are found in segments of each host's
+    events, all bounds in one pass, where the view's SQL has a window over every whole series."""
+    scrapes = re.search(r"FROM \((.*?)\) AS e\b", VIEWS["v_buckets"], re.DOTALL)[1]
+    e = events.sparkSession.sql(spark_text(scrapes).replace("FROM events", "FROM {events}"), events=events)
+    # A struct: a series' key may be null.
+    e = e.select(F.struct("host").alias("series"), "epoch_ms", F.col("event_id").alias("line_no"), "event_type", "value")
+
+    def metric(name: str, rows: DataFrame) -> DataFrame:
+        sums = {f"n{i}": F.when(F.col("value") <= le, 1).otherwise(0) for i, le in enumerate(BOUNDS)}
+        counts = running(rows, ["series"], ["epoch_ms", "line_no"], BUCKETS_MS, sums=sums)
+        return counts.select(F.lit(name).alias("metric"), "series.host", "epoch_ms", "line_no", F.array(*sums).alias("counts"))
+
+    return metric("fuse_read_seconds", e).unionByName(metric("chunk_peer_fetch_seconds", e.filter("event_type = 'click'")))
+
+
+def buckets(events: DataFrame) -> DataFrame:
+    """v_buckets, a row for each bound."""
+    each = F.explode(F.arrays_zip(F.array(*[F.lit(le) for le in BOUNDS]).alias("le"), F.col("counts").alias("value"))).alias("b")
+    return bucket_counts(events).select("metric", "host", "epoch_ms", "line_no", each).select("metric", "host", F.col("b.le"), "epoch_ms", "line_no", F.col("b.value"))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view or a table as a DataFrame."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if made := {"v_buckets": buckets, "v_bucket_counts": bucket_counts}.get(name):
+        return made(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return plain_view(spark, sf_dir, name)
+
+
+def plain_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view by its SQL."""
     sql = spark_text(VIEWS[name])
     used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
     for t in used:

@@ -1,5 +1,6 @@
 """Segmented scans, as-of joins, instant vectors, distributed selection, hash-tree reconciliation and folder roll-ups against brute force."""
 
+import datetime as dt
 import math
 import random
 import re
@@ -12,6 +13,7 @@ from test_plans import plan
 
 from tessella.operators import asof, namespace, placement, replay, scan, select, telemetry
 from tessella.operators import reconcile as rc
+from tessella.plans import views
 
 
 def samples(spark, n=300, series=3, seed=1, ties=True):
@@ -88,6 +90,35 @@ def test_counters_across_segments(spark, monkeypatch):
     assert take() == whole and whole[0] and whole[1]
 
 
+def test_bucket_counts_in_segments(spark, tmp_path):
+    """As the view's SQL, null hosts, times and values included; no window over a whole series."""
+    rng = random.Random(5)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(seconds=rng.randrange(2_600_000)) if i % 50 else None, rng.randrange(9) if i % 7 else None, rng.choice(["click", "view", None]), rng.choice([None, 5.0, rng.random() * 200]), None) for i in range(1, 900)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    df, want = (f(spark, str(tmp_path), "v_buckets") for f in (views.view, views.plain_view))
+    assert df.columns == want.columns and [x.dataType for x in df.schema] == [x.dataType for x in want.schema]
+    assert sorted(map(str, df.collect())) == sorted(map(str, want.collect()))
+    wide = telemetry.bucket_rates(views.view(spark, str(tmp_path), "v_bucket_counts"), ["metric", "host"], views.BOUNDS, 60, 30)
+    per = telemetry.range_rate(df, ["metric", "host", "le"], 60, 30)
+    assert sorted(map(str, wide.select(per.columns).collect())) == sorted(map(str, per.collect()))
+    for text in (plan(df), plan(per), plan(wide)):
+        for at in re.findall(r"Window\n(?:.*\n)*?Arguments: \[(.*?)\], \[(.*?)\]", text):
+            assert "__segment" in at[1] or re.search("__edge|__c_", at[0]), at
+    held = per.groupBy().agg(F.count(F.lit(1)), F.sum("increase")).first()
+    by = defaultdict(list)
+    for r in want.filter("epoch_ms IS NOT NULL").collect():
+        by[r.metric, r.host, r.le].append((r.epoch_ms, r.line_no, r.value))
+    steps = defaultdict(list)
+    for k, s in by.items():
+        s.sort()
+        for i, (t, _, v) in enumerate(s):
+            for at in range(-(-t // 30_000) * 30_000, t + 60_000, 30_000):
+                steps[(*k, at)].append((t, v - s[i - 1][2] if i and s[i - 1][0] > at - 60_000 else 0))
+    full = [sum(x for _, x in v) for v in steps.values() if len(v) > 1 and v[-1][0] > v[0][0]]
+    assert tuple(held) == (len(full), sum(full))
+
+
 @pytest.mark.parametrize("width", [50, 10**6])
 def test_instant_vectors(spark, width):
     """A row a step for each series that is not silent; values that fall; of equal times the later line."""
